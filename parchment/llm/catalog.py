@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 import corpus_pipeline
-from parchment.llm import oracle
+from parchment.llm import classifier, mixing, oracle, token_file, warc
+from parchment.llm.fingerprint import fingerprint_documents
+from parchment.llm.common import saved
 from parchment.llm.quality_rules import quality_rules
 from parchment.llm.url_filter import RULES_SCHEMA, filter_urls
 from parchment.sources.tables import table
@@ -16,11 +20,35 @@ def op1_quality_rules(spark, sf_dir):
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_words_left")
 
 
+def op2_mixing(spark, sf_dir):
+    return mixing.mix_plan(table(spark, sf_dir, "documents"))
+
+
 def op3_url_filters(spark, sf_dir):
     rules = spark.createDataFrame(URL_RULES, RULES_SCHEMA)
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = classifier.train(docs, table(spark, sf_dir, "labels"))
+    return classifier.classify(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
+def op6_fingerprints(spark, sf_dir):
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op7_token_file(spark, sf_dir):
+    return token_file.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_warc(spark, sf_dir):
+    archives = saved(warc.write_archives(warc.mark_revisits(table(spark, sf_dir, "pages"))))
+    normal = saved(warc.normalise_archives(archives))
+    return warc.read_archives(normal).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
 def queries():
     own = {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
     return own | {"pipeline": corpus_pipeline.run}

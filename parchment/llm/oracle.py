@@ -49,4 +49,15 @@ from p left join rules on (host = r_host or ends_with(host, '.' || r_host)) and
 qualify row_number() over (partition by page_id order by length(r_host || r_path) desc nulls last) = 1
 """
 
-SQL = {"op1_quality_rules": OP1, "op3_url_filters": OP3}
+OP10 = """
+with p as (
+  select page_id, octet_length(encode(coalesce(html, ''))) payload_bytes, sha256(coalesce(html, '')) payload_digest,
+    min(page_id) over (partition by coalesce(html, '')) first_id
+  from pages)
+select page_id, payload_bytes::bigint payload_bytes, payload_digest, true as intact,
+  case when payload_bytes >= 100 and page_id <> first_id then 'revisit' else 'response' end record_type,
+  case when payload_bytes >= 100 and page_id <> first_id then first_id end refers_to
+from p
+"""
+
+SQL = {"op1_quality_rules": OP1, "op3_url_filters": OP3, "op10_warc": OP10}
