@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from parchment.llm import classifier, mixing, oracle, token_file, warc
+from parchment.llm import classifier, language_model, mixing, oracle, pieces, token_file, warc
 from parchment.llm.fingerprint import fingerprint_documents
 from parchment.llm.common import saved
+from parchment.llm.neardup import near_duplicates
 from parchment.llm.quality_rules import quality_rules
 from parchment.llm.url_filter import RULES_SCHEMA, filter_urls
 from parchment.sources.tables import table
@@ -29,6 +31,10 @@ def op3_url_filters(spark, sf_dir):
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_language_model(spark, sf_dir):
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_classifier(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = classifier.train(docs, table(spark, sf_dir, "labels"))
@@ -43,6 +49,15 @@ def op7_token_file(spark, sf_dir):
     return token_file.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_sentencepiece(spark, sf_dir):
+    encoded = pieces.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return encoded.select("doc_id", "n_units", "n_tokens", F.crc32("ids").alias("ids_crc32"), "score", "nbest", "decoded_equal")
+
+
+def op9_near_duplicates(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark, sf_dir):
     archives = saved(warc.write_archives(warc.mark_revisits(table(spark, sf_dir, "pages"))))
     normal = saved(warc.normalise_archives(archives))
