@@ -1,11 +1,61 @@
-"""Corpus pipeline: each stage takes the documents that the one before it kept."""
+"""Corpus pipeline: from raw documents to the token ids of a deduplicated mix.
+
+Each stage takes all documents that the one before it kept and returns documents again, the last one their ids.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from parchment.llm import classifier, mixing, neardup, pieces
+from parchment.llm.common import saved
+from parchment.llm.quality_rules import quality_rules
+
+#: SQL has none of the models, hashes and lattices of the stages; tests compare them with brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and aren't depleted, without the lines that are frequent in their source."""
+    kept = quality_rules(docs).where("kept")
+    return kept.withColumns({"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}).select(*docs.columns)
+
+
+def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a classifier, trained on the labelled ones among them, finds good."""
+    model = classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return classifier.classify(docs, model).where("predicted = 1").select(*docs.columns)
+
+
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, that with the smallest doc_id."""
+    return neardup.drop_near_duplicates(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them, the last one of a source cut where its target is reached."""
+    return mixing.mix_documents(docs)
+
+
+def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The best ids of each document of the mix, and what its N best segmentations score."""
+    return pieces.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("quality rules", quality_rules_stage),
+    ("quality classifier", quality_classifier_stage),
+    ("near-duplicates", near_duplicates_stage),
+    ("mixing", mixing_stage),
+    ("sentencepiece", sentencepiece_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over the documents of sf_dir; what a stage returns is written before the next reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

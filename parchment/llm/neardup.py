@@ -4,6 +4,14 @@ A signature has CHUNKS chunks of CHUNK_LEN b-bit minhashes. If two signatures di
 chunk differs in at most one (pigeonhole). So each chunk is looked up under every way to leave one of its minhashes
 out, and all such pairs meet under a common key. Pairs of 75 % resemblance differ in 16 of 64 places on average and
 in more than 31 with a chance of about one in a hundred thousand.
+
+Not all pairs of a key are compared. Each key has a hub, its member that meets most others, and every member A is
+compared with the hub H. Two members A and B that are both linked to H need nothing more. For any others,
+
+    |A and B| <= min(|A and H|, |B and H|) + |shingles outside H that both have|,
+
+so they can only be linked if they share a shingle outside H or if the first term alone is enough. Edits of one text
+rarely share what they put in, so the second round, in which such pairs are compared, is small, and none is lost.
 """
 
 from __future__ import annotations
@@ -14,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parchment.llm.common import saved, shuffle_partitions
@@ -27,9 +36,6 @@ BITS = 16
 MAX_BROADCAST_IDS = 1_000_000
 #: Members that a task compares with one copy of their hub.
 MEMBERS_PER_TASK = 128
-#: Rounds in which members are compared with one hub a key, before all pairs that are still apart are.
-HUB_ROUNDS = 6
-
 N_HASHES = CHUNKS * CHUNK_LEN
 _RANDOM = np.random.default_rng(20_240_229)
 _FACTORS = _RANDOM.integers(1, 2**63, N_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -96,16 +102,16 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def keyed(reps: DataFrame) -> DataFrame:
-    """(key, rep, n): a row for each lookup key of each representative."""
+    """(key, rep): a row for each lookup key of each representative."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 2000):
                 some = batch.iloc[at : at + 2000]
                 keys = lookup_keys(np.frombuffer(b"".join(some["signature"]), np.uint16).reshape(len(some), N_HASHES))
-                yield pd.DataFrame({"key": keys.ravel(), "rep": np.repeat(some["rep"].to_numpy(), N_HASHES), "n": np.repeat(some["n"].to_numpy(), N_HASHES)})
+                yield pd.DataFrame({"key": keys.ravel(), "rep": np.repeat(some["rep"].to_numpy(), N_HASHES)})
 
-    return reps.select("rep", "n", "signature").mapInPandas(run, "key long, rep long, n long")
+    return reps.select("rep", "signature").mapInPandas(run, "key long, rep long")
 
 
 def member_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -123,17 +129,20 @@ def member_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     few = ids.count() <= MAX_BROADCAST_IDS
     met = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where("text is not null").join(F.broadcast(ids) if few else ids, "rep")
-    sets = met.select("rep", "digest", "text").mapInPandas(run, "rep long, shingles binary")
-    return sets.groupBy("rep").agg(F.first("shingles").alias("shingles"))
+    return met.select("rep", "digest", "text").mapInPandas(run, "rep long, shingles binary")
 
 
-def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (hub, rep) whose sets share LINK_PERCENT of their union.
+def compare(pairs: DataFrame, sets: DataFrame, residues: bool = False) -> DataFrame:
+    """(hub, rep, n, shared, linked, residue) of pairs (hub, rep) and of each hub with itself: the size of rep's set, how much of it hub has,
+    whether that links them, and the shingles that hub lacks, as 8 bytes each (null unless asked for).
+
+    Of a residue, what comes first in order of hash is enough: all but one less than the shingles that a document
+    linked with rep, but not through the hub, must share with it outside the hub's set.
 
     A task reads a hub's set and then those of its members one by one. A hub with many members is copied to as many
     tasks as it takes for each to have about MEMBERS_PER_TASK.
     """
-    spread = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / MEMBERS_PER_TASK).cast("int").alias("tasks"))
+    spread = saved(pairs.groupBy("hub").agg(F.ceil((F.count(F.lit(1)) + 1) / MEMBERS_PER_TASK).cast("int").alias("tasks")))
     own = sets.withColumnRenamed("rep", "hub").join(spread, "hub").select(
         "hub", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.lit(0).alias("kind"), F.col("hub").alias("rep"), "shingles"
     )
@@ -141,21 +150,62 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     met = own.unionByName(theirs).repartition(shuffle_partitions(pairs.sparkSession), "hub", "task").sortWithinPartitions("hub", "task", "kind")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        base = None
+        base = np.zeros(0, np.uint64)
         for batch in batches:
             found = []
-            for hub, kind, rep, shingles in batch.itertuples(index=False, name=None):
+            for hub, task, kind, rep, shingles in batch.itertuples(index=False, name=None):
                 these = np.frombuffer(shingles, np.uint64)
                 if kind == 0:
                     base = these
+                    if task == 0:
+                        found.append((hub, hub, len(base), len(base), True, b"" if residues else None))
                     continue
-                place = np.searchsorted(base, these)
-                both = int((base[np.minimum(place, len(base) - 1)] == these).sum())
-                if 100 * both >= LINK_PERCENT * (len(base) + len(these) - both):
-                    found.append((hub, rep))
-            yield pd.DataFrame(np.array(found, np.int64).reshape(-1, 2), columns=["hub", "rep"])
-
-    return met.select("hub", "kind", "rep", "shingles").mapInPandas(run, "hub long, rep long")
+                place = np.minimum(np.searchsorted(base, these), len(base) - 1)
+                inside = base[place] == these
+                shared, n = int(inside.sum()), len(these)
+                linked = 100 * shared >= LINK_PERCENT * (len(base) + n - shared)
+                residue = None
+                if residues:
+                    outside = these[~inside]
+                    # the least n of a partner and the least overlap with it leave this to be shared outside the hub
+                    needed = 1 if linked else max(1, -(-LINK_PERCENT * n // 100) - shared)
+                    residue = outside[: max(0, len(outside) - needed + 1)].tobytes()
+                found.append((hub, rep, n, shared, linked, residue))
+            yield pd.DataFrame(found, columns=["hub", "rep", "n", "shared", "linked", "residue"])
+
+    return met.select("hub", "task", "kind", "rep", "shingles").mapInPandas(run, "hub long, rep long, n int, shared int, linked boolean, residue binary")
+
+
+def second_round(compared: DataFrame) -> DataFrame:
+    """The pairs (hub, rep) of members of one hub, not both linked to it, that may be linked all the same."""
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A row for each shingle of a residue; the key stands for hub and shingle."""
+        for batch in batches:
+            for at in range(0, len(batch), 2000):
+                some = batch.iloc[at : at + 2000]
+                size = some["residue"].map(len).to_numpy() // 8
+                hubs = mix(some["hub"].to_numpy().astype(np.uint64) + np.uint64(1))
+                keys = mix(np.frombuffer(b"".join(some["residue"]), np.uint64) ^ np.repeat(hubs, size))
+                yield pd.DataFrame({"key": keys.view(np.int64)} | {c: np.repeat(some[c].to_numpy(), size) for c in ("rep", "n", "shared", "linked")})
+
+    rows = compared.select("hub", "rep", "n", "shared", "linked", "residue").mapInPandas(split, "key long, rep long, n int, shared int, linked boolean")
+    both = W.partitionBy("key")
+    held = rows.withColumns({"holders": F.count(F.lit(1)).over(both), "apart": F.count_if(~F.col("linked")).over(both)})
+    held = saved(held.where("holders > 1 and apart > 0").drop("holders", "apart"))
+    mate = lambda df: df.select(*[F.col(c).alias(f"{c}_b" if c not in ("key", "hub") else c) for c in df.columns])
+    least, size = F.least("shared", "shared_b"), F.col("n") + F.col("n_b")
+    # the residue of a document is all of it that its hub lacks
+    possible = 7 * (least + F.least(F.col("n") - F.col("shared"), F.col("n_b") - F.col("shared_b"))) >= 3 * size
+    once = (F.col("rep") != F.col("rep_b")) & ~F.col("linked_b")
+    meeting = held.join(mate(held), "key").where(once & possible & _similar_size("n", "n_b")).select("rep", "rep_b")
+    # without a shared shingle outside the hub: only of documents smaller than it
+    plain = compared.select("hub", "rep", "n", "shared", "linked").withColumn("most", F.expr("7 * shared div 3") - F.col("n"))
+    bounds = plain.groupBy("hub").agg(F.min("n").alias("least_n"), F.max(F.when(~F.col("linked"), F.col("most"))).alias("most_most"))
+    near = saved(plain.join(bounds, "hub").where((F.col("most") >= F.col("least_n")) & ((F.col("n") <= F.col("most_most")) | ~F.col("linked"))).drop("least_n", "most_most"))
+    inside = near.join(mate(near.where("not linked")), "hub").where(once & (F.col("n") <= F.col("most_b")) & (F.col("n_b") <= F.col("most"))).select("rep", "rep_b")
+    pairs = meeting.unionByName(inside).select(F.least("rep", "rep_b").alias("hub"), F.greatest("rep", "rep_b").alias("rep"))
+    return pairs.distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -183,61 +233,50 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _similar_size(a: str, b: str):
-    return (100 * F.least(a, b) >= LINK_PERCENT * F.greatest(a, b)) & (F.col(a) > 0)
+    return 100 * F.least(a, b) >= LINK_PERCENT * F.greatest(a, b)
+
+
+def find_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(u, v): links between representatives by which all that are linked are connected."""
+    keys = keyed(reps).withColumn("size", F.count(F.lit(1)).over(W.partitionBy("key")))
+    held = saved(keys.where("size > 1"))
+    degree = held.groupBy("rep").agg(F.sum("size").alias("degree"))
+    candidates = saved(degree.join(reps.select("rep", "digest"), "rep"))
+    sets = saved(member_sets(docs, candidates.select("rep", "digest")))
+    ranked = held.join(candidates.select("rep", "degree"), "rep")
+    hubs = ranked.groupBy("key").agg(F.max_by("rep", F.struct("degree", -F.col("rep"))).alias("hub"))
+    pairs = saved(held.join(hubs, "key").where("rep <> hub").select("hub", "rep").distinct())
+    compared = saved(compare(pairs, sets, residues=True))
+    rest = saved(second_round(compared))
+    later = compare(rest, sets).where("linked and hub <> rep")
+    return compared.where("linked and hub <> rep").select(F.col("hub").alias("u"), F.col("rep").alias("v")).unionByName(later.select(F.col("hub").alias("u"), F.col("rep").alias("v")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of docs (doc_id, text; other columns are not looked at).
 
-    Rows with equal shingle sets are one class, which its smallest doc_id stands for. Classes that share a lookup key
-    are candidates. In a first round each member of a key is compared with the key's smallest; where a key still has
-    members of several components, they are compared with another member, and so on, and at last with all members of
-    other components, so no link is lost though groups of copies are never compared in all pairs. Links are those of
+    Rows with equal shingle sets are one class, which its smallest doc_id stands for. Links are those of
     100 * intersection >= 75 * union of the whole sets, of 64-bit hashes of shingles.
 
-    Null and empty texts have no shingles and are their own component. Rows without doc_id join the class of an equal
-    set, or else have a null component and are kept. Rows that repeat a doc_id are documents of their own with one id.
+    Null and empty texts have no shingles and are their own component. Rows without doc_id are linked with nothing, have
+    a null component and are kept. Rows that repeat a doc_id are documents of their own with one id. An empty table gives an
+    empty result.
     """
     rows = saved(sketch(docs))
-    full = rows.where("digest is not null")
-    reps = saved(full.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")).where("rep is not null").withColumnRenamed("n_shingles", "n"))
-    keys = keyed(reps)
-    several = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").select("key")
-    held = saved(keys.join(several, "key"))
-    sets = saved(member_sets(docs, saved(held.select("rep").distinct().join(reps.select("rep", "digest"), "rep"))))
-    links, component = None, None
-    for turn in range(HUB_ROUNDS + 1):
-        if component is not None:
-            named = held.join(component, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
-            apart = named.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
-            held = saved(named.join(apart, "key").select("key", "rep", "n", "component"))
-        else:
-            held = held.withColumn("component", F.col("rep"))
-        if held.isEmpty():
-            break
-        place = F.col("rep") if turn == 0 else F.xxhash64("key", "rep", F.lit(turn))
-        hubs = held.groupBy("key").agg(F.min_by(F.struct(F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component")), place).alias("h")).select("key", "h.*")
-        if turn < HUB_ROUNDS:
-            met = held.join(hubs, "key")
-            held_next = met.where("rep <> hub").select("key", "rep", "n")
-        else:
-            other = held.select("key", F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component"))
-            met = held.join(other, "key").where("hub < rep")
-            held_next = None
-        pairs = saved(met.where((F.col("component") != F.col("hub_component")) & _similar_size("n", "hub_n")).select("hub", "rep").distinct())
-        new = saved(confirm(pairs, sets).select(F.col("hub").alias("u"), F.col("rep").alias("v")))
-        links = new if links is None else links.unionByName(new)
-        component = saved(components(links))
-        if held_next is None:
-            break
-        held = held_next
-    named = reps.select("digest", "n", "rep")
-    if component is not None:
-        named = named.join(component, F.col("rep") == F.col("node"), "left").select("digest", "n", F.coalesce("component", "rep").alias("component_id"))
-    else:
-        named = named.withColumnRenamed("rep", "component_id")
-    named = saved(named)
-    out = rows.join(named, (rows["digest"] == named["digest"]) & (rows["n_shingles"] == named["n"]), "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    )
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    full = rows.where("digest is not null and doc_id is not null")
+    reps = saved(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")))
+    component = saved(components(find_links(docs, reps)))
+    named = reps.select("digest", "rep").join(component, F.col("rep") == F.col("node"), "left")
+    named = saved(named.select("digest", F.coalesce("component", "rep").alias("component_id")))
+    out = rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
+    own = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", own.cast("long").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """One document of each component of docs, that with the smallest doc_id, and all rows without doc_id. Rows that
+    repeat the doc_id of a document that stays are taken once, the first in order of a hash of the text."""
+    kept = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
+    met = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    first = met.withColumn("_place", F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("_place = 1").drop("_place")
+    return first.unionByName(docs.where("doc_id is null"))
