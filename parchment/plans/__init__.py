@@ -1,3 +1,5 @@
 """Queries that bind the operators to tables."""
 
-PLANS = ()
+from parchment.plans import extraction_plans, fusion_plans, registry_plans, relational_plans, text_plans
+
+PLANS = (registry_plans, relational_plans, text_plans, fusion_plans, extraction_plans)
