@@ -47,10 +47,8 @@ def field_accuracy(measured: DataFrame, field: str, accuracy: str) -> DataFrame:
 
 def histogram(df: DataFrame, value: str, bins: int = 20) -> DataFrame:
     """(bin, n, low, high) of equal bins between the least and the greatest value, which belongs to the last bin."""
-    edges = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    step = (F.col("hi") - F.col("lo")) / bins
-    bin_of = F.when(step == 0, 0).otherwise(F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("lo")) / step).cast("int")))
-    # one row of two sums, whatever the size of df
-    placed = df.select(value).join(F.broadcast(edges)).where(F.col(value).isNotNull()).withColumn("bin", bin_of)
-    counted = placed.groupBy("bin", "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
-    return counted.select("bin", "n", (F.col("lo") + F.col("bin") * step).alias("low"), (F.col("lo") + (F.col("bin") + 1) * step).alias("high"))
+    low, high = df.agg(F.min(value).cast("double"), F.max(value).cast("double")).first()
+    low, step = low or 0.0, ((high or 0.0) - (low or 0.0)) / bins
+    bin_of = F.least(F.lit(bins - 1), F.floor((F.col(value) - low) / step).cast("int")) if step else F.lit(0)
+    counted = df.where(F.col(value).isNotNull()).groupBy(bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.select("bin", "n", (low + F.col("bin") * step).alias("low"), (low + (F.col("bin") + 1) * step).alias("high"))

@@ -31,11 +31,13 @@ def audit_search(df: DataFrame, keyword: str, role: str, in_columns: list[str],
 
 def kpis(records: DataFrame, alerts: DataFrame, status: str, amount: Column) -> DataFrame:
     """One row: total, verified, pending, alerts (rows of alerts, not flagged records) and the sum of amount."""
+    zero = F.lit(0).cast("long")
     sums = records.agg(
         F.count(F.lit(1)).alias("total"), F.count_if(F.col(status) == "Verified").alias("verified"), F.count_if(F.col(status) == "Pending").alias("pending"),
-        F.coalesce(F.sum(amount), F.lit(0.0)).alias("amount"),
+        zero.alias("alerts"), F.coalesce(F.sum(amount), F.lit(0.0)).alias("amount"),
     )
-    return sums.crossJoin(alerts.agg(F.count(F.lit(1)).alias("alerts")))  # one row with one row
+    counted = alerts.agg(zero.alias("total"), zero.alias("verified"), zero.alias("pending"), F.count(F.lit(1)).alias("alerts"), F.lit(0.0).alias("amount"))
+    return sums.unionByName(counted).agg(*[F.sum(c).alias(c) for c in ("total", "verified", "pending", "alerts", "amount")])
 
 
 def latest_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
