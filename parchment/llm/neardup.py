@@ -5,13 +5,15 @@ chunk differs in at most one (pigeonhole). So each chunk is looked up under ever
 out, and all such pairs meet under a common key. Pairs of 75 % resemblance differ in 16 of 64 places on average and
 in more than 31 with a chance of about one in a hundred thousand.
 
-Not all pairs of a key are compared. Each key has a hub, its member that meets most others, and every member A is
-compared with the hub H. Two members A and B that are both linked to H need nothing more. For any others,
+Not all pairs of a key are compared. Each key has a hub, a document that meets most others, and every member is
+compared with it. Two members that are both linked to the hub need nothing more. For any others, A and B, let C be the
+hub's shingles and those that COMMON members or more of the hub have. Then
 
-    |A and B| <= min(|A and H|, |B and H|) + |shingles outside H that both have|,
+    |A and B| <= min(|A and C|, |B and C|) + |shingles outside C that both have|,
 
-so they can only be linked if they share a shingle outside H or if the first term alone is enough. Edits of one text
-rarely share what they put in, so the second round, in which such pairs are compared, is small, and none is lost.
+so they can only be linked if they share a shingle that few members have, or if the first term alone is enough. Edits of one
+text rarely share what they put in, and what many share counts towards C. So the second round, in which such pairs are
+compared, is small; no pair is lost.
 """
 
 from __future__ import annotations
@@ -36,6 +38,9 @@ BITS = 16
 MAX_BROADCAST_IDS = 1_000_000
 #: Members that a task compares with one copy of their hub.
 MEMBERS_PER_TASK = 128
+#: Members of a hub that have a shingle which the hub lacks, from which on it counts as common to them.
+COMMON = 16
+
 N_HASHES = CHUNKS * CHUNK_LEN
 _RANDOM = np.random.default_rng(20_240_229)
 _FACTORS = _RANDOM.integers(1, 2**63, N_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -133,11 +138,8 @@ def member_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def compare(pairs: DataFrame, sets: DataFrame, residues: bool = False) -> DataFrame:
-    """(hub, rep, n, shared, linked, residue) of pairs (hub, rep) and of each hub with itself: the size of rep's set, how much of it hub has,
-    whether that links them, and the shingles that hub lacks, as 8 bytes each (null unless asked for).
-
-    Of a residue, what comes first in order of hash is enough: all but one less than the shingles that a document
-    linked with rep, but not through the hub, must share with it outside the hub's set.
+    """(hub, rep, n, shared, linked, residue) of pairs (hub, rep) and of each hub with itself: the size of rep's set, how
+    much of it hub has, whether that links them, and the shingles that hub lacks, 8 bytes each (null unless asked for).
 
     A task reads a hub's set and then those of its members one by one. A hub with many members is copied to as many
     tasks as it takes for each to have about MEMBERS_PER_TASK.
@@ -164,12 +166,7 @@ def compare(pairs: DataFrame, sets: DataFrame, residues: bool = False) -> DataFr
                 inside = base[place] == these
                 shared, n = int(inside.sum()), len(these)
                 linked = 100 * shared >= LINK_PERCENT * (len(base) + n - shared)
-                residue = None
-                if residues:
-                    outside = these[~inside]
-                    # the least n of a partner and the least overlap with it leave this to be shared outside the hub
-                    needed = 1 if linked else max(1, -(-LINK_PERCENT * n // 100) - shared)
-                    residue = outside[: max(0, len(outside) - needed + 1)].tobytes()
+                residue = these[~inside].tobytes() if residues else None
                 found.append((hub, rep, n, shared, linked, residue))
             yield pd.DataFrame(found, columns=["hub", "rep", "n", "shared", "linked", "residue"])
 
@@ -187,22 +184,27 @@ def second_round(compared: DataFrame) -> DataFrame:
                 size = some["residue"].map(len).to_numpy() // 8
                 hubs = mix(some["hub"].to_numpy().astype(np.uint64) + np.uint64(1))
                 keys = mix(np.frombuffer(b"".join(some["residue"]), np.uint64) ^ np.repeat(hubs, size))
-                yield pd.DataFrame({"key": keys.view(np.int64)} | {c: np.repeat(some[c].to_numpy(), size) for c in ("rep", "n", "shared", "linked")})
-
-    rows = compared.select("hub", "rep", "n", "shared", "linked", "residue").mapInPandas(split, "key long, rep long, n int, shared int, linked boolean")
-    both = W.partitionBy("key")
-    held = rows.withColumns({"holders": F.count(F.lit(1)).over(both), "apart": F.count_if(~F.col("linked")).over(both)})
-    held = saved(held.where("holders > 1 and apart > 0").drop("holders", "apart"))
+                yield pd.DataFrame({"key": keys.view(np.int64)} | {c: np.repeat(some[c].to_numpy(), size) for c in ("hub", "rep", "linked")})
+
+    rows = compared.select("hub", "rep", "linked", "residue").mapInPandas(split, "key long, hub long, rep long, linked boolean")
+    holding = W.partitionBy("key")
+    held = rows.withColumns({"holders": F.count(F.lit(1)).over(holding), "apart": F.count_if(~F.col("linked")).over(holding)})
+    held = saved(held.where("holders >= 2 and (holders >= {0} or apart > 0)".format(COMMON)).drop("linked"))
+    common = held.where(F.col("holders") >= COMMON).groupBy("hub", "rep").agg(F.count(F.lit(1)).cast("int").alias("more"))
+    # from here on `shared` is what a document has of the hub's set and of what is common to the hub's members
+    members = compared.select("hub", "rep", "n", "shared", "linked").join(common, ["hub", "rep"], "left")
+    members = saved(members.withColumn("shared", F.col("shared") + F.coalesce("more", F.lit(0))).drop("more"))
+    rare = held.where(F.col("holders") < COMMON).select("key", "hub", "rep").join(members, ["hub", "rep"])
     mate = lambda df: df.select(*[F.col(c).alias(f"{c}_b" if c not in ("key", "hub") else c) for c in df.columns])
-    least, size = F.least("shared", "shared_b"), F.col("n") + F.col("n_b")
-    # the residue of a document is all of it that its hub lacks
-    possible = 7 * (least + F.least(F.col("n") - F.col("shared"), F.col("n_b") - F.col("shared_b"))) >= 3 * size
     once = (F.col("rep") != F.col("rep_b")) & ~F.col("linked_b")
-    meeting = held.join(mate(held), "key").where(once & possible & _similar_size("n", "n_b")).select("rep", "rep_b")
-    # without a shared shingle outside the hub: only of documents smaller than it
-    plain = compared.select("hub", "rep", "n", "shared", "linked").withColumn("most", F.expr("7 * shared div 3") - F.col("n"))
-    bounds = plain.groupBy("hub").agg(F.min("n").alias("least_n"), F.max(F.when(~F.col("linked"), F.col("most"))).alias("most_most"))
-    near = saved(plain.join(bounds, "hub").where((F.col("most") >= F.col("least_n")) & ((F.col("n") <= F.col("most_most")) | ~F.col("linked"))).drop("least_n", "most_most"))
+    room = F.least("shared", "shared_b") + F.least(F.col("n") - F.col("shared"), F.col("n_b") - F.col("shared_b"))
+    possible = 7 * room >= 3 * (F.col("n") + F.col("n_b"))
+    meeting = rare.join(mate(rare.where("not linked")), ["key", "hub"]).where(once & possible).select("rep", "rep_b")
+    # without a rare shingle in common, both must have enough of what is common: n <= most_b and n_b <= most
+    reach = members.withColumn("most", F.expr("7 * shared div 3") - F.col("n"))
+    bounds = reach.groupBy("hub").agg(F.min("n").alias("least_n"), F.max(F.when(~F.col("linked"), F.col("most"))).alias("most_most"))
+    near = reach.join(bounds, "hub").where((F.col("most") >= F.col("least_n")) & ((F.col("n") <= F.col("most_most")) | ~F.col("linked")))
+    near = saved(near.drop("least_n", "most_most"))
     inside = near.join(mate(near.where("not linked")), "hub").where(once & (F.col("n") <= F.col("most_b")) & (F.col("n_b") <= F.col("most"))).select("rep", "rep_b")
     pairs = meeting.unionByName(inside).select(F.least("rep", "rep_b").alias("hub"), F.greatest("rep", "rep_b").alias("rep"))
     return pairs.distinct()
@@ -232,10 +234,6 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _similar_size(a: str, b: str):
-    return 100 * F.least(a, b) >= LINK_PERCENT * F.greatest(a, b)
-
-
 def find_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """(u, v): links between representatives by which all that are linked are connected."""
     keys = keyed(reps).withColumn("size", F.count(F.lit(1)).over(W.partitionBy("key")))
@@ -243,8 +241,11 @@ def find_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     degree = held.groupBy("rep").agg(F.sum("size").alias("degree"))
     candidates = saved(degree.join(reps.select("rep", "digest"), "rep"))
     sets = saved(member_sets(docs, candidates.select("rep", "digest")))
-    ranked = held.join(candidates.select("rep", "degree"), "rep")
-    hubs = ranked.groupBy("key").agg(F.max_by("rep", F.struct("degree", -F.col("rep"))).alias("hub"))
+    # a key's hub is the best that any of its members meets under any key, so that a group of copies has few of them
+    rank = F.struct("degree", (-F.col("rep")).alias("order"), F.col("rep").alias("hub"))
+    top = held.join(candidates.select("rep", rank.alias("rank")), "rep").groupBy("key").agg(F.max("rank").alias("rank"))
+    met = held.join(top, "key").groupBy("rep").agg(F.max("rank").alias("rank"))
+    hubs = held.join(met, "rep").groupBy("key").agg(F.max("rank").alias("rank")).select("key", "rank.hub")
     pairs = saved(held.join(hubs, "key").where("rep <> hub").select("hub", "rep").distinct())
     compared = saved(compare(pairs, sets, residues=True))
     rest = saved(second_round(compared))

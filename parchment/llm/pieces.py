@@ -77,9 +77,13 @@ class PieceCodec:
         self.hashes, self.hash_ids = hashes[order], np.array(plain)[order]
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[self.hashes & np.uint64((1 << 22) - 1)] = True
-        self.place, self.best, self.loss, self.ids = {}, np.zeros(0), np.zeros(0), []
+        self.forget()
         self.nbest_of: dict = {}
 
+    def forget(self) -> None:
+        """Known units: their places in the score, the loss of the second best, the ids and what those decode to."""
+        self.place, self.best, self.loss, self.ids, self.texts = {}, np.zeros(0), np.zeros(0), [], []
+
     @staticmethod
     def _hash(text: str) -> int:
         """The hash that solve() keeps up for growing substrings."""
@@ -158,13 +162,15 @@ class PieceCodec:
                 best.append(score)
                 loss.append(lost)
                 self.ids += ids
+                self.texts += [self._text(np.frombuffer(i, "<i4")) for i in ids]
         self.best, self.loss = np.concatenate(best), np.concatenate(loss)
 
     def learn(self, texts: list[list[str]]) -> None:
         wanted = set().union(*texts)
         new = wanted - self.place.keys()
         if len(self.place) + len(new) > CACHED_UNITS:
-            self.place, self.best, self.loss, self.ids, new = {}, np.zeros(0), np.zeros(0), [], wanted
+            self.forget()
+            new = wanted
         if new:
             self._learn(new)
 
@@ -203,19 +209,23 @@ class PieceCodec:
         self.nbest_of[key] = out
         return out
 
-    def encode(self, split: list[str], n: int) -> tuple[list[bytes], float, list[tuple[float, list[tuple[int, bytes]]]]]:
-        """The best ids of each learnt unit of a text, their score, and for each of the text's n best segmentations the
-        score and the units that differ from the best one, with their ids."""
-        at = np.fromiter(map(self.place.__getitem__, split), np.int64, len(split))
+    def encode(self, split: list[str], n: int) -> tuple[list[bytes], str, float, list[tuple[float, list[tuple[int, bytes]]]]]:
+        """The best ids of each learnt unit of a text, what they decode to, their score, and for each of the text's n best
+        segmentations the score and the units that differ from the best one, with their ids."""
+        places = [self.place[u] for u in split]
+        at = np.array(places, np.int64)
         score, loss = float(self.best[at].sum()), self.loss[at]
         ways: list[tuple[float, list[tuple[int, bytes]]]] = [(0.0, [])]
         for i in self._least(loss, min(n - 1, len(at))).tolist():
             if not np.isfinite(loss[i]):
                 continue
             own = self.nbest_unit(split[i], n)
-            options = [(0.0, [])] + [(s - own[0][0], [(i, np.array(ids, "<i4").tobytes())]) for s, ids in own[1:]]
+            # among equal scores the search may come upon another one than the forward pass first
+            others = [(s - own[0][0], np.array(ids, "<i4").tobytes()) for s, ids in own]
+            options = [(0.0, [])] + [(lost, [(i, ids)]) for lost, ids in others if ids != self.ids[places[i]]]
             ways = sorted(((a + b, x + y) for a, x in ways for b, y in options), key=lambda w: -w[0])[:n]
-        return [self.ids[i] for i in at.tolist()], score, [(score + lost, changes) for lost, changes in ways]
+        decoded = "".join([self.texts[i] for i in places])[1:]
+        return [self.ids[i] for i in places], decoded, score, [(score + lost, changes) for lost, changes in ways]
 
     @staticmethod
     def _least(loss: np.ndarray, k: int) -> np.ndarray:
@@ -224,10 +234,13 @@ class PieceCodec:
         near = np.flatnonzero(loss <= bound)
         return near[np.argsort(loss[near], kind="stable")][:k]
 
+    def _text(self, ids: np.ndarray) -> str:
+        data = b"".join(map(self.spelling.__getitem__, ids.tolist()))
+        return data.decode("utf-8", "replace").replace(SPACE, " ")
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids, without the blank that was put before it."""
-        data = b"".join(map(self.spelling.__getitem__, ids.tolist()))
-        return data.decode("utf-8", "replace").replace(SPACE, " ")[1:]
+        return self._text(ids)[1:]
 
 
 def codec(path: str) -> PieceCodec:
@@ -255,7 +268,7 @@ def encode_documents(docs: DataFrame, model_path: str, n: int = N_BEST) -> DataF
                 own.learn(split)
                 rows = []
                 for doc_id, text, parts in zip(some["doc_id"].tolist(), texts, split):
-                    best, score, ways = own.encode(parts, n)
+                    best, decoded, score, ways = own.encode(parts, n)
                     ids, found = b"".join(best), []
                     for total, changes in ways:
                         other = ids
@@ -265,7 +278,7 @@ def encode_documents(docs: DataFrame, model_path: str, n: int = N_BEST) -> DataF
                                 each[i] = changed
                             other = b"".join(each)
                         found.append({"score": total, "n_tokens": len(other) // 4, "ids_crc32": zlib.crc32(other)})
-                    rows.append((doc_id, len(parts), len(ids) // 4, ids, score, found, own.decode(np.frombuffer(ids, "<i4")) == text))
+                    rows.append((doc_id, len(parts), len(ids) // 4, ids, score, found, decoded == text))
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.replace("array<struct<score: double, n_tokens: long, ids_crc32: long>>", "array").split(", ")])
 
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))

@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,7 +29,10 @@ CHUNK_BITS = 8
 RANK_BITS = 512
 BLOCK_TOKENS = 1 << 16
 END_ID = 2
-CACHED_WORDS = 500_000
+CACHED_WORDS = 1_200_000
+#: The most frequent of the first words met are also kept by themselves, few enough for a processor's cache.
+COUNTED_WORDS, FREQUENT_WORDS = 500_000, 12_000
+STOPS = b".,!?;:"
 MAGIC = b"DAC1"
 HEAD = struct.Struct("<4sHHII")
 FILE_SCHEMA = "shard int, block int, n_docs int, n_tokens long, payload binary"
@@ -95,30 +100,89 @@ class Block:
 
 
 class WordEncoder:
-    """Encodes texts with a tokenizer that drops white space, one distinct word at a time.
+    """Encodes texts with a tokenizer that drops white space and lower-cases, and whose words are runs of letters, runs of
+    digits or runs of other signs, in the byte alphabet of byte-level BPE.
 
     No token of such a tokenizer spans white space, so a text's ids are those of its words in turn. Words met before are
-    kept, CACHED_WORDS at most.
+    kept, until there are more than CACHED_WORDS. New words of letters alone go to the tokenizer's model as they are; a word followed by
+    stops is two words to the tokenizer, so it takes what is known of either; all others are encoded as texts.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.frequent, self.counts = Tokenizer.from_file(path), {}, {}, Counter()
+        self.tokenize = self.tokenizer.model.tokenize
+        self.tokenizer.model._resize_cache(0)
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; others follow 255
+        rest = [b for b in range(256) if b not in own]
+        self.alphabet = {b: 256 + i for i, b in enumerate(rest)}
+
+    @staticmethod
+    def plain(word: bytes) -> bool:
+        """Whether a word is letters that neither normalisation nor lower-casing joins, splits or turns into others."""
+        if word.isalpha():
+            return True
+        try:
+            text = word.decode()
+            return text.isalpha() and bool(text.encode("latin-1"))
+        except UnicodeEncodeError:
+            return False
+
+    @staticmethod
+    def split(text: str) -> list[bytes]:
+        """The words, lower-cased where that can't interfere with normalisation or the spelling of special tokens."""
+        try:
+            text.encode("latin-1")
+            if "<|" not in text:
+                text = text.lower()
+        except UnicodeEncodeError:
+            pass
+        return text.encode().split()
+
+    def _learn(self, words: set[bytes]) -> None:
+        known, tokenize, alphabet, others = self.known, self.tokenize, self.alphabet, []
+        for word in words:
+            if self.plain(word) and (text := word.decode()) == text.lower():
+                ids = [t.id for t in tokenize(text if len(text) == len(word) else word.decode("latin-1").translate(alphabet))]
+                known[word] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                others.append(word)
+        for at in range(0, len(others), 5_000):
+            some = others[at : at + 5_000]
+            for word, got in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
+                known[word] = struct.pack(f"<{len(got.ids)}I", *got.ids)
 
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers, end_id last."""
-        split, end = [t.encode().split() for t in texts], struct.pack("<I", end_id)
-        new = list({w for ws in split for w in ws} - self.known.keys())
-        if len(self.known) + len(new) > CACHED_WORDS:
+        split, end = [self.split(t) for t in texts], struct.pack("<I", end_id)
+        if len(self.known) > CACHED_WORDS:
             self.known = {}
-            new = list({w for ws in split for w in ws})
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for word, got in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                self.known[word] = np.array(got.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, ws)) + end for ws in split]
+        found = [list(map(self.frequent.get, ws)) for ws in split]
+        gaps = [[i for i, ids in enumerate(got) if ids is None] for got in found]
+        for ws, got, at in zip(split, found, gaps):
+            for i in at:
+                got[i] = self.known.get(ws[i])
+        gaps = [[i for i in at if got[i] is None] for got, at in zip(found, gaps)]
+        new = {ws[i] for ws, at in zip(split, gaps) for i in at}
+        stopped = {}
+        for word in new:
+            bare = word.rstrip(STOPS)
+            if bare != word and self.plain(bare):
+                stopped[word] = bare
+        parts = {*stopped.values(), *(w[len(b) :] for w, b in stopped.items())}
+        self._learn((new - stopped.keys() | parts) - self.known.keys())
+        for word, bare in stopped.items():
+            self.known[word] = self.known[bare] + self.known[word[len(bare) :]]
+        for ws, got, at in zip(split, found, gaps):
+            for i in at:
+                got[i] = self.known[ws[i]]
+        if not self.frequent:
+            self.counts.update(chain.from_iterable(split))
+            if self.counts.total() > COUNTED_WORDS:
+                self.frequent = {w: self.known[w] for w, _ in self.counts.most_common(FREQUENT_WORDS)}
+                self.counts.clear()
+        return [b"".join(got) + end for got in found]
 
 
 def encoder(path: str) -> WordEncoder:
