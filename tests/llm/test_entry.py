@@ -1,5 +1,7 @@
 import os
 
+import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__
@@ -27,5 +29,6 @@ def test_oracle(spark, name):
     got, want = catalog.queries()[name](spark, SF_DIR).toPandas(), con.sql(catalog.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     order = sorted(got.columns)
-    plain = lambda f: sorted(repr([None if x is None or x != x else (x.item() if hasattr(x, "item") else x) for x in r]).replace(".0,", ",") for r in f[order].itertuples(index=False))
+    value = lambda x: None if pd.isna(x) else float(x) if isinstance(x, (int, float, np.number)) and not isinstance(x, bool) else x
+    plain = lambda f: sorted(repr([value(x) for x in r]) for r in f[order].astype(object).itertuples(index=False))
     assert plain(got) == plain(want)
