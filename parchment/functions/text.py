@@ -83,12 +83,22 @@ def ngrams(text: Column, n: int) -> Column:
     return F.when(size == 0, F.array().cast("array<string>")).when(size < n, F.array(text)).otherwise(grams)
 
 
+def symbols(words: Column, vocabulary: Column) -> Column:
+    """Each word as one character: its place in the sorted vocabulary, by halving steps, is a code point, without
+    surrogates. More places than Unicode has code points are an error. The mark in front is taken for the byte order."""
+
+    def code(steps: Column, w: Column) -> Column:
+        place = F.aggregate(steps, F.lit(256), lambda at, s: F.when(F.get(vocabulary, at - 256 + s) <= w, at + s).otherwise(at))
+        return let(place, lambda p: F.lpad(F.hex(p + F.when(p < 0xD800, 0).otherwise(0x800)), 8, "0"))
+
+    needed = F.filter(F.array(*[F.lit(1 << k) for k in range(20, -1, -1)]), lambda s: s < F.size(vocabulary))
+    codes = let(needed, lambda steps: F.transform(words, lambda w: code(steps, w)))
+    return F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.array_join(codes, ""))), "UTF-32")
+
+
 def levenshtein_words(a: Column, b: Column) -> Column:
     """Edit distance of two arrays of words: each distinct word becomes one character."""
-    return let(
-        F.array_distinct(F.concat(a, b)),
-        lambda v: F.levenshtein(*[F.array_join(F.transform(x, lambda w: F.char(F.array_position(v, w) + 255)), "") for x in (a, b)]),
-    )
+    return let(F.sort_array(F.array_distinct(F.concat(a, b))), lambda v: F.levenshtein(symbols(a, v), symbols(b, v)))
 
 
 def _rate(distance: Column, size: Column, other: Column) -> Column:

@@ -43,6 +43,25 @@ def test_wer_and_f1(spark):
     assert [value(spark, T.f1(F.lit(a), F.lit(b))) for a, b in (("", ""), ("a", ""), ("", "a"))] == [1, 0, 0]
 
 
+def plain_distance(a, b):
+    """Edit distance, row by row."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_word_distance_of_many_distinct_words(spark):
+    few, many = [f"w{i}" for i in range(700)], [f"w{i}" for i in range(62_000)]
+    cases = [(few, few[256:] + few[:256]), (few[:300], [few[i + 256] if i < 40 else w for i, w in enumerate(few[:300])]), (many, [*many[55_000:55_002], *many[61_000:61_003], "none"])]
+    for r, h in cases:
+        got = spark.createDataFrame([(" ".join(r), " ".join(h))], "r string, h string").select(T.levenshtein_words(T.tokenize(F.col("r")), T.tokenize(F.col("h"))).alias("d"), T.wer(F.col("r"), F.col("h")).alias("w") if len(r) < 1000 else F.lit(None).alias("w")).first()
+        assert got["d"] == plain_distance(r, h)
+        assert got["w"] is None or got["w"] == pytest.approx(got["d"] / len(r))
+
+
 def test_normalize(spark):
     assert value(spark, T.normalize(F.lit("  Hello   World  "), F.lit("en"))) == "Hello World"
     assert value(spark, T.normalize(F.lit("Hello​World"), F.lit("en"))) == "HelloWorld"
