@@ -69,6 +69,13 @@ def jn_positional_zip(spark, d):
     return a.join(b, "id").select("reference", "hypothesis", "id")
 
 
+@query("select lower(a.text) as reference, lower(b.text) as hypothesis, a.item_id as id from benchmark a join benchmark b on b.item_id = a.item_id + 1")
+def jn_positional_zip_whole(spark, d):
+    a = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.lower("text").alias("reference"))
+    b = table(spark, d, "benchmark").select((F.col("item_id") - 1).alias("id"), F.lower("text").alias("hypothesis"))
+    return a.join(b, "id").select("reference", "hypothesis", "id")
+
+
 @query("""with t as (select doc_id as doc, 'quality' as field, cast(quality as varchar) as value from labels union all select doc_id, 'toxic', cast(toxic as varchar) from labels),
 p as (select doc_id as doc, 'quality' as field, cast(n_chars % 2 as varchar) as value from documents union all select doc_id, 'lang', lang from documents)
 select coalesce(t.doc, p.doc) as doc, coalesce(t.field, p.field) as field, coalesce(t.value, '') as reference, coalesce(p.value, '') as hypothesis from t full join p on t.doc = p.doc and t.field = p.field""")

@@ -45,15 +45,17 @@ _MEASURED = f"{_PAIRS}, {_N}, {_GRAMS}, m as (select id, lang, {_CER} as cer, {_
 _MEANS = "round(avg(cer), 6) as cer, round(avg(wer), 6) as wer, round(avg(f1), 6) as f1, round(1 - avg(cer), 6) as accuracy, count(*) as n"
 
 
-def pairs(spark, d):
+def pairs(spark, d, letters=60):
+    """As _PAIRS, of whole texts if letters is None."""
+    first = lambda n: F.col("text") if letters is None else F.substring("text", 1, n)
     t = table(spark, d, "benchmark")
     lang = F.when(F.col("item_id") % 3 == 0, "en").when(F.col("item_id") % 3 == 1, "hi").otherwise("bn")
-    changed = F.concat(F.replace(F.replace(F.substring("text", 1, 57), F.lit("the"), F.lit("thee")), F.lit("on"), F.lit("o")), F.lit("x"))
-    return t.select(F.col("item_id").alias("id"), lang.alias("lang"), F.substring("text", 1, 60).alias("reference"), F.when(F.col("item_id") % 5 == 0, "").otherwise(changed).alias("hypothesis"))
+    changed = F.concat(F.replace(F.replace(first((letters or 0) - 3), F.lit("the"), F.lit("thee")), F.lit("on"), F.lit("o")), F.lit("x"))
+    return t.select(F.col("item_id").alias("id"), lang.alias("lang"), first(letters).alias("reference"), F.when(F.col("item_id") % 5 == 0, "").otherwise(changed).alias("hypothesis"))
 
 
-def measured(spark, d):
-    return quality.pair_metrics(pairs(spark, d))
+def measured(spark, d, letters=60):
+    return quality.pair_metrics(pairs(spark, d, letters))
 
 
 def rounded(df):
@@ -100,8 +102,8 @@ def txt_ngrams(spark, d):
 
 
 @query(f"with {_PAIRS}, {_N} select id, {_distance(_CHARS.format('r'), _CHARS.format('h'))}::int as chars, {_distance(_WORDS.format('r'), _WORDS.format('h'))}::int as words from n")
-def txt_levenshtein(spark, d):
-    n = pairs(spark, d).withColumns({c: T.normalize(F.col(c), F.lit("en")) for c in ("reference", "hypothesis")})
+def txt_levenshtein(spark, d, letters=60):
+    n = pairs(spark, d, letters).withColumns({c: T.normalize(F.col(c), F.lit("en")) for c in ("reference", "hypothesis")})
     return n.select("id", F.levenshtein("reference", "hypothesis").alias("chars"), T.levenshtein_words(T.tokenize(F.col("reference")), T.tokenize(F.col("hypothesis"))).alias("words"))
 
 
@@ -228,9 +230,10 @@ _MIXED = "text[1:200] || case item_id % 3 when 0 then '' when 1 then ' खसर
 _EN = "(" + " + ".join(f"contains(lower(t), '{w}')::int" for w in lookups.LANGUAGE_KEYWORDS["en"]) + f") / {len(lookups.LANGUAGE_KEYWORDS['en'])}"
 
 
-def mixed(spark, d):
+def mixed(spark, d, letters=200):
+    """As _MIXED, of whole texts if letters is None."""
     tail = F.when(F.col("item_id") % 3 == 0, "").when(F.col("item_id") % 3 == 1, " खसरा नंबर मौजा है").otherwise(" খতিয়ান জমি")
-    return table(spark, d, "benchmark").select("item_id", F.concat(F.substring("text", 1, 200), tail).alias("t"))
+    return table(spark, d, "benchmark").select("item_id", F.concat(F.col("text") if letters is None else F.substring("text", 1, letters), tail).alias("t"))
 
 
 @query(f"select item_id, length(regexp_replace({_MIXED}, '{_COUNTS['Latin']}', '', 'g'))::int as latin, length(regexp_replace({_MIXED}, '{_COUNTS['Devanagari']}', '', 'g'))::int as devanagari from benchmark")
@@ -288,3 +291,87 @@ def lid_lang_dim(spark, d):
 def lid_groups(spark, d):
     groups = spark.createDataFrame(list(lookups.LANGUAGE_GROUPS.items()), "language_group string, languages array<string>")
     return groups.select("language_group", F.explode("languages").alias("language"))
+
+
+# the same over whole texts and all languages; SQL where DuckDB can follow, else tests compare with brute force
+
+_ALL_MIXED = _MIXED.replace("text[1:200]", "text")
+
+
+@query("select item_id, text || 'क' as bare, text || 'ं' as nasal from benchmark")
+def txt_normalize_indic_whole(spark, d):
+    bare, nasal = T.normalize_indic(F.concat("text", F.lit("क््")), F.lit("bn")), T.normalize_indic(F.concat("text", F.lit("ँ")), F.lit("hi"))
+    return table(spark, d, "benchmark").select("item_id", bare.alias("bare"), nasal.alias("nasal"))
+
+
+@query("select item_id, case when length(text) < 3 then text else array_to_string(list_transform(range(1, length(text) - 1), lambda i: substr(text, i, 3)), '|') end as grams from benchmark")
+def txt_ngrams_whole(spark, d):
+    return table(spark, d, "benchmark").select("item_id", F.array_join(T.ngrams(F.col("text"), 3), "|").alias("grams"))
+
+
+@query(None)
+def txt_levenshtein_whole(spark, d):
+    return txt_levenshtein(spark, d, None)
+
+
+@query(None)
+def txt_cer_whole(spark, d):
+    return rounded(measured(spark, d, None).select("id", "cer"))
+
+
+@query(None)
+def txt_wer_whole(spark, d):
+    return rounded(measured(spark, d, None).select("id", "wer"))
+
+
+@query(None)
+def txt_f1_whole(spark, d):
+    return rounded(measured(spark, d, None).select("id", "f1"))
+
+
+@query(None)
+def txt_similarity_whole(spark, d):
+    return pairs(spark, d, None).select("id", F.round(T.similarity(F.col("reference"), F.col("hypothesis")), 6).alias("similarity"))
+
+
+@query(None)
+def agg_metrics_whole(spark, d):
+    return rounded(measured(spark, d, None).agg(*quality.means()))
+
+
+@query(None)
+def agg_metrics_by_lang_whole(spark, d):
+    return rounded(quality.metrics_by(measured(spark, d, None), "lang")).orderBy("lang")
+
+
+@query(None)
+def agg_metrics_overall_whole(spark, d):
+    return rounded(quality.metrics_with_overall(measured(spark, d, None)))
+
+
+@query(None)
+def agg_metrics_by_model_whole(spark, d):
+    return rounded(quality.metrics_by(measured(spark, d, None).withColumn("model", F.col("id") % 2), "model"))
+
+
+@query(f"select item_id, length(regexp_replace({_ALL_MIXED}, '{_COUNTS['Latin']}', '', 'g'))::int as latin, length(regexp_replace({_ALL_MIXED}, '{_COUNTS['Devanagari']}', '', 'g'))::int as devanagari from benchmark")
+def lid_script_counts_whole(spark, d):
+    n = langid.script_counts(F.col("t"))
+    return mixed(spark, d, None).select("item_id", n["Latin"].alias("latin"), n["Devanagari"].alias("devanagari"))
+
+
+@query("select item_id, 'Latin' as script from benchmark")
+def lid_script_whole(spark, d):
+    return mixed(spark, d, None).select("item_id", langid.script(F.col("t")).alias("script"))
+
+
+@query(f"select item_id, 'en' as language, round(length(regexp_replace({_ALL_MIXED}, '{_COUNTS['Latin']}', '', 'g')) / length({_ALL_MIXED}), 6) as confidence from benchmark")
+def lid_by_script_whole(spark, d):
+    s = langid.by_script(F.col("t"))
+    return mixed(spark, d, None).select("item_id", s["language"].alias("language"), F.round(s["confidence"], 6).alias("confidence"))
+
+
+@query(f"select doc_id, case when {_EN} > 0 then 'en' else 'hi' end as language, round(case when {_EN} > 0 then 0.5 * ({_EN}) else 0.1 end, 6) as confidence from (select doc_id, text as t from documents)")
+def lid_by_keywords_whole(spark, d):
+    k = langid.by_keywords(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", k["language"].alias("language"), F.round(k["confidence"], 6).alias("confidence"))
