@@ -55,6 +55,16 @@ def jn_iou_pairs(spark, d):
     return overlapping_pairs(numbered, 0.3).select("image_id", "a", "b", F.round("iou", 6).alias("iou"))
 
 
+@query(f"""with r as (select l_orderkey as image_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as ord, {_BOX} from lineitem),
+p as (select a.image_id, a.ord as a, b.ord as b, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) as i,
+  (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) as areas from r a join r b on a.image_id = b.image_id and a.ord < b.ord)
+select image_id, a, b, round(i / (areas - i), 6) as iou from p where i > 0 and i / (areas - i) >= 0.3""")
+def jn_iou_pairs_whole(spark, d):
+    from parchment.operators.fusion import overlapping_pairs
+
+    return overlapping_pairs(predictions(spark, d), 0.3).select("image_id", "a", "b", F.round("iou", 6).alias("iou"))
+
+
 def predictions(spark, d):
     """Line items as predictions: four models, three texts."""
     place = F.row_number().over(W.partitionBy("image_id").orderBy("line", "l_partkey", "l_suppkey"))
@@ -224,6 +234,12 @@ def srt_newest_first(spark, d):
     return newest.select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), F.row_number().over(W.orderBy(F.col("ts").desc(), F.col("event_id").desc())).cast("long").alias("place"))
 
 
+@query("select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as at, row_number() over (order by ts desc, event_id desc) as place from events")
+def srt_newest_first_whole(spark, d):
+    placed = registry.newest_places(table(spark, d, "events"), "ts", "event_id")
+    return placed.select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "place")
+
+
 @query("select l_returnflag, round(avg(1 - l_discount), 6) as accuracy, row_number() over (order by round(avg(1 - l_discount), 6) desc, l_returnflag) as place from lineitem group by 1")
 def srt_accuracy_desc(spark, d):
     means = table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.avg(1 - F.col("l_discount")), 6).alias("accuracy"))
