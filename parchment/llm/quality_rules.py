@@ -9,9 +9,11 @@ from parchment.llm.common import SPACE_CLASS, count_words, let, saved, without,
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A line is above limits in a host if more documents of the host than MAX_DOCS, and more than MAX_SHARE of them, have it.
+#: A line is above limits in a host if more documents of the host than MAX_DOCS, and more than MAX_SHARE of them or than
+#: ALWAYS_DOCS, have it, so that the limit doesn't loosen with the size of the host.
 MAX_DOCS = 10
 MAX_SHARE = 0.02
+ALWAYS_DOCS = 100
 #: A document is depleted if less than this share of its words is left.
 MIN_LEFT = 0.5
 SYMBOLS = "#*$%&|<>"
@@ -54,13 +56,13 @@ def repeated_words(ws: Column) -> Column:
 
 def quality_rules(
     docs: DataFrame, text: str = "text", host: str = "source", min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT,
-    max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT,
+    max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT, always_docs: int = ALWAYS_DOCS,
 ) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_words_left, clean_text, kept.
 
     Lines are compared after normalisation, by a 64-bit hash. Documents of a host with equal texts count as one, so
     copies alone make no line frequent; they are left to deduplication. A null host is a host of its own. Lines above
-    both limits are removed. A document is kept if the base rules pass and at least min_left of its words are left.
+    the limits are removed. A document is kept if the base rules pass and at least min_left of its words are left.
     Null and empty texts have no words and fail the base rules. Each row is judged for itself, repeated rows alike.
     Columns of docs named like a result column are replaced.
 
@@ -82,7 +84,7 @@ def quality_rules(
         parts.groupBy("q_host", "line").agg(F.count(F.lit(1)).alias("n_with"))
         .where(F.col("n_with") > max_docs)
         .join(n_docs, "q_host")
-        .where(F.col("n_with") > max_share * F.col("n_docs"))
+        .where(F.col("n_with") > F.least(max_share * F.col("n_docs"), F.lit(float(always_docs))))
         .select("q_host", "line")
     )
     # parts has the words of all copies of a text together

@@ -41,6 +41,17 @@ def test_frequent_lines_go_and_depleted_documents_are_rejected(spark):
     assert all(got[30 + i]["kept"] for i in range(20))  # copies are one text
 
 
+def test_limit_does_not_grow_with_the_host(spark):
+    body = lambda i: " ".join(f"w{i}x{k}" for k in range(50))
+    notice = body("notice")
+    tail = lambda i: f"\n{notice}" if i < 101 else "\nseen in fewer" if i < 201 else ""
+    rows = [(i, f"{body(i) if i else ''}{tail(i)}", "large") for i in range(6000)]
+    got = {r["doc_id"]: r for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("doc_id < 300").collect()}
+    assert not got[0]["kept"] and not got[0]["base_failed"] and got[0]["n_words_left"] == 0  # nothing but the notice, in 101 of 6,000 documents
+    assert all(got[i]["clean_text"] == body(i) and got[i]["kept"] for i in range(1, 101))
+    assert all(got[i]["n_words_left"] == 53 for i in range(101, 201))
+
+
 def test_rules_on_edges(docs, empty):
     assert quality_rules(empty).count() == 0
     got = quality_rules(docs)
