@@ -2,9 +2,10 @@
 
 An n-gram with a count of 2^q to 2^(q+1) - 1 is in the filter under each level from the lowest stored one up to q, so the
 longest run of levels that the filter affirms gives back its level. The filter has SEGMENTS equal parts; an n-gram's
-bits all lie in the part that its hash names, so each part is made by one task from its own n-grams. Its size is what
-BITS_PER_ITEM asks for, MAX_FILTER_BITS at most; where that is too little, the lowest counts are not stored, and
-such n-grams count as unseen: bigrams first, words once no bigrams are left. Bigrams that occur once are never stored.
+bits all lie in the part that its hash names, so each part is made by one task from its own n-grams. Documents are
+scored in groups: the distinct n-grams of a group go to the parts that they lie in, and their levels come back, so all
+counts are stored and no task holds more than one part. Only build() makes one filter of all parts, which has to fit
+into MAX_FILTER_BITS and leaves out the lowest counts where that is too little; scoring doesn't use it.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,8 @@ LEVELS = 40
 MOST_FREQUENT = 1 << 22
 #: Weight of the bigram where its first word has been seen.
 BIGRAM_WEIGHT = 0.3
+#: Bytes of text whose distinct n-grams are looked up together.
+GROUP_BYTES = 4 << 20
 #: Distinct n-grams that a counting task holds before it passes them on.
 HELD_NGRAMS = 3_000_000
 
@@ -238,12 +242,16 @@ class Model:
         discounted share of all tokens; what discounting frees goes to unknown words."""
         words, back = np.unique(hashes, return_inverse=True)
         seen = self.estimate(words, WORD)
-        alone = np.where(seen > 0, np.maximum(seen - self.discount, 1e-9) / max(self.n, 1), self.unknown)[back]
-        joint, before = pairs(hashes, counts)
+        joint, _ = pairs(hashes, counts)
         two, back_two = np.unique(joint, return_inverse=True)
-        both = self.estimate(two, PAIR)[back_two]
+        return self.mixed(hashes, counts, seen[back], self.estimate(two, PAIR)[back_two])
+
+    def mixed(self, hashes: np.ndarray, counts: np.ndarray, seen: np.ndarray, both: np.ndarray) -> np.ndarray:
+        """As scores, from the estimated count of each token and of each token with the one before it."""
+        alone = np.where(seen > 0, np.maximum(seen - self.discount, 1e-9) / max(self.n, 1), self.unknown)
+        before = pairs(hashes, counts)[1]
         first = np.empty(len(hashes))
-        first[1:] = seen[back][:-1]
+        first[1:] = seen[:-1]
         first[before == START] = self.n_texts
         weight = np.where(first >= 2, BIGRAM_WEIGHT, 0.0)
         chance = weight * np.minimum(1.0, both / np.maximum(first, 1)) + (1 - weight) * alone
@@ -281,6 +289,108 @@ def build(counted: DataFrame, n_texts: int) -> Model:
     return Model(bits, made.ravel(), lowest, mean, n, n_texts, discount, max(rest, 1e-9) / n if n else 1.0)
 
 
+def unfiltered(counted: DataFrame, n_texts: int) -> Model:
+    """The model of counted n-grams without a filter; 80 sums go through the driver."""
+    types, times = _statistics(counted)
+    n, (once, twice) = int(times[WORD].sum()), (int(types[WORD, 0]), int(types[WORD, 1]))
+    discount = once / (once + 2 * twice) if once and twice else 0.5
+    unknown = max(discount * int(types[WORD].sum()), 1e-9) / n if n else 1.0
+    return Model(0, np.zeros(0, np.uint8), (0, 0), times / np.maximum(types, 1), n, n_texts, discount, unknown)
+
+
+class Part:
+    """The filter of one kind and segment, with all levels of its n-grams."""
+
+    def __init__(self, kind: int, segment: int, once: bytes, hashes: bytes, counts: bytes):
+        single = _unpack(once, kind, segment)
+        h = np.concatenate([single, _unpack(hashes, kind, segment)])
+        level = np.concatenate([np.zeros(len(single), np.int64), level_of(np.frombuffer(counts, "<u8").astype(np.int64))])
+        self.kind, self.top = kind, int(level.max(initial=-1))
+        self.bits = max(64, int((level + 1).sum()) * BITS_PER_ITEM)
+        self.set = np.zeros(self.bits, bool)
+        for l in range(self.top + 1):
+            for probe in range(PROBES):
+                self.set[_places(h[level >= l], kind, l, probe, self.bits)] = True
+
+    def levels(self, hashes: np.ndarray) -> np.ndarray:
+        """The level of each kept hash, -1 if it isn't there."""
+        level, alive = np.full(len(hashes), -1, np.int8), np.arange(len(hashes))
+        for l in range(self.top + 1):
+            for probe in range(PROBES):
+                alive = alive[self.set[_places(hashes[alive], self.kind, l, probe, self.bits)]]
+            level[alive] = l
+        return level
+
+
+def distinct_ngrams(hashes: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What is kept of the distinct words, then of the distinct bigrams, in order, and the place of each token's among them."""
+    for kind, found in ((WORD, hashes), (PAIR, pairs(hashes, counts)[0])):
+        yield np.unique(short(found, kind), return_inverse=True)
+
+
+def in_groups(ids: DataFrame) -> DataFrame:
+    """ids with g, which names a group of about GROUP_BYTES of text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g, size = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            names = []
+            for n in batch["text"].str.len():
+                g, size = (g + 1, 0) if size > GROUP_BYTES else (g, size)
+                size += n
+                names.append(g)
+            yield batch.assign(g=np.array(names, np.int64))
+
+    return ids.mapInPandas(run, "doc_id string, text string, held_out boolean, t long, g long")
+
+
+def look_up_levels(grouped_ids: DataFrame, counted: DataFrame) -> DataFrame:
+    """(g, kind, segment, levels): the level of each distinct n-gram of a group, in order, one byte each."""
+    columns = "kind int, segment int, g long, once binary, hashes binary, counts binary"
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def asked(g: int, texts: list[bytes]) -> pd.DataFrame:
+            rows = []
+            for kind, (distinct, _) in enumerate(distinct_ngrams(*tokens(texts))):
+                edges = np.searchsorted(_segment(distinct, kind), np.arange(SEGMENTS + 1)).tolist()
+                rows += [(kind, s, g, b"", _pack(distinct[a:b], kind), b"") for s, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if a < b]
+            return pd.DataFrame(rows, columns=names)
+
+        for g, some in of_groups(batches):
+            yield asked(g, [t.encode() for t in some["text"]])
+
+    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, part = None, None
+        for batch in batches:
+            rows = []
+            for kind, segment, g, once, hashes, counts in batch.itertuples(index=False, name=None):
+                if at != (kind, segment):
+                    at, part = (kind, segment), Part(kind, segment, *((once, hashes, counts) if g < 0 else (b"", b"", b"")))
+                if g >= 0:
+                    rows.append((g, kind, segment, part.levels(_unpack(hashes, kind, segment)).tobytes()))
+            yield pd.DataFrame(rows, columns=["g", "kind", "segment", "levels"])
+
+    stored = counted.select("kind", "segment", F.lit(-1).cast("long").alias("g"), "once", "hashes", "counts")
+    asked = grouped_ids.select("g", "text").repartition(shuffle_partitions(counted.sparkSession), "g").sortWithinPartitions("g").mapInPandas(ask, columns)
+    met = stored.unionByName(asked).repartition(shuffle_partitions(counted.sparkSession), "kind", "segment").sortWithinPartitions("kind", "segment", "g")
+    return met.mapInPandas(answer, "g long, kind int, segment int, levels binary")
+
+
+def of_groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame]]:
+    """The rows of each g of batches sorted by it."""
+    at, held = None, []
+    for batch in batches:
+        for g, some in batch.groupby("g", sort=True):
+            if g != at and held:
+                yield at, pd.concat(held, ignore_index=True)
+                held = []
+            at = g
+            held.append(some)
+    if held:
+        yield at, pd.concat(held, ignore_index=True)
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs (doc_id, text).
 
@@ -297,11 +407,11 @@ def score_documents(docs: DataFrame) -> DataFrame:
     counted = saved(count_ngrams(training))
     counts = saved(word_counts(counted))
     n_texts = training.select("doc_id").count()
-    model = build(counted, n_texts)
+    model = unfiltered(counted, n_texts)
     distinct = counts.count()
     frequent = counts.where(F.col("c") * MOST_FREQUENT > model.n).toPandas().sort_values("h")
     sent = spark.sparkContext.broadcast((model, frequent["h"].to_numpy(), np.log10(frequent["c"].to_numpy() + 1.0)))
-    ids = rows.withColumn("doc_id", F.col("doc_id").cast("string"))
+    ids = saved(in_groups(rows.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "held_out", "t")))
 
     def look_up(unique: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each hash is of a frequent word, and log10 of its count + 1."""
@@ -313,19 +423,18 @@ def score_documents(docs: DataFrame) -> DataFrame:
         return there, np.where(there, logs[at], 0.0)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            at = 0
-            for texts in grouped(t.encode() for t in batch["text"]):
-                hashes, lengths = tokens(texts)
-                unique, back = np.unique(hashes, return_inverse=True)
-                there, logs = look_up(unique)
-                first = np.cumsum(lengths) - lengths
-                some = batch.iloc[at : at + len(texts)]
-                yield pd.DataFrame({
-                    "doc_id": some["doc_id"].to_numpy(), "t": some["t"].to_numpy(), "held_out": some["held_out"].to_numpy(), "n_tokens": lengths,
-                    "frequent": np.add.reduceat(there[back].astype(np.int64), first), "logs": np.add.reduceat(logs[back], first), "score": sent.value[0].scores(hashes, lengths),
-                })
-                at += len(texts)
+        for _, group in of_groups(batches):
+            some = group[group["kind"] > PAIR]
+            hashes, lengths = tokens([t.encode() for t in some["text"]])
+            unique, back = np.unique(hashes, return_inverse=True)
+            there, logs = look_up(unique)
+            first = np.cumsum(lengths) - lengths
+            levels = [np.frombuffer(b"".join(group["levels"][group["kind"] == kind]), np.int8) for kind in (WORD, PAIR)]
+            seen, both = (np.where(l >= 0, sent.value[0].mean[kind][l], 0.0)[b] for kind, (l, (_, b)) in enumerate(zip(levels, distinct_ngrams(hashes, lengths))))
+            yield pd.DataFrame({
+                "doc_id": some["doc_id"].to_numpy(), "t": some["t"].astype("int64").to_numpy(), "held_out": some["held_out"].to_numpy().astype(bool), "n_tokens": lengths,
+                "frequent": np.add.reduceat(there[back].astype(np.int64), first), "logs": np.add.reduceat(logs[back], first), "score": sent.value[0].mixed(hashes, lengths, seen, both),
+            })
 
     def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The words of each text that aren't frequent, and how often it has them; and a row without a word for the text."""
@@ -343,7 +452,10 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"doc_id": some["doc_id"].to_numpy()[owner], "t": some["t"].to_numpy()[owner], "h": pd.array(unique[word].view(np.int64), "Int64"), "times": times, "texts": 0})
                 at += len(texts)
 
-    scored = ids.select("doc_id", "text", "held_out", "t").mapInPandas(score, "doc_id string, t long, held_out boolean, n_tokens long, frequent long, logs double, score double")
+    texts = ids.withColumns({"kind": F.lit(2), "segment": F.lit(0), "levels": F.lit(None).cast("binary"), "t": F.col("t").cast("string")})
+    levels = look_up_levels(ids, counted)
+    both = texts.unionByName(levels, allowMissingColumns=True).repartition(shuffle_partitions(spark), "g").sortWithinPartitions("g", "kind", "segment")
+    scored = both.mapInPandas(score, "doc_id string, t long, held_out boolean, n_tokens long, frequent long, logs double, score double")
     rare = ids.select("doc_id", "text", "t").mapInPandas(others, "doc_id string, t long, h long, times long, texts int")
     known = rare.join(counts, "h", "left").groupBy("doc_id", "t").agg(
         F.coalesce(F.sum(F.col("times") * F.log10(F.col("c") + 1)), F.lit(0.0)).alias("rare_logs"), F.coalesce(F.sum(F.when(F.col("c") > 0, F.col("times"))), F.lit(0)).alias("rare_known"), F.sum("texts").alias("texts")

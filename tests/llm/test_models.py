@@ -78,6 +78,38 @@ def test_a_full_filter_drops_the_rarest_first(monkeypatch):
     assert lm.lowest_levels(types)[0] == 1
 
 
+def test_no_count_is_dropped(spark, monkeypatch):
+    """A model of exact counts, a bigram seen once among them, gives the same scores whatever the size of a filter."""
+    monkeypatch.setattr(lm, "MAX_FILTER_BITS", 8 * lm.BITS_PER_ITEM)
+    monkeypatch.setattr(lm, "GROUP_BYTES", 40, raising=False)
+    texts = ["b c a x y x", "a b", "c d e f a b", "g h a b", "", "a b c unknown", "x y b c", "a b"] * 2
+    rows = [(i, t) for i, t in enumerate(texts)]
+    words, two = Counter(), Counter()
+    learnt = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    for i in learnt:
+        own = [*texts[i].split(), "<end>"]
+        words.update(own)
+        two.update(zip(["<start>", *own], own))
+    mean = lambda counts, x: (lambda same: sum(same) / len(same))([c for c in counts.values() if int(math.log2(c)) == int(math.log2(counts[x]))]) if counts[x] else 0.0
+    n, once, twice = words.total(), sum(c == 1 for c in words.values()), sum(1 < c < 4 for c in words.values())
+    discount = once / (once + 2 * twice)
+    assert 1 in two.values()
+
+    def expected(text):
+        before, total = "<start>", 0.0
+        for w in [*text.split(), "<end>"]:
+            seen, first = mean(words, w), len(learnt) if before == "<start>" else mean(words, before)
+            alone = (seen - discount) / n if seen else discount * len(words) / n
+            weight = lm.BIGRAM_WEIGHT if first >= 2 else 0.0
+            total += math.log10(weight * min(1.0, mean(two, (before, w)) / max(first, 1)) + (1 - weight) * alone)
+            before = w
+        return total
+
+    got = {r["doc_id"]: r["score"] for r in lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    exact = [i for i, t in rows if got[i] == pytest.approx(expected(t))]
+    assert len(got) == len(rows) and len(exact) >= len(rows) - 4  # a false positive raises a level
+
+
 def labelled(spark):
     good = [f"The {i} quick words of plain prose run on and on, as sentences do in text number {i}." for i in range(120)]
     bad = [f"BUY!!! NOW!!! CHEAP{i}!!! ###{i}### $$$ CLICK!!! HERE!!!" for i in range(120)]
