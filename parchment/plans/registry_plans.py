@@ -296,9 +296,7 @@ def flt_image_mime(spark, d):
 
 @query("select l_orderkey as image_id, list_sort(list(l_linenumber))[1]::int as first_line, count(*) as n from lineitem where 1 - l_discount >= 0.95 group by 1")
 def flt_conf_threshold(spark, d):
-    whole = regions(spark, d).groupBy("image_id").agg(F.collect_list(F.struct("line", "confidence")).alias("r"))
-    kept = whole.withColumn("r", F.filter("r", lambda x: x["confidence"] >= 0.95)).where(F.size("r") > 0)
-    return kept.select("image_id", F.array_min(F.transform("r", lambda x: x["line"])).alias("first_line"), F.size("r").cast("long").alias("n"))
+    return regions(spark, d).where("confidence >= 0.95").groupBy("image_id").agg(F.min("line").alias("first_line"), F.count(F.lit(1)).alias("n"))
 
 
 @query("select conv_id, string_agg(role, ' ' order by turn) as texts from conversations where role = 'user' group by conv_id")

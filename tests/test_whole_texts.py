@@ -1,5 +1,6 @@
 """Queries over whole texts, of more letters and symbols than their prefixes have, against brute force."""
 
+import os
 import random
 from collections import Counter
 
@@ -7,6 +8,7 @@ import pytest
 
 from parchment import catalog
 from tests.test_functions import plain_distance
+from tests.test_queries import SF_DIR
 
 r = random.Random(3)
 TEXTS = [" ".join("".join(chr(r.choice((0x100, 0x4E00)) + r.randrange(120)) for _ in range(r.randint(1, 4))) + r.choice(("the", "on", "")) for _ in range(n)) for n in (5, 60, 150, 300, 90, 41)]
@@ -76,3 +78,9 @@ def test_no_line_item_or_event_is_left_out(spark, tmp_path):
     frame.selectExpr("event_id", "timestamp_seconds(s) as ts").write.parquet(f"{tmp_path}/events.parquet")
     places = {p["event_id"]: p["place"] for p in catalog.queries()["srt_newest_first_whole"](spark, str(tmp_path)).collect()}
     assert places == {i: n for n, i in enumerate([*sorted(seconds, key=lambda i: (-seconds[i], -i)), 500], 1)}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="the tables are not here")
+@pytest.mark.parametrize("name", ["rank_match_index", "agg_record_conf", "flt_conf_threshold"])
+def test_groups_are_not_collected(spark, name):
+    assert "collect_list" not in catalog.queries()[name](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
