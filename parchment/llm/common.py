@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -36,10 +37,13 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one where the session names none (tests)."""
+    """A new folder below spark.checkpoint.dir; a temporary one where a session on one machine names none (tests)."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="parchment-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="parchment-"))
     return f"{sc.getCheckpointDir().rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -52,3 +56,8 @@ def saved(df: DataFrame) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def partitions_for(spark: SparkSession, size: int, each: int = 48 << 20) -> int:
+    """How many partitions a shuffle of so many bytes takes: each of a bounded size, and not fewer than the session has."""
+    return max(shuffle_partitions(spark), math.ceil(size / each))

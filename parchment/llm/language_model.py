@@ -1,11 +1,11 @@
-"""LM scoring: quantised n-gram counts in a log-frequency Bloom filter, and the exact add-one base score.
-
-An n-gram with a count of 2^q to 2^(q+1) - 1 is in the filter under each level from the lowest stored one up to q, so the
-longest run of levels that the filter affirms gives back its level. The filter has SEGMENTS equal parts; an n-gram's
-bits all lie in the part that its hash names, so each part is made by one task from its own n-grams. Documents are
-scored in groups: the distinct n-grams of a group go to the parts that they lie in, and their levels come back, so all
-counts are stored and no task holds more than one part. Only build() makes one filter of all parts, which has to fit
-into MAX_FILTER_BITS and leaves out the lowest counts where that is too little; scoring doesn't use it.
+"""LM scoring: quantised n-gram counts in log-frequency Bloom filters, and the exact add-one base score.
+
+Counts are quantised to levels that begin at STARTS. An n-gram of level q is in the filter under each level up to q, so
+the longest run of levels that the filter affirms gives its level back. The whole filter grows with the corpus, so it
+isn't broadcast: it has as many segments as the corpus needs, each built and probed by one task. Texts are scored in
+chunks. The distinct n-grams of a chunk go to the segments that their hashes name, together with how often the chunk's
+training texts have them, so one shuffle serves counting and asking; the levels come back in the order of the hashes.
+No count is left out at any size.
 """
 
 from __future__ import annotations
@@ -15,34 +15,37 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parchment.llm.common import saved, shuffle_partitions
+from parchment.llm.common import partitions_for, saved
 from parchment.llm.hashing import grouped, mix, word_hashes
 
 HOLD_OUT, HELD = 7, 2
-SEGMENTS = 256
 BITS_PER_ITEM = 12
-MAX_FILTER_BITS = 1 << 29
 PROBES = 6
-LEVELS = 40
-#: Words with more than one in MOST_FREQUENT of all tokens, of which there are fewer than that, are sent to all tasks.
-MOST_FREQUENT = 1 << 22
-#: Weight of the bigram where its first word has been seen.
-BIGRAM_WEIGHT = 0.3
-#: Bytes of text whose distinct n-grams are looked up together.
-GROUP_BYTES = 4 << 20
-#: Distinct n-grams that a counting task holds before it passes them on.
-HELD_NGRAMS = 3_000_000
-
-WORD, PAIR = 0, 1
+#: The least count of each level: 1, 2, 3, 4, 6, 8, 12, ...
+STARTS = np.array(sorted({1} | {2**k for k in range(1, 45)} | {3 * 2**k for k in range(44)}), np.int64)
+LEVELS = len(STARTS)
+#: Weights of the bigram from which leave-one-out chooses one.
+WEIGHTS = (0.0, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
+#: Bytes of text that are scored together.
+CHUNK_BYTES = 8 << 20
+#: Bytes of text for each segment of the filter, of which there are LEAST_SEGMENTS at least.
+SEGMENT_BYTES = 24 << 20
+LEAST_SEGMENTS = 256
+
+WORD, PAIR, TEXTS = 0, 1, 2
 END = np.uint64(0xE5D00000000000E5)
 START = np.uint64(0x57A7000000000057)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SALT = (np.uint64(0x1B873593CC9E2D51), np.uint64(0x2545F4914F6CDD1D))
-COUNT_SCHEMA = "kind int, segment int, once binary, hashes binary, counts binary"
+CHUNK_SCHEMA = "g long, size long, doc_ids array<string>, held array<boolean>, lengths array<int>, texts binary"
+ASK_SCHEMA = "kind int, segment int, g long, hashes binary, counts binary, large binary"
+ANSWER_SCHEMA = "g long, kind int, segment int, levels binary, counts binary, large binary"
+SCORE_SCHEMA = "doc_id string, held_out boolean, n_tokens long, n_known long, logs double, scores array<double>, left_out array<double>"
 
 
 def held_out(key: Column) -> Column:
@@ -51,22 +54,17 @@ def held_out(key: Column) -> Column:
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each text's words, A-Z lower-cased, and of its end; and how many tokens each text has."""
-    hashes, counts = word_hashes([t.lower() for t in texts])
-    return np.insert(hashes, np.cumsum(counts), END), counts + 1
+    parts = [word_hashes([t.lower() for t in some]) for some in grouped(texts)]
+    counts = np.concatenate([np.zeros(0, np.int64), *[c for _, c in parts]])
+    return np.insert(np.concatenate([np.zeros(0, np.uint64), *[h for h, _ in parts]]), np.cumsum(counts), END), counts + 1
 
 
 def pairs(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each token with the one before it, and the one before it; the first token of a text follows START."""
-    before = np.roll(hashes, 1)
-    before[np.cumsum(counts) - counts] = START
-    return mix(before * _ODD + hashes), before
-
-
-def summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(hashes, kind="stable")
-    hashes, counts = hashes[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
-    return hashes[first], np.add.reduceat(counts, first) if len(first) else counts
+    """Hash of each token with the one before it, and whether it is the first of its text, which follows START."""
+    before, first = np.roll(hashes, 1), np.zeros(len(hashes), bool)
+    first[np.cumsum(counts) - counts] = True
+    before[first] = START
+    return mix(before * _ODD + hashes), first
 
 
 def short(hashes: np.ndarray, kind: int) -> np.ndarray:
@@ -74,395 +72,299 @@ def short(hashes: np.ndarray, kind: int) -> np.ndarray:
     return hashes if kind == WORD else hashes >> np.uint64(16)
 
 
+def distinct_ngrams(hashes: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What is kept of the distinct words, then of the distinct bigrams, in order, and the place of each token's among them."""
+    for kind, found in ((WORD, hashes), (PAIR, pairs(hashes, counts)[0])):
+        yield np.unique(short(found, kind), return_inverse=True)
+
+
+def _segment(hashes: np.ndarray, kind: int, segments: int) -> np.ndarray:
+    bits = segments.bit_length() - 1
+    return (hashes >> np.uint64((64 if kind == WORD else 48) - bits)).astype(np.int64)
+
+
 def _pack(hashes: np.ndarray, kind: int) -> bytes:
-    """Without the eight bits that the segment has: 8 bytes for words, 5 for bigrams."""
+    """8 bytes for words; 5 for bigrams, without the upper eight bits, which the segment has."""
     return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : 8 if kind == WORD else 5].tobytes()
 
 
-def _unpack(data: bytes, kind: int, segment: int) -> np.ndarray:
+def _unpack(data: bytes, kind: int, segment: int, segments: int) -> np.ndarray:
     if kind == WORD:
         return np.frombuffer(data, "<u8")
     wide = np.zeros((len(data) // 5, 8), np.uint8)
     wide[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    wide[:, 5] = segment
+    wide[:, 5] = segment * LEAST_SEGMENTS // segments
     return wide.view("<u8").ravel()
 
 
-def _segment(hashes: np.ndarray, kind: int) -> np.ndarray:
-    return (hashes >> np.uint64(56 if kind == WORD else 40)).astype(np.int64)
+def _pack_counts(counts: np.ndarray) -> tuple[bytes, bytes]:
+    """A byte for each count, and eight for each of those that a byte can't hold."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes(), counts[counts >= 255].astype("<i8").tobytes()
 
 
-def _rows(kind: int, hashes: np.ndarray, counts: np.ndarray) -> Iterator[tuple]:
-    """A row for each segment of sorted hashes."""
-    edges = np.searchsorted(_segment(hashes, kind), np.arange(SEGMENTS + 1))
-    for segment, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
-        if a < b:
-            once = counts[a:b] == 1
-            yield kind, segment, _pack(hashes[a:b][once], kind), _pack(hashes[a:b][~once], kind), counts[a:b][~once].astype("<u8").tobytes()
+def _unpack_counts(small: bytes, large: bytes) -> np.ndarray:
+    counts = np.frombuffer(small, np.uint8).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(large, "<i8")
+    return counts
 
 
-def count_ngrams(docs: DataFrame) -> DataFrame:
-    """COUNT_SCHEMA: counts of all words and bigrams of the texts of docs, a row for each kind and segment.
+def level_of(counts: np.ndarray) -> np.ndarray:
+    """The level of each count, -1 for 0."""
+    return np.searchsorted(STARTS, counts, "right") - 1
 
-    Each task sums what it reads and passes on packed parts of the sums, one a segment; those are summed again by segment.
-    """
-    names = [c.split()[0] for c in COUNT_SCHEMA.split(", ")]
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = {WORD: [], PAIR: []}
+class Filter:
+    """A log-frequency Bloom filter of some n-grams of one kind."""
 
-        def flush(kind: int) -> pd.DataFrame:
-            hashes, counts = summed(np.concatenate([h for h, _ in held[kind]]), np.concatenate([c for _, c in held[kind]]))
-            held[kind] = []
-            return pd.DataFrame(list(_rows(kind, hashes, counts)), columns=names)
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, kind: int):
+        level = level_of(counts)
+        self.kind, self.top = kind, int(level.max(initial=-1))
+        self.bits = max(64, int((level + 1).sum()) * BITS_PER_ITEM)
+        self.set = np.zeros(self.bits, bool)
+        for l in range(self.top + 1):
+            for at in self._places(hashes[level >= l], l):
+                self.set[at] = True
 
-        for batch in batches:
-            for texts in grouped(t.encode() for t in batch["text"]):
-                words, lengths = tokens(texts)
-                for kind, found in ((WORD, words), (PAIR, short(pairs(words, lengths)[0], PAIR))):
-                    hashes, counts = np.unique(found, return_counts=True)
-                    held[kind].append((hashes, counts.astype(np.int64)))
-                    if sum(len(h) for h, _ in held[kind]) > HELD_NGRAMS:
-                        yield flush(kind)
-        for kind in (WORD, PAIR):
-            if held[kind]:
-                yield flush(kind)
-
-    def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, held = None, []
+    def _places(self, hashes: np.ndarray, level: int) -> Iterator[np.ndarray]:
+        x = mix((hashes ^ _SALT[self.kind]) + np.array([level + 1], np.uint64) * _ODD)
+        step = mix(x) | np.uint64(1)
+        for _ in range(PROBES):
+            yield x % np.uint64(self.bits)
+            x = x + step
+
+    def levels(self, hashes: np.ndarray) -> np.ndarray:
+        """The level of each hash as far as the filter tells, -1 if it isn't there."""
+        level, alive = np.full(len(hashes), -1, np.int8), np.arange(len(hashes))
+        for l in range(self.top + 1):
+            there = np.ones(len(alive), bool)
+            for at in self._places(hashes[alive], l):
+                there &= self.set[at]
+            alive = alive[there]
+            level[alive] = l
+        return level
+
+
+def chunked(rows: DataFrame) -> DataFrame:
+    """CHUNK_SCHEMA: the rows (doc_id, text, held_out) in chunks of about CHUNK_BYTES of compressed text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g, ids, held, texts, size = TaskContext.get().partitionId() << 32, [], [], [], 0
 
         def flush() -> pd.DataFrame:
-            hashes, counts = summed(np.concatenate([h for h, _ in held]), np.concatenate([c for _, c in held]))
-            return pd.DataFrame(list(_rows(at[0], hashes, counts)), columns=names)
+            data = zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
+            return pd.DataFrame({"g": [g], "size": [size], "doc_ids": [ids], "held": [held], "lengths": [[len(t) for t in texts]], "texts": [data]})
 
         for batch in batches:
-            for kind, segment, once, hashes, counts in batch.itertuples(index=False, name=None):
-                if at != (kind, segment):
-                    if held:
-                        yield flush()
-                    at, held = (kind, segment), []
-                single = _unpack(once, kind, segment)
-                held += [(single, np.ones(len(single), np.int64)), (_unpack(hashes, kind, segment), np.frombuffer(counts, "<u8").astype(np.int64))]
-        if held:
+            for doc_id, text, out in zip(batch["doc_id"], batch["text"], batch["held_out"]):
+                text = text.encode()
+                if texts and size + len(text) > CHUNK_BYTES:
+                    yield flush()
+                    g, ids, held, texts, size = g + 1, [], [], [], 0
+                ids.append(doc_id)
+                held.append(bool(out))
+                texts.append(text)
+                size += len(text)
+        if texts:
             yield flush()
 
-    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    parts = texts.mapInPandas(partial, COUNT_SCHEMA)
-    met = parts.repartition(shuffle_partitions(docs.sparkSession), "kind", "segment").sortWithinPartitions("kind", "segment")
-    return met.mapInPandas(total, COUNT_SCHEMA)
+    return rows.select("doc_id", "text", "held_out").mapInPandas(run, CHUNK_SCHEMA)
+
 
+def texts_of(lengths: np.ndarray, data: bytes) -> list[bytes]:
+    whole = zstandard.ZstdDecompressor().decompress(data)
+    ends = np.cumsum(lengths).tolist()
+    return [whole[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
-def word_counts(counted: DataFrame) -> DataFrame:
-    """(h, c) of each word."""
+
+def ask(chunks: DataFrame, segments: int) -> DataFrame:
+    """ASK_SCHEMA: the distinct n-grams of each chunk by kind and segment, with their counts in its training texts."""
+    names = [c.split()[0] for c in ASK_SCHEMA.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for segment, once, hashes, counts in batch.itertuples(index=False, name=None):
-                single = _unpack(once, WORD, segment)
-                h = np.concatenate([single, _unpack(hashes, WORD, segment)])
-                yield pd.DataFrame({"h": h.view(np.int64), "c": np.concatenate([np.ones(len(single), np.int64), np.frombuffer(counts, "<u8").astype(np.int64)])})
-
-    return counted.where(F.col("kind") == WORD).select("segment", "once", "hashes", "counts").mapInPandas(run, "h long, c long")
+            for g, held, lengths, data in batch.itertuples(index=False, name=None):
+                hashes, n_tokens = tokens(texts_of(lengths, data))
+                learnt, rows = np.repeat(~np.asarray(held, bool), n_tokens), []
+                for kind, (distinct, back) in enumerate(distinct_ngrams(hashes, n_tokens)):
+                    counts = np.bincount(back[learnt], minlength=len(distinct))
+                    edges = np.flatnonzero(np.diff(_segment(distinct, kind, segments), prepend=-1))
+                    for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(distinct)]):
+                        rows.append((kind, int(_segment(distinct[a : a + 1], kind, segments)[0]), g, _pack(distinct[a:b], kind), *_pack_counts(counts[a:b])))
+                yield pd.DataFrame(rows, columns=names)
+
+    return chunks.select("g", "held", "lengths", "texts").mapInPandas(run, ASK_SCHEMA)
+
+
+def answer(asked: DataFrame, segments: int) -> DataFrame:
+    """ANSWER_SCHEMA: for each row of asked, in the order of its hashes, the levels that the segment's filter tells, and the
+    exact counts of words; and for each segment a row without g: how many n-grams of each level there are, and how often
+    they occur together. asked has all rows of a kind and segment side by side."""
+    names = [c.split()[0] for c in ANSWER_SCHEMA.split(", ")]
+
+    def flush(kind: int, segment: int, rows: list[tuple]) -> pd.DataFrame:
+        hashes = np.concatenate([_unpack(h, kind, segment, segments) for _, h, _, _ in rows])
+        counts = np.concatenate([_unpack_counts(c, large) for _, _, c, large in rows])
+        order = np.argsort(hashes)
+        first = np.diff(hashes[order], prepend=~hashes[order[:1]]) != 0
+        distinct, total = hashes[order[first]], np.add.reduceat(counts[order], np.flatnonzero(first))
+        back = np.empty(len(hashes), np.int64)
+        back[order] = np.cumsum(first) - 1
+        levels, total_of = Filter(distinct, total, kind).levels(distinct)[back], total[back]
+        out, at = [], 0
+        for g, _, c, _ in rows:
+            own = slice(at, at + len(c))
+            out.append((g, kind, segment, levels[own].tobytes(), *(_pack_counts(total_of[own]) if kind == WORD else (b"", b""))))
+            at += len(c)
+        true = level_of(total[total > 0])
+        times = np.bincount(true, total[total > 0], LEVELS).astype("<i8")
+        out.append((None, kind, segment, b"", np.bincount(true, minlength=LEVELS).astype("<i8").tobytes(), times.tobytes()))
+        return pd.DataFrame(out, columns=names).astype({"g": "Int64"})
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, []
+        for batch in batches:
+            for kind, segment, g, hashes, counts, large in batch.itertuples(index=False, name=None):
+                if at != (kind, segment):
+                    if held:
+                        yield flush(*at, held)
+                    at, held = (kind, segment), []
+                held.append((g, hashes, counts, large))
+        if held:
+            yield flush(*at, held)
 
-def level_of(counts: np.ndarray) -> np.ndarray:
-    return np.frexp(counts.astype(np.float64))[1].astype(np.int64) - 1
+    return asked.mapInPandas(run, ANSWER_SCHEMA)
 
 
-def _statistics(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def statistics(answers: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """How many n-grams of each kind and level there are, and how often they occur together."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         types, times = np.zeros((2, LEVELS), np.int64), np.zeros((2, LEVELS), np.int64)
         for batch in batches:
-            for kind, once, counts in batch.itertuples(index=False, name=None):
-                n, c = len(once) // (8 if kind == WORD else 5), np.frombuffer(counts, "<u8").astype(np.int64)
-                types[kind] += np.bincount(level_of(c), minlength=LEVELS)
-                times[kind] += np.bincount(level_of(c), c, minlength=LEVELS).astype(np.int64)
-                types[kind, 0] += n
-                times[kind, 0] += n
+            for kind, counts, large in batch.itertuples(index=False, name=None):
+                types[kind] += np.frombuffer(counts, "<i8")
+                times[kind] += np.frombuffer(large, "<i8")
         yield pd.DataFrame({"kind": np.repeat([0, 1], LEVELS), "level": np.tile(np.arange(LEVELS), 2), "types": types.ravel(), "times": times.ravel()})
 
-    rows = counted.select("kind", "once", "counts").mapInPandas(run, "kind int, level int, types long, times long")
+    rows = answers.where("g is null").select("kind", "counts", "large").mapInPandas(run, "kind int, level int, types long, times long")
     types, times = np.zeros((2, LEVELS), np.int64), np.zeros((2, LEVELS), np.int64)
-    for r in rows.groupBy("kind", "level").agg(F.sum("types").alias("types"), F.sum("times").alias("times")).collect():
+    for r in rows.groupBy("kind", "level").agg(F.sum("types").alias("types"), F.sum("times").alias("times")).where("types > 0").collect():
         types[r["kind"], r["level"]], times[r["kind"], r["level"]] = r["types"], r["times"]
     return types, times
 
 
-def _items(types: np.ndarray, lowest: int) -> int:
-    """Entries of n-grams whose levels are stored from `lowest` on."""
-    return int(sum(n * (level - lowest + 1) for level, n in enumerate(types.tolist()) if level >= lowest))
-
-
-def lowest_levels(types: np.ndarray) -> tuple[int, int]:
-    """The lowest levels of words and of bigrams that the largest filter can hold."""
-    for words in range(LEVELS):
-        for two in range(1, LEVELS + 1):
-            if (_items(types[WORD], words) + _items(types[PAIR], two)) * BITS_PER_ITEM <= MAX_FILTER_BITS:
-                return words, two
-    return LEVELS, LEVELS
-
-
-def _places(hashes: np.ndarray, kind: int, level: int, probe: int, bits: int) -> np.ndarray:
-    """The bit of a probe in the hash's segment."""
-    x = mix((hashes ^ _SALT[kind]) + np.array([level + 1], np.uint64) * _ODD)
-    step = mix(x) | np.uint64(1)
-    return (x + np.array([probe], np.uint64) * step) % np.uint64(bits)
-
-
 @dataclass
 class Model:
-    bits: int
-    filter: np.ndarray
-    lowest: tuple[int, int]
-    #: Mean count of the n-grams of each kind and level.
+    """Chances from levels. A word has its discounted share of all tokens; what discounting frees is shared evenly by as
+    many unseen words as there seem to be. A bigram's share is its level's least count over the most that its first word's
+    level allows, so the shares of a first word sum to one at most; it is mixed with the chance of the word alone. But
+    for false positives of the filter, all words and unseen words together have a chance of one at most."""
+
+    #: How often a word of each level occurs on average.
     mean: np.ndarray
     n: int
+    n_words: int
     n_texts: int
     discount: float
-    unknown: float
-
-    def estimate(self, hashes: np.ndarray, kind: int) -> np.ndarray:
-        """The count of each hash as far as the filter tells: the mean of its level, 0 if it isn't there."""
-        hashes = short(hashes, kind)
-        level, alive = np.full(len(hashes), -1), np.arange(len(hashes))
-        base = _segment(hashes, kind).astype(np.uint64) * np.uint64(self.bits)
-        for l in range(self.lowest[kind], LEVELS):
-            for probe in range(PROBES):
-                at = base[alive] + _places(hashes[alive], kind, l, probe, self.bits)
-                alive = alive[(self.filter[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
-            level[alive] = l
-            if not len(alive):
-                break
-        return np.where(level >= 0, self.mean[kind][level], 0.0)
-
-    def scores(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """log10 probability of each text: the bigram's share of its first word's count, mixed with the word's own
-        discounted share of all tokens; what discounting frees goes to unknown words."""
-        words, back = np.unique(hashes, return_inverse=True)
-        seen = self.estimate(words, WORD)
-        joint, _ = pairs(hashes, counts)
-        two, back_two = np.unique(joint, return_inverse=True)
-        return self.mixed(hashes, counts, seen[back], self.estimate(two, PAIR)[back_two])
-
-    def mixed(self, hashes: np.ndarray, counts: np.ndarray, seen: np.ndarray, both: np.ndarray) -> np.ndarray:
-        """As scores, from the estimated count of each token and of each token with the one before it."""
-        alone = np.where(seen > 0, np.maximum(seen - self.discount, 1e-9) / max(self.n, 1), self.unknown)
-        before = pairs(hashes, counts)[1]
-        first = np.empty(len(hashes))
-        first[1:] = seen[:-1]
-        first[before == START] = self.n_texts
-        weight = np.where(first >= 2, BIGRAM_WEIGHT, 0.0)
-        chance = weight * np.minimum(1.0, both / np.maximum(first, 1)) + (1 - weight) * alone
-        return np.add.reduceat(np.log10(chance), np.cumsum(counts) - counts)
-
-
-def build(counted: DataFrame, n_texts: int) -> Model:
-    """The model of counted n-grams; only the filter, of a bounded size, and 80 sums go through the driver."""
-    types, times = _statistics(counted)
-    lowest = lowest_levels(types)
-    items = _items(types[WORD], lowest[WORD]) + _items(types[PAIR], lowest[PAIR])
-    bits = max(64, min(MAX_FILTER_BITS, items * BITS_PER_ITEM) // SEGMENTS // 8 * 8 + 64)
-
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for kind, segment, once, hashes, counts in batch.itertuples(index=False, name=None):
-                single = _unpack(once, kind, segment)
-                h = np.concatenate([single, _unpack(hashes, kind, segment)])
-                level = np.concatenate([np.zeros(len(single), np.int64), level_of(np.frombuffer(counts, "<u8").astype(np.int64))])
-                out = np.zeros(bits, bool)
-                for l in range(lowest[kind], int(level.max(initial=-1)) + 1):
-                    of_level = h[level >= l]
-                    for probe in range(PROBES):
-                        out[_places(of_level, kind, l, probe, bits)] = True
-                yield pd.DataFrame({"segment": [segment], "part": [np.packbits(out, bitorder="little").tobytes()]})
-
-    made = np.zeros(SEGMENTS * bits // 8, np.uint8).reshape(SEGMENTS, bits // 8)
-    for row in counted.mapInPandas(part, "segment int, part binary").toLocalIterator():
-        made[row["segment"]] |= np.frombuffer(row["part"], np.uint8)
-    n, (once, twice) = int(times[WORD].sum()), (int(types[WORD, 0]), int(types[WORD, 1]))
-    discount = once / (once + 2 * twice) if once and twice else 0.5
-    kept = slice(lowest[WORD], None)
-    rest = n - int(times[WORD, kept].sum()) + discount * int(types[WORD, kept].sum())
-    mean = times / np.maximum(types, 1)
-    return Model(bits, made.ravel(), lowest, mean, n, n_texts, discount, max(rest, 1e-9) / n if n else 1.0)
-
-
-def unfiltered(counted: DataFrame, n_texts: int) -> Model:
-    """The model of counted n-grams without a filter; 80 sums go through the driver."""
-    types, times = _statistics(counted)
-    n, (once, twice) = int(times[WORD].sum()), (int(types[WORD, 0]), int(types[WORD, 1]))
-    discount = once / (once + 2 * twice) if once and twice else 0.5
-    unknown = max(discount * int(types[WORD].sum()), 1e-9) / n if n else 1.0
-    return Model(0, np.zeros(0, np.uint8), (0, 0), times / np.maximum(types, 1), n, n_texts, discount, unknown)
-
-
-class Part:
-    """The filter of one kind and segment, with all levels of its n-grams."""
-
-    def __init__(self, kind: int, segment: int, once: bytes, hashes: bytes, counts: bytes):
-        single = _unpack(once, kind, segment)
-        h = np.concatenate([single, _unpack(hashes, kind, segment)])
-        level = np.concatenate([np.zeros(len(single), np.int64), level_of(np.frombuffer(counts, "<u8").astype(np.int64))])
-        self.kind, self.top = kind, int(level.max(initial=-1))
-        self.bits = max(64, int((level + 1).sum()) * BITS_PER_ITEM)
-        self.set = np.zeros(self.bits, bool)
-        for l in range(self.top + 1):
-            for probe in range(PROBES):
-                self.set[_places(h[level >= l], kind, l, probe, self.bits)] = True
-
-    def levels(self, hashes: np.ndarray) -> np.ndarray:
-        """The level of each kept hash, -1 if it isn't there."""
-        level, alive = np.full(len(hashes), -1, np.int8), np.arange(len(hashes))
-        for l in range(self.top + 1):
-            for probe in range(PROBES):
-                alive = alive[self.set[_places(hashes[alive], self.kind, l, probe, self.bits)]]
-            level[alive] = l
-        return level
-
-
-def distinct_ngrams(hashes: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """What is kept of the distinct words, then of the distinct bigrams, in order, and the place of each token's among them."""
-    for kind, found in ((WORD, hashes), (PAIR, pairs(hashes, counts)[0])):
-        yield np.unique(short(found, kind), return_inverse=True)
-
-
-def in_groups(ids: DataFrame) -> DataFrame:
-    """ids with g, which names a group of about GROUP_BYTES of text."""
+    n_unseen: float
+
+    @classmethod
+    def of(cls, types: np.ndarray, times: np.ndarray, n_texts: int) -> Model:
+        once, twice = int(types[WORD, 0]), int(types[WORD, 1])
+        n_words = int(types[WORD].sum())
+        discount = max(once / (once + 2 * (twice + 1)), 1 / (n_words + 1))
+        mean = times[WORD] / np.maximum(types[WORD], 1)
+        rarest = float(mean[mean > 0].min(initial=np.inf))
+        # as many as Chao's lower bound says, and enough for none to be likelier than the rarest words that were seen
+        unseen = max(1.0, once * (once - 1) / (2 * (twice + 1)), discount * n_words / (rarest - discount))
+        return cls(mean, int(times[WORD].sum()), n_words, n_texts, discount, unseen)
+
+    def alone(self, seen: np.ndarray, less: int = 0) -> np.ndarray:
+        """The chance of words of these levels, had each occurred `less` times less."""
+        if not self.n:
+            return np.ones(len(seen))
+        unseen = self.discount * self.n_words / self.n / self.n_unseen
+        count = np.where(seen > 0 if less else seen >= 0, self.mean[seen] - less, 0.0)
+        return np.where(count > 0, (count - self.discount) / self.n, unseen)
+
+    def share(self, both: np.ndarray, before: np.ndarray, first: np.ndarray, less: int = 0) -> np.ndarray:
+        """The share of bigrams of these levels in the count of their first words, -1 where that hasn't been seen."""
+        most = np.where(first, self.n_texts, np.where(before >= 0, STARTS[np.minimum(before.astype(np.int64) + 1, LEVELS - 1)] - 1, 0)) - less
+        least = np.where(both >= 0, STARTS[both] - less, 0)
+        return np.where(most > 0, np.minimum(1.0, least / np.maximum(most, 1)), -1.0)
+
+    def chances(self, seen: np.ndarray, both: np.ndarray, before: np.ndarray, first: np.ndarray, less: int = 0) -> Iterator[np.ndarray]:
+        """The chance of each token for each of WEIGHTS."""
+        alone, share = self.alone(seen, less), self.share(both, before, first, less)
+        for weight in WEIGHTS:
+            yield np.where(share >= 0, weight * share + (1 - weight) * alone, alone)
+
+
+def score_chunks(chunks: DataFrame, answers: DataFrame, model: Model, n_partitions: int) -> DataFrame:
+    """SCORE_SCHEMA for each text of the chunks; logs sums log10(c + 1) of its tokens, scores has its score for each of
+    WEIGHTS, and one row a chunk has left_out: the same over the training texts with every token left out of the counts."""
+
+    def score(rows: list[tuple]) -> pd.DataFrame:
+        _, _, ids, held, lengths, data = next(r for r in rows if r[0] == TEXTS)[:6]
+        levels = [np.frombuffer(b"".join(r[6] for r in rows if r[0] == kind), np.int8) for kind in (WORD, PAIR)]
+        exact = np.concatenate([_unpack_counts(r[7], r[8]) for r in rows if r[0] == WORD])
+        hashes, n_tokens = tokens(texts_of(lengths, data))
+        (_, word), (_, pair) = distinct_ngrams(hashes, n_tokens)
+        begin, first = np.cumsum(n_tokens) - n_tokens, pairs(hashes, n_tokens)[1]
+        seen, both = levels[WORD][word], levels[PAIR][pair]
+        before = np.roll(seen, 1)
+        sums = np.stack([np.add.reduceat(np.log10(c), begin) for c in model.chances(seen, both, before, first)], axis=1)
+        learnt = np.repeat(~np.asarray(held, bool), n_tokens)
+        left_out = [float(np.log10(c).sum()) for c in model.chances(seen[learnt], both[learnt], before[learnt], first[learnt], 1)]
+        return pd.DataFrame({
+            "doc_id": ids, "held_out": np.asarray(held, bool), "n_tokens": n_tokens, "n_known": np.add.reduceat((exact > 0).astype(np.int64)[word], begin),
+            "logs": np.add.reduceat(np.log10(exact + 1.0)[word], begin), "scores": list(sums), "left_out": [left_out] + [None] * (len(ids) - 1),
+        })
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g, size = TaskContext.get().partitionId() << 32, 0
-        for batch in batches:
-            names = []
-            for n in batch["text"].str.len():
-                g, size = (g + 1, 0) if size > GROUP_BYTES else (g, size)
-                size += n
-                names.append(g)
-            yield batch.assign(g=np.array(names, np.int64))
-
-    return ids.mapInPandas(run, "doc_id string, text string, held_out boolean, t long, g long")
-
-
-def look_up_levels(grouped_ids: DataFrame, counted: DataFrame) -> DataFrame:
-    """(g, kind, segment, levels): the level of each distinct n-gram of a group, in order, one byte each."""
-    columns = "kind int, segment int, g long, once binary, hashes binary, counts binary"
-    names = [c.split()[0] for c in columns.split(", ")]
-
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def asked(g: int, texts: list[bytes]) -> pd.DataFrame:
-            rows = []
-            for kind, (distinct, _) in enumerate(distinct_ngrams(*tokens(texts))):
-                edges = np.searchsorted(_segment(distinct, kind), np.arange(SEGMENTS + 1)).tolist()
-                rows += [(kind, s, g, b"", _pack(distinct[a:b], kind), b"") for s, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if a < b]
-            return pd.DataFrame(rows, columns=names)
-
-        for g, some in of_groups(batches):
-            yield asked(g, [t.encode() for t in some["text"]])
-
-    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, part = None, None
+        at, held = None, []
         for batch in batches:
-            rows = []
-            for kind, segment, g, once, hashes, counts in batch.itertuples(index=False, name=None):
-                if at != (kind, segment):
-                    at, part = (kind, segment), Part(kind, segment, *((once, hashes, counts) if g < 0 else (b"", b"", b"")))
-                if g >= 0:
-                    rows.append((g, kind, segment, part.levels(_unpack(hashes, kind, segment)).tobytes()))
-            yield pd.DataFrame(rows, columns=["g", "kind", "segment", "levels"])
-
-    stored = counted.select("kind", "segment", F.lit(-1).cast("long").alias("g"), "once", "hashes", "counts")
-    asked = grouped_ids.select("g", "text").repartition(shuffle_partitions(counted.sparkSession), "g").sortWithinPartitions("g").mapInPandas(ask, columns)
-    met = stored.unionByName(asked).repartition(shuffle_partitions(counted.sparkSession), "kind", "segment").sortWithinPartitions("kind", "segment", "g")
-    return met.mapInPandas(answer, "g long, kind int, segment int, levels binary")
-
-
-def of_groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame]]:
-    """The rows of each g of batches sorted by it."""
-    at, held = None, []
-    for batch in batches:
-        for g, some in batch.groupby("g", sort=True):
-            if g != at and held:
-                yield at, pd.concat(held, ignore_index=True)
-                held = []
-            at = g
-            held.append(some)
-    if held:
-        yield at, pd.concat(held, ignore_index=True)
+            for g, *row in batch.itertuples(index=False, name=None):
+                if g != at and held:
+                    yield score(held)
+                    held = []
+                at = g
+                held.append(tuple(row))
+        if held:
+            yield score(held)
 
+    texts = chunks.drop("size").withColumns({"kind": F.lit(TEXTS), "segment": F.lit(0)})
+    both = texts.unionByName(answers.where("g is not null"), allowMissingColumns=True)
+    both = both.select("g", "kind", "segment", "doc_ids", "held", "lengths", "texts", "levels", "counts", "large")
+    return both.repartition(n_partitions, "g").sortWithinPartitions("g", "kind", "segment").mapInPandas(run, SCORE_SCHEMA)
 
-def score_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs (doc_id, text).
 
-    The model learns from the documents that aren't held out. Words are told apart by 64-bit hashes. Null texts are
-    empty and have one token, the end. Repeated rows are texts of their own; without training texts the unknown word has
-    all the probability. Other columns are not looked at.
+def score_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bigram_weight of each row of docs (doc_id, text).
 
-    The base score needs exact counts. Frequent words go to all tasks, with a bound that follows from their frequency; the
-    other words of the texts, none of them frequent enough to be a hot key, are joined with the counts.
+    The model learns from the documents that aren't held out. Words are told apart by 64-bit hashes. The base score takes
+    exact counts; score is the model's log10 probability of the text, whose bigram weight is the one of WEIGHTS under which
+    the training texts are likeliest with each token left out of the counts. Null texts are empty and have one token, the
+    end. Repeated rows are texts of their own; without training texts every token has chance one. An empty table gives an
+    empty result; other columns are not looked at.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"held_out": held_out(F.col("doc_id")), "t": F.xxhash64("text")})
-    training = rows.where(~F.col("held_out"))
-    counted = saved(count_ngrams(training))
-    counts = saved(word_counts(counted))
-    n_texts = training.select("doc_id").count()
-    model = unfiltered(counted, n_texts)
-    distinct = counts.count()
-    frequent = counts.where(F.col("c") * MOST_FREQUENT > model.n).toPandas().sort_values("h")
-    sent = spark.sparkContext.broadcast((model, frequent["h"].to_numpy(), np.log10(frequent["c"].to_numpy() + 1.0)))
-    ids = saved(in_groups(rows.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "held_out", "t")))
-
-    def look_up(unique: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each hash is of a frequent word, and log10 of its count + 1."""
-        _, h, logs = sent.value
-        if not len(h):
-            return np.zeros(len(unique), bool), np.zeros(len(unique))
-        at = np.minimum(np.searchsorted(h, unique.view(np.int64)), len(h) - 1)
-        there = h[at] == unique.view(np.int64)
-        return there, np.where(there, logs[at], 0.0)
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, group in of_groups(batches):
-            some = group[group["kind"] > PAIR]
-            hashes, lengths = tokens([t.encode() for t in some["text"]])
-            unique, back = np.unique(hashes, return_inverse=True)
-            there, logs = look_up(unique)
-            first = np.cumsum(lengths) - lengths
-            levels = [np.frombuffer(b"".join(group["levels"][group["kind"] == kind]), np.int8) for kind in (WORD, PAIR)]
-            seen, both = (np.where(l >= 0, sent.value[0].mean[kind][l], 0.0)[b] for kind, (l, (_, b)) in enumerate(zip(levels, distinct_ngrams(hashes, lengths))))
-            yield pd.DataFrame({
-                "doc_id": some["doc_id"].to_numpy(), "t": some["t"].astype("int64").to_numpy(), "held_out": some["held_out"].to_numpy().astype(bool), "n_tokens": lengths,
-                "frequent": np.add.reduceat(there[back].astype(np.int64), first), "logs": np.add.reduceat(logs[back], first), "score": sent.value[0].mixed(hashes, lengths, seen, both),
-            })
-
-    def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The words of each text that aren't frequent, and how often it has them; and a row without a word for the text."""
-        for batch in batches:
-            at = 0
-            for texts in grouped(t.encode() for t in batch["text"]):
-                hashes, lengths = tokens(texts)
-                unique, back = np.unique(hashes, return_inverse=True)
-                rare = np.flatnonzero(~look_up(unique)[0][back])
-                owner = np.repeat(np.arange(len(texts)), lengths)[rare]
-                pair, times = np.unique(owner.astype(np.int64) * len(unique) + back[rare], return_counts=True)
-                owner, word = pair // max(len(unique), 1), pair % max(len(unique), 1)
-                some = batch.iloc[at : at + len(texts)]
-                yield pd.DataFrame({"doc_id": some["doc_id"].to_numpy(), "t": some["t"].to_numpy(), "h": pd.array([None] * len(texts), "Int64"), "times": 0, "texts": 1})
-                yield pd.DataFrame({"doc_id": some["doc_id"].to_numpy()[owner], "t": some["t"].to_numpy()[owner], "h": pd.array(unique[word].view(np.int64), "Int64"), "times": times, "texts": 0})
-                at += len(texts)
-
-    texts = ids.withColumns({"kind": F.lit(2), "segment": F.lit(0), "levels": F.lit(None).cast("binary"), "t": F.col("t").cast("string")})
-    levels = look_up_levels(ids, counted)
-    both = texts.unionByName(levels, allowMissingColumns=True).repartition(shuffle_partitions(spark), "g").sortWithinPartitions("g", "kind", "segment")
-    scored = both.mapInPandas(score, "doc_id string, t long, held_out boolean, n_tokens long, frequent long, logs double, score double")
-    rare = ids.select("doc_id", "text", "t").mapInPandas(others, "doc_id string, t long, h long, times long, texts int")
-    known = rare.join(counts, "h", "left").groupBy("doc_id", "t").agg(
-        F.coalesce(F.sum(F.col("times") * F.log10(F.col("c") + 1)), F.lit(0.0)).alias("rare_logs"), F.coalesce(F.sum(F.when(F.col("c") > 0, F.col("times"))), F.lit(0)).alias("rare_known"), F.sum("texts").alias("texts")
-    )
-    rare_known = known.select(F.col("doc_id").alias("k_id"), F.col("t").alias("k_t"), F.expr("rare_known div texts").alias("rare_known"), (F.col("rare_logs") / F.col("texts")).alias("rare_logs"))
-    met = scored.join(rare_known, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("t") == F.col("k_t")))
-    return met.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "held_out", "n_tokens", (F.col("frequent") + F.col("rare_known")).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.col("rare_logs") - F.col("n_tokens") * F.lit(float(np.log10(model.n + distinct + 1)))).alias("base_score"), "score",
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("held_out", held_out(F.col("doc_id")))
+    chunks = saved(chunked(rows))
+    n_learnt = F.aggregate("held", F.lit(0).cast("long"), lambda n, h: n + F.when(h, 0).otherwise(1))
+    size, n_texts = chunks.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum(n_learnt), F.lit(0))).first()
+    segments, n_partitions = LEAST_SEGMENTS, partitions_for(spark, size)
+    while segments * SEGMENT_BYTES < size:
+        segments *= 2
+    met = ask(chunks, segments).repartition(n_partitions, "kind", "segment").sortWithinPartitions("kind", "segment", "g")
+    answers = saved(answer(met, segments))
+    model = Model.of(*statistics(answers), n_texts)
+    scored = saved(score_chunks(chunks, answers, model, n_partitions))
+    likely = scored.where("left_out is not null").select(F.posexplode("left_out").alias("i", "sum")).groupBy("i").agg(F.sum("sum").alias("sum"))
+    best = likely.orderBy(F.desc("sum"), "i").first()
+    at = best["i"] if best else 0
+    return scored.select(
+        F.col("doc_id").cast("long").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"),
+        (F.col("logs") - F.col("n_tokens") * F.lit(float(np.log10(model.n + model.n_words + 1)))).alias("base_score"),
+        F.get("scores", F.lit(at)).alias("score"), F.lit(WEIGHTS[at]).alias("bigram_weight"),
     )

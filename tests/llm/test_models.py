@@ -36,15 +36,6 @@ def test_base_score_is_exact(docs, corpus):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_rare_words_are_joined(docs, monkeypatch):
-    all_frequent = {r["doc_id"]: r["base_score"] for r in lm.score_documents(docs).collect()}
-    monkeypatch.setattr(lm, "MOST_FREQUENT", 300)
-    some_rare = lm.score_documents(docs).collect()
-    assert all(r["base_score"] == pytest.approx(all_frequent[r["doc_id"]]) for r in some_rare)
-    twice = {r["doc_id"]: r for r in lm.score_documents(docs.unionByName(docs)).collect()}
-    assert all(r["n_known"] == twice[r["doc_id"]]["n_known"] for r in some_rare)
-
-
 def test_lm_edges(docs, empty):
     assert lm.score_documents(empty).count() == 0
     no_ids = lm.score_documents(docs.withColumn("doc_id", F.lit(None).cast("long")))
@@ -53,61 +44,104 @@ def test_lm_edges(docs, empty):
     assert {r["base_score"] for r in lm.score_documents(held).collect()} == {0.0}
 
 
-def test_filter_gives_back_levels(spark):
-    words = [f"w{i}" for i in range(200)]
-    text = " ".join(w for i, w in enumerate(words) for _ in range(1 + i % 20))
-    counted = lm.count_ngrams(spark.createDataFrame([(text,)], "text string"))
-    model = lm.build(counted, 1)
-    hashes, _ = lm.tokens([text.encode()])
-    first = dict(zip(text.split(), hashes.tolist()))
-    seen = model.estimate(np.array([first[w] for w in words], np.uint64), lm.WORD)
-    level = [int(math.log2(1 + i % 20)) for i in range(200)]
-    wrong = sum(s != pytest.approx(model.mean[lm.WORD][l]) for s, l in zip(seen, level))
-    assert wrong <= 4  # a false positive raises a level by one
-    unseen = model.estimate(np.random.default_rng(1).integers(0, 2**63, 5000, np.uint64), lm.WORD)
-    assert (unseen > 0).mean() < 0.02
-
-
-def test_a_full_filter_drops_the_rarest_first(monkeypatch):
-    types = np.zeros((2, lm.LEVELS), np.int64)
-    types[lm.WORD, :3], types[lm.PAIR, :3] = (100, 50, 10), (1000, 300, 40)
-    assert lm.lowest_levels(types) == (0, 1)
-    monkeypatch.setattr(lm, "MAX_FILTER_BITS", 300 * lm.BITS_PER_ITEM)
-    assert lm.lowest_levels(types) == (0, 2)
-    monkeypatch.setattr(lm, "MAX_FILTER_BITS", 100 * lm.BITS_PER_ITEM)
-    assert lm.lowest_levels(types)[0] == 1
-
-
-def test_no_count_is_dropped(spark, monkeypatch):
-    """A model of exact counts, a bigram seen once among them, gives the same scores whatever the size of a filter."""
-    monkeypatch.setattr(lm, "MAX_FILTER_BITS", 8 * lm.BITS_PER_ITEM)
-    monkeypatch.setattr(lm, "GROUP_BYTES", 40, raising=False)
-    texts = ["b c a x y x", "a b", "c d e f a b", "g h a b", "", "a b c unknown", "x y b c", "a b"] * 2
-    rows = [(i, t) for i, t in enumerate(texts)]
+def test_filter_gives_back_levels():
+    hashes = np.random.default_rng(0).integers(0, 2**63, 4000, np.uint64)
+    counts = np.arange(4000) % 40
+    level = lm.level_of(counts)
+    assert all(lm.STARTS[l] <= c < lm.STARTS[l + 1] for l, c in zip(level, counts) if c) and set(level[counts == 0]) == {-1}
+    got = lm.Filter(hashes, counts, lm.WORD).levels(hashes)
+    assert (got >= level).all() and (got != level).mean() < 0.01  # a false positive raises a level
+    none = lm.Filter(hashes[:0], counts[:0], lm.PAIR)
+    assert set(none.levels(hashes).tolist()) == {-1}
+
+
+def test_packed_hashes_and_counts():
+    hashes = np.sort(np.random.default_rng(0).integers(0, 2**64 - 1, 3000, np.uint64))
+    for segments in (256, 1024, 4096):
+        for kind in (lm.WORD, lm.PAIR):
+            kept = lm.short(hashes, kind)
+            for i in range(0, 3000, 100):
+                segment = int(lm._segment(kept[i : i + 1], kind, segments)[0])
+                assert 0 <= segment < segments and lm._unpack(lm._pack(kept[i : i + 1], kind), kind, segment, segments) == kept[i]
+    counts = np.array([0, 1, 254, 255, 256, 2**40, 0])
+    assert lm._unpack_counts(*lm._pack_counts(counts)).tolist() == counts.tolist()
+
+
+def learnt(texts):
+    """Counts of words and of bigrams of the texts of a list that the model learns from, and how many those are."""
     words, two = Counter(), Counter()
-    learnt = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 != 2]
-    for i in learnt:
+    some = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 7 != 2]
+    for i in some:
         own = [*texts[i].split(), "<end>"]
         words.update(own)
         two.update(zip(["<start>", *own], own))
-    mean = lambda counts, x: (lambda same: sum(same) / len(same))([c for c in counts.values() if int(math.log2(c)) == int(math.log2(counts[x]))]) if counts[x] else 0.0
-    n, once, twice = words.total(), sum(c == 1 for c in words.values()), sum(1 < c < 4 for c in words.values())
-    discount = once / (once + 2 * twice)
+    return words, two, len(some)
+
+
+def level(count):
+    return max(i for i, s in enumerate(lm.STARTS) if s <= count) if count else -1
+
+
+def model_of(words, two, n_texts):
+    types, times = np.zeros((2, lm.LEVELS), np.int64), np.zeros((2, lm.LEVELS), np.int64)
+    for kind, counts in enumerate((words, two)):
+        for c in counts.values():
+            types[kind, level(c)] += 1
+            times[kind, level(c)] += c
+    return lm.Model.of(types, times, n_texts)
+
+
+TEXTS = ["b c a x y x", "a b", "c d e f a b", "g h a b", "", "a b c unknown", "x y b c", "a b", "a a a a a a b", "q r s t", "u b v b w b", "END of it"] * 2 + ["once only", "a b c d e"]
+
+
+def test_chances_sum_to_one_at_most():
+    words, two, n_texts = learnt(TEXTS)
+    model = model_of(words, two, n_texts)
+    seen = np.array([level(c) for c in words.values()])
+    alone = model.alone(seen)
+    unseen = float(model.alone(np.array([-1]))[0])
+    assert alone.sum() + model.n_unseen * unseen == pytest.approx(1) and unseen <= alone.min()
+    for h in [*words, "<start>", "never seen"]:
+        both = np.array([level(two[h, w]) for w in words])
+        before = np.full(len(words), level(words[h]))
+        first = np.full(len(words), h == "<start>")
+        for i, chance in enumerate(model.chances(seen, both, before, first)):
+            rest = [*model.chances(np.array([-1]), np.array([-1]), before[:1], first[:1])][i][0]
+            assert chance.min() > 0 and chance.sum() + model.n_unseen * rest <= 1 + 1e-9
+
+
+@pytest.mark.parametrize("segments", [256, 1024])
+def test_no_count_is_dropped(spark, monkeypatch, segments):
+    """Scores are those of a model of all counts, bigrams seen once among them, whatever the number of chunks and segments."""
+    monkeypatch.setattr(lm, "SEGMENT_BYTES", 1 if segments > 256 else 1 << 30)
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 40)
+    words, two, n_texts = learnt(TEXTS)
+    model = model_of(words, two, n_texts)
     assert 1 in two.values()
 
-    def expected(text):
+    def expected(text, weight):
         before, total = "<start>", 0.0
         for w in [*text.split(), "<end>"]:
-            seen, first = mean(words, w), len(learnt) if before == "<start>" else mean(words, before)
-            alone = (seen - discount) / n if seen else discount * len(words) / n
-            weight = lm.BIGRAM_WEIGHT if first >= 2 else 0.0
-            total += math.log10(weight * min(1.0, mean(two, (before, w)) / max(first, 1)) + (1 - weight) * alone)
+            most = n_texts if before == "<start>" else lm.STARTS[level(words[before]) + 1] - 1 if words[before] else 0
+            alone = (model.mean[level(words[w])] - model.discount) / words.total() if words[w] else model.discount * len(words) / words.total() / model.n_unseen
+            share = min(1.0, (lm.STARTS[level(two[before, w])] if two[before, w] else 0) / most) if most else 0.0
+            total += math.log10(weight * share + (1 - weight) * alone if most else alone)
             before = w
         return total
 
-    got = {r["doc_id"]: r["score"] for r in lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
-    exact = [i for i, t in rows if got[i] == pytest.approx(expected(t))]
-    assert len(got) == len(rows) and len(exact) >= len(rows) - 4  # a false positive raises a level
+    low = [t.replace("END", "end") for t in TEXTS]
+    words, two, n_texts = learnt(low)
+    model = model_of(words, two, n_texts)
+    got = {r["doc_id"]: r for r in lm.score_documents(spark.createDataFrame([*enumerate(TEXTS)], "doc_id long, text string").repartition(3)).collect()}
+    exact = [i for i, t in enumerate(low) if got[i]["score"] == pytest.approx(expected(t, got[i]["bigram_weight"]))]
+    assert len(got) == len(TEXTS) and len(exact) >= len(TEXTS) - 3  # a false positive raises a level
+
+
+def test_repeated_rows_and_long_texts(spark):
+    rows = [(1, "a b " * 200_000), (2, "a"), (2, "a"), (None, "b"), (3, "\u00c9 \u00e9")]
+    got = lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in got) == [(0, 2), (1, 400_001), (2, 2), (2, 2), (3, 3)]
+    assert len({r["score"] for r in got if r["doc_id"] == 2}) == 1
 
 
 def labelled(spark):
