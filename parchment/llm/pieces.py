@@ -7,10 +7,15 @@ Pieces hold white space at their front alone, so every segmentation of a text is
 what follows them, one after the other. A unit's best segmentations come from a backward A-star search that takes the
 forward Viterbi scores as exact heuristic. Those of a text are its units' best ones but for a few units: each of the N - 1
 next best texts departs from the best one, and the N - 1 units that lose least by departing already give as many.
+
+The heuristic is exact, so of the edges that end at a place one keeps the promise of the state that is expanded; the search
+follows it to the start at once, ties or not, and of all other states keeps only as many as segmentations are still
+wanted. The work for a unit is N times its length, in bounded memory.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import zlib
 from collections.abc import Iterator
@@ -24,7 +29,9 @@ from parchment.llm.hashing import mix
 
 N_BEST = 4
 UNKNOWN_PENALTY = 10.0
-CACHED_UNITS = 600_000
+CACHED_UNITS, CACHED_CHARS = 600_000, 16_000_000
+#: Units with more characters are taken one by one, shorter ones in batches.
+LONG = 48
 SPACE = "▁"
 SCHEMA = "doc_id string, n_units long, n_tokens long, ids binary, score double, nbest array<struct<score: double, n_tokens: long, ids_crc32: long>>, decoded_equal boolean"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -71,8 +78,9 @@ class PieceCodec:
         self.scores[plain] = scores
         self.unknown = float(scores[ranks < len(self.pieces)].min()) - UNKNOWN_PENALTY
         self.table = {self.pieces[i]: i for i in plain}
+        self.prefixes = {p[:k] for p in self.table for k in range(1, len(p) + 1)}
         self.longest = max(map(len, self.table))
-        hashes = np.array([self._hash(self.pieces[i]) for i in plain], np.uint64)
+        hashes = self._hashes([self.pieces[i] for i in plain])
         order = np.argsort(hashes)
         self.hashes, self.hash_ids = hashes[order], np.array(plain)[order]
         self.maybe = np.zeros(1 << 22, bool)
@@ -82,15 +90,20 @@ class PieceCodec:
 
     def forget(self) -> None:
         """Known units: their places in the score, the loss of the second best, the ids and what those decode to."""
-        self.place, self.best, self.loss, self.ids, self.texts = {}, np.zeros(0), np.zeros(0), [], []
+        self.place, self.best, self.loss, self.ids, self.texts, self.chars = {}, np.zeros(0), np.zeros(0), [], [], 0
 
     @staticmethod
-    def _hash(text: str) -> int:
-        """The hash that solve() keeps up for growing substrings."""
-        h = np.zeros(1, np.uint64)
-        for c in text:
-            h = h * _STEP + mix(np.array([ord(c)], np.uint64) + np.uint64(1))
-        return int(mix(h)[0])
+    def _hashes(texts: list[str]) -> np.ndarray:
+        """The hashes that solve() keeps up for growing substrings, of texts in any order."""
+        out, length = np.zeros(len(texts), np.uint64), np.array([len(t) for t in texts])
+        for n in np.unique(length).tolist():
+            at = np.flatnonzero(length == n)
+            chars = np.frombuffer("".join(texts[i] for i in at.tolist()).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(at), n)
+            h = np.zeros(len(at), np.uint64)
+            for i in range(n):
+                h = h * _STEP + mix(chars[:, i].astype(np.uint64) + np.uint64(1))
+            out[at] = mix(h)
+        return out
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Ids of the pieces with these hashes, -1 where there is none."""
@@ -106,10 +119,11 @@ class PieceCodec:
         return [self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")]
 
     def solve(self, some: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """For units of one length: the score of the best segmentation, what the second best loses, and the best ids.
-        All units go through the forward Viterbi pass together."""
-        n, length = len(some), len(some[0])
-        chars = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, length)
+        """For units of about one length: the score of the best segmentation, what the second best loses, and the best ids.
+        All units go through the forward Viterbi pass together, the shorter ones filled up with a character of no piece."""
+        n, lengths = len(some), np.array([len(u) for u in some])
+        length, rows = int(lengths.max()), np.arange(len(some))
+        chars = np.frombuffer("".join(u.ljust(length, "\0") for u in some).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, length)
         letters = mix(chars.astype(np.uint64) + np.uint64(1))
         found, h = [], np.zeros((n, length), np.uint64)
         for width in range(1, min(self.longest, length) + 1):
@@ -127,7 +141,7 @@ class PieceCodec:
                 second[:, end] = np.maximum(np.maximum(second[:, end], other), np.where(better, best[:, end], first))
                 best[:, end] = np.where(better, first, best[:, end])
                 back[:, end] = np.where(better, width, back[:, end])
-        at, rows, steps = np.full(n, length), np.arange(n), []
+        at, steps = lengths.copy(), []
         while (at > 0).any():
             width = back[rows, at]
             chosen = np.full(n, -2, np.int32)
@@ -145,30 +159,75 @@ class PieceCodec:
         for i in np.flatnonzero(~plain).tolist():
             spelt = [x for s in steps[i][keep[i]].tolist() for x in ([s] if s >= 0 else self._spell(some[i][-3 - s]))]
             out[i] = np.array(spelt, "<i4").tobytes()
-        return best[:, length], best[:, length] - second[:, length], out
+        return best[rows, lengths], best[rows, lengths] - second[rows, lengths], out
+
+    def _edges(self, text: str) -> list[list[tuple[int, float, int]]]:
+        """For each place of a text the pieces that start there: (end, score, id), id -1 for a character in byte pieces."""
+        table, prefixes, scores, out = self.table, self.prefixes, self.scores, []
+        for start in range(len(text)):
+            here = []
+            for end in range(start + 1, min(len(text), start + self.longest) + 1):
+                piece = text[start:end]
+                if piece in table:
+                    here.append((end, float(scores[table[piece]]), table[piece]))
+                elif end == start + 1:
+                    here.append((end, self.unknown, -1))
+                if piece not in prefixes:
+                    break
+            out.append(here)
+        return out
+
+    def _ids(self, text: str, steps: list[tuple[int, int]]) -> list[int]:
+        """The ids of a segmentation from its (start, id) in order."""
+        return [x for start, piece in steps for x in ([piece] if piece >= 0 else self._spell(text[start]))]
+
+    def solve_long(self, text: str) -> tuple[float, float, bytes]:
+        """What solve gives, for one unit of any length."""
+        best, second, back = [0.0] + [-np.inf] * len(text), [-np.inf] * (len(text) + 1), [(0, 0)] * (len(text) + 1)
+        for start, edges in enumerate(self._edges(text)):
+            for end, weight, piece in edges:
+                first, other = best[start] + weight, second[start] + weight
+                if first >= best[end]:
+                    second[end], best[end], back[end] = max(best[end], other), first, (start, piece)
+                else:
+                    second[end] = max(second[end], first)
+        at, steps = len(text), []
+        while at > 0:
+            steps.append(back[at])
+            at = back[at][0]
+        return best[-1], best[-1] - second[-1], np.array(self._ids(text, steps[::-1]), "<i4").tobytes()
 
     def _learn(self, new: set[str]) -> None:
-        """Adds units, by length, to what is known; forgets all others if that would be too many."""
-        by_length: dict[int, list[str]] = {}
-        for unit in new:
-            by_length.setdefault(len(unit), []).append(unit)
-        best, loss = [self.best], [self.loss]
-        for length, some in by_length.items():
-            size = max(1, (1 << 18) // (length + 1))
-            for at in range(0, len(some), size):
-                part = some[at : at + size]
-                score, lost, ids = self.solve([SPACE + u.replace(" ", SPACE) for u in part])
-                self.place.update(zip(part, range(len(self.ids), len(self.ids) + len(part))))
-                best.append(score)
-                loss.append(lost)
-                self.ids += ids
-                self.texts += [self._text(np.frombuffer(i, "<i4")) for i in ids]
+        """Adds units to what is known, short ones in batches of about one length."""
+        some = sorted(new, key=len)
+        n_short = bisect.bisect(some, LONG, key=len)
+        best, loss, at = [self.best], [self.loss], 0
+        while at < n_short:
+            part = some[at : at + max(1, (1 << 18) // (len(some[at]) + 2))]
+            part = part[: bisect.bisect(part, len(part[0]) + 1, key=len)]
+            part = [u for u in part if len(u) <= LONG]
+            solved = self.solve([SPACE + u.replace(" ", SPACE) for u in part])
+            self._add(part, solved[2])
+            best.append(solved[0])
+            loss.append(solved[1])
+            at += len(part)
+        for unit in some[n_short:]:
+            score, lost, ids = self.solve_long(SPACE + unit.replace(" ", SPACE))
+            self._add([unit], [ids])
+            best.append(np.array([score]))
+            loss.append(np.array([lost]))
         self.best, self.loss = np.concatenate(best), np.concatenate(loss)
 
+    def _add(self, part: list[str], ids: list[bytes]) -> None:
+        self.place.update(zip(part, range(len(self.ids), len(self.ids) + len(part))))
+        self.ids += ids
+        self.texts += [self._text(np.frombuffer(i, "<i4")) for i in ids]
+        self.chars += sum(map(len, part))
+
     def learn(self, texts: list[list[str]]) -> None:
         wanted = set().union(*texts)
         new = wanted - self.place.keys()
-        if len(self.place) + len(new) > CACHED_UNITS:
+        if len(self.place) + len(new) > CACHED_UNITS or self.chars > CACHED_CHARS:
             self.forget()
             new = wanted
         if new:
@@ -176,37 +235,38 @@ class PieceCodec:
 
     def nbest_unit(self, unit: str, n: int) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a unit, best first: a backward A-star search from its end. A state is a place with
-        the pieces after it; its promise is their score plus the forward Viterbi score up to the place."""
+        the pieces after it; its promise is their score plus the forward Viterbi score up to the place, and is held as
+        what it loses against the best segmentation."""
         key = (unit, n)
         if key in self.nbest_of:
             return self.nbest_of[key]
         text = SPACE + unit.replace(" ", SPACE)
-        edges: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(len(text) + 1)]
-        ahead = [0.0] + [-np.inf] * len(text)
-        for end in range(1, len(text) + 1):
-            for start in range(max(0, end - self.longest), end):
-                piece = self.table.get(text[start:end])
-                if piece is not None:
-                    edges[end].append((start, float(self.scores[piece]), (piece,)))
-                elif end - start == 1:
-                    edges[end].append((start, self.unknown, tuple(self._spell(text[start]))))
-            ahead[end] = max(ahead[s] + w for s, w, _ in edges[end])
-        heap, order, out = [(-ahead[-1], 0, len(text), 0.0, None)], 0, []
+        ahead, ending = [0.0] + [-np.inf] * len(text), [[] for _ in range(len(text) + 1)]
+        for start, edges in enumerate(self._edges(text)):
+            for end, weight, piece in edges:
+                ahead[end] = max(ahead[end], ahead[start] + weight)
+                ending[end].append((weight, start, piece))
+        heap, order, out = [(0.0, 0, len(text), None)], 0, []
         while heap and len(out) < n:
-            _, _, at, score, chain = heapq.heappop(heap)
-            if at == 0:
-                ids = []
-                while chain is not None:
-                    piece, chain = chain
-                    ids.extend(piece)
-                out.append((score, ids))
-                continue
-            for start, weight, piece in edges[at]:
-                order += 1
-                heapq.heappush(heap, (-(score + weight + ahead[start]), order, start, score + weight, (piece, chain)))
-        if len(self.nbest_of) > 50_000:
-            self.nbest_of.clear()
-        self.nbest_of[key] = out
+            lost, _, at, chain = heapq.heappop(heap)
+            wanted = n - len(out) - 1
+            while at > 0:  # the best edge loses nothing: its state would be the next to be expanded
+                here = sorted((ahead[at] - ahead[start] - weight, start, piece) for weight, start, piece in ending[at])
+                for less, start, piece in here[1 : wanted + 1]:
+                    order += 1
+                    heapq.heappush(heap, (lost + less, order, start, ((start, piece), chain)))
+                chain, at = (here[0][1:], chain), here[0][1]
+                if len(heap) > 64 + 4 * wanted:
+                    heap = heapq.nsmallest(wanted, heap)
+            steps = []
+            while chain is not None:
+                step, chain = chain
+                steps.append(step)
+            out.append((ahead[-1] - lost, self._ids(text, steps)))
+        if len(unit) <= LONG:
+            if len(self.nbest_of) > 50_000:
+                self.nbest_of.clear()
+            self.nbest_of[key] = out
         return out
 
     def encode(self, split: list[str], n: int) -> tuple[list[bytes], str, float, list[tuple[float, list[tuple[int, bytes]]]]]:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -90,6 +91,50 @@ def test_n_best_segmentations():
         assert all(codec.decode(np.frombuffer(b"".join(o), "<i4")) == text for o in others)
 
 
+def check_n_best(codec, text, n=4):
+    parts = pieces.units(text)
+    codec.learn([parts])
+    best, decoded, score, ways = codec.encode(parts, n)
+    want = brute_segmentations(codec, text, n)
+    assert decoded == text and score == pytest.approx(want[0][0])
+    assert [w for w, _ in ways] == pytest.approx([w for w, _ in want])
+    spelt = set()
+    for _, changes in ways:
+        own = [*best]
+        for i, ids in changes:
+            own[i] = ids
+        spelt.add(b"".join(own))
+        assert codec.decode(np.frombuffer(b"".join(own), "<i4")) == text
+    assert len(spelt) == len(ways)
+
+
+def test_ties_and_texts_without_blanks():
+    codec, r = pieces.PieceCodec(PIECE_BPE), random.Random(6)
+    han = "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(2000))
+    latin = "".join(r.choice("etaoinshrdlu") for _ in range(2000))
+    for text in ("x" * 49, "x" * 202, "xy" * 600, "x" * 5000 + " y", "  " * 400 + "a", han, latin, "a " * 300 + latin):
+        check_n_best(codec, text)
+    check_n_best(codec, "x" * 60, 40)
+
+
+def test_very_long_units_take_time_in_proportion():
+    codec = pieces.PieceCodec(PIECE_BPE)
+    for text, n_ways in (("x" * 100_000, 4), ("\u5b57\u3002\u9fa5" * 7_000, 1), ("ab/+9Zq" * 10_000, 4)):
+        began = time.perf_counter()
+        codec.learn([[text]])
+        best, decoded, score, ways = codec.encode([text], 4)
+        assert decoded == text and len(ways) == n_ways and ways[0][0] == score and time.perf_counter() - began < 30
+
+
+def test_short_units_of_unequal_length_are_solved_together():
+    codec, r = pieces.PieceCodec(PIECE_BPE), random.Random(7)
+    some = [pieces.SPACE + "".join(r.choice("theofanin\u5b57\u00e9.x") for _ in range(r.randrange(0, 60))) for _ in range(300)]
+    score, loss, ids = codec.solve(some)
+    for i, unit in enumerate(some):
+        one = codec.solve_long(unit)
+        assert (score[i], loss[i]) == pytest.approx(one[:2]) and codec.decode(np.frombuffer(ids[i], "<i4")) == unit[1:]
+
+
 def test_units_are_the_text():
     for text in ("a b", " a", "a ", "  a  b  ", "", " ", "   ", "a\n b"):
         assert "".join(" " + u for u in pieces.units(text))[1:] == text
