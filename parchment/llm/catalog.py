@@ -61,7 +61,7 @@ def op9_near_duplicates(spark, sf_dir):
 def op10_warc(spark, sf_dir):
     archives = saved(warc.write_archives(warc.mark_revisits(table(spark, sf_dir, "pages"))))
     normal = saved(warc.normalise_archives(archives))
-    return warc.read_archives(normal).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+    return warc.read_archives(normal, saved(warc.sidecar_index(normal))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
 def queries():

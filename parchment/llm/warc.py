@@ -1,7 +1,8 @@
 """WARC archives: written as one gzip stream each, rewritten with a member for every record, read back by offset.
 
 An archive is a row (archive, data), so that any store that Spark writes can hold it and a lost task leaves nothing
-behind. Archives have about ARCHIVE_BYTES of records, or one record if that is longer.
+behind. Archives have about ARCHIVE_BYTES of records, or one record if that is longer. The sidecar index is a table of its
+own, one row a record. Records hold HTTP responses, whose entity is the payload; revisits hold the head alone.
 """
 
 from __future__ import annotations
@@ -33,21 +34,24 @@ def record_id(page_id) -> str:
 
 
 def make_record(page_id, url, kind: str, refers_to, size: int, digest: str, payload: bytes) -> bytes:
-    """A WARC/1.1 record. Revisits have no payload; its size and digest stand in the head of either kind."""
+    """A WARC/1.1 record of an HTTP response. Revisits have its head alone, which states the payload's size all the same."""
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id)}", "WARC-Date: 2000-01-01T00:00:00Z",
-            "Content-Type: text/html; charset=utf-8", f"WARC-Payload-Digest: sha256:{digest}", f"Payload-Length: {size}"]
+            "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha256:{digest}"]
     if page_id is not None:
         head.append(f"Page-ID: {page_id}")
     if url is not None:  # line ends can't stand in a header
         head.append("WARC-Target-URI: " + url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A"))
     if refers_to is not None:
         head += [f"WARC-Refers-To: {record_id(refers_to)}", f"Refers-To-Page-ID: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
-    head.append(f"Content-Length: {len(payload)}")
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode() + payload
+    head.append(f"Content-Length: {len(block)}")
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def parse_head(head: bytes) -> dict[str, str]:
-    return dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+    """The fields below the first line of a head, by lower-case name."""
+    fields = (line.split(":", 1) for line in head.decode("utf-8", "replace").split("\r\n")[1:] if ":" in line)
+    return {name.strip().lower(): value.strip() for name, value in fields}
 
 
 def split_records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -62,14 +66,17 @@ def split_records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], b
                 return
             head += line
         fields = parse_head(head[:-4])
-        rest = stream.read(int(fields["Content-Length"]) + 4)
+        if "content-length" not in fields:
+            raise ValueError("a record states no length")
+        rest = stream.read(int(fields["content-length"]) + 4)
         if not rest.endswith(b"\r\n\r\n"):
-            raise ValueError(f"record {fields.get('WARC-Record-ID')} is cut off")
+            raise ValueError(f"record {fields.get('warc-record-id')} is cut off")
         yield fields, head + rest
 
 
 class _Inflated(io.RawIOBase):
-    """The content of a gzip stream, inflated once and piece by piece as it is read."""
+    """The content of gzip members, one after the other, inflated once and piece by piece as it is read. Zeros may follow the
+    last member; anything else that isn't a whole member is an error."""
 
     def __init__(self, data: bytes):
         self.data, self.at, self.unzip = memoryview(data), 0, zlib.decompressobj(GZIP)
@@ -79,12 +86,22 @@ class _Inflated(io.RawIOBase):
 
     def readinto(self, out):
         while True:
-            piece = self.unzip.decompress(self.unzip.unconsumed_tail or self._more(), len(out))
-            if piece or self.unzip.eof:
-                out[: len(piece)] = piece
-                return len(piece)
+            if self.unzip.eof:
+                self.at -= len(self.unzip.unused_data)
+                while self.at < len(self.data) and self.data[self.at] == 0:
+                    self.at += 1
+                if self.at >= len(self.data):
+                    return 0
+                self.unzip = zlib.decompressobj(GZIP)
             if self.at >= len(self.data) and not self.unzip.unconsumed_tail:
                 raise ValueError("an archive's gzip stream is cut off")
+            try:
+                piece = self.unzip.decompress(self.unzip.unconsumed_tail or self._more(), len(out))
+            except zlib.error as error:
+                raise ValueError("an archive has what isn't gzip") from error
+            if piece:
+                out[: len(piece)] = piece
+                return len(piece)
 
     def _more(self):
         piece = self.data[self.at : self.at + (1 << 16)]
@@ -93,12 +110,13 @@ class _Inflated(io.RawIOBase):
 
 
 def normalise(data: bytes) -> tuple[bytes, list[dict]]:
-    """One gzip stream over all records, as one member for each record, and where each member lies."""
+    """One gzip stream over all records, or several with any number of records each, as one member for each record, and
+    where each member lies."""
     out, offsets = io.BytesIO(), []
     for fields, record in split_records(io.BufferedReader(_Inflated(data), 1 << 16)):
         zip_ = zlib.compressobj(6, zlib.DEFLATED, GZIP)
         member = zip_.compress(record) + zip_.flush()
-        offsets.append({"record_id": fields["WARC-Record-ID"], "offset": out.tell(), "length": len(member)})
+        offsets.append({"record_id": fields.get("warc-record-id"), "offset": out.tell(), "length": len(member)})
         out.write(member)
     return out.getvalue(), offsets
 
@@ -108,7 +126,8 @@ def mark_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataF
 
     Of rows with equal payloads of min_bytes or more, those with the smallest page_id are responses and the others
     revisit it; rows without a page_id revisit too, unless no row of the payload has one. Shorter payloads are all
-    responses. Null html is an empty payload. Only payloads that occur twice go through the join.
+    responses. Null html is an empty payload. Only digests that occur twice are joined with; where Spark finds those too
+    many to broadcast, rows are shuffled by digest once, and a digest of very many rows is a skewed key that it can split.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("html").cast("long"), "payload_digest": F.sha2("html", 256)})
@@ -161,29 +180,32 @@ def normalise_archives(archives: DataFrame) -> DataFrame:
 
 
 def sidecar_index(normal: DataFrame) -> DataFrame:
-    """(archive, record_id, offset, length), one row a record."""
+    """(archive, record_id, offset, length), one row a record, of archives as normalise_archives gives them."""
     return normal.select("archive", F.inline("offsets"))
 
 
 def read_record(member: bytes) -> dict:
     """The fields of RECORD_SCHEMA of one gzip member; intact tells whether a response has the digest and size it states."""
     (fields, record), = split_records(io.BytesIO(zlib.decompress(member, GZIP)))
-    payload = record[len(record) - 4 - int(fields["Content-Length"]) : -4]
-    digest, size = fields["WARC-Payload-Digest"].removeprefix("sha256:"), int(fields["Payload-Length"])
-    whole = fields["WARC-Type"] == "revisit" or (hashlib.sha256(payload).hexdigest() == digest and len(payload) == size)
-    url = fields.get("WARC-Target-URI")
-    return {"page_id": fields.get("Page-ID"), "url": url and url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%"), "record_type": fields["WARC-Type"],
-            "refers_to": fields.get("Refers-To-Page-ID"), "payload_bytes": size, "payload_digest": digest, "payload": payload, "intact": whole}
-
-
-def read_archives(normal: DataFrame) -> DataFrame:
-    """The records of normalised archives, each inflated alone from its offset; RECORD_SCHEMA."""
+    block = record[len(record) - 4 - int(fields["content-length"]) : -4]
+    http, _, payload = block.partition(b"\r\n\r\n")
+    digest, size = fields["warc-payload-digest"].removeprefix("sha256:"), int(parse_head(http)["content-length"])
+    whole = fields["warc-type"] == "revisit" or (hashlib.sha256(payload).hexdigest() == digest and len(payload) == size)
+    url = fields.get("warc-target-uri")
+    return {"page_id": fields.get("page-id"), "url": url and url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%"), "record_type": fields["warc-type"],
+            "refers_to": fields.get("refers-to-page-id"), "payload_bytes": size, "payload_digest": digest, "payload": payload, "intact": whole}
+
+
+def read_archives(archives: DataFrame, index: DataFrame) -> DataFrame:
+    """The records of archives (archive, data) that the index (archive, offset, length) names, each inflated alone from its
+    offset; RECORD_SCHEMA. The places of one archive, of about ARCHIVE_BYTES, meet in one row."""
     text_ids = RECORD_SCHEMA.replace("page_id long", "page_id string").replace("refers_to long", "refers_to string")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for data, offsets in zip(batch["data"], batch["offsets"]):
-                yield pd.DataFrame([read_record(data[x["offset"] : x["offset"] + x["length"]]) for x in offsets])
+            for data, places in zip(batch["data"], batch["places"]):
+                yield pd.DataFrame([read_record(data[x["offset"] : x["offset"] + x["length"]]) for x in places])
 
-    records = normal.select("data", "offsets").mapInPandas(read, text_ids)
+    places = index.groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("places"))
+    records = archives.select("archive", "data").join(places, "archive").select("data", "places").mapInPandas(read, text_ids)
     return records.withColumns({"page_id": F.col("page_id").cast("long"), "refers_to": F.col("refers_to").cast("long")})

@@ -3,6 +3,7 @@ import random
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from parchment.llm import warc
 from parchment.llm.url_filter import RULES_SCHEMA, filter_urls
@@ -58,7 +59,7 @@ def page_rows():
 def test_archives_round_trip(spark):
     pages = spark.createDataFrame([(*r, "extra") for r in page_rows()], "page_id long, url string, html string, payload string")
     normal = warc.normalise_archives(warc.write_archives(warc.mark_revisits(pages)))
-    got = {r["page_id"]: r for r in warc.read_archives(normal).collect()}
+    got = {r["page_id"]: r for r in warc.read_archives(normal, warc.sidecar_index(normal)).collect()}
     assert len(got) == len(page_rows())
     for i, url, html in page_rows():
         data = (html or "").encode()
@@ -68,7 +69,10 @@ def test_archives_round_trip(spark):
         assert r["payload_bytes"] == len(data) and r["url"] == url and r["intact"]
         assert (r["record_type"], r["refers_to"]) == (("revisit", min(same)) if revisit else ("response", None))
         assert bytes(r["payload"]) == (b"" if revisit else data)
-    assert warc.mark_revisits(pages.limit(0)).count() == 0 and warc.read_archives(warc.normalise_archives(warc.write_archives(warc.mark_revisits(pages.limit(0))))).count() == 0
+    none = warc.normalise_archives(warc.write_archives(warc.mark_revisits(pages.limit(0))))
+    assert warc.mark_revisits(pages.limit(0)).count() == 0 and warc.read_archives(none, warc.sidecar_index(none)).count() == 0
+    some = warc.sidecar_index(normal).where(F.col("record_id") == warc.record_id(8))
+    assert [r["page_id"] for r in warc.read_archives(normal, some).collect()] == [8]
 
 
 def test_every_record_is_a_member_of_its_own(spark):
@@ -89,3 +93,29 @@ def test_cut_archives_are_found():
         warc.normalise(zipped[:-12])
     with pytest.raises(ValueError):
         warc.normalise(gzip.compress(record + record[:-2]))
+
+
+def test_all_members_of_an_archive_are_read():
+    """Members of one and of several records, a stream of many, and zeros behind the last."""
+    records = [warc.make_record(i, f"u{i}", "response", None, 3, "x", b"ab" + bytes([97 + i]) * (1 + 9000 * (i % 3))) for i in range(8)]
+    mixed = gzip.compress(records[0]) + gzip.compress(b"".join(records[1:4])) + gzip.compress(b"") + b"".join(map(gzip.compress, records[4:])) + bytes(7)
+    whole = gzip.compress(b"".join(records))
+    for data in (mixed, whole):
+        normal, offsets = warc.normalise(data)
+        assert [zlib.decompress(normal[o["offset"] : o["offset"] + o["length"]], 31) for o in offsets] == records
+        assert [o["record_id"] for o in offsets] == [warc.record_id(i) for i in range(8)]
+    with pytest.raises(ValueError):
+        warc.normalise(mixed + b"not gzip")
+    with pytest.raises(ValueError):
+        warc.normalise(mixed[:-7] + gzip.compress(records[0])[:-3])
+    assert warc.normalise(gzip.compress(b"")) == (b"", [])
+
+
+def test_records_are_http_responses():
+    record = warc.make_record(7, "http://a/", "response", None, 5, "d", b"hello")
+    head, http, payload = record[:-4].split(b"\r\n\r\n", 2)
+    assert http.startswith(b"HTTP/1.1 200 ") and payload == b"hello"
+    fields = warc.parse_head(head)
+    assert fields["content-type"].startswith("application/http") and int(fields["content-length"]) == len(http) + 4 + len(payload)
+    got = warc.parse_head(b"WARC/1.0\r\ncontent-LENGTH:12\r\nX-Y:  a: b ")
+    assert got == {"content-length": "12", "x-y": "a: b"}
