@@ -13,17 +13,21 @@ hub's shingles and those that COMMON members or more of the hub have. Then
 
 so they can only be linked if they share a shingle that few members have, or if the first term alone is enough. Edits of one
 text rarely share what they put in, and what many share counts towards C. So the second round, in which such pairs are
-compared, is small; no pair is lost.
+compared, is small. Pairs that links connect already are left out of it; where many of a hub's members are still apart,
+further hubs are taken among them, one for each class of sizes, before what remains is paired. No pair is lost.
+
+Nodes of the graph are distinct shingle sets, named by a 64-bit hash; doc_ids only name what is found.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -40,6 +44,8 @@ MAX_BROADCAST_IDS = 1_000_000
 MEMBERS_PER_TASK = 128
 #: Members of a hub that have a shingle which the hub lacks, from which on it counts as common to them.
 COMMON = 16
+#: Pairs for each member that are compared without a further hub; rounds of further hubs; members of a hub paired in one task.
+PAIRS_PER_MEMBER, ROUNDS, PAIRED = 8, 4, 256
 
 N_HASHES = CHUNKS * CHUNK_LEN
 _RANDOM = np.random.default_rng(20_240_229)
@@ -86,24 +92,24 @@ def lookup_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, digest, signature) of each row; equal shingle sets have equal digests, empty ones none."""
+    """(doc_id, t, n_shingles, digest, signature) of each row; equal shingle sets have equal digests, empty ones none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            at, ids = 0, batch["doc_id"].tolist()
+            at, ids, hashes = 0, batch["doc_id"].tolist(), batch["t"].tolist()
             for texts in grouped(t.encode() for t in batch["text"]):
                 sets = shingle_sets(texts)
                 full = [s for s in sets if len(s)]
                 rows = iter(signatures(full) if full else ())
                 yield pd.DataFrame({
-                    "doc_id": ids[at : at + len(sets)], "n_shingles": [len(s) for s in sets],
+                    "doc_id": ids[at : at + len(sets)], "t": hashes[at : at + len(sets)], "n_shingles": [len(s) for s in sets],
                     "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
                     "signature": [next(rows).tobytes() if len(s) else None for s in sets],
                 })
                 at += len(sets)
 
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(run, "doc_id string, n_shingles long, digest binary, signature binary").withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
+    return rows.mapInPandas(run, "doc_id string, t long, n_shingles long, digest binary, signature binary").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def keyed(reps: DataFrame) -> DataFrame:
@@ -120,7 +126,7 @@ def keyed(reps: DataFrame) -> DataFrame:
 
 
 def member_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(rep, shingles) of the documents that ids (rep, digest) names; shingles has 8 bytes for each."""
+    """(rep, shingles) of the sets that ids (rep, doc, digest) names and the document doc has; 8 bytes for each shingle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -133,7 +139,7 @@ def member_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 at += len(sets)
 
     few = ids.count() <= MAX_BROADCAST_IDS
-    met = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where("text is not null").join(F.broadcast(ids) if few else ids, "rep")
+    met = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where("text is not null").join(F.broadcast(ids) if few else ids, "doc")
     return met.select("rep", "digest", "text").mapInPandas(run, "rep long, shingles binary")
 
 
@@ -173,8 +179,19 @@ def compare(pairs: DataFrame, sets: DataFrame, residues: bool = False) -> DataFr
     return met.select("hub", "task", "kind", "rep", "shingles").mapInPandas(run, "hub long, rep long, n int, shared int, linked boolean, residue binary")
 
 
-def second_round(compared: DataFrame) -> DataFrame:
-    """The pairs (hub, rep) of members of one hub, not both linked to it, that may be linked all the same."""
+def _mate(df: DataFrame, *shared: str) -> DataFrame:
+    """df with _b behind the names of all columns but the shared ones."""
+    return df.select(*[F.col(c).alias(c if c in shared else f"{c}_b") for c in df.columns])
+
+
+def _as_pairs(df: DataFrame) -> DataFrame:
+    return df.select(F.least("rep", "rep_b").alias("hub"), F.greatest("rep", "rep_b").alias("rep")).distinct()
+
+
+def second_round(compared: DataFrame, component: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Which members of one hub may be linked though not both are linked to it: pairs (hub, rep) of members that share a
+    shingle which few have, and the members (hub, rep, n, most, linked) that may be linked through common shingles alone,
+    to members with n of `most` at most. Pairs inside one of the components (node, component) are left out."""
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """A row for each shingle of a residue; the key stands for hub and shingle."""
@@ -186,28 +203,72 @@ def second_round(compared: DataFrame) -> DataFrame:
                 keys = mix(np.frombuffer(b"".join(some["residue"]), np.uint64) ^ np.repeat(hubs, size))
                 yield pd.DataFrame({"key": keys.view(np.int64)} | {c: np.repeat(some[c].to_numpy(), size) for c in ("hub", "rep", "linked")})
 
-    rows = compared.select("hub", "rep", "linked", "residue").mapInPandas(split, "key long, hub long, rep long, linked boolean")
-    holding = W.partitionBy("key")
-    held = rows.withColumns({"holders": F.count(F.lit(1)).over(holding), "apart": F.count_if(~F.col("linked")).over(holding)})
-    held = saved(held.where("holders >= 2 and (holders >= {0} or apart > 0)".format(COMMON)).drop("linked"))
+    rows = compared.where("length(residue) > 0").select("hub", "rep", "linked", "residue").mapInPandas(split, "key long, hub long, rep long, linked boolean")
+    # counted by partial sums and joined with, so that no key's rows have to meet in one task
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("holders"), F.count_if(~F.col("linked")).alias("apart"))
+    shared = saved(shared.where(f"holders >= 2 and (holders >= {COMMON} or apart > 0)"))
+    held = saved(rows.join(shared.drop("apart"), "key"))
     common = held.where(F.col("holders") >= COMMON).groupBy("hub", "rep").agg(F.count(F.lit(1)).cast("int").alias("more"))
     # from here on `shared` is what a document has of the hub's set and of what is common to the hub's members
     members = compared.select("hub", "rep", "n", "shared", "linked").join(common, ["hub", "rep"], "left")
     members = saved(members.withColumn("shared", F.col("shared") + F.coalesce("more", F.lit(0))).drop("more"))
-    rare = held.where(F.col("holders") < COMMON).select("key", "hub", "rep").join(members, ["hub", "rep"])
-    mate = lambda df: df.select(*[F.col(c).alias(f"{c}_b" if c not in ("key", "hub") else c) for c in df.columns])
-    once = (F.col("rep") != F.col("rep_b")) & ~F.col("linked_b")
+    rare = held.where(F.col("holders") < COMMON).select("key", "hub", "rep").join(_labelled(members, component), ["hub", "rep"])
     room = F.least("shared", "shared_b") + F.least(F.col("n") - F.col("shared"), F.col("n_b") - F.col("shared_b"))
-    possible = 7 * room >= 3 * (F.col("n") + F.col("n_b"))
-    meeting = rare.join(mate(rare.where("not linked")), ["key", "hub"]).where(once & possible).select("rep", "rep_b")
+    possible = (7 * room >= 3 * (F.col("n") + F.col("n_b"))) & (F.col("component") != F.col("component_b"))
+    meeting = _as_pairs(rare.join(_mate(rare.where("not linked"), "key", "hub"), ["key", "hub"]).where(possible))
     # without a rare shingle in common, both must have enough of what is common: n <= most_b and n_b <= most
     reach = members.withColumn("most", F.expr("7 * shared div 3") - F.col("n"))
     bounds = reach.groupBy("hub").agg(F.min("n").alias("least_n"), F.max(F.when(~F.col("linked"), F.col("most"))).alias("most_most"))
     near = reach.join(bounds, "hub").where((F.col("most") >= F.col("least_n")) & ((F.col("n") <= F.col("most_most")) | ~F.col("linked")))
-    near = saved(near.drop("least_n", "most_most"))
-    inside = near.join(mate(near.where("not linked")), "hub").where(once & (F.col("n") <= F.col("most_b")) & (F.col("n_b") <= F.col("most"))).select("rep", "rep_b")
-    pairs = meeting.unionByName(inside).select(F.least("rep", "rep_b").alias("hub"), F.greatest("rep", "rep_b").alias("rep"))
-    return pairs.distinct()
+    return meeting, near.select("hub", "rep", "n", "most", "linked")
+
+
+def _labelled(members: DataFrame, component: DataFrame) -> DataFrame:
+    """members with their component, which is the member itself where it has no links."""
+    named = component.select(F.col("node").alias("rep"), "component")
+    return members.join(named, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+
+def _apart(near: DataFrame, component: DataFrame) -> tuple[DataFrame, int, int]:
+    """near, labelled, of the hubs whose members are in several components; how many those members are, and their pairs
+    of different components."""
+    labelled = _labelled(near, component)
+    sizes = labelled.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("k"))
+    hubs = saved(sizes.groupBy("hub").agg(F.sum("k").alias("members"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs")).where("pairs > 0"))
+    n, pairs = hubs.agg(F.coalesce(F.sum("members"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0.0))).first()
+    return saved(labelled.join(hubs.select("hub", "members"), "hub")), int(n), int(pairs)
+
+
+def size_class() -> Column:
+    """Linked sets are of one class of sizes or of two next to each other."""
+    return F.floor(F.log("n") / math.log(100.01 / LINK_PERCENT)).cast("int")
+
+
+def _fits() -> Column:
+    return (F.col("component") != F.col("component_b")) & (F.col("n") <= F.col("most_b")) & (F.col("n_b") <= F.col("most"))
+
+
+def further_hubs(apart: DataFrame) -> DataFrame:
+    """(hub, class, rep): for each hub and class of sizes the member that isn't linked to the hub and has most of its set in
+    common with others."""
+    free = apart.where("not linked").withColumn("class", size_class())
+    return free.groupBy("hub", "class").agg(F.max_by("rep", F.struct((F.col("most") / F.col("n")).alias("part"), "rep")).alias("rep"))
+
+
+def with_further_hubs(apart: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Pairs (hub, rep) of the chosen members with those of their hub that they may be linked to."""
+    own = apart.join(chosen.select("hub", "rep", "class"), ["hub", "rep"])
+    own = own.withColumn("class", F.explode(F.sequence(F.col("class") - 1, F.col("class") + 1)))
+    return _as_pairs(apart.withColumn("class", size_class()).join(_mate(own, "hub", "class"), ["hub", "class"]).where(_fits()))
+
+
+def pairs_apart(apart: DataFrame) -> DataFrame:
+    """All pairs of members of one hub that may be linked and aren't connected. A hub's members are dealt to as many tasks
+    as it takes for each to pair PAIRED of them with the others."""
+    tasks = F.ceil(F.col("members") / PAIRED).cast("int")
+    dealt = apart.withColumns({"class": size_class(), "task": F.pmod(F.xxhash64("rep"), tasks).cast("int")})
+    copied = apart.where("not linked").withColumn("class", F.explode(F.sequence(size_class() - 1, size_class() + 1))).withColumn("task", F.explode(F.sequence(F.lit(0), tasks - 1)))
+    return _as_pairs(dealt.join(_mate(copied, "hub", "class", "task"), ["hub", "class", "task"]).where(_fits()))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -236,48 +297,83 @@ def components(edges: DataFrame) -> DataFrame:
 
 def find_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """(u, v): links between representatives by which all that are linked are connected."""
-    keys = keyed(reps).withColumn("size", F.count(F.lit(1)).over(W.partitionBy("key")))
-    held = saved(keys.where("size > 1"))
+    keys = keyed(reps)
+    # counted by partial sums and joined with, so that a key of very many sets is one that Spark can split
+    shared = saved(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    held = saved(keys.join(shared, "key"))
     degree = held.groupBy("rep").agg(F.sum("size").alias("degree"))
-    candidates = saved(degree.join(reps.select("rep", "digest"), "rep"))
-    sets = saved(member_sets(docs, candidates.select("rep", "digest")))
+    candidates = saved(degree.join(reps.select("rep", "doc", "digest"), "rep"))
+    sets = saved(member_sets(docs, candidates.select("rep", "doc", "digest")))
     # a key's hub is the best that any of its members meets under any key, so that a group of copies has few of them
-    rank = F.struct("degree", (-F.col("rep")).alias("order"), F.col("rep").alias("hub"))
-    top = held.join(candidates.select("rep", rank.alias("rank")), "rep").groupBy("key").agg(F.max("rank").alias("rank"))
+    rank = F.struct("degree", F.col("rep").alias("hub"))
+    top = saved(held.join(candidates.select("rep", rank.alias("rank")), "rep").groupBy("key").agg(F.max("rank").alias("rank")))
     met = held.join(top, "key").groupBy("rep").agg(F.max("rank").alias("rank"))
     hubs = held.join(met, "rep").groupBy("key").agg(F.max("rank").alias("rank")).select("key", "rank.hub")
-    pairs = saved(held.join(hubs, "key").where("rep <> hub").select("hub", "rep").distinct())
+    # members meet their key's own best as well: a document between two groups may have led their keys to the other's hub
+    both = hubs.unionByName(top.select("key", "rank.hub")).distinct()
+    pairs = saved(held.join(both, "key").where("rep <> hub").select("hub", "rep").distinct())
     compared = saved(compare(pairs, sets, residues=True))
-    rest = saved(second_round(compared))
-    later = compare(rest, sets).where("linked and hub <> rep")
-    return compared.where("linked and hub <> rep").select(F.col("hub").alias("u"), F.col("rep").alias("v")).unionByName(later.select(F.col("hub").alias("u"), F.col("rep").alias("v")))
+
+    def linked(compared: DataFrame) -> DataFrame:
+        return compared.where("linked and hub <> rep").select(F.col("hub").alias("u"), F.col("rep").alias("v"))
+
+    links = linked(compared)
+    component = saved(components(links))
+    meeting, near = second_round(compared, component)
+    links = links.unionByName(saved(linked(compare(saved(meeting), sets))))
+    near = saved(near)
+    for _ in range(ROUNDS):
+        apart, n, pairs = _apart(near, component)
+        if pairs <= PAIRS_PER_MEMBER * n:
+            break
+        chosen = saved(further_hubs(apart))
+        links = saved(links.unionByName(linked(compare(saved(with_further_hubs(apart, chosen)), sets))))
+        near = saved(near.join(chosen, ["hub", "rep"], "left_anti"))
+        component = saved(components(links))
+    else:
+        apart, n, pairs = _apart(near, component)
+    return links.unionByName(linked(compare(saved(pairs_apart(apart)), sets))) if pairs else links
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, t, n_shingles, component_id) of each row of docs; t is a hash of its text."""
+    rows = saved(sketch(docs))
+    full = rows.where("digest is not null and doc_id is not null")
+    reps = full.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("signature").alias("signature"))
+    reps = saved(reps.withColumn("rep", F.xxhash64("digest")))
+    found = components(find_links(docs, reps))
+    named = saved(reps.select("digest", "rep", "doc").join(found, F.col("rep") == F.col("node"), "left").select("digest", "doc", F.coalesce("component", "rep").alias("component")))
+    first = named.groupBy("component").agg(F.min("doc").alias("component_id"))
+    named = saved(named.join(first, "component").select("digest", "component_id"))
+    out = rows.select("doc_id", "t", "n_shingles", "digest").join(named, "digest", "left")
+    own = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "t", "n_shingles", own.cast("long").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of docs (doc_id, text; other columns are not looked at).
 
-    Rows with equal shingle sets are one class, which its smallest doc_id stands for. Links are those of
-    100 * intersection >= 75 * union of the whole sets, of 64-bit hashes of shingles.
+    Rows with equal shingle sets are one class. Links are those of 100 * intersection >= 75 * union of the whole sets, of
+    64-bit hashes of shingles. A component is named by its smallest doc_id.
 
     Null and empty texts have no shingles and are their own component. Rows without doc_id are linked with nothing, have
     a null component and are kept. Rows that repeat a doc_id are documents of their own with one id. An empty table gives an
     empty result.
     """
-    rows = saved(sketch(docs))
-    full = rows.where("digest is not null and doc_id is not null")
-    reps = saved(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")))
-    component = saved(components(find_links(docs, reps)))
-    named = reps.select("digest", "rep").join(component, F.col("rep") == F.col("node"), "left")
-    named = saved(named.select("digest", F.coalesce("component", "rep").alias("component_id")))
-    out = rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    own = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", own.cast("long").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return classes(docs).drop("t").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each component of docs, that with the smallest doc_id, and all rows without doc_id. Rows that
-    repeat the doc_id of a document that stays are taken once, the first in order of a hash of the text."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
-    met = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    first = met.withColumn("_place", F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("_place = 1").drop("_place")
-    return first.unionByName(docs.where("doc_id is null"))
+    """One document of each component of docs, that with the smallest doc_id, and all rows without doc_id.
+
+    Where rows repeat that doc_id with several texts of the component, the text with the smallest hash stays; of rows that
+    repeat a text as well, the first in order of a hash of all columns. Other components judge rows of that doc_id for
+    themselves, empty texts of it among one another.
+    """
+    kept = classes(docs).where("doc_id = component_id").groupBy("component_id", (F.col("n_shingles") == 0).alias("bare")).agg(F.min("t").alias("_nd_kept"))
+    kept = kept.select(F.col("component_id").alias("_nd_id"), "_nd_kept")
+    marked = docs.withColumn("_nd_text", F.xxhash64(F.coalesce("text", F.lit(""))))
+    met = marked.join(kept, (F.col("doc_id") == F.col("_nd_id")) & (F.col("_nd_text") == F.col("_nd_kept")), "left_semi")
+    order = W.partitionBy("doc_id", "_nd_text").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    first = met.withColumn("_nd_place", F.row_number().over(order)).where("_nd_place = 1")
+    return first.drop("_nd_place", "_nd_text").unionByName(docs.where("doc_id is null"))

@@ -66,6 +66,32 @@ def test_groups_with_chains_and_shared_lines(spark):
     compare(spark, rows)
 
 
+@pytest.mark.parametrize("pairs_per_member", [0, 8])
+def test_template_families(spark, monkeypatch, pairs_per_member):
+    """Texts of one template with 10 to 30 % of their own, around the bound, and a long one that bridges two families."""
+    monkeypatch.setattr(neardup, "PAIRS_PER_MEMBER", pairs_per_member)
+    monkeypatch.setattr(neardup, "PAIRED", 8)
+    r, rows = random.Random(11), []
+    for family in range(2):
+        template = [f"t{family}w{k}" for k in range(200)]
+        for _ in range(70):
+            own = [f"o{len(rows)}x{k}" for k in range(r.randint(20, 75))]
+            rows.append((len(rows), " ".join([*template, *own] if len(rows) % 3 else [*own, *template])))
+    rows.append((len(rows), rows[3][1] + " " + rows[80][1]))
+    rows += [(len(rows) + k, " ".join(r.sample([f"t0w{k}" for k in range(200)], 150))) for k in range(20)]
+    r.shuffle(rows)
+    compare(spark, rows)
+
+
+def test_a_doc_id_with_several_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(0, a, 1), (5, a + " z", 2), (5, b, 3), (5, b, 4), (5, "", 5), (5, None, 6), (7, c, 7), (8, c + " z", 8), (None, c, 9)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, n int"))
+    assert sorted((r["doc_id"], r["component_id"]) for r in got.where("n_shingles > 0 and doc_id is not null").collect()) == [(0, 0), (5, 0), (5, 5), (5, 5), (7, 7), (8, 7)]
+    left = neardup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, n int"))
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"] or "") for r in left.collect()) == sorted([(0, a), (5, b), (5, ""), (7, c), (-1, c)])
+
+
 def test_exact_bound(spark):
     """Three shingles of four are 75 %, which links; one less doesn't."""
     a = " ".join(f"w{i}" for i in range(7))
