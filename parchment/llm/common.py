@@ -47,13 +47,26 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{sc.getCheckpointDir().rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: Folders that saved() has written and that weren't discarded, in order.
+written: list[str] = []
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back, which cuts its lineage."""
     spark, path = df.sparkSession, shared_folder(df.sparkSession)
     df.write.parquet(path)
+    written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, folders: list[str]) -> None:
+    """Deletes folders of saved() that nothing reads any more."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        written.remove(folder)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

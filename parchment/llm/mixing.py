@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -112,6 +114,12 @@ def mix_plan(docs: DataFrame, text: str = "text", source: str = "source", key: s
     result depends on the rows and parameters alone. Rows that agree in key, source and size stand side by side and
     share what is taken from them evenly. An empty table gives an empty result; other columns are not looked at.
     """
+    return _plan(docs, text, source, key, weights, share, max_epochs, block_words, seed).drop("epoch_slots")
+
+
+def _plan(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights=WEIGHTS, share: float = SHARE,
+          max_epochs: int = MAX_EPOCHS, block_words: int = BLOCK_WORDS, seed: int = 0) -> DataFrame:
+    """As mix_plan, with epoch_slots: the first slot that reads the row each time that its source comes round."""
     spark_docs = docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), count_words(F.col(text)).alias("size"))
     entries = saved(
         spark_docs.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("copies")).withColumn("entry_size", F.col("size") * F.col("copies"))
@@ -131,24 +139,28 @@ def mix_plan(docs: DataFrame, text: str = "text", source: str = "source", key: s
     pieces = laid.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(_block_of(F.col("start")), _block_of(F.col("end") - 1)))))
     rank = schedule(blocks).join(blocks, "src")
     epoch, k = F.expr("rank div n_blocks"), F.col("rank") % F.col("n_blocks")
-    slots = rank.select("src", "slot", k.alias("block"), F.least(_start(k + 1), F.col("goal") - epoch * F.col("source_size")).alias("upto"))
+    slots = rank.select("src", "slot", epoch.alias("epoch"), k.alias("block"), F.least(_start(k + 1), F.col("goal") - epoch * F.col("source_size")).alias("upto"))
     first = F.greatest(F.col("start"), _start(F.col("block")))
     last = F.least(F.col("end"), _start(F.col("block") + 1), F.col("upto"))
     read = pieces.join(slots, ["src", "block"], "left").withColumn("n", F.when(F.col("slot").isNotNull(), F.greatest(F.lit(0), last - first)).otherwise(0))
     return (
         read.groupBy("doc_id", "source", "size", "copies", "source_size", "target")
-        .agg(F.sum("n").alias("n"), F.min(F.when(F.col("n") > 0, F.col("slot"))).alias("first_slot"))
+        .agg(
+            F.sum("n").alias("n"), F.min(F.when(F.col("n") > 0, F.col("slot"))).alias("first_slot"),
+            F.array(*[F.min(F.when((F.col("n") > 0) & (F.col("epoch") == e), F.col("slot"))) for e in range(math.ceil(max_epochs))]).alias("epoch_slots"),
+        )
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-        .select("doc_id", "source", "size", "source_size", "target", F.expr("n div copies").alias("taken"), "first_slot")
-    )
+        .select("doc_id", "source", "size", "source_size", "target", F.expr("n div copies").alias("taken"), "first_slot", "epoch_slots")
+    )
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document of docs (doc_id, text, source, n_chars and any others) as often as mix_plan takes
-    it whole, and its first words where the mix ends inside it. Columns as in docs; rows of one key are taken alike."""
-    plan = mix_plan(docs, **options).groupBy("doc_id", "source", "size").agg(F.min("taken").alias("m_taken"))
-    plan = plan.select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), "m_taken").where("m_taken > 0")
-    sized = without(docs, "m_id", "m_source", "m_size", "m_taken", "m_copy").withColumn("m_words", count_words(F.col("text")))
+    """The mix itself, in the order of the schedule: each document of docs (doc_id, text, source, n_chars and any others)
+    as often as mix_plan takes it whole, and its first words where the mix ends inside it. Columns as in docs; rows of one
+    key are taken alike. A document stands where the first slot that reads it does, each time anew."""
+    plan = _plan(docs, **options).groupBy("doc_id", "source", "size").agg(F.min("taken").alias("m_taken"), F.first("epoch_slots").alias("m_slots"))
+    plan = plan.select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), "m_taken", "m_slots").where("m_taken > 0")
+    sized = without(docs, "m_id", "m_source", "m_size", "m_taken", "m_slots", "m_copy").withColumn("m_words", count_words(F.col("text")))
     met = sized.join(plan, F.col("doc_id").eqNullSafe(F.col("m_id")) & F.col("source").eqNullSafe(F.col("m_source")) & (F.col("m_words") == F.col("m_size")))
     each = met.withColumn("m_copy", F.explode(F.sequence(F.lit(1), F.expr("(m_taken + m_size - 1) div m_size").cast("int"))))
     left = F.least(F.col("m_size"), F.col("m_taken") - (F.col("m_copy") - 1) * F.col("m_size"))
@@ -156,4 +168,4 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     each = each.withColumn("text", cut)
     if "n_chars" in docs.columns:
         each = each.withColumn("n_chars", F.length("text").cast("long"))
-    return each.select(*docs.columns)
+    return each.orderBy(F.get("m_slots", F.col("m_copy") - 1), "m_id").select(*docs.columns)

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parchment.llm import neardup
+from parchment.llm import common, neardup
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -126,13 +126,17 @@ def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
     docs.write.parquet(str(tmp_path / "documents.parquet"))
+    began = len(common.written)
     spark.createDataFrame([(i, 1) for i in range(0, 60, 2)] + [(82, 0)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path))
-    assert got.count() > 0 and got.where("not decoded_equal").count() == 0
+    held, folders = got.count(), [*common.written]
+    assert held > 0 and got.where("not decoded_equal").count() == 0
+    assert len(folders) == began + 1  # of what run() wrote, only what its result reads is left
     at = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
         after = stage(spark, at, str(tmp_path))
-        assert after.columns == docs.columns, name
+        assert after.columns == docs.columns and after.where("kept and score = 1.5").count() == after.count(), name
+        assert name == "near-duplicates" or after.where("n_chars <> length(text)").count() == 0
         assert set(r["doc_id"] for r in after.collect()) <= set(r["doc_id"] for r in at.collect())
         at = after.cache()
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(r["doc_id"] for r in at.collect())

@@ -118,3 +118,14 @@ def test_mixed_documents(docs, empty):
     twice = mixing.mix_plan(docs.unionByName(docs))
     assert twice.count() == 2 * docs.count() and twice.where("taken > 2 * size").count() == 0
     assert mixing.mix_plan(docs.withColumn("doc_id", F.lit(None).cast("long"))).count() == docs.count()
+
+
+def test_the_mix_is_in_the_order_of_the_schedule(docs):
+    plan = {r["doc_id"]: r for r in mixing._plan(docs, block_words=16).collect()}
+    got = [r["doc_id"] for r in mixing.mix_documents(docs, block_words=16).collect()]
+    seen, slots = Counter(), []
+    for i in got:
+        slots.append(plan[i]["epoch_slots"][seen[i]])
+        seen[i] += 1
+    assert None not in slots and slots == sorted(slots) and len(set(got[:40])) > 30
+    assert all(plan[i]["first_slot"] == min(s for s in plan[i]["epoch_slots"] if s is not None) for i in seen)
