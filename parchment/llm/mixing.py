@@ -155,9 +155,12 @@ def _plan(docs: DataFrame, text: str = "text", source: str = "source", key: str
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself, in the order of the schedule: each document of docs (doc_id, text, source, n_chars and any others)
-    as often as mix_plan takes it whole, and its first words where the mix ends inside it. Columns as in docs; rows of one
-    key are taken alike. A document stands where the first slot that reads it does, each time anew."""
+    """The mix itself: each document of docs (doc_id, text, source, n_chars and any others) as often as mix_plan takes it
+    whole, and its first words where the mix ends inside it. Columns as in docs; rows of one key are taken alike.
+
+    Each partition is in the order of the schedule: a document stands where the first slot that reads it does, each time
+    anew. Partitions of a large table are dealt by a hash of the document, so each is a small mix of its own.
+    """
     plan = _plan(docs, **options).groupBy("doc_id", "source", "size").agg(F.min("taken").alias("m_taken"), F.first("epoch_slots").alias("m_slots"))
     plan = plan.select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), "m_taken", "m_slots").where("m_taken > 0")
     sized = without(docs, "m_id", "m_source", "m_size", "m_taken", "m_slots", "m_copy").withColumn("m_words", count_words(F.col("text")))
@@ -168,4 +171,4 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     each = each.withColumn("text", cut)
     if "n_chars" in docs.columns:
         each = each.withColumn("n_chars", F.length("text").cast("long"))
-    return each.orderBy(F.get("m_slots", F.col("m_copy") - 1), "m_id").select(*docs.columns)
+    return each.sortWithinPartitions(F.get("m_slots", F.col("m_copy") - 1), "m_id").select(*docs.columns)

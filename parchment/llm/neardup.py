@@ -45,7 +45,7 @@ MEMBERS_PER_TASK = 128
 #: Members of a hub that have a shingle which the hub lacks, from which on it counts as common to them.
 COMMON = 16
 #: Pairs for each member that are compared without a further hub; rounds of further hubs; members of a hub paired in one task.
-PAIRS_PER_MEMBER, ROUNDS, PAIRED = 8, 4, 256
+PAIRS_PER_MEMBER, ROUNDS, PAIRED = 16, 3, 256
 
 N_HASHES = CHUNKS * CHUNK_LEN
 _RANDOM = np.random.default_rng(20_240_229)
@@ -229,21 +229,30 @@ def _labelled(members: DataFrame, component: DataFrame) -> DataFrame:
     return members.join(named, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
 
-def _apart(near: DataFrame, component: DataFrame) -> tuple[DataFrame, int, int]:
-    """near, labelled, of the hubs whose members are in several components; how many those members are, and their pairs
-    of different components."""
-    labelled = _labelled(near, component)
-    sizes = labelled.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("k"))
-    hubs = saved(sizes.groupBy("hub").agg(F.sum("k").alias("members"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs")).where("pairs > 0"))
-    n, pairs = hubs.agg(F.coalesce(F.sum("members"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0.0))).first()
-    return saved(labelled.join(hubs.select("hub", "members"), "hub")), int(n), int(pairs)
-
-
 def size_class() -> Column:
     """Linked sets are of one class of sizes or of two next to each other."""
     return F.floor(F.log("n") / math.log(100.01 / LINK_PERCENT)).cast("int")
 
 
+def _apart(near: DataFrame) -> tuple[DataFrame, int, int]:
+    """The labelled members of near that a member of another component, of a class of sizes next to theirs, may be linked to,
+    with their class and how many such members there are; how many they are, and how many pairs at most."""
+    classed = near.withColumn("class", size_class())
+    per = classed.groupBy("hub", "class").agg(
+        F.min("n").alias("least_n"), F.max("most").alias("most_most"), F.min("component").alias("first"), F.max("component").alias("last"),
+        F.count(F.lit(1)).alias("members"), F.count_if(~F.col("linked")).alias("free"),
+    )
+    per = per.withColumn("class", F.explode(F.sequence(F.col("class") - 1, F.col("class") + 1))).groupBy("hub", "class").agg(
+        F.min("least_n").alias("least_n"), F.max("most_most").alias("most_most"), F.min("first").alias("first"), F.max("last").alias("last"),
+        F.sum("members").alias("members"), F.sum("free").alias("free"),
+    )
+    other = (F.col("first") != F.col("component")) | (F.col("last") != F.col("component"))
+    met = classed.join(per.where("free > 0"), ["hub", "class"]).where(other & (F.col("least_n") <= F.col("most")) & (F.col("most_most") >= F.col("n")))
+    apart = saved(met.drop("least_n", "most_most", "first", "last", "free"))
+    n, pairs = apart.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(~F.col("linked"), F.col("members"))), F.lit(0))).first()
+    return apart, n, pairs
+
+
 def _fits() -> Column:
     return (F.col("component") != F.col("component_b")) & (F.col("n") <= F.col("most_b")) & (F.col("n_b") <= F.col("most"))
 
@@ -251,26 +260,37 @@ def _fits() -> Column:
 def further_hubs(apart: DataFrame) -> DataFrame:
     """(hub, class, rep): for each hub and class of sizes the member that isn't linked to the hub and has most of its set in
     common with others."""
-    free = apart.where("not linked").withColumn("class", size_class())
+    free = apart.where("not linked")
     return free.groupBy("hub", "class").agg(F.max_by("rep", F.struct((F.col("most") / F.col("n")).alias("part"), "rep")).alias("rep"))
 
 
 def with_further_hubs(apart: DataFrame, chosen: DataFrame) -> DataFrame:
     """Pairs (hub, rep) of the chosen members with those of their hub that they may be linked to."""
-    own = apart.join(chosen.select("hub", "rep", "class"), ["hub", "rep"])
-    own = own.withColumn("class", F.explode(F.sequence(F.col("class") - 1, F.col("class") + 1)))
-    return _as_pairs(apart.withColumn("class", size_class()).join(_mate(own, "hub", "class"), ["hub", "class"]).where(_fits()))
+    own = apart.join(chosen, ["hub", "class", "rep"]).withColumn("class", F.explode(F.sequence(F.col("class") - 1, F.col("class") + 1)))
+    return _as_pairs(apart.join(_mate(own, "hub", "class"), ["hub", "class"]).where(_fits()))
 
 
 def pairs_apart(apart: DataFrame) -> DataFrame:
     """All pairs of members of one hub that may be linked and aren't connected. A hub's members are dealt to as many tasks
     as it takes for each to pair PAIRED of them with the others."""
     tasks = F.ceil(F.col("members") / PAIRED).cast("int")
-    dealt = apart.withColumns({"class": size_class(), "task": F.pmod(F.xxhash64("rep"), tasks).cast("int")})
-    copied = apart.where("not linked").withColumn("class", F.explode(F.sequence(size_class() - 1, size_class() + 1))).withColumn("task", F.explode(F.sequence(F.lit(0), tasks - 1)))
+    copied = apart.where("not linked").withColumn("class", F.explode(F.sequence(F.col("class") - 1, F.col("class") + 1))).select("hub", "class", "rep", "n", "most", "linked", "component")
+    split = apart.groupBy("hub", "class").agg(F.max(tasks).alias("tasks"))
+    copied = copied.join(split, ["hub", "class"]).withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
+    dealt = apart.withColumn("task", F.pmod(F.xxhash64("rep"), tasks).cast("int"))
     return _as_pairs(dealt.join(_mate(copied, "hub", "class", "task"), ["hub", "class", "task"]).where(_fits()))
 
 
+def relabelled(apart: DataFrame, links: DataFrame) -> DataFrame:
+    """apart with the components that links (u, v) join under one name, as far as one step leads: members that agree in it
+    are connected."""
+    names = apart.select("rep", "component").distinct()
+    u, v = names.select(F.col("rep").alias("u"), F.col("component").alias("cu")), names.select(F.col("rep").alias("v"), F.col("component").alias("cv"))
+    joined = links.join(u, "u").join(v, "v").select(F.greatest("cu", "cv").alias("component"), F.least("cu", "cv").alias("lower")).where("component <> lower")
+    lower = joined.groupBy("component").agg(F.min("lower").alias("lower"))
+    return apart.join(lower, "component", "left").withColumn("component", F.coalesce("lower", "component")).drop("lower")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of edges (u, v): the smallest node reachable.
 
@@ -321,17 +341,14 @@ def find_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     component = saved(components(links))
     meeting, near = second_round(compared, component)
     links = links.unionByName(saved(linked(compare(saved(meeting), sets))))
-    near = saved(near)
+    apart, n, pairs = _apart(_labelled(near, component))
     for _ in range(ROUNDS):
-        apart, n, pairs = _apart(near, component)
         if pairs <= PAIRS_PER_MEMBER * n:
             break
         chosen = saved(further_hubs(apart))
-        links = saved(links.unionByName(linked(compare(saved(with_further_hubs(apart, chosen)), sets))))
-        near = saved(near.join(chosen, ["hub", "rep"], "left_anti"))
-        component = saved(components(links))
-    else:
-        apart, n, pairs = _apart(near, component)
+        found = saved(linked(compare(saved(with_further_hubs(apart, chosen)), sets)))
+        links = links.unionByName(found)
+        apart, n, pairs = _apart(relabelled(apart.drop("class", "members"), found).join(chosen, ["hub", "rep"], "left_anti"))
     return links.unionByName(linked(compare(saved(pairs_apart(apart)), sets))) if pairs else links
 
 

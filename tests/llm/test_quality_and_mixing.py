@@ -122,10 +122,14 @@ def test_mixed_documents(docs, empty):
 
 def test_the_mix_is_in_the_order_of_the_schedule(docs):
     plan = {r["doc_id"]: r for r in mixing._plan(docs, block_words=16).collect()}
-    got = [r["doc_id"] for r in mixing.mix_documents(docs, block_words=16).collect()]
-    seen, slots = Counter(), []
-    for i in got:
-        slots.append(plan[i]["epoch_slots"][seen[i]])
-        seen[i] += 1
-    assert None not in slots and slots == sorted(slots) and len(set(got[:40])) > 30
+    got, seen = [r["doc_id"] for r in mixing.mix_documents(docs.coalesce(1), block_words=16).coalesce(1).collect()], Counter()
+    rows = mixing.mix_documents(docs, block_words=16).withColumn("part", F.spark_partition_id()).collect()
+    for part in {r["part"] for r in rows}:
+        some, own, slots = [r["doc_id"] for r in rows if r["part"] == part], Counter(), []
+        for i in some:
+            slots.append(plan[i]["epoch_slots"][own[i]])
+            own[i] += 1
+        assert None not in slots and slots == sorted(slots)
+        seen += own
+    assert Counter(got) == seen and len(seen) > 60
     assert all(plan[i]["first_slot"] == min(s for s in plan[i]["epoch_slots"] if s is not None) for i in seen)
