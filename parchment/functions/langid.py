@@ -22,9 +22,20 @@ def _char_class(script: str, compat: str | None) -> str:
     return "".join(f"\\u{a:04X}-\\u{b:04X}" for a, b in SCRIPT_RANGES[script])
 
 
+def _counts(text: Column, compat: str | None) -> Column:
+    """How many characters of a text each of SCRIPT_RANGES has, in order."""
+
+    def count(foreign: Column) -> Column:
+        letters = F.length(F.regexp_replace(text, f"[^{LATIN_LETTERS}]+", ""))
+        latin = F.length(text) - F.length(foreign) if compat == "reference" else letters
+        return F.array(*[latin if s == "Latin" else F.length(F.regexp_replace(foreign, f"[^{_char_class(s, compat)}]+", "")) for s in SCRIPT_RANGES])
+
+    return let(F.regexp_replace(text, f"[{_char_class('Latin', 'reference')}]+", ""), count)  # all other scripts are beyond it
+
+
 def script_counts(text: Column, compat: str | None = "reference") -> dict[str, Column]:
     """How many characters of a text each script has."""
-    return {s: F.length(F.regexp_replace(text, f"[^{_char_class(s, compat)}]", "")) for s in SCRIPT_RANGES}
+    return {s: let(text, lambda t: _counts(t, compat))[i] for i, s in enumerate(SCRIPT_RANGES)}
 
 
 def _first(text: Column, script: str, compat: str | None) -> Column:
@@ -35,15 +46,16 @@ def _first(text: Column, script: str, compat: str | None) -> Column:
 def dominant(text: Column, compat: str | None = "reference") -> Column:
     """struct(script, share of all characters of known scripts); the script that comes first wins a tie; without such
     characters Unknown and 0."""
-    counts = script_counts(text, compat)
-    rows = F.array(*[F.struct(n.alias("n"), (-_first(text, s, compat)).alias("p"), F.lit(s).alias("script")) for s, n in counts.items()])
-    return let(
-        F.struct(F.array_max(rows).alias("top"), reduce(lambda a, b: a + b, counts.values()).alias("total")),
-        lambda x: F.struct(
-            F.when(x["total"] == 0, "Unknown").otherwise(x["top"]["script"]).alias("script"),
-            F.when(x["total"] == 0, 0.0).otherwise(x["top"]["n"] / x["total"]).alias("share"),
-        ),
-    )
+    names = F.array(*[F.lit(s) for s in SCRIPT_RANGES])
+
+    def choose(t: Column, n: Column) -> Column:
+        most, total = F.array_max(n), F.aggregate(n, F.lit(0), lambda a, b: a + b)
+        tie = F.size(F.filter(n, lambda x: x == most)) > 1
+        rows = F.array(*[F.struct(n[i].alias("n"), (-_first(t, s, compat)).alias("p"), F.lit(s).alias("script")) for i, s in enumerate(SCRIPT_RANGES)])
+        name = F.when(tie, F.array_max(rows)["script"]).otherwise(F.element_at(names, F.array_position(n, most).cast("int")))
+        return F.when(most == 0, F.struct(F.lit("Unknown").alias("script"), F.lit(0.0).alias("share"))).otherwise(F.struct(name.alias("script"), (most / total).alias("share")))
+
+    return let(text, lambda t: let(_counts(t, compat), lambda n: choose(t, n)))
 
 
 def script(text: Column, compat: str | None = "reference") -> Column:
@@ -68,7 +80,7 @@ def _answer(language: Column, confidence: Column, stage: str) -> Column:
 def by_keywords(text: Column) -> Column:
     """The language with the largest share of keywords, first ones among equals, at half that share; the fallback
     if no keyword occurs."""
-    top = F.array_max(keyword_scores(F.lower(text), list(LANGUAGE_KEYWORDS)))
+    top = let(F.lower(text), lambda t: F.array_max(keyword_scores(t, list(LANGUAGE_KEYWORDS))))
     return let(
         top,
         lambda t: F.when(t["score"] > 0, _answer(t["language"], t["score"] * 0.5, "keywords")).otherwise(
@@ -84,24 +96,27 @@ def by_script(text: Column, compat: str | None = "reference") -> Column:
     for language, name in LANGUAGE_SCRIPT.items():
         of_script.setdefault(name, []).append(language)
 
-    def of_several(d: Column, languages: list[str]) -> Column:
+    def of_several(text: Column, d: Column, languages: list[str]) -> Column:
         plain = _answer(F.lit(languages[0]), d["share"] * 0.5, "script")
         told = lambda t: _answer(t["language"], (d["share"] + t["score"]) / 2, "script")
-        return let(F.array_max(keyword_scores(F.lower(text), languages)), lambda t: F.when(t["score"] > 0, told(t)).otherwise(plain))
+        return let(let(F.lower(text), lambda t: F.array_max(keyword_scores(t, languages))), lambda t: F.when(t["score"] > 0, told(t)).otherwise(plain))
 
-    def choose(d: Column) -> Column:
+    def choose(text: Column, d: Column) -> Column:
         out = _answer(F.lit(FALLBACK), F.lit(0.0), "script")
         for name, languages in of_script.items():
-            found = _answer(F.lit(languages[0]), d["share"], "script") if len(languages) == 1 else of_several(d, languages)
+            found = _answer(F.lit(languages[0]), d["share"], "script") if len(languages) == 1 else of_several(text, d, languages)
             out = F.when(d["script"] == name, found).otherwise(out)
         return out
 
-    return let(dominant(text, compat), choose)
+    return let(text, lambda t: let(dominant(t, compat), lambda d: choose(t, d)))
 
 
 def identify(text: Column, compat: str | None = "reference", min_confidence: float = MIN_CONFIDENCE) -> Column:
     """struct(language, confidence, stage): blank texts are the fallback at 0; else what the script says if it is sure
     enough, else what the keywords say."""
-    full = F.coalesce(text, F.lit(""))
-    found = let(by_script(full, compat), lambda s: F.when(s["confidence"] >= min_confidence, s).otherwise(by_keywords(full)))
-    return F.when(F.trim(F.regexp_replace(full, "(?U)\\s+", " ")) == "", _answer(F.lit(FALLBACK), F.lit(0.0), "blank")).otherwise(found)
+
+    def answer(full: Column) -> Column:
+        found = let(by_script(full, compat), lambda s: F.when(s["confidence"] >= min_confidence, s).otherwise(by_keywords(full)))
+        return F.when(~full.rlike("(?U)\\S"), _answer(F.lit(FALLBACK), F.lit(0.0), "blank")).otherwise(found)
+
+    return let(F.coalesce(text, F.lit("")), answer)

@@ -22,9 +22,9 @@ def query(sql: str | None):
     return register
 
 
-#: Pairs of benchmark texts: the first 60 letters, and the same with one word changed, one dropped and one letter more.
-_PAIRS = """p as (select item_id as id, case item_id % 3 when 0 then 'en' when 1 then 'hi' else 'bn' end as lang, substr(text, 1, 60) as reference,
-  case when item_id % 5 = 0 then '' else replace(replace(substr(text, 1, 57), 'the', 'thee'), 'on', 'o') || 'x' end as hypothesis from benchmark)"""
+#: Pairs of benchmark texts: the text, and the same with some words changed and one letter more, or nothing.
+_PAIRS = """p as (select item_id as id, case item_id % 3 when 0 then 'en' when 1 then 'hi' else 'bn' end as lang, text as reference,
+  case when item_id % 5 = 0 then '' else replace(replace(text, 'the', 'thee'), 'on', 'o') || 'x' end as hypothesis from benchmark)"""
 _SYMBOLS = "array_to_string(list_transform({x}, lambda s: chr(list_position({v}, s)::int)), '')"
 
 
@@ -38,24 +38,23 @@ _WORDS = "list_filter(string_split_regex({0}, '\\s+'), lambda s: s <> '')"
 _N = "n as (select id, lang, trim(regexp_replace(reference, '\\s+', ' ', 'g')) as r, trim(regexp_replace(hypothesis, '\\s+', ' ', 'g')) as h from p)"
 _CER = f"case when r = '' then case when h = '' then 0.0 else 1.0 end else {_distance(_CHARS.format('r'), _CHARS.format('h'))} / length(r) end"
 _WER = f"case when r = '' then case when h = '' then 0.0 else 1.0 end else {_distance(_WORDS.format('r'), _WORDS.format('h'))} / len({_WORDS.format('r')}) end"
-_GRAMS = """ga as (select id, substr(r, i, 2) g, count(*) c from n, range(1, 61) t(i) where i < length(r) group by all), gb as (select id, substr(h, i, 2) g, count(*) c from n, range(1, 61) t(i) where i < length(h) group by all),
-o as (select id, sum(least(ga.c, gb.c)) as common from ga join gb using (id, g) group by 1)"""
+_GRAM = "select id, g, count(*) c from (select id, unnest(list_transform(range(1, length({0})), lambda i: substr({0}, i, 2))) as g from n) group by all"
+_GRAMS = f"ga as ({_GRAM.format('r')}), gb as ({_GRAM.format('h')}), o as (select id, sum(least(ga.c, gb.c)) as common from ga join gb using (id, g) group by 1)"
 _F1 = "case when h = '' or r = '' then (h = '' and r = '')::int::double when coalesce(common, 0) = 0 then 0.0 else 2.0 * common / (length(r) - 1 + length(h) - 1) end"
 _MEASURED = f"{_PAIRS}, {_N}, {_GRAMS}, m as (select id, lang, {_CER} as cer, {_WER} as wer, {_F1} as f1 from n left join o using (id))"
 _MEANS = "round(avg(cer), 6) as cer, round(avg(wer), 6) as wer, round(avg(f1), 6) as f1, round(1 - avg(cer), 6) as accuracy, count(*) as n"
 
 
-def pairs(spark, d, letters=60):
-    """As _PAIRS, of whole texts if letters is None."""
-    first = lambda n: F.col("text") if letters is None else F.substring("text", 1, n)
-    t = table(spark, d, "benchmark")
+def pairs(spark, d):
+    """As _PAIRS."""
     lang = F.when(F.col("item_id") % 3 == 0, "en").when(F.col("item_id") % 3 == 1, "hi").otherwise("bn")
-    changed = F.concat(F.replace(F.replace(first((letters or 0) - 3), F.lit("the"), F.lit("thee")), F.lit("on"), F.lit("o")), F.lit("x"))
-    return t.select(F.col("item_id").alias("id"), lang.alias("lang"), first(letters).alias("reference"), F.when(F.col("item_id") % 5 == 0, "").otherwise(changed).alias("hypothesis"))
+    changed = F.concat(F.replace(F.replace("text", F.lit("the"), F.lit("thee")), F.lit("on"), F.lit("o")), F.lit("x"))
+    t = table(spark, d, "benchmark")
+    return t.select(F.col("item_id").alias("id"), lang.alias("lang"), F.col("text").alias("reference"), F.when(F.col("item_id") % 5 == 0, "").otherwise(changed).alias("hypothesis"))
 
 
-def measured(spark, d, letters=60):
-    return quality.pair_metrics(pairs(spark, d, letters))
+def measured(spark, d):
+    return quality.pair_metrics(pairs(spark, d))
 
 
 def rounded(df):
@@ -67,10 +66,10 @@ def txt_normalize(spark, d):
     return table(spark, d, "documents").select("doc_id", T.normalize(F.col("text"), F.col("lang")).alias("normal"))
 
 
-@query("select item_id, text[1:20] || 'क' as bare, text[1:20] || 'ं' as nasal from benchmark")
+@query("select item_id, text || 'क' as bare, text || 'ं' as nasal from benchmark")
 def txt_normalize_indic(spark, d):
-    rows = table(spark, d, "benchmark").withColumn("s", F.substring("text", 1, 20))
-    return rows.select("item_id", T.normalize_indic(F.concat("s", F.lit("क््")), F.lit("bn")).alias("bare"), T.normalize_indic(F.concat("s", F.lit("ँ")), F.lit("hi")).alias("nasal"))
+    bare, nasal = T.normalize_indic(F.concat("text", F.lit("क््")), F.lit("bn")), T.normalize_indic(F.concat("text", F.lit("ँ")), F.lit("hi"))
+    return table(spark, d, "benchmark").select("item_id", bare.alias("bare"), nasal.alias("nasal"))
 
 
 @query("select doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as clean from documents")
@@ -96,14 +95,14 @@ def txt_tokenize(spark, d):
     return rows.select("doc_id", F.size("w").alias("n"), F.coalesce(F.get("w", F.lit(0)), F.lit("")).alias("first_word"))
 
 
-@query("select item_id, string_agg(substr(text, i, 3), '|' order by i) as grams from benchmark, range(1, 19) t(i) group by 1")
+@query("select item_id, case when length(text) < 3 then text else array_to_string(list_transform(range(1, length(text) - 1), lambda i: substr(text, i, 3)), '|') end as grams from benchmark")
 def txt_ngrams(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.array_join(T.ngrams(F.substring("text", 1, 20), 3), "|").alias("grams"))
+    return table(spark, d, "benchmark").select("item_id", F.array_join(T.ngrams(F.col("text"), 3), "|").alias("grams"))
 
 
 @query(f"with {_PAIRS}, {_N} select id, {_distance(_CHARS.format('r'), _CHARS.format('h'))}::int as chars, {_distance(_WORDS.format('r'), _WORDS.format('h'))}::int as words from n")
-def txt_levenshtein(spark, d, letters=60):
-    n = pairs(spark, d, letters).withColumns({c: T.normalize(F.col(c), F.lit("en")) for c in ("reference", "hypothesis")})
+def txt_levenshtein(spark, d):
+    n = pairs(spark, d).withColumns({c: T.normalize(F.col(c), F.lit("en")) for c in ("reference", "hypothesis")})
     return n.select("id", F.levenshtein("reference", "hypothesis").alias("chars"), T.levenshtein_words(T.tokenize(F.col("reference")), T.tokenize(F.col("hypothesis"))).alias("words"))
 
 
@@ -225,61 +224,99 @@ def txt_inr(spark, d):
 
 # languages
 
-_COUNTS = {"Latin": r"[^\x{0000}-\x{024F}]", "Devanagari": r"[^\x{0900}-\x{097F}]"}
-_MIXED = "text[1:200] || case item_id % 3 when 0 then '' when 1 then ' खसरा नंबर मौजा है' else ' খতিয়ান জমি' end"
-_EN = "(" + " + ".join(f"contains(lower(t), '{w}')::int" for w in lookups.LANGUAGE_KEYWORDS["en"]) + f") / {len(lookups.LANGUAGE_KEYWORDS['en'])}"
+_SPELT = (("etaoinshr", "कखगघङचछजझ"), ("etaoinshrdlcum", "কখগঘঙচছজঝটঠডঢণ"))
+_CLASS = {name: "".join(f"\\x{{{a:04X}}}-\\x{{{b:04X}}}" for a, b in spans) for name, spans in lookups.SCRIPT_RANGES.items()}
+_BY_SCRIPT: dict[str, list[str]] = {}
+for _language, _name in lookups.LANGUAGE_SCRIPT.items():
+    _BY_SCRIPT.setdefault(_name, []).append(_language)
+
+
+def _spelt_sql(key: str, text: str = "text") -> str:
+    """Texts as they are, or with some letters of two other scripts, which makes them ever less Latin; each third with keywords."""
+    one, two = (f"translate({text}, '{a}', '{b}')" for a, b in _SPELT)
+    return f"case {key} % 4 when 0 then {text} when 1 then {one} || ' खसरा मौजा है' when 2 then {two} || ' খতিয়ান জমি' else translate({one}, ' .,', '') end"
+
+
+def spelt(key, text="text"):
+    one, two = (F.translate(text, a, b) for a, b in _SPELT)
+    k = F.col(key) % 4
+    return F.when(k == 0, F.col(text)).when(k == 1, F.concat(one, F.lit(" खसरा मौजा है"))).when(k == 2, F.concat(two, F.lit(" খতিয়ান জমি"))).otherwise(F.translate(one, " .,", ""))
+
+
+def _told(languages: list[str]) -> str:
+    """{score, place, language} of the language with the largest share of keywords in lower(t)."""
+    score = lambda x: "(" + " + ".join(["0", *[f"contains(lower(t), '{w}')::int" for w in lookups.LANGUAGE_KEYWORDS.get(x, [])]]) + f") / {max(1, len(lookups.LANGUAGE_KEYWORDS.get(x, [])))}"
+    each = ", ".join("{'score': " + score(x) + f", 'place': {-i}, 'language': '{x}'" + "}" for i, x in enumerate(languages))
+    return f"list_sort([{each}], 'DESC')[1]"
+
 
+def _lid_sql(rows: str) -> str:
+    """CTEs over rows (id, t): d has the dominant script and its share, s what it says, k what keywords say, a the answer."""
+    counts = ", ".join("{'n': length(regexp_replace(t, '[^" + c + "]', '', 'g')), 'p': -length(regexp_extract(t, '(?s)^[^" + c + "]*')), 'script': '" + n + "'}" for n, c in _CLASS.items())
+    several = " ".join(f"when script = '{n}' then {_told(xs)}" for n, xs in _BY_SCRIPT.items() if len(xs) > 1)
+    first = " ".join(f"when script = '{n}' then '{xs[0]}'" for n, xs in _BY_SCRIPT.items())
+    one = ", ".join(f"'{n}'" for n, xs in _BY_SCRIPT.items() if len(xs) == 1)
+    return f"""with t as ({rows}), c as (select id, t, [{counts}] as counts from t),
+    d as (select id, t, case when list_sum(list_transform(counts, lambda x: x.n)) = 0 then 'Unknown' else list_sort(counts, 'DESC')[1].script end as script,
+      coalesce(list_sort(counts, 'DESC')[1].n / nullif(list_sum(list_transform(counts, lambda x: x.n)), 0), 0.0) as share from c),
+    w as (select *, case {several} end as told, case {first} else 'hi' end as first_one from d),
+    s as (select id, t, case when told.score > 0 then told.language else first_one end as language,
+      case when script in ({one}) then share when script = 'Unknown' then 0.0 when told.score > 0 then (share + told.score) / 2 else share * 0.5 end as confidence from w),
+    k as (select id, case when top.score > 0 then top.language else 'hi' end as k_language, case when top.score > 0 then top.score * 0.5 else 0.1 end as k_confidence
+      from (select id, {_told(list(lookups.LANGUAGE_KEYWORDS))} as top from t)),
+    a as (select id, case when not regexp_matches(t, '\\S') then 'hi' when confidence >= 0.7 then language else k_language end as language,
+      case when not regexp_matches(t, '\\S') then 'blank' when confidence >= 0.7 then 'script' else 'keywords' end as stage from s join k using (id))"""
 
-def mixed(spark, d, letters=200):
-    """As _MIXED, of whole texts if letters is None."""
-    tail = F.when(F.col("item_id") % 3 == 0, "").when(F.col("item_id") % 3 == 1, " खसरा नंबर मौजा है").otherwise(" খতিয়ান জমি")
-    return table(spark, d, "benchmark").select("item_id", F.concat(F.col("text") if letters is None else F.substring("text", 1, letters), tail).alias("t"))
 
+_BENCH_LID, _DOCS_LID = (_lid_sql(f"select {k} as id, {_spelt_sql(k)} as t from {name}") for k, name in (("item_id", "benchmark"), ("doc_id", "documents")))
+_COUNT = "length(regexp_replace(t, '[^{0}]', '', 'g'))::int"
 
-@query(f"select item_id, length(regexp_replace({_MIXED}, '{_COUNTS['Latin']}', '', 'g'))::int as latin, length(regexp_replace({_MIXED}, '{_COUNTS['Devanagari']}', '', 'g'))::int as devanagari from benchmark")
+
+def spelt_benchmark(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("id"), spelt("item_id").alias("t"))
+
+
+@query(f"{_BENCH_LID} select id, {_COUNT.format(_CLASS['Latin'])} as latin, {_COUNT.format(_CLASS['Devanagari'])} as devanagari from t")
 def lid_script_counts(spark, d):
     n = langid.script_counts(F.col("t"))
-    return mixed(spark, d).select("item_id", n["Latin"].alias("latin"), n["Devanagari"].alias("devanagari"))
+    return spelt_benchmark(spark, d).select("id", n["Latin"].alias("latin"), n["Devanagari"].alias("devanagari"))
 
 
-@query("select item_id, 'Latin' as script from benchmark union all select item_id + 1000000, 'Devanagari' from benchmark")
+@query(f"{_BENCH_LID} select id, script, round(share, 6) as share from d")
 def lid_script(spark, d):
-    a = mixed(spark, d).select("item_id", langid.script(F.col("t")).alias("script"))
-    return a.union(mixed(spark, d).select(F.col("item_id") + 1000000, langid.script(F.lit("हिंदी"))))
+    rows = spelt_benchmark(spark, d).select("id", langid.dominant(F.col("t")).alias("s"))
+    return rows.select("id", "s.script", F.round("s.share", 6).alias("share"))
 
 
-@query(f"select item_id, 'en' as language, round(length(regexp_replace({_MIXED}, '{_COUNTS['Latin']}', '', 'g')) / length({_MIXED}), 6) as confidence from benchmark")
+@query(f"{_BENCH_LID} select id, language, round(confidence, 6) as confidence from s")
 def lid_by_script(spark, d):
-    s = langid.by_script(F.col("t"))
-    return mixed(spark, d).select("item_id", s["language"].alias("language"), F.round(s["confidence"], 6).alias("confidence"))
+    rows = spelt_benchmark(spark, d).select("id", langid.by_script(F.col("t")).alias("s"))
+    return rows.select("id", "s.language", F.round("s.confidence", 6).alias("confidence"))
 
 
-@query("select item_id, 'hi' as language, 0.5 + 1.0 / 22 as confidence from benchmark where item_id < 10 union all select item_id, 'hi', 0.5 from benchmark where item_id >= 10")
+@query(_lid_sql("select item_id as id, case item_id % 3 when 0 then 'खसराथा' when 1 then 'खगघङ' else 'आहेजमीन' end || item_id as t from benchmark") + " select id, language, round(confidence, 6) as confidence from s")
 def lid_disambiguate(spark, d):
-    t = F.when(F.col("item_id") < 10, "खसरा था").otherwise("खगघङ")
-    s = langid.by_script(t)
-    got = table(spark, d, "benchmark").select("item_id", s.alias("s"))
-    # the blank is Latin here, so the share of the first text is 6/7
-    share = F.when(F.col("item_id") < 10, (F.col("s.confidence") - 6 / 14) + 0.5).otherwise(F.col("s.confidence"))
-    return got.select("item_id", F.col("s.language").alias("language"), share.alias("confidence"))
+    t = F.concat(F.when(F.col("item_id") % 3 == 0, "खसराथा").when(F.col("item_id") % 3 == 1, "खगघङ").otherwise("आहेजमीन"), F.col("item_id"))
+    rows = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), langid.by_script(t).alias("s"))
+    return rows.select("id", "s.language", F.round("s.confidence", 6).alias("confidence"))
 
 
-@query(f"select doc_id, case when {_EN} > 0 then 'en' else 'hi' end as language, round(case when {_EN} > 0 then 0.5 * ({_EN}) else 0.1 end, 6) as confidence from (select doc_id, text[1:300] as t from documents where lang = 'en')")
+@query(f"{_DOCS_LID} select id, k_language as language, round(k_confidence, 6) as confidence from k")
 def lid_by_keywords(spark, d):
-    k = langid.by_keywords(F.substring("text", 1, 300))
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", k["language"].alias("language"), F.round(k["confidence"], 6).alias("confidence"))
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), langid.by_keywords(spelt("doc_id")).alias("s"))
+    return rows.select("id", "s.language", F.round("s.confidence", 6).alias("confidence"))
 
 
-@query("select doc_id, 'en' as language, 'script' as stage from documents")
+@query(f"{_DOCS_LID} select id, language, stage from a")
 def lid_identify(spark, d):
-    s = langid.identify(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", s["language"].alias("language"), s["stage"].alias("stage"))
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), langid.identify(spelt("doc_id")).alias("s"))
+    return rows.select("id", "s.language", "s.stage")
 
 
-@query("select 'en' as language, count(*) as n from conversations where trim(text, ' ' || chr(10)) <> ''")
+@query(_lid_sql(f"select row_number() over () as id, {_spelt_sql('turn')} as t from conversations") + " select language, count(*) as n from a group by 1")
 def lid_batch(spark, d):
-    s = langid.identify(F.col("text"))["language"]
-    return table(spark, d, "conversations").where(F.btrim("text", F.lit(" \n")) != "").groupBy(s.alias("language")).agg(F.count(F.lit(1)).alias("n"))
+    rows = table(spark, d, "conversations").select(langid.identify(spelt("turn"))["language"].alias("language"))
+    return rows.groupBy("language").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("select * from (values " + ", ".join(f"('{k}', '{v}', {i})" for i, (k, v) in enumerate(lookups.LANGUAGE_SCRIPT.items())) + ") t(language, script, place)")
@@ -291,87 +328,3 @@ def lid_lang_dim(spark, d):
 def lid_groups(spark, d):
     groups = spark.createDataFrame(list(lookups.LANGUAGE_GROUPS.items()), "language_group string, languages array<string>")
     return groups.select("language_group", F.explode("languages").alias("language"))
-
-
-# the same over whole texts and all languages; SQL where DuckDB can follow, else tests compare with brute force
-
-_ALL_MIXED = _MIXED.replace("text[1:200]", "text")
-
-
-@query("select item_id, text || 'क' as bare, text || 'ं' as nasal from benchmark")
-def txt_normalize_indic_whole(spark, d):
-    bare, nasal = T.normalize_indic(F.concat("text", F.lit("क््")), F.lit("bn")), T.normalize_indic(F.concat("text", F.lit("ँ")), F.lit("hi"))
-    return table(spark, d, "benchmark").select("item_id", bare.alias("bare"), nasal.alias("nasal"))
-
-
-@query("select item_id, case when length(text) < 3 then text else array_to_string(list_transform(range(1, length(text) - 1), lambda i: substr(text, i, 3)), '|') end as grams from benchmark")
-def txt_ngrams_whole(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.array_join(T.ngrams(F.col("text"), 3), "|").alias("grams"))
-
-
-@query(None)
-def txt_levenshtein_whole(spark, d):
-    return txt_levenshtein(spark, d, None)
-
-
-@query(None)
-def txt_cer_whole(spark, d):
-    return rounded(measured(spark, d, None).select("id", "cer"))
-
-
-@query(None)
-def txt_wer_whole(spark, d):
-    return rounded(measured(spark, d, None).select("id", "wer"))
-
-
-@query(None)
-def txt_f1_whole(spark, d):
-    return rounded(measured(spark, d, None).select("id", "f1"))
-
-
-@query(None)
-def txt_similarity_whole(spark, d):
-    return pairs(spark, d, None).select("id", F.round(T.similarity(F.col("reference"), F.col("hypothesis")), 6).alias("similarity"))
-
-
-@query(None)
-def agg_metrics_whole(spark, d):
-    return rounded(measured(spark, d, None).agg(*quality.means()))
-
-
-@query(None)
-def agg_metrics_by_lang_whole(spark, d):
-    return rounded(quality.metrics_by(measured(spark, d, None), "lang")).orderBy("lang")
-
-
-@query(None)
-def agg_metrics_overall_whole(spark, d):
-    return rounded(quality.metrics_with_overall(measured(spark, d, None)))
-
-
-@query(None)
-def agg_metrics_by_model_whole(spark, d):
-    return rounded(quality.metrics_by(measured(spark, d, None).withColumn("model", F.col("id") % 2), "model"))
-
-
-@query(f"select item_id, length(regexp_replace({_ALL_MIXED}, '{_COUNTS['Latin']}', '', 'g'))::int as latin, length(regexp_replace({_ALL_MIXED}, '{_COUNTS['Devanagari']}', '', 'g'))::int as devanagari from benchmark")
-def lid_script_counts_whole(spark, d):
-    n = langid.script_counts(F.col("t"))
-    return mixed(spark, d, None).select("item_id", n["Latin"].alias("latin"), n["Devanagari"].alias("devanagari"))
-
-
-@query("select item_id, 'Latin' as script from benchmark")
-def lid_script_whole(spark, d):
-    return mixed(spark, d, None).select("item_id", langid.script(F.col("t")).alias("script"))
-
-
-@query(f"select item_id, 'en' as language, round(length(regexp_replace({_ALL_MIXED}, '{_COUNTS['Latin']}', '', 'g')) / length({_ALL_MIXED}), 6) as confidence from benchmark")
-def lid_by_script_whole(spark, d):
-    s = langid.by_script(F.col("t"))
-    return mixed(spark, d, None).select("item_id", s["language"].alias("language"), F.round(s["confidence"], 6).alias("confidence"))
-
-
-@query(f"select doc_id, case when {_EN} > 0 then 'en' else 'hi' end as language, round(case when {_EN} > 0 then 0.5 * ({_EN}) else 0.1 end, 6) as confidence from (select doc_id, text as t from documents)")
-def lid_by_keywords_whole(spark, d):
-    k = langid.by_keywords(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", k["language"].alias("language"), F.round(k["confidence"], 6).alias("confidence"))

@@ -39,7 +39,7 @@ def expected():
 
 def test_each_pair(spark, folder):
     run = lambda name: {x["id"]: x for x in catalog.queries()[name](spark, folder).collect()}
-    got = {name: run(f"txt_{name}_whole") for name in ("levenshtein", "cer", "wer", "f1", "similarity")}
+    got = {name: run(f"txt_{name}") for name in ("levenshtein", "cer", "wer", "f1", "similarity")}
     for i, _, a, b in expected():
         chars = plain_distance(a, b)
         assert (got["levenshtein"][i]["chars"], got["levenshtein"][i]["words"]) == (chars, plain_distance(a.split(), b.split()))
@@ -61,22 +61,22 @@ def test_means(spark, folder):
             assert row["n"] == len(some) and row["accuracy"] == pytest.approx(1 - row["cer"], abs=2e-6)
 
     run = lambda name: catalog.queries()[name](spark, folder).collect()
-    check(run("agg_metrics_whole"), None, lambda p: (None,))
-    check(run("agg_metrics_by_lang_whole"), "lang", lambda p: (p[1],))
-    check(run("agg_metrics_overall_whole"), "lang", lambda p: (p[1], "OVERALL"))
-    check(run("agg_metrics_by_model_whole"), "model", lambda p: (p[0] % 2,))
+    check(run("agg_metrics"), None, lambda p: (None,))
+    check(run("agg_metrics_by_lang"), "lang", lambda p: (p[1],))
+    check(run("agg_metrics_overall"), "lang", lambda p: (p[1], "OVERALL"))
+    check(run("agg_metrics_by_model"), "model", lambda p: (p[0] % 2,))
 
 
 def test_no_line_item_or_event_is_left_out(spark, tmp_path):
     items = [(image, 1, i + 1, i, 10.0, 0.05, 0.0, "N") for image in (1, 4999, 5000, 123_456) for i in (0, 1)]
     columns = "l_orderkey long, l_partkey long, l_linenumber int, l_suppkey long, l_quantity double, l_discount double, l_tax double, l_returnflag string"
     spark.createDataFrame(items, columns).write.parquet(f"{tmp_path}/lineitem.parquet")
-    pairs = catalog.queries()["jn_iou_pairs_whole"](spark, str(tmp_path)).collect()
+    pairs = catalog.queries()["jn_iou_pairs"](spark, str(tmp_path)).collect()
     assert sorted((p["image_id"], p["a"], p["b"]) for p in pairs) == [(image, 1, 2) for image in (1, 4999, 5000, 123_456)]
     seconds = {i: r.randrange(300_000) for i in range(500)}
     frame = spark.createDataFrame([*seconds.items(), (500, None)], "event_id long, s long")
     frame.selectExpr("event_id", "timestamp_seconds(s) as ts").write.parquet(f"{tmp_path}/events.parquet")
-    places = {p["event_id"]: p["place"] for p in catalog.queries()["srt_newest_first_whole"](spark, str(tmp_path)).collect()}
+    places = {p["event_id"]: p["place"] for p in catalog.queries()["srt_newest_first"](spark, str(tmp_path)).collect()}
     assert places == {i: n for n, i in enumerate([*sorted(seconds, key=lambda i: (-seconds[i], -i)), 500], 1)}
 
 
