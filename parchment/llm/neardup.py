@@ -38,7 +38,7 @@ SHINGLE_WORDS = 5
 LINK_PERCENT = 75
 CHUNKS, CHUNK_LEN = 16, 4
 BITS = 16
-#: Ids of documents with candidates, up to which they are broadcast to the scan of texts; more are joined by a shuffle.
+#: Ids of documents with candidates, and names of components, up to which they are broadcast; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 #: Members that a task compares with one copy of their hub.
 MEMBERS_PER_TASK = 128
@@ -359,9 +359,11 @@ def classes(docs: DataFrame) -> DataFrame:
     reps = full.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("signature").alias("signature"))
     reps = saved(reps.withColumn("rep", F.xxhash64("digest")))
     found = components(find_links(docs, reps))
-    named = saved(reps.select("digest", "rep", "doc").join(found, F.col("rep") == F.col("node"), "left").select("digest", "doc", F.coalesce("component", "rep").alias("component")))
-    first = named.groupBy("component").agg(F.min("doc").alias("component_id"))
-    named = saved(named.join(first, "component").select("digest", "component_id"))
+    members = saved(reps.select("rep", "doc").join(found, F.col("rep") == F.col("node")))
+    first = saved(members.groupBy("component").agg(F.min("doc").alias("component_id")))
+    few = first.count() <= MAX_BROADCAST_IDS  # a large component is a hot key, which isn't shuffled for as long as that can be helped
+    by_rep = members.join(F.broadcast(first) if few else first, "component").select("rep", "component_id")
+    named = saved(reps.select("digest", "rep", "doc").join(by_rep, "rep", "left").select("digest", F.coalesce("component_id", "doc").alias("component_id")))
     out = rows.select("doc_id", "t", "n_shingles", "digest").join(named, "digest", "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "t", "n_shingles", own.cast("long").alias("component_id"))
