@@ -136,3 +136,16 @@ def batch_summary(results: DataFrame, ok: Column, seconds: Column, lang: str) ->
         F.sum("n").alias("total"), F.sum("s").alias("success"), (F.sum("n") - F.sum("s")).alias("failed"), (F.sum("t") / F.sum("s")).alias("mean_seconds"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(lang).alias("l"), F.col("n").alias("n")))), lambda x: F.concat_ws(":", x["l"], x["n"])), ",").alias("languages"),
     )
+
+
+def audit_scan(records: DataFrame, name: Column, key: str, area: Column, least: float, most: float, required: list[str]) -> DataFrame:
+    """(key, issues) of the records that a scan finds fault with: duplicate if the name, in any case, is also that of a record
+    with a smaller key; area if it is missing or outside of least to most; missing:<field> for each required field
+    that is null or empty. Names are counted by partial minima; null names repeat nothing."""
+    named = records.withColumn("_name", F.lower(name))
+    first = named.where("_name is not null").groupBy("_name").agg(F.min(key).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    found = F.array(
+        F.when(F.col(key) > F.col("_first"), "duplicate"), F.when(~F.coalesce(area.between(least, most), F.lit(False)), "area"),
+        *[F.when(empty_to_null(c).isNull(), f"missing:{c}") for c in required],
+    )
+    return named.join(first, "_name", "left").select(key, F.array_compact(found).alias("issues")).where(F.size("issues") > 0)

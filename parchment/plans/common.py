@@ -2,9 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
+
+from pyspark.sql import SparkSession
+
 from parchment.sources.tables import table
 
-__all__ = ["table"]
+__all__ = ["shared_folder", "table"]
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which all executors share; a temporary folder where a session on one machine names none."""
+    named = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+    return named or tempfile.mkdtemp(prefix="parchment-")
+
 
 #: DuckDB: a struct as text, so that nested results compare as strings.
 STATUS = "case o_orderstatus when 'F' then 'Verified' when 'O' then 'Pending' else 'Flagged' end"

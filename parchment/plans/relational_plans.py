@@ -287,6 +287,17 @@ def chk_checklist(spark, d):
     return spark.createDataFrame([(1, "unique parcel"), (2, "owner known"), (3, "area in bounds"), (4, "deed registered"), (5, "no open dispute")], "id int, rule string")
 
 
+@query("""with r as (select p_partkey, lower(p_name) as k, p_size, case when p_size % 9 = 0 then '' else p_brand end as brand from part),
+f as (select p_partkey, list_filter([case when p_partkey > min(p_partkey) over (partition by k) then 'duplicate' end, case when p_size not between 3 and 40 then 'area' end,
+  case when brand = '' then 'missing:brand' end], lambda x: x is not null) as issues from r)
+select p_partkey, array_to_string(issues, ',') as issues from f where len(issues) > 0""")
+def chk_audit_scan(spark, d):
+    brand = F.when(F.col("p_size") % 9 == 0, "").otherwise(F.col("p_brand"))
+    records = table(spark, d, "part").select("p_partkey", "p_name", "p_size", brand.alias("brand"))
+    found = registry.audit_scan(records, F.col("p_name"), "p_partkey", F.col("p_size"), 3, 40, ["brand"])
+    return found.select("p_partkey", F.array_join("issues", ",").alias("issues"))
+
+
 @query("""select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as at, event_type as action from events
 union all select -1 - event_id, strftime(ts, '%Y-%m-%d %H:%M:%S'), 'AUDIT ' || event_type from events where event_type = 'error'""")
 def ops_audit_append(spark, d):

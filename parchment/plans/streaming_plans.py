@@ -6,8 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from parchment.plans.common import table
-from parchment.streaming.incremental import actions_by_window
+from parchment.plans.common import shared_folder, table
+from parchment.streaming.incremental import actions_by_window, read_updates, write_updates
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -16,10 +16,10 @@ def stream_audit_windows(spark, d):
     """Actions by hour of event time. The stream ends with the table, so its last windows are complete."""
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    name = f"audit_{uuid.uuid4().hex}"
-    query = actions_by_window(stream).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
+    counted = actions_by_window(stream)
+    folder = f"{shared_folder(spark)}/audit-{uuid.uuid4().hex}"
+    write_updates(counted, folder).awaitTermination()
+    return read_updates(spark, folder, counted.schema, ["start", "event_type"], "n").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
 
 
 QUERIES["stream_audit_windows"] = stream_audit_windows

@@ -89,20 +89,23 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_schema(path: str) -> dict:
-    """Fields of a schema file in JSON, or in YAML where a reader for it is installed; empty on any error in it."""
+    """Fields of a schema file in JSON or YAML; none where it is neither. A missing file, or YAML without a reader for it
+    installed, is an error."""
     import json
 
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
     try:
-        with open(path, encoding="utf-8") as f:
-            text = f.read()
-        try:
-            return json.loads(text).get("fields", {})
-        except ValueError:
-            import yaml
+        whole = json.loads(text)
+    except ValueError:
+        import yaml
 
-            return (yaml.safe_load(text) or {}).get("fields", {})
-    except Exception:  # a broken schema means no fields
-        return {}
+        try:
+            whole = yaml.safe_load(text)
+        except yaml.YAMLError:
+            return {}
+    fields = whole.get("fields") if isinstance(whole, dict) else None
+    return fields if isinstance(fields, dict) else {}
 
 
 def read_or_seed(spark: SparkSession, path: str, seed: DataFrame) -> DataFrame:

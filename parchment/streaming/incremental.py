@@ -27,6 +27,25 @@ def actions_by_window(audit: DataFrame, ts: str = "ts", action: str = "event_typ
     return counted.select(F.col("window.start").alias("start"), action, "n")
 
 
+def write_updates(counted: DataFrame, folder: str) -> StreamingQuery:
+    """Writes what each batch changes in counted below the folder, which also holds the checkpoint, and ends. A batch that
+    is run again replaces what it wrote; state that the watermark has passed is dropped."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    return counted.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(write).trigger(availableNow=True).start()
+
+
+def read_updates(spark: SparkSession, folder: str, schema: StructType, keys: list[str], value: str) -> DataFrame:
+    """The last value of each key that write_updates has written; none where no batch has run."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/rows")
+    if not there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.option("basePath", f"{folder}/rows").schema(StructType([*schema.fields]).add("batch", "long")).parquet(f"{folder}/rows")
+    return rows.groupBy(*keys).agg(F.max_by(value, "batch").alias(value))
+
+
 def first_sightings(df: DataFrame, key: Column, ts: str, within: str) -> DataFrame:
     """Rows whose key wasn't seen within a span of event time before; keys older than that leave the state."""
     return df.withColumn("_key", key).withWatermark(ts, within).dropDuplicatesWithinWatermark(["_key"]).drop("_key")
