@@ -22,6 +22,8 @@ from parchment.llm.common import saved
 
 ARCHIVE_BYTES = 4 << 20
 MIN_REVISIT_BYTES = 100
+#: Records, of 16 bytes each, up to which an index is broadcast to its archives; a larger one is joined by a shuffle.
+MAX_BROADCAST_RECORDS = 1 << 20
 GZIP = 31  # zlib's window bits for the gzip format
 ARCHIVE_SCHEMA = "archive string, data binary"
 NORMAL_SCHEMA = "archive string, data binary, offsets array<struct<record_id: string, offset: long, length: long>>"
@@ -207,5 +209,6 @@ def read_archives(archives: DataFrame, index: DataFrame) -> DataFrame:
                 yield pd.DataFrame([read_record(data[x["offset"] : x["offset"] + x["length"]]) for x in places])
 
     places = index.groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("places"))
-    records = archives.select("archive", "data").join(places, "archive").select("data", "places").mapInPandas(read, text_ids)
+    few = index.count() <= MAX_BROADCAST_RECORDS
+    records = archives.select("archive", "data").join(F.broadcast(places) if few else places, "archive").select("data", "places").mapInPandas(read, text_ids)
     return records.withColumns({"page_id": F.col("page_id").cast("long"), "refers_to": F.col("refers_to").cast("long")})

@@ -56,7 +56,9 @@ def page_rows():
             (11, "u11", "y" * 100), (12, "100%25", "WARC/1.1\r\n\r\nContent-Length: 3\r\n\r\n" * 9), (None, "n", big), (2**53 + 1, "l", "z" * 200), (2**53, "l", "z" * 200)]
 
 
-def test_archives_round_trip(spark):
+@pytest.mark.parametrize("most", [0, 1000])
+def test_archives_round_trip(spark, monkeypatch, most):
+    monkeypatch.setattr(warc, "MAX_BROADCAST_RECORDS", most)
     pages = spark.createDataFrame([(*r, "extra") for r in page_rows()], "page_id long, url string, html string, payload string")
     normal = warc.normalise_archives(warc.write_archives(warc.mark_revisits(pages)))
     got = {r["page_id"]: r for r in warc.read_archives(normal, warc.sidecar_index(normal)).collect()}
