@@ -33,6 +33,8 @@ CACHED_WORDS = 1_200_000
 #: The most frequent of the first words met are also kept by themselves, few enough for a processor's cache.
 COUNTED_WORDS, FREQUENT_WORDS = 500_000, 12_000
 STOPS = b".,!?;:"
+#: Texts that a tokenizer of another kind than WordEncoder takes encodes otherwise.
+PROBES = ("Two  words.\n", "Don't stop... (AT all)!", "\u00c9t\u00e9 \u00df \u5b57\u3002 12a 3.5", " a\tb ")
 MAGIC = b"DAC1"
 HEAD = struct.Struct("<4sHHII")
 FILE_SCHEMA = "shard int, block int, n_docs int, n_tokens long, payload binary"
@@ -117,6 +119,9 @@ class WordEncoder:
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; others follow 255
         rest = [b for b in range(256) if b not in own]
         self.alphabet = {b: 256 + i for i, b in enumerate(rest)}
+        for text, ids in zip(PROBES, self.encode([*PROBES], END_ID)):
+            if np.frombuffer(ids, "<u4")[:-1].tolist() != self.tokenizer.encode(text, add_special_tokens=False).ids:
+                raise ValueError(f"{path} is not a tokenizer whose texts can be encoded word by word")
 
     @staticmethod
     def plain(word: bytes) -> bool:

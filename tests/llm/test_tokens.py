@@ -31,6 +31,11 @@ def test_words_encode_as_whole_texts(plain):
         assert np.frombuffer(ids, "<u4").tolist() == [*plain.encode(text, add_special_tokens=False).ids, 2], repr(text)
 
 
+def test_other_tokenizers_are_refused():
+    with pytest.raises(ValueError):
+        token_file.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_directly_addressable_codes():
     r = np.random.default_rng(3)
     for ids in ([0], [255, 256, 65535, 65536, 2**32 - 1], r.integers(0, 50000, 3000).tolist(), [7] * 600, r.integers(0, 2**24, 1100).tolist(), []):
