@@ -75,11 +75,11 @@ def _vote(grouped: DataFrame, order: Column, confidence: Column) -> DataFrame:
 
 
 def vote_weighted(grouped: DataFrame) -> DataFrame:
-    """One region a group: the text with the largest sum of confidence times weight, the first one among equals; its
-    confidence is that sum over the weights of all known models, 1 at most. Groups of one keep their confidence, and
+    """One region a group: the text with the largest sum of confidence times weight, the first one among equals (to nine
+    places, so that the order of summation decides nothing); its confidence is that sum over the weights of all known models, 1 at most. Groups of one keep their confidence, and
     groups without any text their surest region's."""
     total = sum(MODEL_WEIGHTS.values())
-    return _vote(grouped, F.struct(F.col("score"), -F.col("first")), F.least(F.lit(1.0), F.col("won.score") / total))
+    return _vote(grouped, F.struct(F.round("score", 9), -F.col("first")), F.least(F.lit(1.0), F.col("won.score") / total))
 
 
 def vote_majority(grouped: DataFrame) -> DataFrame:
@@ -105,5 +105,5 @@ def vote_best_single(grouped: DataFrame) -> DataFrame:
 def fuse(predictions: DataFrame, strategy: str = "confidence_weighted", threshold: float = MIN_IOU, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Grouped, voted and filtered regions of each image with seq, their place by (y1, x1)."""
     vote = {"confidence_weighted": vote_weighted, "weighted_average": vote_weighted, "majority_vote": vote_majority, "best_single": vote_best_single}[strategy]
-    kept = vote(group_regions(predictions, threshold)).where(F.col("confidence") >= min_confidence)
+    kept = vote(group_regions(predictions, threshold)).where(F.round("confidence", 9) >= min_confidence)
     return kept.withColumn("seq", F.row_number().over(W.partitionBy("image_id").orderBy("box.y1", "box.x1", "group")))

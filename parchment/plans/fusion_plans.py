@@ -28,18 +28,16 @@ _R = f"""r as (select l_orderkey as image_id, row_number() over (partition by l_
   ['paddle_ocr', 'trocr', 'tesseract', 'easyocr'][l_linenumber % 4 + 1] as model, l_returnflag as text, 1 - l_discount as confidence, {_BOX} from lineitem)"""
 _WEIGHT = "case model when 'paddle_ocr' then 1.0 when 'trocr' then 0.9 when 'easyocr' then 0.8 when 'tesseract' then 0.7 else 0.5 end"
 #: Greedy groups: regions enter in order; the first leader that overlaps takes a region, else it leads.
-_GROUPS = f"""{_R}, grouped as (
-  with recursive steps as (
-    select image_id, 1 as i, [1] as leads, [1] as grp, n from (select image_id, count(*) n from r group by 1)
-    union all
-    select s.image_id, s.i + 1, case when f.lead is null then list_append(s.leads, s.i + 1) else s.leads end, list_append(s.grp, coalesce(f.lead, s.i + 1)), s.n
-    from steps s, lateral (
-      select min(b.ord) as lead from r a, r b where a.image_id = s.image_id and b.image_id = s.image_id and a.ord = s.i + 1 and list_contains(s.leads, b.ord)
-        and least(a.x2, b.x2) > greatest(a.x1, b.x1) and least(a.y2, b.y2) > greatest(a.y1, b.y1)
-        and (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1)) / ((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1)
-          - (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1))) >= 0.3) f
-    where s.i < s.n)
-  select image_id, unnest(range(1, n + 1)) as ord, unnest(grp) as grp from steps where i = n)"""
+_GROUPS = f"""{_R}, pairs as (select a.image_id, a.ord, b.ord as other, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) as met,
+  (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) as areas from r a join r b on b.image_id = a.image_id and b.ord < a.ord),
+near as (select image_id, ord, list(other) as earlier from pairs where met > 0 and met / (areas - met) >= 0.3 group by 1, 2),
+e as (select image_id, ord, earlier from r left join near using (image_id, ord)),
+steps as (
+  select image_id, ord, [ord] as leads, ord as grp from r where ord = 1
+  union all
+  select image_id, ord, case when lead is null then list_append(leads, ord) else leads end, coalesce(lead, ord)
+  from (select e.image_id, e.ord, s.leads, list_min(list_intersect(e.earlier, s.leads)) as lead from steps s join e on e.image_id = s.image_id and e.ord = s.ord + 1)),
+grouped as (select r.*, s.grp from r join steps s using (image_id, ord))"""
 
 
 def grouped(spark, d):
@@ -54,7 +52,7 @@ def ens_iou(spark, d):
     return predictions(spark, d).select("image_id", "ord", F.round(G.iou(F.col("box"), fixed), 6).alias("iou"))
 
 
-@query(None)
+@query(f"with recursive {_GROUPS} select image_id, ord, grp from grouped")
 def ens_group(spark, d):
     return fusion.group_regions(predictions(spark, d), 0.3).select("image_id", "ord", F.col("group").alias("grp"))
 
@@ -64,6 +62,16 @@ _TEXTS = f"""t as (select image_id, ord % 2 as grp, text, sum(confidence * {_WEI
 g as (select image_id, grp, sum(n) as size, max(top) as top from t group by 1, 2)"""
 
 
+def fused(first: str, second: str, least: float) -> str:
+    """SQL: regions voted by weight within their greedy groups, for a language's first and second model, at least so sure."""
+    return f"""with recursive {_GROUPS}, t as (select image_id, grp, text, sum(confidence * {_WEIGHT} * case model when '{first}' then 1.2 when '{second}' then 1.1 else 1 end) as score,
+count(*) as n, min(ord) as first, max(confidence) as top, min(x1) as x1, min(y1) as y1 from grouped group by 1, 2, 3),
+g as (select image_id, grp, sum(n)::bigint as size, max(top) as top, min(x1) as x1, min(y1) as y1 from t group by 1, 2),
+w as (select image_id, grp, text, score from t qualify row_number() over (partition by image_id, grp order by round(score, 9) desc, first) = 1),
+voted as (select image_id, grp, size, text, case when size = 1 then g.top else least(1, score / {_TOTAL}) end as confidence, x1, y1 from w join g using (image_id, grp)),
+kept as (select *, row_number() over (partition by image_id order by y1, x1, grp) as seq from voted where round(confidence, 9) >= {least})"""
+
+
 @query(f"""with {_R}, {_TEXTS}, w as (select *, row_number() over (partition by image_id, grp order by round(score, 9) desc, first) as k from t)
 select image_id, grp, size::bigint as size, text, round(case when size = 1 then g.top else least(1, score / {_TOTAL}) end, 6) as confidence from w join g using (image_id, grp) where k = 1""")
 def ens_weighted(spark, d):
@@ -71,7 +79,7 @@ def ens_weighted(spark, d):
     return got.select("image_id", F.col("group").alias("grp"), "size", "text", F.round("confidence", 6).alias("confidence"))
 
 
-@query(None)
+@query(f"""{fused("trocr", "paddle_ocr", 0.55)} select image_id, grp as "group", text, round(confidence, 6) as confidence from kept""")
 def ens_weighted_avg(spark, d):
     return fusion.fuse(predictions(spark, d).withColumn("language", F.lit("en")), "weighted_average", 0.3).select("image_id", "group", "text", F.round("confidence", 6).alias("confidence"))
 
@@ -96,7 +104,7 @@ def ens_singletons(spark, d):
     return got.select("image_id", F.col("group").alias("grp"), "text", F.round("confidence", 6).alias("confidence"))
 
 
-@query(None)
+@query(f"""{fused("paddle_ocr", "trocr", 0.3)} select image_id, seq, grp as "group", size, text, round(confidence, 6) as confidence from kept""")
 def ens_vote(spark, d):
     got = fusion.fuse(predictions(spark, d).withColumn("language", F.lit("hi")), "confidence_weighted", 0.3, 0.3)
     return got.select("image_id", "seq", "group", "size", "text", F.round("confidence", 6).alias("confidence"))

@@ -200,12 +200,17 @@ def srt_regions(spark, d):
     return whole.select("image_id", F.get("r", F.lit(0))["l_partkey"].alias("first_part"), F.size("r").cast("long").alias("n"))
 
 
-@query(None)
+@query(f"""with recursive d as (select l_orderkey as image_id, l_partkey, x1, y1, row_number() over (partition by l_orderkey order by y1, x1, l_linenumber, l_partkey) as i from (select *, {_BOX} from lineitem)),
+steps as (select image_id, i, 0 as line, y1 as total, 1 as n from d where i = 1
+union all select image_id, i, line + apart::int, case when apart then y1 else total + y1 end, case when apart then 1 else n + 1 end
+from (select d.image_id, d.i, d.y1, line, total, n, abs(d.y1 - total / n) >= 3 as apart from steps s join d on d.image_id = s.image_id and d.i = s.i + 1))
+select image_id, row_number() over (partition by image_id order by line, x1, i) as place, l_partkey from steps join d using (image_id, i)""")
 def srt_reading_order(spark, d):
     from parchment.functions.geometry import reading_order
 
     whole = regions(spark, d).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("y1", "x1", "line", "l_partkey"))).alias("r"))
-    return whole.select("image_id", F.transform(reading_order(F.col("r"), 3.0), lambda x: x["l_partkey"]).alias("parts"))
+    read = whole.select("image_id", F.posexplode(reading_order(F.col("r"), 3.0)).alias("i", "x"))
+    return read.select("image_id", (F.col("i") + 1).alias("place"), "x.l_partkey")
 
 
 @query("select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as at, row_number() over (order by ts desc, event_id desc) as place from events")
