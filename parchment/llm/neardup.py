@@ -40,6 +40,8 @@ CHUNKS, CHUNK_LEN = 16, 4
 BITS = 16
 #: Ids of documents with candidates, and names of components, up to which they are broadcast; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
+#: One in so many sets is looked at for keys that very many have; how often such a key is met there, at least.
+SAMPLED, FREQUENT = 16, 32
 #: Members that a task compares with one copy of their hub.
 MEMBERS_PER_TASK = 128
 #: Members of a hub that have a shingle which the hub lacks, from which on it counts as common to them.
@@ -125,17 +127,37 @@ def keyed(reps: DataFrame) -> DataFrame:
     return reps.select("rep", "signature").mapInPandas(run, "key long, rep long")
 
 
+def held_keys(reps: DataFrame) -> DataFrame:
+    """(key, rep, size): the keys that more than one representative has, with how many have them.
+
+    All keys are shuffled once, but for those of very many sets, which some of the sets show: these are counted by
+    partial sums and never meet in one task. They are MAX_BROADCAST_IDS at most, whatever the input.
+    """
+    keys = keyed(reps)
+    some = reps.where(f"pmod(rep, {SAMPLED}) = 0")
+    least = max(FREQUENT, some.count() * N_HASHES // MAX_BROADCAST_IDS + 1)
+    frequent = saved(keyed(some).groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= least).select("key"))
+    any_frequent = bool(frequent.head(1))
+    rest = keys.join(F.broadcast(frequent), "key", "left_anti") if any_frequent else keys
+    held = saved(rest.withColumn("size", F.count(F.lit(1)).over(W.partitionBy("key"))).where("size > 1"))
+    if not any_frequent:
+        return held
+    many = keys.join(F.broadcast(frequent), "key")
+    sizes = saved(many.groupBy("key").agg(F.count(F.lit(1)).alias("size")))
+    return held.unionByName(saved(many.join(F.broadcast(sizes), "key")))
+
+
 def member_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(rep, shingles) of the sets that ids (rep, doc, digest) names and the document doc has; 8 bytes for each shingle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            at, reps, digests = 0, batch["rep"].tolist(), batch["digest"].tolist()
+            at, digests = 0, batch["digest"].tolist()
             for texts in grouped(t.encode() for t in batch["text"]):
                 sets = [s.tobytes() for s in shingle_sets(texts)]
                 # rows that repeat an id may have another text
-                own = [(r, s) for r, d, s in zip(reps[at:], digests[at:], sets) if hashlib.blake2b(s, digest_size=16).digest() == d]
-                yield pd.DataFrame({"rep": np.array([r for r, _ in own], np.int64), "shingles": [s for _, s in own]})
+                own = [at + i for i, s in enumerate(sets) if hashlib.blake2b(s, digest_size=16).digest() == digests[at + i]]
+                yield batch.iloc[own][["rep"]].assign(shingles=[sets[i - at] for i in own])
                 at += len(sets)
 
     few = ids.count() <= MAX_BROADCAST_IDS
@@ -143,19 +165,25 @@ def member_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return met.select("rep", "digest", "text").mapInPandas(run, "rep long, shingles binary")
 
 
+def _tasks(pairs: DataFrame) -> DataFrame:
+    """(hub, tasks): to how many tasks a hub's set is copied for each to have about MEMBERS_PER_TASK of its members."""
+    return saved(pairs.groupBy("hub").agg(F.ceil((F.count(F.lit(1)) + 1) / MEMBERS_PER_TASK).cast("int").alias("tasks"), F.count(F.lit(1)).alias("members")))
+
+
 def compare(pairs: DataFrame, sets: DataFrame, residues: bool = False) -> DataFrame:
     """(hub, rep, n, shared, linked, residue) of pairs (hub, rep) and of each hub with itself: the size of rep's set, how
     much of it hub has, whether that links them, and the shingles that hub lacks, 8 bytes each (null unless asked for).
 
-    A task reads a hub's set and then those of its members one by one. A hub with many members is copied to as many
-    tasks as it takes for each to have about MEMBERS_PER_TASK.
+    A task reads a hub's set and then those of its members one by one. A hub with many members is copied to several
+    tasks. Sets are shuffled once, to these tasks, unless there are too many pairs to send to the sets.
     """
-    spread = saved(pairs.groupBy("hub").agg(F.ceil((F.count(F.lit(1)) + 1) / MEMBERS_PER_TASK).cast("int").alias("tasks")))
-    own = sets.withColumnRenamed("rep", "hub").join(spread, "hub").select(
-        "hub", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.lit(0).alias("kind"), F.col("hub").alias("rep"), "shingles"
-    )
-    theirs = pairs.join(sets, "rep").join(spread, "hub").select("hub", F.pmod(F.xxhash64("rep"), "tasks").cast("int").alias("task"), F.lit(1).alias("kind"), "rep", "shingles")
-    met = own.unionByName(theirs).repartition(shuffle_partitions(pairs.sparkSession), "hub", "task").sortWithinPartitions("hub", "task", "kind")
+    tasks = _tasks(pairs)
+    few = tasks.agg(F.coalesce(F.sum(F.col("members") + F.col("tasks")), F.lit(0))).first()[0] <= MAX_BROADCAST_IDS
+    own = tasks.select("hub", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.lit(0).alias("kind"), F.col("hub").alias("rep"))
+    theirs = pairs.join(tasks, "hub").select("hub", F.pmod(F.xxhash64("rep"), "tasks").cast("int").alias("task"), F.lit(1).alias("kind"), "rep")
+    dealt = own.unionByName(theirs)
+    met = sets.join(F.broadcast(dealt) if few else dealt, "rep")
+    met = met.repartition(shuffle_partitions(pairs.sparkSession), "hub", "task").sortWithinPartitions("hub", "task", "kind")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         base = np.zeros(0, np.uint64)
@@ -317,10 +345,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def find_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """(u, v): links between representatives by which all that are linked are connected."""
-    keys = keyed(reps)
-    # counted by partial sums and joined with, so that a key of very many sets is one that Spark can split
-    shared = saved(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-    held = saved(keys.join(shared, "key"))
+    held = held_keys(reps)
     degree = held.groupBy("rep").agg(F.sum("size").alias("degree"))
     candidates = saved(degree.join(reps.select("rep", "doc", "digest"), "rep"))
     sets = saved(member_sets(docs, candidates.select("rep", "doc", "digest")))
