@@ -148,3 +148,14 @@ def test_pipeline(spark, docs, tmp_path):
 
 if __name__ == "__main__":
     pytest.main([__file__])
+
+
+def test_frequent_keys_are_counted_alike(spark, monkeypatch):
+    rows = [(i, np.full(neardup.N_HASHES, i // 5 if i < 20 else i, np.uint16).tobytes()) for i in range(30)]
+    reps = spark.createDataFrame(rows, "rep long, signature binary")
+    held = lambda: sorted(map(tuple, neardup.held_keys(reps).select("key", "rep", "size").collect()))
+    plain = held()
+    assert len(plain) == 20 * neardup.N_HASHES and {size for _, _, size in plain} == {5}
+    monkeypatch.setattr(neardup, "SAMPLED", 1)
+    monkeypatch.setattr(neardup, "FREQUENT", 3)
+    assert held() == plain
