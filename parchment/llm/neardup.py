@@ -130,21 +130,18 @@ def keyed(reps: DataFrame) -> DataFrame:
 def held_keys(reps: DataFrame) -> DataFrame:
     """(key, rep, size): the keys that more than one representative has, with how many have them.
 
-    All keys are shuffled once, but for those of very many sets, which some of the sets show: these are counted by
-    partial sums and never meet in one task. They are MAX_BROADCAST_IDS at most, whatever the input.
+    All keys are made and shuffled once. Those of very many sets, which some of the sets show, are dealt by set and counted
+    by partial sums, so that they never meet in one task. They are MAX_BROADCAST_IDS at most, whatever the input.
     """
-    keys = keyed(reps)
     some = reps.where(f"pmod(rep, {SAMPLED}) = 0")
     least = max(FREQUENT, some.count() * N_HASHES // MAX_BROADCAST_IDS + 1)
-    frequent = saved(keyed(some).groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= least).select("key"))
-    any_frequent = bool(frequent.head(1))
-    rest = keys.join(F.broadcast(frequent), "key", "left_anti") if any_frequent else keys
-    held = saved(rest.withColumn("size", F.count(F.lit(1)).over(W.partitionBy("key"))).where("size > 1"))
-    if not any_frequent:
-        return held
-    many = keys.join(F.broadcast(frequent), "key")
+    frequent = saved(keyed(some).groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= least).select("key", F.lit(True).alias("frequent")))
+    keys = keyed(reps).join(F.broadcast(frequent), "key", "left")
+    alone = F.when(F.col("frequent"), F.col("rep"))
+    held = saved(keys.withColumn("size", F.count(F.lit(1)).over(W.partitionBy("key", alone))).where("size > 1 or frequent"))
+    many = held.where("frequent").drop("size")
     sizes = saved(many.groupBy("key").agg(F.count(F.lit(1)).alias("size")))
-    return held.unionByName(saved(many.join(F.broadcast(sizes), "key")))
+    return held.where("frequent is null").unionByName(many.join(F.broadcast(sizes), "key").select(held.columns)).select("key", "rep", "size")
 
 
 def member_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -315,8 +312,9 @@ def relabelled(apart: DataFrame, links: DataFrame) -> DataFrame:
     names = apart.select("rep", "component").distinct()
     u, v = names.select(F.col("rep").alias("u"), F.col("component").alias("cu")), names.select(F.col("rep").alias("v"), F.col("component").alias("cv"))
     joined = links.join(u, "u").join(v, "v").select(F.greatest("cu", "cv").alias("component"), F.least("cu", "cv").alias("lower")).where("component <> lower")
-    lower = joined.groupBy("component").agg(F.min("lower").alias("lower"))
-    return apart.join(lower, "component", "left").withColumn("component", F.coalesce("lower", "component")).drop("lower")
+    lower = saved(joined.groupBy("component").agg(F.min("lower").alias("lower")))
+    few = lower.count() <= MAX_BROADCAST_IDS  # as in classes(), a large component is a hot key
+    return apart.join(F.broadcast(lower) if few else lower, "component", "left").withColumn("component", F.coalesce("lower", "component")).drop("lower")
 
 
 def components(edges: DataFrame) -> DataFrame:
