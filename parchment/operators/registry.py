@@ -9,6 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from parchment.functions.text import ngrams
+
+#: How many values of an order, or ranges of them, are counted together.
+SPAN = 65_536
+
 
 def empty_to_null(c: str | Column) -> Column:
     return F.nullif(F.col(c) if isinstance(c, str) else c, F.lit(""))
@@ -80,6 +85,28 @@ def repeats(df: DataFrame, key: Column, order: str) -> DataFrame:
     return keyed.join(firsts, "_k").where(F.col(order) > F.col(f"first_{order}")).drop("_k")
 
 
+def near_repeats(df: DataFrame, key: Column, order: str, least: float = 0.75, n: int = 3) -> DataFrame:
+    """(first, other, key, other_key, similarity): pairs of different keys, in lower case, whose sets of character n-grams have
+    at least that Jaccard similarity, each with the smallest order that has it. Null and empty keys resemble nothing.
+
+    Keys are compared once, however many rows have them. Two such sets have one of their rarest n-grams in common, as many
+    as they may lack and one, so keys meet under those alone: frequent n-grams only where a key has no others.
+    """
+    named = df.select(F.lower(key).alias("key"), order).where("key <> ''").groupBy("key").agg(F.min(order).alias("first"))
+    sets = named.withColumn("grams", F.array_distinct(ngrams(F.col("key"), n)))
+    rows = sets.select("key", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+    held = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("held"))
+    place = F.row_number().over(W.partitionBy("key").orderBy("held", "gram"))
+    rare = rows.join(held, "gram").withColumn("place", place).where(F.col("place") <= F.col("size") - F.ceil(least * F.col("size") - 1e-9) + 1)
+    mates = rare.select("gram", F.col("key").alias("other_key"), F.col("size").alias("other_size"))
+    near = F.least("size", "other_size") >= least * F.greatest("size", "other_size") - 1e-9
+    pairs = rare.join(mates, "gram").where((F.col("key") < F.col("other_key")) & near).select("key", "other_key").distinct()
+    met = pairs.join(sets, "key").join(sets.select(F.col("key").alias("other_key"), F.col("first").alias("other"), F.col("grams").alias("other_grams")), "other_key")
+    both = F.size(F.array_intersect("grams", "other_grams"))
+    scored = met.withColumn("similarity", both / (F.size("grams") + F.size("other_grams") - both)).where(F.col("similarity") >= least)
+    return scored.select("first", "other", "key", "other_key", "similarity")
+
+
 def resume(inputs: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Inputs whose key isn't among those done; a _result at the end of a done key doesn't count."""
     return inputs.join(done.select(F.regexp_replace(F.col(key).cast("string"), "_result$", "").alias("_k")).distinct(), F.col(key).cast("string") == F.col("_k"), "left_anti")
@@ -111,12 +138,22 @@ def resolve_alerts(records: DataFrame, alerts: DataFrame, approved: DataFrame, k
     return left, met.withColumn("status", F.when(F.col("_o").isNotNull(), "Verified").otherwise(F.col("status"))).drop("_k", "_o")
 
 
+def rows_before(counts: DataFrame, levels: int = 2) -> DataFrame:
+    """(_range, _before) of counts (_range, _n): how many rows smaller ranges have. Prefix sums run within SPAN ranges, and
+    over the sums of those in turn, so that two levels keep every window below SPAN rows for any 64-bit order."""
+    if not levels:
+        return counts.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_before"))
+    upper = counts.withColumn("_upper", F.floor(F.col("_range") / SPAN))
+    above = rows_before(upper.groupBy(F.col("_upper").alias("_range")).agg(F.sum("_n").alias("_n")), levels - 1)
+    within = upper.withColumn("_within", F.sum("_n").over(W.partitionBy("_upper").orderBy("_range")) - F.col("_n"))
+    return within.join(above.withColumnsRenamed({"_range": "_upper", "_before": "_above"}), "_upper").select("_range", (F.col("_above") + F.col("_within")).alias("_before"))
+
+
 def chunk_of(df: DataFrame, order: str, size: int) -> DataFrame:
-    """df with seq, its place in the order from 0, and chunk, seq by size. Places are counts of the rows before a range
-    of the order plus the place within it, so that no task sorts all rows."""
-    ranges = df.withColumn("_range", F.floor(F.col(order) / 65536))
-    counts = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_before"))
+    """df with seq, its place in the numeric order from 0, and chunk, seq by size; nulls come first. Places are counts of the
+    rows before a range of SPAN values plus the place within it, so that no task sorts all rows, nor all ranges of sparse values."""
+    ranges = df.withColumn("_range", F.coalesce(F.floor(F.col(order) / SPAN), F.lit(-(1 << 62))))
+    before = rows_before(ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")))
     placed = ranges.withColumn("_place", F.row_number().over(W.partitionBy("_range").orderBy(order)) - 1).join(before, "_range")
     seq = (F.col("_before") + F.col("_place")).cast("long")
     return placed.withColumns({"seq": seq, "chunk": F.floor(seq / size)}).drop("_range", "_before", "_place")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from parchment.sources.tables import table
 
-__all__ = ["shared_folder", "table"]
+__all__ = ["shared_folder", "spread", "table"]
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,3 +21,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 #: DuckDB: a struct as text, so that nested results compare as strings.
 STATUS = "case o_orderstatus when 'F' then 'Verified' when 'O' then 'Pending' else 'Flagged' end"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan for costly expressions: over all cores where its files are too small to be split for them; any larger scan stays
+    as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

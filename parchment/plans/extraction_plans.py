@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from parchment.functions.fields import CODES
 from parchment.functions.lookups import VOCABULARY
 from parchment.operators import extraction
-from parchment.plans.common import table
+from parchment.plans.common import spread, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -24,7 +24,7 @@ def query(sql: str | None):
 
 def records(spark, d):
     """A land record in English for each order; every third lacks its district."""
-    met = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    met = spread(table(spark, d, "orders")).join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
     line = lambda label, value: F.concat(F.lit(f"{label}: "), value, F.lit("\n"))
     text = F.concat(
         line("Survey Number", F.concat("o_orderkey", F.lit("/"), F.col("o_custkey"), F.lit("A"))), line("Khata Number", F.lpad(F.col("o_custkey").cast("string"), 5, "0")),

@@ -102,6 +102,15 @@ def dup_exact(spark, d):
     return registry.repeats(docs, F.col("t"), "doc_id").select("doc_id", "first_doc_id")
 
 
+@query("""with s as (select lower(p_name || ' ' || p_brand) as k, min(p_partkey) as first from part group by 1),
+g as (select k, first, unnest(list_distinct(list_transform(range(1, length(k) - 1), lambda i: substr(k, i, 3)))) as gram from s), z as (select k, count(*) as n from g group by 1),
+b as (select x.k as key, y.k as other_key, min(x.first) as first, min(y.first) as other, count(*) as met from g x join g y on x.gram = y.gram and x.k < y.k group by 1, 2)
+select first, other, key, other_key, round(met / (z.n + w.n - met), 6) as similarity from b join z on z.k = key join z w on w.k = other_key where met / (z.n + w.n - met) >= 0.75""")
+def dup_near(spark, d):
+    found = registry.near_repeats(table(spark, d, "part"), F.concat_ws(" ", "p_name", "p_brand"), "p_partkey")
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
 # aggregates
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from parchment.functions import langid, lookups
 from parchment.functions import text as T
 from parchment.operators import correction, quality
-from parchment.plans.common import table
+from parchment.plans.common import spread, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -49,7 +49,7 @@ def pairs(spark, d):
     """As _PAIRS."""
     lang = F.when(F.col("item_id") % 3 == 0, "en").when(F.col("item_id") % 3 == 1, "hi").otherwise("bn")
     changed = F.concat(F.replace(F.replace("text", F.lit("the"), F.lit("thee")), F.lit("on"), F.lit("o")), F.lit("x"))
-    t = table(spark, d, "benchmark")
+    t = spread(table(spark, d, "benchmark").select("item_id", "text"))
     return t.select(F.col("item_id").alias("id"), lang.alias("lang"), F.col("text").alias("reference"), F.when(F.col("item_id") % 5 == 0, "").otherwise(changed).alias("hypothesis"))
 
 
@@ -273,7 +273,7 @@ _COUNT = "length(regexp_replace(t, '[^{0}]', '', 'g'))::int"
 
 
 def spelt_benchmark(spark, d):
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("id"), spelt("item_id").alias("t"))
+    return spread(table(spark, d, "benchmark").select("item_id", "text")).select(F.col("item_id").alias("id"), spelt("item_id").alias("t"))
 
 
 @query(f"{_BENCH_LID} select id, {_COUNT.format(_CLASS['Latin'])} as latin, {_COUNT.format(_CLASS['Devanagari'])} as devanagari from t")
@@ -303,19 +303,19 @@ def lid_disambiguate(spark, d):
 
 @query(f"{_DOCS_LID} select id, k_language as language, round(k_confidence, 6) as confidence from k")
 def lid_by_keywords(spark, d):
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), langid.by_keywords(spelt("doc_id")).alias("s"))
+    rows = spread(table(spark, d, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("id"), langid.by_keywords(spelt("doc_id")).alias("s"))
     return rows.select("id", "s.language", F.round("s.confidence", 6).alias("confidence"))
 
 
 @query(f"{_DOCS_LID} select id, language, stage from a")
 def lid_identify(spark, d):
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), langid.identify(spelt("doc_id")).alias("s"))
+    rows = spread(table(spark, d, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("id"), langid.identify(spelt("doc_id")).alias("s"))
     return rows.select("id", "s.language", "s.stage")
 
 
 @query(_lid_sql(f"select row_number() over () as id, {_spelt_sql('turn')} as t from conversations") + " select language, count(*) as n from a group by 1")
 def lid_batch(spark, d):
-    rows = table(spark, d, "conversations").select(langid.identify(spelt("turn"))["language"].alias("language"))
+    rows = spread(table(spark, d, "conversations").select("turn", "text")).select(langid.identify(spelt("turn"))["language"].alias("language"))
     return rows.groupBy("language").agg(F.count(F.lit(1)).alias("n"))
 
 

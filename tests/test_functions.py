@@ -193,3 +193,28 @@ def test_registry(spark):
 def test_truth_from_text(spark):
     df = spark.createDataFrame([("Owner Name: Ram: Lal\nno pair\nArea: 1\nArea: 2",)], "t string")
     assert batch.truth_from_text(df, "t").first()["truth"] == {"owner_name": "Ram: Lal", "area": "2"}
+
+
+def test_places_of_sparse_and_null_orders(spark):
+    from parchment.operators import registry
+
+    values = [None, -(2**62), -70_000, -1, 0, 3, 65_535, 65_536, 2**33, 2**40, 2**62]
+    got = registry.chunk_of(spark.createDataFrame([(v,) for v in reversed(values)], "v long"), "v", 4).collect()
+    assert sorted((r["seq"], r["v"]) for r in got if r["v"] is not None) == list(enumerate(values))[1:]
+    assert [(r["seq"], r["chunk"]) for r in got if r["v"] is None] == [(0, 0)] and all(r["chunk"] == r["seq"] // 4 for r in got)
+
+
+def test_near_repeats(spark):
+    from parchment.operators import registry
+
+    names = ["Ram Kumar Sharma", "ram kumar sharma", "Ram Kumar Sharman", "Sita Devi", "ab", "AB", "abc", "", None, "Sita Devix Rao", "Ram Kumar Verma"]
+    rows = spark.createDataFrame(list(enumerate(names)), "id int, name string")
+    got = {(r["first"], r["other"], round(r["similarity"], 6)) for r in registry.near_repeats(rows, rows["name"], "id", 0.5).collect()}
+    grams = lambda t: {t[i : i + 3] for i in range(max(1, len(t) - 2))}
+    firsts = {}
+    for i, t in enumerate(names):
+        firsts.setdefault((t or "").lower(), i)
+    firsts.pop("")
+    want = {(firsts[a], firsts[b], round(len(grams(a) & grams(b)) / len(grams(a) | grams(b)), 6)) for a in firsts for b in firsts if a < b and len(grams(a) & grams(b)) >= 0.5 * len(grams(a) | grams(b))}
+    assert got == want and len(want) > 2
+    assert registry.near_repeats(rows.limit(0), rows["name"], "id").count() == 0
