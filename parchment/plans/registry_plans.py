@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parchment.functions import geometry as G
 from parchment.functions import text as T
 from parchment.operators import quality, registry
-from parchment.plans.common import STATUS, table
+from parchment.plans.common import STATUS, shared_folder, table
 from parchment.sources import files
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -28,6 +30,19 @@ def status():
     return F.expr(STATUS)
 
 
+def fresh(spark):
+    """A new folder that all executors share."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def csv_lines(rows):
+    """The lines of the CSV files that rows are written to, without headers; the first column as a number beside them."""
+    path = fresh(rows.sparkSession)
+    files.write_csv_quoted(rows, path)
+    lines = rows.sparkSession.read.text(path).where(F.col("value") != ",".join(f'"{c}"' for c in rows.columns))
+    return lines.select(F.regexp_extract("value", '^"(-?[0-9]+)"', 1).cast("long").alias(rows.columns[0]), F.col("value").alias("line"))
+
+
 # sources
 
 
@@ -67,9 +82,12 @@ def src_sidecar_gt(spark, d):
 
 @query("select item_id as id, 'coco' as origin, length(text) as n from benchmark union all select conv_id, 'lines', length(text) from conversations")
 def src_annotations(spark, d):
-    a = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.lit("coco").alias("origin"), F.length("text").cast("long").alias("n"))
-    b = table(spark, d, "conversations").select(F.col("conv_id").alias("id"), F.lit("lines").alias("origin"), F.length("text").cast("long").alias("n"))
-    return a.unionByName(b)
+    coco, lines = fresh(spark), fresh(spark)
+    items = table(spark, d, "benchmark").select(F.floor(F.col("item_id") / 1000).alias("file"), F.struct(F.col("item_id").alias("id"), "text").alias("a"))
+    files.write_documents(items.groupBy("file").agg(F.collect_list("a").alias("annotations")), "file", coco)
+    files.write_json_rows(table(spark, d, "conversations").select(F.col("conv_id").alias("id"), "text"), lines)
+    of = lambda origin, got: got.select("id", F.lit(origin).alias("origin"), F.length("text").cast("long").alias("n"))
+    return of("coco", files.read_annotations(spark, coco=coco)).unionByName(of("lines", files.read_annotations(spark, lines=lines)))
 
 
 @query(None)
@@ -80,10 +98,13 @@ def src_yaml_schema(spark, d):
     return spark.createDataFrame(rows, "field string, language_group string, labels string, names_script boolean")
 
 
-@query("select event_id, coalesce(cast(json_extract(props, '$.k') as bigint), 0) as k, coalesce(json_extract_string(props, '$.missing'), '') as missing from events")
+@query("""select doc_id, case when doc_id % 2 = 0 then coalesce(lang, '') else '' end as language, n_chars::double as seconds, '' as model, 0 as regions from documents""")
 def src_json_result(spark, d):
-    parsed = F.from_json("props", "k long, missing string")
-    return table(spark, d, "events").select("event_id", F.coalesce(parsed["k"], F.lit(0)).alias("k"), F.coalesce(parsed["missing"], F.lit("")).alias("missing"))
+    path = fresh(spark)
+    some = F.when(F.col("doc_id") % 2 == 0, F.col("lang"))  # a null isn't written
+    files.write_json_rows(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("image_path"), some.alias("detected_language"), F.col("n_chars").cast("double").alias("processing_time")), path)
+    got = files.read_results(spark, path)
+    return got.select(F.col("image_path").cast("long").alias("doc_id"), F.col("detected_language").alias("language"), F.col("processing_time").alias("seconds"), F.col("model_used").alias("model"), F.size("regions").alias("regions"))
 
 
 @query("select r_regionkey, r_name from region")
@@ -92,48 +113,65 @@ def src_local_state(spark, d):
     return files.read_or_seed(spark, f"{d}/no_such_state.json", seed)
 
 
-# sinks, as the rows or lines that are written
+# sinks: what is read back of what was written
 
 
 @query("""select o_orderkey, '{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '","o_custkey":' || o_custkey || '}' as line from orders""")
 def snk_json_row(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", F.to_json(F.struct("o_orderkey", "o_orderstatus", "o_custkey")).alias("line"))
+    path = fresh(spark)
+    files.write_json_rows(table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_custkey"), path)
+    return spark.read.text(path).select(F.get_json_object("value", "$.o_orderkey").cast("long").alias("o_orderkey"), F.col("value").alias("line"))
 
 
 @query("""select '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}' as line from nation union all select '{"n_nationkey":' || r_regionkey || ',"n_name":"' || r_name || '"}' from region""")
 def snk_jsonl_append(spark, d):
-    first = table(spark, d, "nation").select("n_nationkey", "n_name")
+    path = fresh(spark)
+    files.write_json_rows(table(spark, d, "nation").select("n_nationkey", "n_name"), path)
     more = table(spark, d, "region").select(F.col("r_regionkey").alias("n_nationkey"), F.col("r_name").alias("n_name"))
-    return first.unionByName(more).select(F.to_json(F.struct("n_nationkey", "n_name")).alias("line"))
+    files.write_json_rows(more, path, "append")
+    return spark.read.text(path).select(F.col("value").alias("line"))
 
 
 @query("""select doc_id, d.lang, l.quality as field_quality, l.toxic as field_toxic, d.n_chars from documents d left join labels l using (doc_id)""")
 def snk_csv_flat(spark, d):
-    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
-    fields = F.map_from_arrays(F.array(F.lit("quality"), F.lit("toxic")), F.array("quality", "toxic"))
-    met = docs.join(labels, "doc_id", "left").withColumn("fields", fields)
-    return met.select("doc_id", "lang", *[F.col("fields")[f].alias(f"field_{f}") for f in ("quality", "toxic")], "n_chars")
-
-
-@query("select text as value from benchmark")
+    docs, labels, path = table(spark, d, "documents"), table(spark, d, "labels"), fresh(spark)
+    met = docs.join(labels, "doc_id", "left")
+    field = lambda c: F.struct(F.col(c).cast("string").alias("value"), F.lit(1.0).alias("confidence"))
+    fields = F.map_from_arrays(F.array(F.lit("quality"), F.lit("toxic")), F.array(field("quality"), field("toxic")))
+    results = met.select(
+        F.col("doc_id").alias("image_path"), F.col("lang").alias("detected_language"), F.lit(1.0).alias("language_confidence"), F.array().alias("regions"),
+        F.col("n_chars").alias("processing_time"), F.lit("").alias("full_text"), fields.alias("structured_data"),
+    )
+    files.write_csv_quoted(files.flatten_results(results, ["quality", "toxic"]), path)
+    flat = spark.read.csv(path, header=True, escape='"')
+    own = [F.col(f"field_{f}").try_cast(labels.schema[f].dataType).alias(f"field_{f}") for f in ("quality", "toxic")]
+    return flat.select(F.col("image_path").cast("long").alias("doc_id"), F.col("detected_language").alias("lang"), *own, F.col("processing_time").cast("long").alias("n_chars"))
+
+
+@query("""select unnest(string_split(text, chr(10))) as value from benchmark""")
 def snk_txt(spark, d):
-    return table(spark, d, "benchmark").select(F.col("text").alias("value"))
+    path = fresh(spark)
+    files.write_text(table(spark, d, "benchmark"), "text", path)
+    return spark.read.text(path, lineSep="\n")
 
 
 @query("""select c_custkey, '"' || c_custkey || '","' || replace(c_name, '"', '""') || '","' || c_mktsegment || '"' as line from customer""")
 def snk_csv_records(spark, d):
-    return table(spark, d, "customer").select("c_custkey", files.csv_line("c_custkey", "c_name", "c_mktsegment").alias("line"))
+    return csv_lines(table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment"))
 
 
 @query("""select event_id, '"' || event_id || '","' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '","' || event_type || '","' || user_id || '"' as line from events""")
 def snk_csv_audit(spark, d):
-    rows = table(spark, d, "events").withColumn("at", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
-    return rows.select("event_id", files.csv_line("event_id", "at", "event_type", "user_id").alias("line"))
+    return csv_lines(table(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "event_type", "user_id"))
 
 
 @query("""select lang, printf('%.4f', avg(n_chars)) as mean, printf('%.4f', stddev_pop(n_chars)) as std, count(*) as n from documents group by lang""")
 def snk_metrics_json(spark, d):
-    return table(spark, d, "documents").groupBy("lang").agg(F.printf(F.lit("%.4f"), F.avg("n_chars")).alias("mean"), F.printf(F.lit("%.4f"), F.stddev_pop("n_chars")).alias("std"), F.count(F.lit(1)).alias("n"))
+    path = fresh(spark)
+    four = lambda c: F.printf(F.lit("%.4f"), c)
+    made = table(spark, d, "documents").groupBy("lang").agg(four(F.avg("n_chars")).alias("mean"), four(F.stddev_pop("n_chars")).alias("std"), F.count(F.lit(1)).alias("n"))
+    files.write_json_rows(made, path)
+    return spark.read.schema(made.schema).json(path)
 
 
 @query("""select c_custkey as id, c_name as owner_name, 'Pending' as status from customer where c_acctbal > 0

@@ -121,6 +121,11 @@ def write_json_rows(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.mode(mode).json(path)
 
 
+def write_documents(df: DataFrame, key: str, path: str) -> None:
+    """One JSON file for each row, in a folder named by its key, as COCO-style files are one object each."""
+    df.write.partitionBy(key).json(path)
+
+
 def write_csv_quoted(df: DataFrame, path: str) -> None:
     """CSV with a header and every value in quotes, quotes inside doubled."""
     df.write.csv(path, header=True, quoteAll=True, escape='"', emptyValue="")
