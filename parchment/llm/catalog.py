@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from parchment.llm import classifier, language_model, mixing, oracle, pieces, token_file, warc
+from parchment.llm.divergence import source_divergences
 from parchment.llm.fingerprint import fingerprint_documents
 from parchment.llm.common import saved
 from parchment.llm.neardup import near_duplicates
@@ -64,6 +65,10 @@ def op10_warc(spark, sf_dir):
     return warc.read_archives(normal, saved(warc.sidecar_index(normal))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
+def op11_source_divergence(spark, sf_dir):
+    return source_divergences(table(spark, sf_dir, "documents"))
+
+
 def queries():
     own = {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
     return own | {"pipeline": corpus_pipeline.run}

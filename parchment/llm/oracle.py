@@ -60,4 +60,30 @@ select page_id, payload_bytes::bigint payload_bytes, payload_digest, true as int
 from p
 """
 
-SQL = {"op1_quality_rules": OP1, "op3_url_filters": OP3, "op10_warc": OP10}
+OP11 = r"""
+with d as (
+  select row_number() over () id, coalesce(lang, '') lang, coalesce(source, '') source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') terms
+  from documents),
+c as (select lang, source, term, count(*) c, count(distinct id) docs from (select lang, source, id, unnest(terms) term from d) group by all),
+k as (select lang, term, sum(c) c from c group by all having sum(docs) >= 10),
+v as (select lang, count(*) v, sum(c) n from k group by all),
+g as (select lang, source, coalesce(sum(c.c), 0) n from (select distinct lang, source from d) left join (select c.* from c semi join k using (lang, term)) c using (lang, source) group by all),
+p as (
+  select g.lang, g.source, k.term, coalesce(c.c, 0) c, 1 + 1000000000::hugeint * (coalesce(c.c, 0) + 2) // (g.n + 2 * v.v) p,
+    1 + 1000000000::hugeint * (k.c + 2) // (v.n + 2 * v.v) q
+  from g join k using (lang) join v using (lang) left join c on (c.lang = g.lang and c.source = g.source and c.term = k.term)),
+f as (
+  select a.lang, a.source, 'pair' part, b.source item, coalesce(s.value, 0) as value
+  from g a join g b on (a.lang = b.lang and a.source <> b.source)
+  left join (select a.lang, a.source, b.source other, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value
+    from p a join p b on (a.lang = b.lang and a.term = b.term and a.source <> b.source) group by all) s
+  on (s.lang = a.lang and s.source = a.source and s.other = b.source)
+  union all
+  select lang, source, 'term', term, (p - q) * (p - q) // (p + q) from p where c > 0 and p > q)
+select lang, source, part, item, value::bigint as value, rank::int as rank
+from (select *, row_number() over (partition by lang, source, part order by value desc, item) rank from f)
+where part = 'pair' or rank <= 10
+"""
+
+SQL = {"op1_quality_rules": OP1, "op3_url_filters": OP3, "op10_warc": OP10, "op11_source_divergence": OP11}
