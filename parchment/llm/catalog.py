@@ -11,6 +11,8 @@ from parchment.llm.divergence import source_divergences
 from parchment.llm.fingerprint import fingerprint_documents
 from parchment.llm.common import saved
 from parchment.llm.neardup import near_duplicates
+from parchment.llm.packing import pack_documents
+from parchment.llm.periodic import document_runs
 from parchment.llm.quality_rules import quality_rules
 from parchment.llm.url_filter import RULES_SCHEMA, filter_urls
 from parchment.sources.tables import table
@@ -69,6 +71,15 @@ def op11_source_divergence(spark, sf_dir):
     return source_divergences(table(spark, sf_dir, "documents"))
 
 
+def op12_packing(spark, sf_dir):
+    packed = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+def op13_periodic_runs(spark, sf_dir):
+    return document_runs(table(spark, sf_dir, "documents"), edited=True)
+
+
 def queries():
     own = {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
     return own | {"pipeline": corpus_pipeline.run}

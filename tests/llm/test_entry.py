@@ -12,7 +12,7 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 def test_queries_are_registered():
     names = set(__spark_entry__.queries())
-    assert {f"op{n}" for n in range(1, 12)} == {n.split("_")[0] for n in names if n[:2] == "op" and n[2].isdigit()}
+    assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in names if n[:2] == "op" and n[2].isdigit()}
     assert "pipeline" in names and set(__spark_entry__.oracle_sql()) <= names
 
 
