@@ -77,9 +77,9 @@ def tokenize(text: Column) -> Column:
 
 
 def ngrams(text: Column, n: int) -> Column:
-    """Character n-grams; a shorter text is its own one, an empty one has none."""
+    """Character n-grams; a shorter text is its own one, an empty one has none. One scan of the text finds them all."""
     size = F.length(text)
-    grams = F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substr(text, i, F.lit(n)))
+    grams = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
     return F.when(size == 0, F.array().cast("array<string>")).when(size < n, F.array(text)).otherwise(grams)
 
 
@@ -117,18 +117,26 @@ def wer(reference: Column, hypothesis: Column) -> Column:
 
 
 def multiset_overlap(a: Column, b: Column) -> Column:
-    """The size of the multiset intersection of two arrays."""
-    count = lambda xs, g: F.size(F.filter(xs, lambda x: x == g))
-    return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda acc, g: acc + F.least(count(a, g), count(b, g)))
+    """The size of the multiset intersection of two arrays: of both sizes, half of what is left when each value's surplus on
+    either side is taken off. The surpluses are summed over both arrays sorted together."""
+    signed = lambda xs, sign: F.transform(xs, lambda x: F.struct(x.alias("x"), F.lit(sign).alias("n")))
+    zero = F.lit(0)
+    start = F.struct(F.lit(None).cast("string").alias("x"), zero.alias("n"), zero.alias("all"))
+
+    def step(acc: Column, one: Column) -> Column:
+        same = acc["x"].eqNullSafe(one["x"])
+        n = F.when(same, acc["n"]).otherwise(0) + one["n"]
+        return F.struct(one["x"].alias("x"), n.alias("n"), (acc["all"] + F.when(same, 0).otherwise(F.abs(acc["n"]))).alias("all"))
+
+    surplus = F.aggregate(F.sort_array(F.concat(signed(a, 1), signed(b, -1))), start, step, lambda acc: acc["all"] + F.abs(acc["n"]))
+    return ((F.size(a) + F.size(b) - surplus) / 2).cast("int")
 
 
 def f1(reference: Column, hypothesis: Column, n: int = 2) -> Column:
     """F1 of the n-gram multisets; 1 if both texts are empty, 0 if one is."""
 
     def score(a: Column, b: Column) -> Column:
-        both = multiset_overlap(a, b)
-        precision, recall = both / F.size(b), both / F.size(a)
-        return F.when(both == 0, 0.0).otherwise(2 * precision * recall / (precision + recall))
+        return let(multiset_overlap(a, b), lambda both: 2 * both / (F.size(a) + F.size(b)))
 
     empty = (F.length(reference) == 0).cast("int") + (F.length(hypothesis) == 0).cast("int")
     scored = let(F.struct(ngrams(reference, n).alias("a"), ngrams(hypothesis, n).alias("b")), lambda g: score(g["a"], g["b"]))

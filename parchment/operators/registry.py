@@ -46,8 +46,10 @@ def kpis(records: DataFrame, alerts: DataFrame, status: str, amount: Column) ->
 
 
 def latest_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The row with the largest order of each key, picked by partial maxima rather than by a sort."""
-    return df.groupBy(key).agg(F.max_by(F.struct(*df.columns), order).alias("x")).select("x.*")
+    """The row with the largest order of each key, picked by partial maxima rather than by a sort; rows without an order
+    come before all others, and a null key is a key like any other."""
+    newest = F.struct(F.col(order).isNotNull().alias("known"), F.col(order).alias("order"))
+    return df.groupBy(F.col(key).alias("_k")).agg(F.max_by(F.struct(*df.columns), newest).alias("x")).select("x.*")
 
 
 def newest_first(df: DataFrame, ts: str, tie: str) -> DataFrame:
@@ -55,13 +57,14 @@ def newest_first(df: DataFrame, ts: str, tie: str) -> DataFrame:
 
 
 def newest_places(df: DataFrame, ts: str, tie: str) -> DataFrame:
-    """df with place, from 1 for the newest row, null times last. As in chunk_of: the rows of later hours plus the
-    place within the hour, so that no task sorts all rows."""
-    hours = df.withColumn("_hour", F.coalesce(F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / 3_600_000_000), F.lit(-(1 << 62))))
-    counts = hours.groupBy("_hour").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_hour", (F.sum("_n").over(W.orderBy(F.desc("_hour"))) - F.col("_n")).alias("_before"))
-    within = F.row_number().over(W.partitionBy("_hour").orderBy(F.col(ts).desc(), F.col(tie).desc()))
-    return hours.withColumn("_place", within).join(before, "_hour").withColumn("place", (F.col("_before") + F.col("_place")).cast("long")).drop("_hour", "_before", "_place")
+    """df with place, from 1 for the newest row, null times last; rows of one time by descending tie. As in chunk_of: the rows of
+    later seconds plus the place within the second, so that no task sorts all rows, nor those of a busy hour."""
+    timed = df.withColumn("_at", F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")), F.lit(-(1 << 62))))
+    seconds = timed.groupBy(F.floor(F.col("_at") / 1_000_000).alias("_second")).agg(F.count(F.lit(1)).alias("_n"))
+    before = rows_before(seconds.select((-F.col("_second")).alias("_range"), "_n"))
+    within = F.row_number().over(W.partitionBy("_range").orderBy(F.desc("_at"), F.col(tie).desc()))
+    placed = timed.withColumn("_range", -F.floor(F.col("_at") / 1_000_000)).withColumn("_place", within).join(before, "_range")
+    return placed.withColumn("place", (F.col("_before") + F.col("_place")).cast("long")).drop("_at", "_range", "_before", "_place")
 
 
 def flag_duplicates(new: DataFrame, existing: DataFrame, key: str) -> DataFrame:
