@@ -63,25 +63,28 @@ def nearest_words(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return distinct.join(best, ["lang", "bare"]).select("lang", "word", "bare", F.col("m.entry").alias("entry"), F.col("m.distance").alias("distance"))
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """df with _row, a number of its own for each row: keys may be null, and may repeat."""
-    return df.withColumn("_row", F.monotonically_increasing_id())
-
-
-def with_words(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """(key, corrected) of rows (_row, key, words): the words with those of found (_row, pos, word) in their places."""
-    changes = found.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("pos", "word"))).alias("changes"))
-    new = F.transform("words", lambda w, i: F.coalesce(F.try_element_at("changes", i), w))
+def tokenized(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
+    """(_row, key, lang, words) of each row. Rows equal in language and text are corrected alike, so what is found out about them
+    comes back by their digest: keys may be null or repeat, and rows may come in any order."""
+    digest = F.sha2(F.to_json(F.struct(F.col(lang).cast("string").alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))), 256)
+    return df.select(digest.alias("_row"), F.col(key).alias("key"), F.col(lang).alias("lang"), tokenize(F.coalesce(F.col(text), F.lit(""))).alias("words"))
+
+
+def with_words(rows: DataFrame, found: DataFrame, fitted) -> DataFrame:
+    """(key, corrected) of rows as in tokenized(): words joined by blanks, those at the places of found (_row, pos, word) as
+    fitted(word, found word)."""
+    changes = found.select("_row", "pos", "word").distinct().groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("pos", "word"))).alias("changes"))
+    new = F.transform("words", lambda w, i: F.coalesce(fitted(w, F.try_element_at("changes", i)), w))
     return rows.join(changes, "_row", "left").select("key", F.array_join(new, " ").alias("corrected"))
 
 
 def correct_vocabulary(df: DataFrame, vocabulary: DataFrame, key: str, text: str = "text", lang: str = "lang") -> DataFrame:
     """(key, corrected), one for each row: words joined by blanks, each replaced, its punctuation included, where an entry is
     near enough. Rows of an unknown or null language keep their words; null texts are empty; keys may be null or repeat."""
-    rows = numbered(df).select("_row", F.col(key).alias("key"), F.col(lang).alias("lang"), tokenize(F.coalesce(F.col(text), F.lit(""))).alias("words"))
+    rows = tokenized(df, key, text, lang)
     words = rows.select("_row", "lang", F.posexplode("words").alias("pos", "word"))
     found = words.join(nearest_words(words, vocabulary).select("lang", "word", "entry"), ["lang", "word"]).where("word <> entry")
-    return with_words(rows, found.select("_row", "pos", F.col("entry").alias("word"))).withColumnRenamed("key", key)
+    return with_words(rows, found.select("_row", "pos", F.col("entry").alias("word")), lambda w, new: new).withColumnRenamed("key", key)
 
 
 def correct(df: DataFrame, vocabulary: DataFrame, key: str, text: str = "text", lang: str = "lang", compat: str | None = None) -> DataFrame:

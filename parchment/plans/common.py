@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from parchment.sources.tables import table
 
-__all__ = ["shared_folder", "spread", "table"]
+__all__ = ["shared_folder", "spread", "table", "written"]
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -19,6 +20,13 @@ def shared_folder(spark: SparkSession) -> str:
     return named or tempfile.mkdtemp(prefix="parchment-")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, read back."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: DuckDB: a struct as text, so that nested results compare as strings.
 STATUS = "case o_orderstatus when 'F' then 'Verified' when 'O' then 'Pending' else 'Flagged' end"
 
