@@ -41,19 +41,29 @@ def density(boxes: DataFrame, key: str, width: int, height: int, cell: float = 1
     what lies beyond the grid is cut off; a key of such boxes alone has a grid of zeros.
 
     A box adds one to all that is right and below of its first cell and takes it off beyond its last ones, four numbers
-    whatever its area; these are summed by cell, and the summed area of a cell is its density.
+    whatever its area; these are summed by cell, and the sum of all above and left of a cell is its density. Rows without
+    a corner are the same as those above them.
     """
     at = lambda c, most: F.least(F.greatest(F.floor(F.col(c) / cell), F.lit(0)), F.lit(most)).cast("int")
     whole = (F.col("x1") <= F.col("x2")) & (F.col("y1") <= F.col("y2")) & (F.col("x2") >= 0) & (F.col("y2") >= 0) & (F.col("x1") < width * cell) & (F.col("y1") < height * cell)
     placed = boxes.select(F.col(key).alias("key"), F.coalesce(whole, F.lit(False)).alias("whole"), at("x1", width).alias("a"), at("y1", height).alias("b"), at("x2", width).alias("c"), at("y2", height).alias("d"))
-    corner = lambda y, x, n: F.struct((F.least(y, F.lit(height)) * (width + 1) + F.least(x, F.lit(width))).alias("cell"), F.lit(n).cast("long").alias("n"))
+    corner = lambda y, x, n: F.struct(F.least(y, F.lit(height)).alias("y"), F.least(x, F.lit(width)).alias("x"), F.lit(n).cast("long").alias("n"))
     a, b, c, d = (F.col(x) for x in "abcd")
     corners = F.when(F.col("whole"), F.array(corner(b, a, 1), corner(b, c + 1, -1), corner(d + 1, a, -1), corner(d + 1, c + 1, 1)))
-    sums = placed.select("key", F.explode_outer(corners).alias("p")).groupBy("key", "p.cell").agg(F.sum("p.n").alias("n"))
-    cells = sums.groupBy("key").agg(F.map_from_entries(F.collect_list(F.when(F.col("cell").isNotNull(), F.struct("cell", "n")))).alias("m"))
-    line = lambda y: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda x: F.coalesce(F.try_element_at("m", y * (width + 1) + x), F.lit(0).cast("long")))
-    steps = F.transform(F.sequence(F.lit(0), F.lit(height - 1)), line)
-    return cells.select(F.col("key").alias(key), summed_area(steps, width).alias("grid"))
+    sums = placed.select("key", F.explode_outer(corners).alias("p")).groupBy("key", "p.y", "p.x").agg(F.sum("p.n").alias("n"))
+    in_row = F.map_from_entries(F.collect_list(F.when(F.col("x").isNotNull(), F.struct("x", "n"))))
+    line = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda x: F.coalesce(F.try_element_at("m", x), F.lit(0).cast("long")))
+    rows = sums.groupBy("key", "y").agg(in_row.alias("m")).select("key", "y", F.when(F.col("y") < height, running(line)).alias("row"))
+    images = rows.groupBy("key").agg(F.map_from_entries(F.collect_list(F.when(F.col("y").isNotNull(), F.struct("y", "row")))).alias("rows"))
+    start = F.struct(F.array_repeat(F.lit(0).cast("long"), width).alias("last"), F.array().cast("array<array<bigint>>").alias("out"))
+
+    def down(acc: Column, y: Column) -> Column:
+        row = F.try_element_at("rows", y)
+        last = F.when(row.isNull(), acc["last"]).otherwise(F.zip_with(acc["last"], row, lambda a, b: a + b))
+        return let(last, lambda own: F.struct(own.alias("last"), F.concat(acc["out"], F.array(own)).alias("out")))
+
+    grid = F.aggregate(F.sequence(F.lit(0), F.lit(height - 1)), start, down, lambda acc: acc["out"])
+    return images.select(F.col("key").alias(key), grid.alias("grid"))
 
 
 def otsu(grid: Column) -> Column:
@@ -105,7 +115,8 @@ def ink_runs(ink: Column) -> Column:
         ends = F.transform(row, lambda v, x: F.when(v & ~F.coalesce(F.get(row, x + 1), F.lit(False)), x))
         return F.zip_with(F.array_compact(begins), F.array_compact(ends), lambda a, b: F.struct(y.alias("y"), a.alias("x1"), b.alias("x2")))
 
-    return F.flatten(F.transform(ink, of_row))
+    none = F.array().cast("array<struct<y:int,x1:int,x2:int>>")
+    return F.flatten(F.transform(ink, lambda row, y: F.when(F.array_contains(row, True), of_row(row, y)).otherwise(none)))
 
 
 def ink_boxes(ink: Column) -> Column:
