@@ -163,12 +163,12 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """
     plan = _plan(docs, **options).groupBy("doc_id", "source", "size").agg(F.min("taken").alias("m_taken"), F.first("epoch_slots").alias("m_slots"))
     plan = plan.select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), "m_taken", "m_slots").where("m_taken > 0")
-    sized = without(docs, "m_id", "m_source", "m_size", "m_taken", "m_slots", "m_copy").withColumn("m_words", count_words(F.col("text")))
-    met = sized.join(plan, F.col("doc_id").eqNullSafe(F.col("m_id")) & F.col("source").eqNullSafe(F.col("m_source")) & (F.col("m_words") == F.col("m_size")))
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("m_row")
+    sized = docs.select(F.col("doc_id").alias("m_key"), F.col("source").alias("m_from"), F.col("text").alias("m_text"), count_words(F.col("text")).alias("m_words"), rest)
+    met = sized.join(plan, F.col("m_key").eqNullSafe(F.col("m_id")) & F.col("m_from").eqNullSafe(F.col("m_source")) & (F.col("m_words") == F.col("m_size")))
     each = met.withColumn("m_copy", F.explode(F.sequence(F.lit(1), F.expr("(m_taken + m_size - 1) div m_size").cast("int"))))
     left = F.least(F.col("m_size"), F.col("m_taken") - (F.col("m_copy") - 1) * F.col("m_size"))
-    cut = F.when(left < F.col("m_size"), F.array_join(F.slice(words(F.col("text")), 1, left.cast("int")), " ")).otherwise(F.col("text"))
-    each = each.withColumn("text", cut)
-    if "n_chars" in docs.columns:
-        each = each.withColumn("n_chars", F.length("text").cast("long"))
-    return each.sortWithinPartitions(F.get("m_slots", F.col("m_copy") - 1), "m_id").select(*docs.columns)
+    cut = F.when(left < F.col("m_size"), F.array_join(F.slice(words(F.col("m_text")), 1, left.cast("int")), " ")).otherwise(F.col("m_text"))
+    each = each.withColumn("m_text", cut).sortWithinPartitions(F.get("m_slots", F.col("m_copy") - 1), "m_id")
+    new = {"text": F.col("m_text"), "n_chars": F.length("m_text").cast("long")}
+    return each.select(*[new[c].alias(c) if c in new else F.col(f"m_row.`{c}`").alias(c) for c in docs.columns])

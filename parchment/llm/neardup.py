@@ -414,8 +414,9 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """
     kept = classes(docs).where("doc_id = component_id").groupBy("component_id", (F.col("n_shingles") == 0).alias("bare")).agg(F.min("t").alias("_nd_kept"))
     kept = kept.select(F.col("component_id").alias("_nd_id"), "_nd_kept")
-    marked = docs.withColumn("_nd_text", F.xxhash64(F.coalesce("text", F.lit(""))))
-    met = marked.join(kept, (F.col("doc_id") == F.col("_nd_id")) & (F.col("_nd_text") == F.col("_nd_kept")), "left_semi")
-    order = W.partitionBy("doc_id", "_nd_text").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = docs.select(row.alias("_nd_row"), F.col("doc_id").alias("_nd_doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_nd_text"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("_nd_order"))
+    met = marked.join(kept, (F.col("_nd_doc") == F.col("_nd_id")) & (F.col("_nd_text") == F.col("_nd_kept")), "left_semi")
+    order = W.partitionBy("_nd_doc", "_nd_text").orderBy("_nd_order")
     first = met.withColumn("_nd_place", F.row_number().over(order)).where("_nd_place = 1")
-    return first.drop("_nd_place", "_nd_text").unionByName(docs.where("doc_id is null"))
+    return first.select(*[F.col(f"_nd_row.`{c}`").alias(c) for c in docs.columns]).unionByName(docs.where("doc_id is null"))

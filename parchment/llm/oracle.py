@@ -21,7 +21,7 @@ each_line as (
 frequent as (
   select host, line from (select host, line, count(distinct text) n_with from each_line group by all)
   join (select host, count(distinct text) n_docs from d group by all) using (host)
-  where n_with > 10 and n_with > 0.02 * n_docs),
+  where n_with > 10 and n_with > least(0.02 * n_docs, 100)),
 removed as (select doc_id, sum(n) n from each_line join frequent using (host, line) group by all),
 m as (
   select doc_id, len(ws) n_words, length(array_to_string(ws, '')) word_chars,

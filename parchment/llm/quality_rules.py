@@ -70,11 +70,13 @@ def quality_rules(
     line meets in one task; texts with frequent lines go back to their rows by a join that Spark can split.
     """
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_words_left", "clean_text", "kept")
-    rows = without(docs, *names, "q_host", "q_text").withColumns(
-        {"q_host": F.coalesce(F.concat(F.lit("h"), host), F.lit("")), "q_text": F.xxhash64(F.coalesce(text, F.lit("")))}
-    )
+    own = without(docs, *names)
+    rows = own.select(
+        F.struct(*[F.col(f"`{c}`") for c in own.columns]).alias("q_row"), F.col(text).alias("q_whole"),
+        F.coalesce(F.concat(F.lit("h"), host), F.lit("")).alias("q_host"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("q_text"),
+    )
     parts = saved(
-        rows.select("q_host", "q_text", F.explode(F.transform(lines(F.col(text)), lambda l: F.struct(line_hash(l).alias("line"), count_words(l).alias("n")))).alias("x"))
+        rows.select("q_host", "q_text", F.explode(F.transform(lines(F.col("q_whole")), lambda l: F.struct(line_hash(l).alias("line"), count_words(l).alias("n")))).alias("x"))
         .groupBy("q_host", "q_text", "x.line")
         .agg(F.sum("x.n").alias("n"))
     )
@@ -95,13 +97,13 @@ def quality_rules(
         .join(hosts, ["q_host", "q_text"])
         .select("q_host", "q_text", (F.col("q_removed") / F.col("copies")).cast("long").alias("q_removed"), "q_lines")
     )
-    t, w = F.coalesce(F.col(text), F.lit("")), words(F.col(text))
+    t, w = F.coalesce(F.col("q_whole"), F.lit("")), words(F.col("q_whole"))
     bare = F.regexp_replace(t, SPACE_CLASS, "")
     measured = rows.withColumns({
         "n_words": F.size(w).cast("long"),
         "word_chars": F.length(bare).cast("long"),
         "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
-        "n_dup_lines": let(lines(F.col(text)), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+        "n_dup_lines": let(lines(F.col("q_whole")), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
         "n_repeat_words": repeated_words(w),
     })
     left = F.col("n_words") - F.coalesce("q_removed", F.lit(0))
@@ -111,8 +113,8 @@ def quality_rules(
         measured.join(removed, ["q_host", "q_text"], "left")
         .withColumns({"n_words_left": left, "base_failed": failed})
         .withColumns({
-            "clean_text": F.when(F.col("q_lines").isNull(), F.col(text)).otherwise(clean),
+            "clean_text": F.when(F.col("q_lines").isNull(), F.col("q_whole")).otherwise(clean),
             "kept": ~F.col("base_failed") & (F.col("n_words_left") >= min_left * F.col("n_words")),
         })
-        .drop("q_host", "q_text", "q_removed", "q_lines")
+        .select(*[F.col(f"q_row.`{c}`").alias(c) for c in own.columns], *names)
     )
