@@ -1,4 +1,4 @@
-"""Quality classifier: vectors of hashed words and character n-grams, averaged per document, with a softmax on top."""
+"""Quality classifier: vectors of hashed words, pairs of words and character n-grams, averaged per document, with a softmax on top."""
 
 from __future__ import annotations
 
@@ -18,8 +18,8 @@ MAX_TRAIN_DOCS = 4_000
 MAX_TRAIN_CHARS = 16_000_000
 BUCKETS = 1 << 17
 DIM = 16
-EPOCHS = 5
-RATE = 0.3
+EPOCHS = 15
+RATE = 0.5
 N_GRAMS = (3, 4)
 THRESHOLD = 0.3
 GROUP_CHARS = 1 << 19
@@ -53,9 +53,8 @@ class Model:
 
 
 def features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(bucket, number of the text) of all words, of whether each word is the one before it again (one vector for all
-    pairs of equal words, one for all others), and of all n-grams of each length. N-grams lie in one word, whose ends
-    count as a character each; words and n-grams keep their case."""
+    """(bucket, number of the text) of all words, of all pairs of neighbouring words, and of all character n-grams of each
+    length. Character n-grams lie in one word, whose ends count as a character each; words and n-grams keep their case."""
     points = np.frombuffer(" ".join(["", *texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     owner = np.repeat(np.arange(len(texts) + 1), [*(len(t) + 1 for t in texts), 1])  # the blank before a text is its first
     space = (points == 32) | ((points >= 9) & (points <= 13))
@@ -71,8 +70,8 @@ def features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     place = np.arange(len(inner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     word = mix(np.add.reduceat(letter[inner] * (place.astype(np.uint64) * np.uint64(2) + np.uint64(1)) ** np.uint64(3), np.cumsum(lengths) - lengths))
     yield (word & np.uint64(BUCKETS - 1)).astype(np.int32), owner[first]
-    again = (word == np.roll(word, 1)) & (owner[first] == np.roll(owner[first], 1)) & (np.arange(len(word)) > 0)
-    yield again.astype(np.int32), owner[first]
+    same = owner[first][1:] == owner[first][:-1]
+    yield (mix(word[:-1] * _STEP + word[1:])[same] & np.uint64(BUCKETS - 1)).astype(np.int32), owner[first][1:][same]
     for n in N_GRAMS:
         if len(points) < n:
             return

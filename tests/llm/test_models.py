@@ -186,5 +186,5 @@ def test_features_of_a_batch_are_those_of_each_text():
     gain = np.random.default_rng(0).normal(size=classifier.BUCKETS).astype(np.float32)
     model = classifier.Model(gain, 0.25)
     assert np.allclose(model.scores(texts), [model.scores([t])[0] for t in texts])
-    again = [b for b, _ in classifier.features(["ab ab cd"])][1]
-    assert again.tolist() == [0, 1, 0]
+    one, two = (list(classifier.features(t)) for t in (["ab ab cd"], ["x ab", "ab cd"]))
+    assert len(one[1][0]) == 2 and one[1][0][1] == two[1][0][1] and two[1][1].tolist() == [0, 1]
