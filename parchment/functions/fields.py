@@ -12,7 +12,7 @@ MIXED_SCRIPTS = ("Devanagari", "Bengali", "Tamil", "Telugu", "Kannada", "Malayal
 LABELS = {
     "survey_number": {
         "main": "सर्वे|सर्वेक्षण|survey|survey no|survey number|SR|SR\\.?|SRNO", "bn": "দাগ|দাগ নম্বর|dag|dag no", "ta": "தொடர்பு|தொடர்பு எண்|survey",
-        "te": "సర್ವే|సర్వే Numbers|survey", "kn": "ಸರ್ವೇ|ಸರ್ವೇ ನಂಬರ್|survey", "ml": "സർവേ|സർവേ നമ്പർ|survey", "ur": "سروی|سروی نمبر|survey",
+        "te": "సರ್ವే|సర్వే Números|survey", "kn": "ಸರ್ವೇ|ಸರ್ವೇ ನಂಬರ್|survey", "ml": "സർവേ|സർവേ നമ്പർ|survey", "ur": "سروی|سروی نمبر|survey",
     },
     "khata_number": {
         "main": "खाता|खतौनी|खतियान|khata|khatian|khatoni", "bn": "খতিয়ান|খাতা|khatian", "ta": "பட்டா|பட்டா எண்|patta", "te": "పట్టు|పట్టు నంబరు|patta",
@@ -51,7 +51,7 @@ LABELS = {
         "te": "భూమి రకం|land type", "kn": "ಭೂಮಿ ವಿಧ|land type", "ml": "നില തരം|land type", "ur": "اراضی کی قسم|land type",
     },
     "mutation_number": {
-        "main": "नामांतरण|दाखिल खारिज|म्यूटेशन|mutation|mutation no|mutation number", "bn": "নামজারি|দাখিল খারিজ|mutation", "ta": "நாமமாற்று|மিউடேஷন்|mutation",
+        "main": "नामांतरण|दाखिल खारिज|म्यूटेशन|mutation|mutation no|mutation number", "bn": "নামজারি|দাখিল খারিজ|mutation", "ta": "நாமமாற்று|மিউடேஷன்|mutation",
         "te": "నామ మార్పు|మ్యుటేషన్|mutation", "kn": "ನಾಮ ಬದಲಾವಣೆ|ಮ್ಯುಟೇಶನ್|mutation", "ml": "നാമ മാറ്റം|മുടേഷൻ|mutation", "ur": "انتقال|میوٹیشن|mutation",
     },
     "registration_date": {

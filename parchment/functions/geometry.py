@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from parchment.functions.text import let
+
 
 def box(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return F.struct(*[c.cast("double").alias(n) for c, n in ((x1, "x1"), (y1, "y1"), (x2, "x2"), (y2, "y2"))])
@@ -87,3 +89,22 @@ def reading_order(boxes: Column, gap: float = 20.0) -> Column:
     rows = F.aggregate(down, zero, step)["rows"]
     placed = F.zip_with(rows, down, lambda r, b: F.struct(r.alias("row"), b["x1"].alias("x1"), b.alias("box")))
     return F.transform(F.array_sort(placed, by("row", "x1")), lambda p: p["box"])
+
+
+def resized(width: Column, height: Column, most: int = 3200, least: int = 640, compat: str | None = None) -> Column:
+    """struct(width, height) of an image scaled, in proportion, down until no side is beyond `most` and up until none is below `least`,
+    but not beyond `most` again. compat="reference" scales up by the sides as they were and past `most`."""
+
+    def scaled(size: Column, by: Column) -> Column:
+        return F.struct(*[F.floor(size[c] * by + 1e-9).cast("int").alias(c) for c in ("width", "height")])
+
+    def both(size: Column) -> Column:
+        longest, shortest = F.greatest(size["width"], size["height"]), F.least(size["width"], size["height"])
+        if compat == "reference":
+            up = F.when(shortest < least, scaled(size, least / shortest))
+            return F.when(shortest < least, up).otherwise(F.when(longest > most, scaled(size, most / longest)).otherwise(size))
+        return F.when(shortest < least, scaled(size, F.greatest(F.lit(1.0), F.least(least / shortest, most / longest)))).otherwise(size)
+
+    size = F.struct(width.cast("int").alias("width"), height.cast("int").alias("height"))
+    longest = F.greatest(width, height)
+    return both(size) if compat == "reference" else let(F.when(longest > most, scaled(size, most / longest)).otherwise(size), both)

@@ -90,3 +90,17 @@ LANGUAGE_GROUPS = {
     "west": ["gu", "mr", "hi", "en"],
     "all_indic": ["hi", "bn", "ta", "te", "kn", "ml", "mr", "gu", "pa", "or", "as", "ur"],
 }
+
+# Words that name a type of land, by language.
+LAND_TYPE_WORDS = {
+    "hi": ["कृषि", "कृषि भूमि", "आवासीय", "आवासीय भूमि", "वाणिज्यिक", "व्यावसायिक", "बंजर", "वन", "चारागाह", "नदी", "तालाब"],
+    "bn": ["কৃষি", "কৃষি জমি", "আবাসিক", "বাণিজ্যিক", "বন", "নদী", "পুকুর"],
+    "ta": ["விவசாய", "விவசாய நிலம்", "அபிவாசி", "வணிக", "காடு", "நதி", "குளம்"],
+    "te": ["వ్యవసాయ", "వ్యవసాయ భూమి", "ఆవాసిక", "వ్యాపారిక", "అడవి", "నది", "చేручుక técnологియా"],
+    "kn": ["ಕೃಷಿ", "ಕೃಷಿ ಭೂಮಿ", "ನಿವಾಸ", "ವಾಣಿಜ್ಯ", "ಕಾಡು", "ನದಿ", "ಕೇರಾ"],
+    "ml": ["കൃഷി", "കൃഷി ഭൂമി", "ആവാസിക", "വാണിജ്യ", "കാട്", "നദി", "കുളം"],
+    "gu": ["કૃષિ", "કૃષિ જમીન", "આવાસિક", "વ્યાપારિક", "જંગલ", "નદી", "તળાવ"],
+    "pa": ["ਕ੍ਰਿਸ਼ੀ", "ਕ੍ਰਿਸ਼ੀ ਜ਼ਮੀਨ", "ਆਵਾਸੀਕ", "ਵਿਆਪਾਰੀਕ", "ਜੰਗਲ", "ਨਦੀ", "ਤਲਾਬ"],
+    "ur": ["زرعی", "زرعی اراضی", "رہائشی", "تجارتی", "جنگل", "دریا", "تعلب"],
+    "en": ["agricultural", "agricultural land", "residential", "commercial", "forest", "river", "pond", "barren", "pasture"],
+}

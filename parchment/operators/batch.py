@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,11 +17,11 @@ def split(df: DataFrame, bucket: Column, shares: tuple[int, int, int] = (14, 3,
     return df.withColumn("part", F.when(bucket < a, "train").when(bucket < a + b, "validation").otherwise("test"))
 
 
-def generate(spark: SparkSession, languages: list[str], n: int) -> DataFrame:
-    """(lang, i, record_id, survey): n records of each language, the same at each run."""
+def generate(numbers: DataFrame, number: str, languages: list[str]) -> DataFrame:
+    """(lang, i, record_id, survey): a record of each language for each number, the same at each run."""
     langs = F.explode(F.array(*[F.struct(F.lit(x).alias("lang"), F.lit(k + 1).alias("k")) for k, x in enumerate(languages)]))
-    rows = spark.range(n).select(F.col("id").cast("int").alias("i"), langs.alias("l")).select("i", "l.*")
-    return rows.select("lang", "i", F.concat("lang", F.lit("-"), F.lpad(F.col("i").cast("string"), 4, "0")).alias("record_id"), (100 + (F.col("i") * 37 + F.col("k")) % 900).alias("survey"))
+    rows = numbers.select(F.col(number).cast("long").alias("i"), langs.alias("l")).select("i", "l.*")
+    return rows.select("lang", "i", F.concat("lang", F.lit("-"), F.lpad(F.col("i").cast("string"), 9, "0")).alias("record_id"), (100 + (F.col("i") * 37 + F.col("k")) % 900).alias("survey"))
 
 
 def truth_from_text(df: DataFrame, text: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parchment.functions import fields as S
 from parchment.functions import text as T
-from parchment.functions.lookups import REQUIRED_FIELDS, VOCABULARY
+from parchment.functions.lookups import LAND_TYPE_WORDS, REQUIRED_FIELDS, VOCABULARY
 
 BASE = 0.7
 FIELDS_TYPE = "map<string,struct<value:string,confidence:double>>"
@@ -123,3 +123,11 @@ def extract(df: DataFrame, text: str = "text", lang: str = "lang", compat: str |
     """df with fields, record_confidence and missing."""
     found = df.withColumn("fields", parse(F.coalesce(F.col(text), F.lit("")), F.col(lang), compat))
     return found.withColumns({"record_confidence": record_confidence(F.col("fields")), "missing": missing_required(F.col("fields"))})
+
+
+def land_types(text: Column, lang: Column) -> Column:
+    """The words for types of land that occur in a text of a language, in the order of their list; none for null or another language."""
+    found = F.array().cast("array<string>")
+    for code, words in LAND_TYPE_WORDS.items():
+        found = F.when(lang == code, F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.lower(F.coalesce(text, F.lit(""))), w))).otherwise(found)
+    return found

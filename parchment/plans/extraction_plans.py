@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parchment.functions.fields import CODES
-from parchment.functions.lookups import VOCABULARY
+from parchment.functions.fields import LABELS, pattern
+from parchment.functions.lookups import LAND_TYPE_WORDS, VOCABULARY
 from parchment.operators import extraction
 from parchment.plans.common import spread, table
 
@@ -60,13 +60,17 @@ def ext_parse_compat(spark, d):
     return parsed(spark, d, "reference").select("o_orderkey", value("survey_number").alias("survey"), value("area").alias("area"), value("registration_date").alias("date"), value("village").isNull().alias("no_village"))
 
 
-@query("select count(*) as patterns, 3 as codes from (select 1 from range(104))")
-def ext_compile(spark, d):
-    from parchment.functions.fields import LABELS, pattern
+#: English records have lines for these fields; district is missing in every third.
+_HAVE = ("survey_number", "khata_number", "village", "tehsil", "state", "area", "registration_date", "owner_name", "seller")
+
 
-    rows = [(f, g, pattern(f, g, None)) for f in LABELS for g in LABELS[f]]
-    made = spark.createDataFrame(rows, "field string, language_group string, pattern string")
-    return made.agg(F.count(F.lit(1)).alias("patterns"), F.count_distinct(F.when(F.col("field").isin(*CODES), F.col("field"))).cast("int").alias("codes"))
+@query(f"""with f as (select unnest([{", ".join(f"'{f}'" for f in LABELS)}]) as field), o as (select count(*) as n, count(*) filter (o_orderkey % 3 <> 0) as districts {_FROM})
+select field, case when field in {_HAVE} then n when field = 'district' then districts else 0 end as n from f, o""")
+def ext_compile(spark, d):
+    """In how many land records the compiled pattern of each field is met."""
+    rows, fields = records(spark, d), list(LABELS)
+    counted = rows.agg(*[F.count_if(F.col("text").rlike(pattern(f, "main", None))).alias(f) for f in fields])
+    return counted.select(F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("n")) for f in fields])))
 
 
 @query(f"select o_orderkey, 0.95 as survey, 0.95 as khata, 1.0 as area, 1.0 as date {_FROM}")
@@ -100,11 +104,26 @@ def ext_cross(spark, d):
     return parsed(spark, d).select("o_orderkey", F.array_join(F.transform(checks, lambda c: c["rule"]), ",").alias("violations"))
 
 
-@query("select doc_id, contains(lower(text), 'forest') or contains(lower(text), 'river') or contains(lower(text), 'pond') as has_type from documents")
+_LAND = [(x, w) for x, ws in LAND_TYPE_WORDS.items() for w in ws]
+
+
+@query(f"""with w as (select * from (values {", ".join(f"({i}, '{x}', '{w}')" for i, (x, w) in enumerate(_LAND))}) t(i, lang, word)), o as (select o_orderkey, o_orderkey % {len(_LAND) + 9} as i from orders)
+select o_orderkey, (select string_agg(v.word, '|' order by v.i) from w v where v.lang = coalesce(w.lang, 'en') and contains(coalesce(lower(w.word), ''), v.word)) as types from o left join w using (i)""")
 def ext_land_type_kw(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.exists(F.array(*[F.lit(w) for w in ("forest", "river", "pond")]), lambda w: F.contains(F.lower("text"), w)).alias("has_type"))
+    """The types of land that a record in any language names; some records name none."""
+    k = F.col("o_orderkey") % (len(_LAND) + 9)
+    of = lambda n: F.get(F.array(*[F.lit(x[n]) for x in _LAND]), k)
+    rows = table(spark, d, "orders").select("o_orderkey", F.coalesce(of(0), F.lit("en")).alias("lang"), F.concat(F.lit("1. "), F.coalesce(of(1), F.lit("-")), F.lit(".")).alias("text"))
+    return rows.select("o_orderkey", F.nullif(F.array_join(extraction.land_types(F.col("text"), F.col("lang")), "|"), F.lit("")).alias("types"))
+
+
+_WORDS_EN = VOCABULARY["en"]
 
 
-@query("select i::int as place, w as entry from (values " + ", ".join(f"({i}, '{w}')" for i, w in enumerate(VOCABULARY["en"])) + ") t(i, w)")
+@query(f"select i::int as place, w as entry, count(o_orderkey) as n from (values {", ".join(f"({i}, '{w}')" for i, w in enumerate(_WORDS_EN))}) t(i, w) left join orders on o_orderkey % {2 * len(_WORDS_EN)} = i group by 1, 2")
 def ext_vocabulary(spark, d):
-    return spark.createDataFrame(list(enumerate(VOCABULARY["en"])), "place int, entry string")
+    """How often the words of the vocabulary occur in texts of which half have none."""
+    words = F.array(*[F.lit(w) for w in _WORDS_EN])
+    said = table(spark, d, "orders").select(F.explode(F.split(F.concat_ws(" ", F.lit("the"), F.get(words, F.col("o_orderkey") % (2 * len(_WORDS_EN)))), " ")).alias("entry"))
+    entries = spark.createDataFrame(list(enumerate(_WORDS_EN)), "place int, entry string")
+    return entries.join(said.groupBy("entry").agg(F.count(F.lit(1)).alias("n")), "entry", "left").fillna(0, ["n"]).select("place", "entry", "n")

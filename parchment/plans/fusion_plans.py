@@ -116,10 +116,11 @@ def ens_empty_text(spark, d):
     return got.select("image_id", F.col("group").alias("grp"), "text", F.round("confidence", 6).alias("confidence"))
 
 
-@query("select * from (values ('paddle_ocr', 1.2::double), ('trocr', 0.99::double), ('easyocr', 0.8::double), ('tesseract', 0.7::double), ('other', 0.5::double)) t(model, weight)")
+@query(f"""with {_R} select model, text, round({_WEIGHT} * case model when 'paddle_ocr' then 1.2 when 'trocr' then 1.1 else 1 end, 6)::double as weight, count(*) as n, round(avg(confidence), 6) as confidence from r group by all""")
 def ens_routing(spark, d):
-    models = spark.createDataFrame([(m,) for m in (*MODEL_WEIGHTS, "other")], "model string")
-    return models.select("model", F.round(fusion.model_weight(F.col("model"), F.lit("hi")), 6).alias("weight"))
+    """What each model's predictions weigh for Hindi, how many there are and how sure they are."""
+    weighed = predictions(spark, d).withColumn("weight", F.round(fusion.model_weight(F.col("model"), F.lit("hi")), 6))
+    return weighed.groupBy("model", "text", "weight").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"))
 
 
 # crops, detections and the plug-in surface of recognisers
@@ -132,9 +133,13 @@ def img_crop(spark, d):
     return rows.select("image_id", "ord", *[F.round(F.col("c")[n], 6).alias(n) for n in ("x1", "y1", "x2", "y2")])
 
 
-@query("select p_partkey, greatest(640, least(3200, p_size * 100))::int as side from part")
+@query("""with i as (select p_partkey, p_size * 100 as w, round(p_retailprice)::int as h from part), m as (select *, case when greatest(w, h) > 3200 then 3200.0 / greatest(w, h) else 1 end as down from i),
+f as (select *, floor(w * down + 1e-9)::int as dw, floor(h * down + 1e-9)::int as dh from m),
+u as (select *, case when least(dw, dh) < 640 then least(640.0 / least(dw, dh), 3200.0 / greatest(dw, dh)) else 1 end as up from f)
+select p_partkey, floor(dw * greatest(up, 1) + 1e-9)::int as width, floor(dh * greatest(up, 1) + 1e-9)::int as height from u""")
 def img_resize(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.greatest(F.lit(640), F.least(F.lit(3200), F.col("p_size") * 100)).alias("side"))
+    size = G.resized((F.col("p_size") * 100).cast("int"), F.round("p_retailprice").cast("int"))
+    return table(spark, d, "part").select("p_partkey", size["width"].alias("width"), size["height"].alias("height"))
 
 
 @query("select doc_id, round(least(0.95, 0.5 + 0.01 * n_chars), 6) as confidence from documents")

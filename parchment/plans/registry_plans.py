@@ -90,12 +90,16 @@ def src_annotations(spark, d):
     return of("coco", files.read_annotations(spark, coco=coco)).unionByName(of("lines", files.read_annotations(spark, lines=lines)))
 
 
-@query(None)
+@query("select p_type as field, p_brand as language_group, count(*) as n, max(p_size) as most from part group by all")
 def src_yaml_schema(spark, d):
-    from parchment.functions.fields import GROUPS, LABELS, has_script_class
-
-    rows = [(f, g, p, has_script_class(f, g)) for f in LABELS for g, p in LABELS[f].items() if g in GROUPS]
-    return spark.createDataFrame(rows, "field string, language_group string, labels string, names_script boolean")
+    """A schema of fields made from the parts' types and brands, written as one JSON document and read back."""
+    path = fresh(spark)
+    groups = table(spark, d, "part").groupBy("p_type", "p_brand").agg(F.count(F.lit(1)).alias("n"), F.max("p_size").alias("most"))
+    fields = groups.groupBy("p_type").agg(F.map_from_entries(F.collect_list(F.struct("p_brand", F.struct("n", "most")))).alias("patterns"))
+    fields.select(F.to_json(F.create_map("p_type", "patterns")).alias("value")).write.text(path)
+    schema = "map<string,map<string,struct<n:bigint,most:int>>>"
+    read = spark.read.text(path).select(F.explode(F.from_json("value", schema)).alias("field", "patterns"))
+    return read.select("field", F.explode("patterns").alias("language_group", "x")).select("field", "language_group", "x.n", "x.most")
 
 
 @query("""select doc_id, case when doc_id % 2 = 0 then coalesce(lang, '') else '' end as language, n_chars::double as seconds, '' as model, 0 as regions from documents""")

@@ -296,9 +296,18 @@ def chk_registration(spark, d):
     return got.select("c_custkey", F.array_join("errors", ",").alias("errors"))
 
 
-@query("select i as id, rule from (values (1, 'unique parcel'), (2, 'owner known'), (3, 'area in bounds'), (4, 'deed registered'), (5, 'no open dispute')) t(i, rule)")
+@query("""with o as (select *, count(*) over (partition by o_custkey, o_orderdate) as n from orders left join customer on c_custkey = o_custkey),
+c as (select *, case id when 1 then n = 1 when 2 then c_name <> '' when 3 then o_totalprice between 5000 and 400000 when 4 then o_orderdate < timestamp '2001-01-01' else o_orderstatus <> 'P' end as kept
+  from o, (values (1, 'unique parcel'), (2, 'owner known'), (3, 'area in bounds'), (4, 'deed registered'), (5, 'no open dispute')) t(id, rule))
+select id, rule, count(*) filter (kept) as passing, count(*) filter (kept is not true) as failing from c group by all""")
 def chk_checklist(spark, d):
-    return spark.createDataFrame([(1, "unique parcel"), (2, "owner known"), (3, "area in bounds"), (4, "deed registered"), (5, "no open dispute")], "id int, rule string")
+    orders = table(spark, d, "orders")
+    parcels = orders.groupBy("o_custkey", "o_orderdate").agg(F.count(F.lit(1)).alias("n"))
+    met = orders.join(parcels, ["o_custkey", "o_orderdate"]).join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"), "left")
+    return registry.checklist(met, {
+        "unique parcel": F.col("n") == 1, "owner known": F.col("c_name") != "", "area in bounds": F.col("o_totalprice").between(5000, 400000),
+        "deed registered": F.col("o_orderdate") < F.lit("2001-01-01").cast("timestamp"), "no open dispute": F.col("o_orderstatus") != "P",
+    })
 
 
 @query("""with r as (select p_partkey, lower(p_name) as k, p_size, case when p_size % 9 = 0 then '' else p_brand end as brand from part),
@@ -330,9 +339,10 @@ def ds_split(spark, d):
     return batch.split(table(spark, d, "documents").select("doc_id"), F.pmod(F.col("doc_id"), F.lit(20)), (14, 3, 3)).select("doc_id", "part")
 
 
-@query("""select lang, i::int as i, lang || '-' || lpad(cast(i as varchar), 4, '0') as record_id, 100 + (i * 37 + case lang when 'hi' then 1 when 'bn' then 2 else 3 end) % 900 as survey from (values ('hi'), ('bn'), ('en')) l(lang), range(50) r(i)""")
+@query("""select lang, c_custkey as i, lang || '-' || lpad(cast(c_custkey as varchar), 9, '0') as record_id, 100 + (c_custkey * 37 + case lang when 'hi' then 1 when 'bn' then 2 else 3 end) % 900 as survey
+from (values ('hi'), ('bn'), ('en')) l(lang), customer""")
 def ds_generate(spark, d):
-    return batch.generate(spark, ["hi", "bn", "en"], 50)
+    return batch.generate(table(spark, d, "customer"), "c_custkey", ["hi", "bn", "en"])
 
 
 @query("""select c_custkey, regexp_extract('Owner Name: ' || c_name, '^([^:]*): ', 1) as raw, 'owner_name' as key, c_name as value from customer""")

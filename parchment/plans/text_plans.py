@@ -319,12 +319,27 @@ def lid_batch(spark, d):
     return rows.groupBy("language").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("select * from (values " + ", ".join(f"('{k}', '{v}', {i})" for i, (k, v) in enumerate(lookups.LANGUAGE_SCRIPT.items())) + ") t(language, script, place)")
+_DIM = "(values " + ", ".join(f"('{k}', '{v}', {i})" for i, (k, v) in enumerate(lookups.LANGUAGE_SCRIPT.items())) + ") t(language, script, place)"
+
+
+def spoken(spark, d):
+    """Customers with the language that their nation's number picks."""
+    codes = F.array(*[F.lit(x) for x in lookups.LANGUAGE_SCRIPT])
+    return table(spark, d, "customer").select("c_custkey", F.get(codes, F.col("c_nationkey") % len(lookups.LANGUAGE_SCRIPT)).alias("language"))
+
+
+@query(f"select language, script, place, count(c_custkey) as n from {_DIM} left join customer on place = c_nationkey % {len(lookups.LANGUAGE_SCRIPT)} group by all")
 def lid_lang_dim(spark, d):
-    return spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(lookups.LANGUAGE_SCRIPT.items())], "language string, script string, place int")
+    """The languages with their scripts, and how many customers speak each."""
+    dim = spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(lookups.LANGUAGE_SCRIPT.items())], "language string, script string, place int")
+    counts = spoken(spark, d).groupBy("language").agg(F.count(F.lit(1)).alias("n"))
+    return dim.join(counts, "language", "left").fillna(0, ["n"])
 
 
-@query("select * from (values " + ", ".join(f"('{g}', '{x}')" for g, xs in lookups.LANGUAGE_GROUPS.items() for x in xs) + ") t(language_group, language)")
+@query(f"""select language_group, count(c_custkey) as n, count(distinct language) as languages from (values {", ".join(f"('{g}', '{x}')" for g, xs in lookups.LANGUAGE_GROUPS.items() for x in xs)}) g(language_group, language)
+join {_DIM} using (language) join customer on place = c_nationkey % {len(lookups.LANGUAGE_SCRIPT)} group by 1""")
 def lid_groups(spark, d):
-    groups = spark.createDataFrame(list(lookups.LANGUAGE_GROUPS.items()), "language_group string, languages array<string>")
-    return groups.select("language_group", F.explode("languages").alias("language"))
+    """How many customers speak a language of each group."""
+    groups = spark.createDataFrame(list(lookups.LANGUAGE_GROUPS.items()), "language_group string, languages array<string>").select("language_group", F.explode("languages").alias("language"))
+    counts = spoken(spark, d).groupBy("language").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(groups, "language").groupBy("language_group").agg(F.sum("n").alias("n"), F.count_distinct("language").alias("languages"))
