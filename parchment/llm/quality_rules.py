@@ -72,7 +72,7 @@ def quality_rules(
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_words_left", "clean_text", "kept")
     own = without(docs, *names)
     rows = own.select(
-        F.struct(*[F.col(f"`{c}`") for c in own.columns]).alias("q_row"), F.col(text).alias("q_whole"),
+        F.struct(*[F.col(f"`{c}`") for c in own.columns if c != text]).alias("q_row"), F.col(text).alias("q_whole"),
         F.coalesce(F.concat(F.lit("h"), host), F.lit("")).alias("q_host"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("q_text"),
     )
     parts = saved(
@@ -116,5 +116,5 @@ def quality_rules(
             "clean_text": F.when(F.col("q_lines").isNull(), F.col("q_whole")).otherwise(clean),
             "kept": ~F.col("base_failed") & (F.col("n_words_left") >= min_left * F.col("n_words")),
         })
-        .select(*[F.col(f"q_row.`{c}`").alias(c) for c in own.columns], *names)
+        .select(*[F.col("q_whole" if c == text else f"q_row.`{c}`").alias(c) for c in own.columns], *names)
     )
