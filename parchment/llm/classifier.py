@@ -24,6 +24,8 @@ N_GRAMS = (3, 4)
 THRESHOLD = 0.3
 GROUP_CHARS = 1 << 19
 HOLD_OUT = 5
+#: Texts whose features are put together in one array.
+JOINED = 128
 _SPACE = np.uint64(32)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -88,18 +90,25 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float =
     class alone they are all near that class."""
     if not texts:
         return Model(np.zeros(BUCKETS, np.float32), 0.0)
-    sparse = []
-    for text in texts:
+    parts, some, ends = [], [], []
+    for k, text in enumerate(texts):
         got = [bucket for bucket, _ in features([text])]
         ids, counts = np.unique(np.concatenate(got) if got else np.zeros(0, np.int32), return_counts=True)
-        sparse.append((ids, (counts / max(1, counts.sum())).astype(np.float32)))
+        some.append((ids, (counts / max(1, counts.sum())).astype(np.float32)))
+        ends.append(len(ids))
+        if len(some) == JOINED or k == len(texts) - 1:  # a few large arrays, not thousands of small ones
+            parts.append([np.concatenate(x) for x in zip(*some)])
+            some.clear()
+    all_ids, all_shares = (np.concatenate(x) for x in zip(*parts))
+    ends, parts = np.cumsum(ends).tolist(), None
     random = np.random.default_rng(seed)
     embed = random.uniform(-1 / dim, 1 / dim, (BUCKETS, dim)).astype(np.float32)
     top, bias = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
     left, total = 0, epochs * len(texts)
     for _ in range(epochs):
         for i in random.permutation(len(texts)):
-            ids, share = sparse[i]
+            own = slice(ends[i - 1] if i else 0, ends[i])
+            ids, share = all_ids[own], all_shares[own]
             hidden = share @ embed[ids]
             odds = hidden @ top + bias
             chance = np.exp(odds - odds.max())
