@@ -29,7 +29,7 @@ from parchment.llm.hashing import mix
 
 N_BEST = 4
 UNKNOWN_PENALTY = 10.0
-CACHED_UNITS, CACHED_CHARS = 600_000, 16_000_000
+CACHED_UNITS, CACHED_CHARS = 300_000, 8_000_000
 #: Units with more characters are taken one by one, shorter ones in batches.
 LONG = 48
 SPACE = "▁"
