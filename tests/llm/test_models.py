@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -49,9 +50,9 @@ def test_filter_gives_back_levels():
     counts = np.arange(4000) % 40
     level = lm.level_of(counts)
     assert all(lm.STARTS[l] <= c < lm.STARTS[l + 1] for l, c in zip(level, counts) if c) and set(level[counts == 0]) == {-1}
-    got = lm.Filter(hashes, counts, lm.WORD).levels(hashes)
+    got = lm.Filter.of(hashes, counts, lm.WORD).levels(hashes)
     assert (got >= level).all() and (got != level).mean() < 0.01  # a false positive raises a level
-    none = lm.Filter(hashes[:0], counts[:0], lm.PAIR)
+    none = lm.Filter.of(hashes[:0], counts[:0], lm.PAIR)
     assert set(none.levels(hashes).tolist()) == {-1}
 
 
@@ -115,28 +116,70 @@ def test_no_count_is_dropped(spark, monkeypatch, segments):
     """Scores are those of a model of all counts, bigrams seen once among them, whatever the number of chunks and segments."""
     monkeypatch.setattr(lm, "SEGMENT_BYTES", 1 if segments > 256 else 1 << 30)
     monkeypatch.setattr(lm, "CHUNK_BYTES", 40)
-    words, two, n_texts = learnt(TEXTS)
-    model = model_of(words, two, n_texts)
-    assert 1 in two.values()
-
-    def expected(text, weight):
-        before, total = "<start>", 0.0
-        for w in [*text.split(), "<end>"]:
-            most = n_texts if before == "<start>" else lm.STARTS[level(words[before]) + 1] - 1 if words[before] else 0
-            alone = (model.mean[level(words[w])] - model.discount) / words.total() if words[w] else model.discount * len(words) / words.total() / model.n_unseen
-            share = min(1.0, (lm.STARTS[level(two[before, w])] if two[before, w] else 0) / most) if most else 0.0
-            total += math.log10(weight * share + (1 - weight) * alone if most else alone)
-            before = w
-        return total
-
     low = [t.replace("END", "end") for t in TEXTS]
     words, two, n_texts = learnt(low)
     model = model_of(words, two, n_texts)
+    assert 1 in two.values()
     got = {r["doc_id"]: r for r in lm.score_documents(spark.createDataFrame([*enumerate(TEXTS)], "doc_id long, text string").repartition(3)).collect()}
-    exact = [i for i, t in enumerate(low) if got[i]["score"] == pytest.approx(expected(t, got[i]["bigram_weight"]))]
+    exact = [i for i, t in enumerate(low) if got[i]["score"] == pytest.approx(plain_score(model, words, two, n_texts, t, got[i]["bigram_weight"]))]
     assert len(got) == len(TEXTS) and len(exact) >= len(TEXTS) - 3  # a false positive raises a level
 
 
+def plain_score(model, words, two, n_texts, text, weight):
+    """The score of a text from dictionaries of counts, quantised as the filter's are."""
+    before, total = "<start>", 0.0
+    for w in [*text.split(), "<end>"]:
+        most = n_texts if before == "<start>" else lm.STARTS[level(words[before]) + 1] - 1 if words[before] else 0
+        alone = (model.mean[level(words[w])] - model.discount) / words.total() if words[w] else model.discount * len(words) / words.total() / model.n_unseen
+        share = min(1.0, (lm.STARTS[level(two[before, w])] if two[before, w] else 0) / most) if most else 0.0
+        total += math.log10(weight * share + (1 - weight) * alone if most else alone)
+        before = w
+    return total
+
+
+def test_a_stored_model_scores_documents_that_it_has_not_seen(spark, tmp_path):
+    r = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(900)]
+    text = lambda: " ".join(vocabulary[int(900 * r.random() ** 3)] for _ in range(r.randint(1, 30)))
+    seen, other = [text() for _ in range(400)], [text() + " neverseen" * (i % 3) for i in range(300)] + ["", "w0"]
+    words, two = Counter(), Counter()
+    for t in seen:
+        own = [*t.split(), "<end>"]
+        words.update(own)
+        two.update(zip(["<start>", *own], own))
+    frame = lambda texts: spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3)
+    lm.fit(frame(seen), str(tmp_path / "model"))
+    stored = lm.load(spark, str(tmp_path / "model"))
+    model = model_of(words, two, len(seen))
+    got = {x["doc_id"]: x for x in lm.score(frame(other), stored).collect()}
+    assert len(got) == len(other) and all(x["held_out"] and x["train_tokens"] == words.total() for x in got.values())
+    for i, t in enumerate(other):
+        own = [*t.split(), "<end>"]
+        assert (got[i]["n_tokens"], got[i]["n_known"]) == (len(own), sum(words[w] > 0 for w in own))
+        assert got[i]["base_score"] == pytest.approx(sum(math.log10((words[w] + 1) / (words.total() + len(words) + 1)) for w in own))
+    weight = lm.WEIGHTS[stored.weight]
+    same = sum(got[i]["score"] == pytest.approx(plain_score(model, words, two, len(seen), t, weight)) for i, t in enumerate(other))
+    grams = sum(2 * len(t.split()) + 2 for t in other)
+    assert same < len(other)  # scores come from bits, some of which affirm what isn't there
+    assert len(other) - same < 0.01 * grams  # but no more than 1 % of what is asked
+    assert lm.score(frame(other).limit(0), stored).count() == 0
+    nothing = lm.fit(frame(seen).limit(0), str(tmp_path / "nothing"))
+    assert {x["score"] for x in lm.score(frame(other), nothing).collect()} == {0.0}
+
+
+def test_rows_of_learning_hold_each_ngram_once_a_chunk(spark):
+    rows = spark.createDataFrame([(str(i), t, False) for i, t in enumerate(TEXTS)], "doc_id string, text string, held_out boolean")
+    chunks = lm.chunked(rows.coalesce(1))
+    for segments in (256, 2048):
+        learnt, asked = lm.learn(chunks, segments).collect(), lm.ask(chunks, segments).collect()
+        for rows in (learnt, asked):
+            per = Counter((r["kind"], r["segment"], r["g"]) for r in rows)
+            assert set(per.values()) == {1}
+            assert sum(len(lm._unpack(r["hashes"], r["kind"], r["segment"], segments)) for r in rows) == len({*" ".join(TEXTS).lower().split(), "<end>"}) + len(
+                {p for t in TEXTS for p in zip(["<start>", *t.lower().split()], [*t.lower().split(), "<end>"])}
+            )
+
+
 def test_repeated_rows_and_long_texts(spark):
     rows = [(1, "a b " * 200_000), (2, "a"), (2, "a"), (None, "b"), (3, "\u00c9 \u00e9")]
     got = lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
