@@ -61,9 +61,14 @@ def src_key_first(spark, d):
     return table(spark, d, "customer").where("c_name = 'Customer#000000042'").orderBy("c_custkey").limit(1).select("c_custkey", "c_name")
 
 
-@query(None)
+@query("select doc_id % 16 as folder, 1 as files, sum(strlen(coalesce(text, '')) + 1)::bigint as bytes from documents group by all")
 def src_image_files(spark, d):
-    return files.list_files(spark, d, ("parquet",)).select("name", "stem")
+    """Files that a listing finds below a folder of sixteen, to which the texts of all documents were written, and their bytes."""
+    path = fresh(spark)
+    texts = table(spark, d, "documents").select((F.col("doc_id") % 16).alias("folder"), F.coalesce("text", F.lit("")).alias("value"))
+    texts.repartition("folder").write.partitionBy("folder").text(path)
+    found = files.list_files(spark, path, ("txt",), recursive=True)
+    return found.groupBy(F.regexp_extract("path", "folder=([0-9]+)/", 1).cast("long").alias("folder")).agg(F.count_if(F.length("stem") > 0).cast("int").alias("files"), F.sum("length").alias("bytes"))
 
 
 @query("select c_custkey, base64(encode(c_name)) as encoded, c_name as decoded from customer")
@@ -111,10 +116,14 @@ def src_json_result(spark, d):
     return got.select(F.col("image_path").cast("long").alias("doc_id"), F.col("detected_language").alias("language"), F.col("processing_time").alias("seconds"), F.col("model_used").alias("model"), F.size("regions").alias("regions"))
 
 
-@query("select r_regionkey, r_name from region")
+@query("select 'state' as origin, s_suppkey as key, s_name as name from supplier union all select 'seed', r_regionkey, r_name from region")
 def src_local_state(spark, d):
-    seed = table(spark, d, "region").select("r_regionkey", "r_name")
-    return files.read_or_seed(spark, f"{d}/no_such_state.json", seed)
+    """A state that was written wins over its seed; where none was written, the seed is the state."""
+    path = fresh(spark)
+    seed = table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("key"), F.col("r_name").alias("name"))
+    table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("key"), F.col("s_name").alias("name")).write.json(path)
+    of = lambda origin, got: got.select(F.lit(origin).alias("origin"), "key", "name")
+    return of("state", files.read_or_seed(spark, path, seed)).unionByName(of("seed", files.read_or_seed(spark, f"{path}-none", seed)))
 
 
 # sinks: what is read back of what was written
