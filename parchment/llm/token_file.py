@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parchment.llm.common import saved, shuffle_partitions
+from parchment.llm.common import partitions_for, saved
 
 CHUNK_BITS = 8
 RANK_BITS = 512
@@ -199,8 +199,9 @@ def encoder(path: str) -> WordEncoder:
 def write_token_file(docs: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc_id", end_id: int = END_ID) -> DataFrame:
     """The blocks of a token file over docs in ascending order of key, nulls first, equal keys by text.
 
-    Null texts are empty and have only end_id. Texts are dealt by ranges of the key, so a shard holds the documents
-    between its neighbours'; a text is never cut, and a block ends with the document that fills it.
+    Null texts are empty and have only end_id. Texts are dealt by ranges of the key and of how the text begins, so a shard
+    holds the documents between its neighbours', and rows without a key are dealt to many; there are as many shards as the
+    texts have bytes for. A text is never cut, and a block ends with the document that fills it. No rows give no blocks.
     """
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -226,7 +227,10 @@ def write_token_file(docs: DataFrame, tokenizer_path: str, text: str = "text", k
             yield pd.DataFrame({"shard": [shard], "block": [block], "n_docs": [len(keys)], "n_tokens": [n], "payload": [payload]})
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ranged = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    # texts in order begin in order, so these ranges keep it
+    begins, order = F.substring("text", 1, 64), F.col("doc_id").asc_nulls_first()
+    ranged = rows.repartitionByRange(partitions_for(docs.sparkSession, size), order, begins).sortWithinPartitions(order, "text")
     return ranged.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(write, FILE_SCHEMA)
 
 

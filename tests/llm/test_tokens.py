@@ -77,6 +77,15 @@ def brute_segmentations(codec, text, n):
     return best[-1]
 
 
+def test_rows_without_key_are_dealt_to_many_shards_in_order(spark):
+    texts = [f"{i:03d} some words" for i in range(400)] + ["x" * 80 + c for c in "cab"]
+    file = token_file.write_token_file(spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").repartition(4), WORD_BPE)
+    assert file.select("shard").distinct().count() > 1
+    rows = token_file.read_documents(file).orderBy("start").collect()
+    own = token_file.WordEncoder(WORD_BPE)
+    assert [r["ids_crc32"] for r in rows] == [zlib.crc32(ids) for ids in own.encode(sorted(texts), token_file.END_ID)]
+
+
 def test_n_best_segmentations():
     codec, r = pieces.PieceCodec(PIECE_BPE), random.Random(4)
     texts = ODD[:-1] + ["".join(r.choice("the of an in er  \n字é.x") for _ in range(r.randrange(0, 25))) for _ in range(200)]
