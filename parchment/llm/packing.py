@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parchment.llm.common import saved
-from parchment.llm.token_file import END_ID, encoder
+from parchment.llm.token_file import END_ID, TEXTS_AT_ONCE, encoder
 
 WINDOW = 4096
 #: A window with at most so much room is done; it is padded.
@@ -183,8 +183,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = WINDOW, sla
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         words = encoder(tokenizer_path)
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                some = batch.iloc[at : at + 500]
+            for at in range(0, len(batch), TEXTS_AT_ONCE):
+                some = batch.iloc[at : at + TEXTS_AT_ONCE]
                 for doc_id, ids in zip(some["doc_id"], words.encode(some["text"].tolist(), end_id)):
                     n, doc_id = len(ids) // 4, None if pd.isna(doc_id) else int(doc_id)
                     for start in range(0, n, size):

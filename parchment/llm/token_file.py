@@ -12,12 +12,12 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -30,8 +30,8 @@ RANK_BITS = 512
 BLOCK_TOKENS = 1 << 16
 END_ID = 2
 CACHED_WORDS = 1_200_000
-#: The most frequent of the first words met are also kept by themselves, few enough for a processor's cache.
-COUNTED_WORDS, FREQUENT_WORDS = 500_000, 12_000
+#: Texts that are encoded together.
+TEXTS_AT_ONCE = 2_000
 STOPS = b".,!?;:"
 #: Texts that a tokenizer of another kind than WordEncoder takes encodes otherwise.
 PROBES = ("Two  words.\n", "Don't stop... (AT all)!", "\u00c9t\u00e9 \u00df \u5b57\u3002 12a 3.5", " a\tb ")
@@ -113,7 +113,7 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.frequent, self.counts = Tokenizer.from_file(path), {}, {}, Counter()
+        self.tokenizer, self.known = Tokenizer.from_file(path), {}
         self.tokenize = self.tokenizer.model.tokenize
         self.tokenizer.model._resize_cache(0)
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; others follow 255
@@ -135,15 +135,13 @@ class WordEncoder:
             return False
 
     @staticmethod
-    def split(text: str) -> list[bytes]:
-        """The words, lower-cased where that can't interfere with normalisation or the spelling of special tokens."""
+    def lowered(text: str) -> str:
+        """The text, lower-cased where that can't interfere with normalisation or the spelling of special tokens."""
         try:
             text.encode("latin-1")
-            if "<|" not in text:
-                text = text.lower()
+            return text if "<|" in text else text.lower()
         except UnicodeEncodeError:
-            pass
-        return text.encode().split()
+            return text
 
     def _learn(self, words: set[bytes]) -> None:
         known, tokenize, alphabet, others = self.known, self.tokenize, self.alphabet, []
@@ -159,17 +157,15 @@ class WordEncoder:
                 known[word] = struct.pack(f"<{len(got.ids)}I", *got.ids)
 
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers, end_id last."""
-        split, end = [self.split(t) for t in texts], struct.pack("<I", end_id)
+        """The ids of each text as little-endian unsigned 32-bit integers, end_id last. Arrow splits the texts and numbers
+        their distinct words, so that Python sees each of these once."""
+        split = pc.ascii_split_whitespace(pa.array([self.lowered(t) for t in texts], pa.large_string()))
+        numbered = pc.dictionary_encode(split.values)
+        words = numbered.dictionary.cast(pa.large_binary()).to_pylist()
         if len(self.known) > CACHED_WORDS:
             self.known = {}
-        found = [list(map(self.frequent.get, ws)) for ws in split]
-        gaps = [[i for i, ids in enumerate(got) if ids is None] for got in found]
-        for ws, got, at in zip(split, found, gaps):
-            for i in at:
-                got[i] = self.known.get(ws[i])
-        gaps = [[i for i in at if got[i] is None] for got, at in zip(found, gaps)]
-        new = {ws[i] for ws, at in zip(split, gaps) for i in at}
+        spelt = list(map(self.known.get, words))
+        new = {word for word, ids in zip(words, spelt) if ids is None}
         stopped = {}
         for word in new:
             bare = word.rstrip(STOPS)
@@ -179,15 +175,14 @@ class WordEncoder:
         self._learn((new - stopped.keys() | parts) - self.known.keys())
         for word, bare in stopped.items():
             self.known[word] = self.known[bare] + self.known[word[len(bare) :]]
-        for ws, got, at in zip(split, found, gaps):
-            for i in at:
-                got[i] = self.known[ws[i]]
-        if not self.frequent:
-            self.counts.update(chain.from_iterable(split))
-            if self.counts.total() > COUNTED_WORDS:
-                self.frequent = {w: self.known[w] for w, _ in self.counts.most_common(FREQUENT_WORDS)}
-                self.counts.clear()
-        return [b"".join(got) + end for got in found]
+        spelt = [self.known[word] if ids is None else ids for word, ids in zip(words, spelt)]
+        of_word, size = np.frombuffer(b"".join(spelt), "<u4"), np.fromiter(map(len, spelt), np.int64, len(spelt)) // 4
+        starts, at = np.cumsum(size) - size, numbered.indices.to_numpy()
+        sizes = size[at]
+        ends = np.cumsum(sizes)
+        ids = of_word[np.repeat(starts[at] - ends + sizes, sizes) + np.arange(sizes.sum())]
+        bounds, end = np.concatenate([[0], ends])[split.offsets.to_numpy()].tolist(), struct.pack("<I", end_id)
+        return [ids[s:e].tobytes() + end for s, e in zip(bounds, bounds[1:])]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -211,8 +206,8 @@ def write_token_file(docs: DataFrame, tokenizer_path: str, text: str = "text", k
         words, shard, block = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         keys, ends, held, n = [], [], [], 0
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                some = batch.iloc[at : at + 500]
+            for at in range(0, len(batch), TEXTS_AT_ONCE):
+                some = batch.iloc[at : at + TEXTS_AT_ONCE]
                 for doc_id, ids in zip(some["doc_id"], words.encode(some["text"].tolist(), end_id)):
                     n += len(ids) // 4
                     keys.append(None if pd.isna(doc_id) else int(doc_id))
