@@ -5,6 +5,9 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,15 +50,27 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{sc.getCheckpointDir().rstrip('/')}/{uuid.uuid4().hex}"
 
 
-#: Folders that saved() has written and that weren't discarded, in order.
-written: list[str] = []
+_noted: ContextVar[list[str] | None] = ContextVar("noted", default=None)
+
+
+@contextmanager
+def noting_folders() -> Iterator[list[str]]:
+    """While it lasts, lists in order the folders that saved() writes on behalf of the caller; other threads have their own lists."""
+    own: list[str] = []
+    before = _noted.set(own)
+    try:
+        yield own
+    finally:
+        _noted.reset(before)
+
 
 
 def saved(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back, which cuts its lineage."""
     spark, path = df.sparkSession, shared_folder(df.sparkSession)
     df.write.parquet(path)
-    written.append(path)
+    if (own := _noted.get()) is not None:
+        own.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -64,7 +79,6 @@ def discard(spark: SparkSession, folders: list[str]) -> None:
     for folder in folders:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        written.remove(folder)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

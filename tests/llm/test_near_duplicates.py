@@ -1,5 +1,7 @@
+import os
 import random
 import re
+import threading
 
 import numpy as np
 import pytest
@@ -126,12 +128,15 @@ def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    began = len(common.written)
     spark.createDataFrame([(i, 1) for i in range(0, 60, 2)] + [(82, 0)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    below = os.path.dirname(common.shared_folder(spark)).removeprefix("file:")
+    others = common.saved(docs)
+    began = set(os.listdir(below))
     got = corpus_pipeline.run(spark, str(tmp_path))
-    held, folders = got.count(), [*common.written]
+    held, folders = got.count(), set(os.listdir(below))
     assert held > 0 and got.where("not decoded_equal").count() == 0
-    assert len(folders) == began + 1  # of what run() wrote, only what its result reads is left
+    assert folders > began and len(folders) == len(began) + 1  # of what run() wrote, only what its result reads is left
+    assert others.count() == docs.count()
     at = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
         after = stage(spark, at, str(tmp_path))
@@ -146,6 +151,18 @@ def test_pipeline(spark, docs, tmp_path):
     assert corpus_pipeline.run(spark, empty).count() == 0
 
 
+def test_folders_of_another_thread_are_not_noted(spark, docs):
+    with common.noting_folders() as own:
+        elsewhere = threading.Thread(target=lambda: common.saved(docs))
+        elsewhere.start()
+        elsewhere.join()
+        assert own == []
+        kept = common.saved(docs)
+        assert len(own) == 1
+    common.saved(docs)
+    assert len(own) == 1 and kept.count() == docs.count()
+
+
 if __name__ == "__main__":
     pytest.main([__file__])
 
