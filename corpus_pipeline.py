@@ -88,9 +88,11 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the documents of sf_dir; what a stage returns is written before the next reads it.
-    What nothing reads any more is deleted from the shared folder."""
-    docs, began = spark.read.parquet(f"{sf_dir}/documents.parquet"), len(common.written)
-    for _, stage in STAGES[:-1]:
-        docs = common.saved(stage(spark, docs, sf_dir))
-        common.discard(spark, common.written[began:-1])
-    return STAGES[-1][1](spark, docs, sf_dir)
+    What this run wrote and nothing reads any more is deleted from the shared folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    with common.noting_folders() as own:
+        for _, stage in STAGES[:-1]:
+            docs = common.saved(stage(spark, docs, sf_dir))
+            common.discard(spark, own[:-1])
+            del own[:-1]
+        return STAGES[-1][1](spark, docs, sf_dir)
