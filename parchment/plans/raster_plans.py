@@ -58,8 +58,7 @@ def det_regions(spark, d):
     across = F.floor(k / 8) % 4 * 16 + q
     image = (F.col("image_id") * 1000 + F.floor(k / 32)).alias("image_id")
     drawn = predictions(spark, d).select(image, across.alias("x1"), (k % 8 * 3).alias("y1"), (across + k % 5).alias("x2"), (k % 8 * 3 + 1).alias("y2"))
-    ink = raster.density(drawn, "image_id", 64, 24).select("image_id", F.transform("grid", lambda row: F.transform(row, lambda n: n > 0)).alias("ink"))
-    found = ink.select("image_id", F.inline(raster.ink_boxes(F.col("ink"))))
+    found = raster.density(drawn, "image_id", 64, 24).select("image_id", F.inline(raster.ink_boxes(F.col("grid"))))
     return found.select("image_id", *[F.col(c).cast("long").alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 

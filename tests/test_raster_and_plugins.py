@@ -102,3 +102,10 @@ def test_plug_ins_by_name(spark):
         return df.select("image_id", F.lit(0).alias("seq"), F.upper("text").alias("text"), F.lit(1.0).alias("confidence"))
 
     assert {x["text"] for x in plugins.create("recognizer", "UPPER-test")(df.where("image_id = 3")).collect()} == {"X"}
+
+
+def test_numbers_are_ink(spark):
+    """No grid goes back to the JVM between density and boxes."""
+    boxes = spark.createDataFrame([(1, 0.0, 0.0, 2.0, 1.0), (1, 5.0, 3.0, 6.0, 3.0), (2, 5.0, 5.0, 1.0, 1.0)], "id long, x1 double, y1 double, x2 double, y2 double")
+    found = {x["id"]: [tuple(b) for b in x["b"]] for x in raster.density(boxes, "id", W, H).select("id", raster.ink_boxes(F.col("grid")).alias("b")).collect()}
+    assert found == {1: [(0, 0, 2, 1), (5, 3, 6, 3)], 2: []}
