@@ -172,6 +172,25 @@ def sauvola(grid: Column, width: int, height: int, radius: int = 2, k: float = 0
     return ink(grid)
 
 
+def binarized(grid: Column, width: int, height: int, radius: int = 2, k: float = 0.2, spread: float = 128.0) -> Column:
+    """struct(level, dark, ink): Otsu's level, and how many cells are ink by it (none without a level) and by Sauvola's."""
+
+    @F.arrow_udf("struct<level:bigint,dark:bigint,ink:bigint>")
+    def counted(grids: pa.Array) -> pa.Array:
+        cells = _Cells(grids)
+        levels, known = _otsu(cells)
+        sizes = np.diff(cells.image_starts)
+        dark = (cells.values <= np.repeat(levels, sizes)) & np.repeat(known, sizes)
+        if cells.known is not None:
+            dark &= cells.known
+        up_to = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[cells.image_starts])
+        ink = _sauvola(cells, width, height, radius, k, spread)
+        columns = [pa.array(levels.astype(np.int64), mask=~known), pa.array(up_to(dark)), pa.array(up_to(ink))]
+        return pa.StructArray.from_arrays(columns, ["level", "dark", "ink"], mask=_null(grids))
+
+    return counted(grid)
+
+
 def _least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For each of n things the least one that it is connected with, where a[i] and b[i] are. Labels are lowered along all pairs at
     once, of whole trees, until none changes."""

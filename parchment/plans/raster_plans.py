@@ -38,16 +38,13 @@ def img_heatmap(spark, d):
 
 def grey(spark, d):
     """(image_id, grid): images of the boxes of an order, darker where more boxes lie on each other."""
-    grids = raster.density(regions(spark, d), "image_id", WIDTH, HEIGHT, CELL)
-    return grids.select("image_id", F.transform("grid", lambda row: F.transform(row, lambda n: 255 - F.least(F.lit(255), 60 * n))).alias("grid"))
+    return raster.density(regions(spark, d), "image_id", WIDTH, HEIGHT, CELL).select("image_id", raster.shaded(F.col("grid")).alias("grid"))
 
 
 @query(None)
 def img_binarize(spark, d):
     """Otsu's level, and how many cells are ink by it and by Sauvola's."""
-    inked = grey(spark, d).withColumns({"level": raster.otsu(F.col("grid")), "local": raster.sauvola(F.col("grid"), WIDTH, HEIGHT)})
-    count = lambda c, test: F.size(F.filter(F.flatten(c), test)).cast("long")
-    return inked.select("image_id", F.col("level").cast("long").alias("level"), count("grid", lambda v: v <= F.col("level")).alias("dark"), count("local", lambda v: v).alias("ink"))
+    return grey(spark, d).select("image_id", raster.binarized(F.col("grid"), WIDTH, HEIGHT).alias("b")).select("image_id", "b.*")
 
 
 @query("""with r as (select l_orderkey as image_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) - 1 as k, l_quantity::int % 9 as q from lineitem)
