@@ -7,15 +7,15 @@ to the cells of one image is done by numpy to all images of an Arrow batch toget
 
 from __future__ import annotations
 
-from math import radians
+from math import cos, radians, sin
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Images worked on together.
-TOGETHER = 512
+#: Images worked on together, and points up to which an image's votes are counted in one row.
+TOGETHER, MOST_POINTS = 512, 4096
 
 
 def _starts(lists: pa.Array) -> np.ndarray:
@@ -247,10 +247,40 @@ def ink_boxes(ink: Column) -> Column:
 def skew(points: DataFrame, key: str, angles: list[float]) -> DataFrame:
     """(key, angle): by how many degrees the lines of points (x, y) of each key are turned, one of the given angles. Each point votes at each
     angle for the line through it (its distance from the origin, rounded); at the right angle votes are most uneven, so the sum
-    of their squares is greatest. Ties go to the smaller turn, then to the negative one. Points with a null are none."""
-    turns = F.array(*[F.struct(F.lit(float(a)).alias("angle"), F.lit(radians(a)).alias("r")) for a in angles])
-    asked = points.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(F.col(key).alias("key"), "x", "y", F.explode(turns).alias("t"))
+    of their squares is greatest. Ties go to the smaller turn, then to the negative one. Points with a null are none.
+
+    The points of a key meet in one row, as they are fewer than their votes. Keys of more than MOST_POINTS points don't: their
+    votes are summed by line.
+    """
+    given = points.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(F.col(key).alias("key"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    busy = F.broadcast(given.groupBy(F.col("key").alias("busy")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_POINTS).select("busy"))
+    is_busy = F.col("key").eqNullSafe(F.col("busy"))
+    tried = sorted(map(float, angles), key=lambda a: (abs(a), a))
+
+    @F.arrow_udf("double")
+    def angle_of(places: pa.Array) -> pa.Array:
+        starts, parts = _starts(places), places.flatten()
+        x, y = (parts.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        image = np.repeat(np.arange(len(places)), np.diff(starts))
+        most, found = np.full(len(places), -1.0), np.full(len(places), np.nan)
+        for a in tried:
+            line = y * cos(radians(a)) - x * sin(radians(a))
+            whole = np.trunc(line)
+            line = whole + np.sign(line) * (np.abs(line - whole) >= 0.5)
+            order = np.lexsort((line, image))
+            same_image, same_line = image[order], line[order]
+            first = np.flatnonzero(np.concatenate([[True], (same_image[1:] != same_image[:-1]) | (same_line[1:] != same_line[:-1])])[: len(line)])
+            votes = np.diff(np.append(first, len(line))).astype(float)
+            uneven = np.bincount(same_image[first], weights=votes * votes, minlength=len(places))
+            better = uneven > most
+            most[better], found[better] = uneven[better], a
+        return pa.array(found)
+
+    few = given.join(busy, is_busy, "left_anti").groupBy("key").agg(F.collect_list(F.struct("x", "y")).alias("places")).select("key", angle_of("places").alias("angle"))
+    turns = F.array(*[F.struct(F.lit(a).alias("angle"), F.lit(radians(a)).alias("r")) for a in tried])
+    asked = given.join(busy, is_busy, "left_semi").select("key", "x", "y", F.explode(turns).alias("t"))
     line = F.round(F.col("y") * F.cos("t.r") - F.col("x") * F.sin("t.r")).cast("long")
     votes = asked.groupBy("key", "t.angle", line.alias("line")).agg(F.count(F.lit(1)).alias("n"))
     sums = votes.groupBy("key", "angle").agg(F.sum(F.col("n") * F.col("n")).alias("uneven"))
-    return sums.groupBy("key").agg(F.max_by("angle", F.struct("uneven", -F.abs("angle"), -F.col("angle"))).alias("angle")).withColumnRenamed("key", key)
+    many = sums.groupBy("key").agg(F.max_by("angle", F.struct("uneven", -F.abs("angle"), -F.col("angle"))).alias("angle"))
+    return few.unionByName(many).withColumnRenamed("key", key)

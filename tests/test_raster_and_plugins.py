@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,8 +105,52 @@ def test_plug_ins_by_name(spark):
     assert {x["text"] for x in plugins.create("recognizer", "UPPER-test")(df.where("image_id = 3")).collect()} == {"X"}
 
 
-def test_numbers_are_ink(spark):
-    """No grid goes back to the JVM between density and boxes."""
+def shuffled(spark, df):
+    """How many rows df's stages hand to shuffles."""
+    sc, jvm = spark.sparkContext, spark._jvm
+    stages = lambda: sc._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    before = stages().size()
+    rows = df.collect()
+    time.sleep(1)
+    after = stages()
+    return rows, sum(after.apply(i).shuffleWriteRecords() for i in range(after.size() - before))
+
+
+def test_grids_of_many_images_leave_python_as_grids(spark):
+    rows = [*grids(30, 5, 200), (200, None)]
+    one = raster.binarized(F.col("grid"), W, H).alias("b")
+    ink = F.flatten(raster.sauvola(F.col("grid"), W, H))
+    got = frame(spark, rows).select("id", one, raster.otsu(F.col("grid")).alias("level"), F.size(F.filter(ink, lambda v: v)).alias("ink"), F.flatten("grid").alias("flat"), raster.ink_boxes(F.col("grid")).alias("boxes")).collect()
+    for x in got:
+        if x["id"] == 200:
+            assert x["b"] is None and x["level"] is None and x["boxes"] is None
+        else:
+            assert x["b"]["level"] == x["level"] and x["b"]["ink"] == x["ink"]
+            assert x["b"]["dark"] == (0 if x["level"] is None else sum(v <= x["level"] for v in x["flat"]))
+    plan = raster.ink_boxes(F.col("grid"))  # numbers count as ink, so no grid goes back to the JVM between density and boxes
     boxes = spark.createDataFrame([(1, 0.0, 0.0, 2.0, 1.0), (1, 5.0, 3.0, 6.0, 3.0), (2, 5.0, 5.0, 1.0, 1.0)], "id long, x1 double, y1 double, x2 double, y2 double")
-    found = {x["id"]: [tuple(b) for b in x["b"]] for x in raster.density(boxes, "id", W, H).select("id", raster.ink_boxes(F.col("grid")).alias("b")).collect()}
+    found = {x["id"]: [tuple(b) for b in x["b"]] for x in raster.density(boxes, "id", W, H).select("id", plan.alias("b")).collect()}
     assert found == {1: [(0, 0, 2, 1), (5, 3, 6, 3)], 2: []}
+
+
+def turned(n, a, seed):
+    r = random.Random(seed)
+    at = [(r.uniform(0, 300), 40.0 * r.randrange(5)) for _ in range(n)]
+    return [(u * math.cos(math.radians(a)) - v * math.sin(math.radians(a)), u * math.sin(math.radians(a)) + v * math.cos(math.radians(a))) for u, v in at]
+
+
+def test_points_are_shuffled_and_not_their_votes(spark):
+    rows = [(i, *p) for i in range(50) for p in turned(20, i % 21 - 10, i)]
+    df = spark.createDataFrame(rows, "id long, x double, y double").repartition(3).localCheckpoint()
+    got, records = shuffled(spark, raster.skew(df, "id", [float(a) for a in range(-15, 16)]))
+    assert all(abs(x["angle"] - (x["id"] % 21 - 10)) <= 1 for x in got) and len(got) == 50
+    assert records <= 2 * len(rows) + 50
+
+
+def test_busy_images_are_turned_alike(spark, monkeypatch):
+    rows = [(k, *p) for k, a, n in ((1, -7, 200), (2, 4, 30), (None, 9, 120), (None, 9, 100)) for p in turned(n, a, 8)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    angles = [float(a) for a in range(-15, 16)]
+    whole = {x["id"]: x["angle"] for x in raster.skew(df, "id", angles).collect()}
+    monkeypatch.setattr(raster, "MOST_POINTS", 100)
+    assert {x["id"]: x["angle"] for x in raster.skew(df, "id", angles).collect()} == whole == {1: -7.0, 2: 4.0, None: 9.0}
