@@ -1,4 +1,4 @@
-"""Summaries that merge: sketches of each hour, stored once, answer for any span of hours.
+"""Summaries that merge: sketches of each hour, stored once, answer for any span of hours; with the rows at hand, exactly.
 
 Quantiles come from KLL sketches, distinct counts from HyperLogLog ones. With K_KLL items a quantile's rank is off by at most
 1.65 % for 200 items and 0.09 % for 4096 (99 of 100 times); below K_KLL values it is exact. With 2**LG_K_HLL registers a count
@@ -7,11 +7,16 @@ has a standard error of 0.4 %, and below some thousands it is exact but for a fe
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 K_KLL, LG_K_HLL = 4096, 16
 QUANTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+#: How far off, as a share of all ranks, a quantile is looked for: five times what a sketch of K_KLL items is off by.
+MARGIN = 0.005
 
 
 def hourly_sketches(df: DataFrame, at: str, value: str, who: str, keys: list[str], unit: str = "hour") -> DataFrame:
@@ -34,3 +39,36 @@ def merge_hours(sketches: DataFrame, keys: list[str], span: Column | None = None
     quantiles = [F.when(some, F.kll_sketch_get_quantile_double("v", F.lit(q))).alias(name) for name, q in QUANTILES.items()]
     names = [*keys, *(["span"] if span is not None else [])]
     return merged.select(*names, "n", (F.col("total") / F.when(some, F.kll_sketch_get_n_double("v"))).alias("mean"), *quantiles, F.hll_sketch_estimate("w").alias("people"))
+
+
+def exact_hours(sketches: DataFrame, df: DataFrame, at: str, value: str, who: str, keys: list[str], span: Column, unit: str = "hour") -> DataFrame:
+    """(*keys, span, n, mean, p50, p95, p99, people) as merge_hours(sketches, keys, span), exactly; the sketches are of the rows of df,
+    by the same columns. A quantile lies between two values that the sketches name; rows below them are counted and the values
+    between them summed by value, so what is put in order is a small share of a group, however many rows it has. A group
+    whose quantile isn't between them is put in order whole."""
+    groups = [*keys, "span"]
+    some = F.kll_sketch_get_n_double("v") > 0
+    merged = sketches.groupBy(*keys, span.alias("span")).agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.kll_merge_agg_double("values", F.lit(K_KLL)).alias("v"))
+    known = F.when(some, F.kll_sketch_get_n_double("v")).otherwise(0)
+    near = lambda q: F.kll_sketch_get_quantile_double("v", F.lit(min(max(q, 0.0), 1.0)))
+    asked = [
+        F.struct(F.lit(name).alias("name"), F.ceil(F.lit(Decimal(str(q))) * known.cast("decimal(19,0)")).cast("long").alias("rank"), near(q - MARGIN).alias("low"), near(q + MARGIN).alias("high"))
+        for name, q in QUANTILES.items()
+    ]
+    brackets = merged.where(some).select(*groups, F.explode(F.array(*asked)).alias("q")).select(*groups, "q.*")
+    rows = df.where(F.col(at).isNotNull()).withColumn("hour", F.date_trunc(unit, at)).select(*keys, span.alias("span"), F.col(value).cast("double").alias("value"), F.col(who).alias("who"))
+    counts = rows.where(F.col("value").isNotNull()).groupBy(*groups, "value").agg(F.count(F.lit(1)).alias("n"))
+    same = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in groups]
+    met = counts.alias("c").join(brackets.alias("b"), same("c", "b")).select("b.*", "c.value", F.col("c.n").alias("n"))
+    below, up_to = (F.sum(F.when(m, F.col("n")).otherwise(0)) for m in (F.col("value") < F.col("low"), F.col("value") <= F.col("high")))
+    placed = met.groupBy(*groups, "name", "rank", "low", "high").agg(below.alias("below"), up_to.alias("up_to"))
+    right = (F.col("below") < F.col("rank")) & (F.col("rank") <= F.col("up_to"))
+    unbounded = placed.select(*groups, "name", "rank", F.when(right, F.col("low")).alias("low"), F.when(right, F.col("high")).alias("high"), F.when(right, F.col("below")).otherwise(0).alias("below"))
+    within = F.col("low").isNull() | F.col("value").between(F.col("low"), F.col("high"))
+    left = counts.alias("c").join(unbounded.alias("b"), same("c", "b")).select("b.*", "c.value", F.col("c.n").alias("n")).where(within)
+    so_far = F.sum("n").over(W.partitionBy(*groups, "name").orderBy("value").rowsBetween(W.unboundedPreceding, 0))
+    found = left.withColumn("so_far", so_far + F.col("below")).where("so_far >= rank").groupBy(*groups).agg(*[F.min(F.when(F.col("name") == q, F.col("value"))).alias(q) for q in QUANTILES])
+    people = rows.select(*groups, "who").distinct().groupBy(*groups).agg(F.count("who").alias("people"))
+    sums = merged.select(*groups, "n", (F.col("total") / F.when(some, F.kll_sketch_get_n_double("v"))).alias("mean"))
+    out = sums.alias("s").join(found.alias("f"), same("s", "f"), "left").select("s.*", *[F.col(f"f.{q}").alias(q) for q in QUANTILES])
+    return out.alias("s").join(people.alias("p"), same("s", "p"), "left").select("s.*", "p.people")

@@ -99,6 +99,24 @@ def test_sketches_of_spans_keep_their_error(spark):
     assert (none["n"], none["p50"], none["mean"], none["people"]) == (1, None, None, 0)
 
 
+def test_quantiles_and_people_of_spans_beyond_the_sketches(spark):
+    n = 60_000  # of one day and key, fifteen times what a sketch holds exactly
+    rows = spark.range(n).select(
+        (F.pmod(F.xxhash64("id"), F.lit(10_007)) / 100.0).alias("v"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(40_000)).alias("who"), F.timestamp_seconds(F.col("id") % 86_400).alias("t"),
+        F.when(F.col("id") % 50 == 0, F.lit(None)).otherwise("k").alias("k"),
+    ).unionByName(spark.createDataFrame([(None, None, DAY, "none"), (3.5, None, None, "k")], "v double, who long, t timestamp, k string"))
+    hours = sketches.hourly_sketches(rows, "t", "v", "who", ["k"])
+    got = {x["k"]: x for x in sketches.exact_hours(hours, rows, "t", "v", "who", ["k"], F.date_trunc("day", "hour")).collect()}
+    all_rows = [x for x in rows.collect() if x["t"] is not None]
+    assert set(got) == {"k", None, "none"}
+    for k, x in got.items():
+        own = [y for y in all_rows if y["k"] == k]
+        values = sorted(y["v"] for y in own if y["v"] is not None)
+        want = [values[-(-len(values) * q // 100) - 1] if values else None for q in (50, 95, 99)]
+        assert [x["p50"], x["p95"], x["p99"]] == want and x["n"] == len(own)
+        assert x["people"] == len({y["who"] for y in own} - {None})
+
+
 def test_language_model_equals_plain_bayes(spark):
     r = random.Random(4)
     alphabets = {"x": "abcd ", "y": "cdef ", "z": "aé字\U0001f600"}
