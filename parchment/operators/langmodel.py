@@ -29,15 +29,16 @@ def bucket_of(gram: Column, n: int = N, buckets: int = BUCKETS) -> Column:
     return (value % buckets).cast("int")
 
 
-def hashed(text: Column, n: int = N) -> Column:
-    """The n-grams of a text in lower case; none of null."""
-    return ngrams(F.lower(F.coalesce(text, F.lit(""))), n)
+def hashed(text: Column, n: int = N, short: bool = True) -> Column:
+    """The n-grams of a text in lower case; none of null. A shorter text is its own one, or has none unless `short`."""
+    lowered = F.lower(F.coalesce(text, F.lit("")))
+    return ngrams(lowered if short else F.when(F.length(lowered) >= n, lowered).otherwise(""), n)
 
 
-def gram_counts(docs: DataFrame, text: str = "text", lang: str = "lang", n: int = N, buckets: int = BUCKETS) -> DataFrame:
+def gram_counts(docs: DataFrame, text: str = "text", lang: str = "lang", n: int = N, buckets: int = BUCKETS, short: bool = True) -> DataFrame:
     """(lang, bucket, n): how often the n-grams of each bucket occur in the texts of each language. Rows without a language are
     left out; repeated rows count each. Distinct n-grams are hashed, not every one."""
-    grams = docs.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.explode(hashed(F.col(text), n)).alias("gram"))
+    grams = docs.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.explode(hashed(F.col(text), n, short)).alias("gram"))
     distinct = grams.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
     return distinct.groupBy("lang", bucket_of(F.col("gram"), n, buckets).alias("bucket")).agg(F.sum("n").alias("n"))
 
@@ -45,17 +46,18 @@ def gram_counts(docs: DataFrame, text: str = "text", lang: str = "lang", n: int
 @dataclass
 class LanguageModel:
     """weights: (bucket, weights), for each language in turn what an n-gram of the bucket adds beyond one never met; languages: (name,
-    log of its share of the documents, log probability of an n-gram never met)."""
+    log of its share of the documents, log probability of an n-gram never met); short: whether a text shorter than n is an n-gram."""
 
     weights: DataFrame
     languages: list[tuple[str, float, float]]
     n: int = N
     buckets: int = BUCKETS
+    short: bool = True
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", n: int = N, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> LanguageModel:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", n: int = N, buckets: int = BUCKETS, smoothing: float = SMOOTHING, short: bool = True) -> LanguageModel:
     """A model of the languages that docs name. Every language is smoothed alike. Without any language a model answers null."""
-    counts = gram_counts(docs, text, lang, n, buckets)
+    counts = gram_counts(docs, text, lang, n, buckets, short)
     shares = docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("docs"))
     sums = shares.join(counts.groupBy("lang").agg(F.sum("n").alias("n")), "lang", "left").orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
     if len(sums) > MOST_LANGUAGES:
@@ -64,7 +66,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", n: int = N, b
     languages = [(r["lang"], log(r["docs"] / all_docs), log(smoothing / ((r["n"] or 0) + smoothing * buckets))) for r in sums]
     name = {x[0]: F.sum(F.when(F.col("lang") == x[0], F.col("n"))) for x in languages}
     weights = counts.groupBy("bucket").agg(F.array(*[F.coalesce(F.log((c + smoothing) / smoothing), F.lit(0.0)) for c in name.values()]).alias("weights"))
-    return LanguageModel(weights, languages, n, buckets)
+    return LanguageModel(weights, languages, n, buckets, short)
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", top: int = 3) -> DataFrame:
@@ -76,7 +78,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", top: int
         nothing = F.lit(None).cast("array<struct<language:string,confidence:double>>")
         return docs.withColumns({"languages": nothing, "language": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double")})
     weights = F.broadcast(model.weights) if model.buckets * len(model.languages) * 8 <= MOST_BROADCAST else model.weights
-    grams = rows.select("_text", F.posexplode(hashed(F.col(text), model.n)).alias("pos", "gram")).select("_text", "pos", bucket_of(F.col("gram"), model.n, model.buckets).alias("bucket"))
+    grams = rows.select("_text", F.posexplode(hashed(F.col(text), model.n, model.short)).alias("pos", "gram")).select("_text", "pos", bucket_of(F.col("gram"), model.n, model.buckets).alias("bucket"))
     copies = F.count_if(F.col("pos") == 0)
     added = [(F.sum(F.col("weights")[i]) / copies).alias(f"_s{i}") for i in range(len(model.languages))]
     sums = grams.join(weights, "bucket", "left").groupBy("_text").agg((F.count(F.lit(1)) / copies).alias("_n"), *added)

@@ -150,6 +150,14 @@ def test_language_model_equals_plain_bayes(spark):
     assert langmodel.identify(docs, none).where("language is not null").count() == 0
 
 
+def test_texts_shorter_than_a_gram(spark, tmp_path):
+    from parchment.plans import model_plans
+
+    spark.createDataFrame([(1, "A.", "en"), (2, "abc", "en"), (3, None, "de"), (4, "xyzw", "de")], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    counts = model_plans.lid_ngram_counts(spark, str(tmp_path)).groupBy("lang").agg(F.sum("n").alias("n")).collect()
+    assert {x["lang"]: x["n"] for x in counts} == {"en": 1, "de": 2}
+
+
 def test_language_of_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").withColumn("held", F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
     model = langmodel.train(docs.where("not held"))
