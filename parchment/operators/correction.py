@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +13,12 @@ NOT_WORD = "[^\\p{L}\\p{N}_]"
 
 
 def vocabulary_frame(spark, vocabulary: dict[str, list[str]]) -> DataFrame:
-    """(lang, ord, entry) of a vocabulary by language."""
-    return spark.createDataFrame([(lang, i, w) for lang, ws in vocabulary.items() for i, w in enumerate(ws)], "lang string, ord int, entry string")
+    """(lang, ord, entry) of a vocabulary by language. It comes from an Arrow table, whose size Spark knows: of rows from a list it
+    takes any size, and sends what they are joined with to the driver."""
+    rows = [(lang, i, w) for lang, ws in vocabulary.items() for i, w in enumerate(ws)]
+    types = (pa.string(), pa.int32(), pa.string())
+    columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
+    return spark.createDataFrame(pa.table(columns, ["lang", "ord", "entry"]), "lang string, ord int, entry string")
 
 
 def allowed_edits(longer: Column) -> Column:
@@ -44,7 +49,8 @@ def near_entries(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     are compared with all its entries."""
     n, m = F.length("bare"), F.length("entry")
     lengths = F.sequence(F.ceil(n * 0.7).cast("int"), F.floor(n / 0.7).cast("int"))
-    asked = words.select("lang", "bare").where("bare <> ''").distinct().withColumn("length", F.explode(lengths))
+    tasks = 4 * words.sparkSession.sparkContext.defaultParallelism  # short as the words are, each has dozens of keys
+    asked = words.select("lang", "bare").where("bare <> ''").distinct().repartition(tasks, "lang", "bare").withColumn("length", F.explode(lengths))
     asked = asked.select("lang", "bare", F.explode(piece_keys(F.col("bare"), F.col("length"), allowed_edits(F.greatest(n, F.col("length"))), False)).alias("key"))
     most = F.sequence(allowed_edits(m), allowed_edits(F.floor(m / 0.7).cast("int")))
     held = vocabulary.where("entry <> ''").withColumn("edits", F.explode(most))
@@ -60,7 +66,7 @@ def nearest_words(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     distinct = words.select("lang", "word").distinct().withColumn("bare", F.regexp_replace("word", NOT_WORD, ""))
     scored = near_entries(distinct, vocabulary).withColumn("distance", F.col("edits") / F.greatest(F.length("bare"), F.length("entry")))
     best = scored.groupBy("lang", "bare").agg(F.min(F.struct("distance", "ord", "entry")).alias("m"))
-    return distinct.join(best, ["lang", "bare"]).select("lang", "word", "bare", F.col("m.entry").alias("entry"), F.col("m.distance").alias("distance"))
+    return distinct.join(best.hint("merge"), ["lang", "bare"]).select("lang", "word", "bare", F.col("m.entry").alias("entry"), F.col("m.distance").alias("distance"))
 
 
 def tokenized(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
@@ -72,10 +78,11 @@ def tokenized(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
 
 def with_words(rows: DataFrame, found: DataFrame, fitted) -> DataFrame:
     """(key, corrected) of rows as in tokenized(): words joined by blanks, those at the places of found (_row, pos, word) as
-    fitted(word, found word)."""
+    fitted(word, found word). There are as many changes as rows, so they are shuffled, whatever the size of the files that they
+    come from makes of them."""
     changes = found.select("_row", "pos", "word").distinct().groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("pos", "word"))).alias("changes"))
     new = F.transform("words", lambda w, i: F.coalesce(fitted(w, F.try_element_at("changes", i)), w))
-    return rows.join(changes, "_row", "left").select("key", F.array_join(new, " ").alias("corrected"))
+    return rows.join(changes.hint("merge"), "_row", "left").select("key", F.array_join(new, " ").alias("corrected"))
 
 
 def correct_vocabulary(df: DataFrame, vocabulary: DataFrame, key: str, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -83,7 +90,7 @@ def correct_vocabulary(df: DataFrame, vocabulary: DataFrame, key: str, text: str
     near enough. Rows of an unknown or null language keep their words; null texts are empty; keys may be null or repeat."""
     rows = tokenized(df, key, text, lang)
     words = rows.select("_row", "lang", F.posexplode("words").alias("pos", "word"))
-    found = words.join(nearest_words(words, vocabulary).select("lang", "word", "entry"), ["lang", "word"]).where("word <> entry")
+    found = words.join(nearest_words(words, vocabulary).select("lang", "word", "entry").hint("merge"), ["lang", "word"]).where("word <> entry")
     return with_words(rows, found.select("_row", "pos", F.col("entry").alias("word")), lambda w, new: new).withColumnRenamed("key", key)
 
 

@@ -170,7 +170,7 @@ def jn_vocab_nearest(spark, d):
 @query("select c_custkey, 'Village: ' || c_custkey || ' village' as corrected from customer")
 def txt_correct(spark, d):
     text = F.concat(F.lit("Village:  "), F.col("c_custkey"), F.lit(" vilage "))
-    rows = table(spark, d, "customer").select("c_custkey", text.alias("text"), F.lit("en").alias("lang"))
+    rows = spread(table(spark, d, "customer").select("c_custkey"), 50_000).select("c_custkey", text.alias("text"), F.lit("en").alias("lang"))
     entries = correction.vocabulary_frame(spark, {"en": ["village"]})
     fixed = correction.correct(rows.withColumn("text", F.replace("text", F.lit("Village:"), F.lit("#"))), entries, "c_custkey")
     return fixed.withColumn("corrected", F.replace("corrected", F.lit("#"), F.lit("Village:")))

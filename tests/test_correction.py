@@ -86,3 +86,12 @@ def test_places_in_a_busy_hour(spark):
     df = spark.createDataFrame(rows, "id long, at string").withColumn("at", F.col("at").cast("timestamp"))
     got = [x["id"] for x in registry.newest_places(df, "at", "id").orderBy("place").collect()]
     assert got == [i for _, i in sorted(((at or "", i) for i, at in rows), reverse=True)]
+
+
+def test_changes_are_not_sent_to_the_driver(spark):
+    """Small files may have many rows, so what Spark makes of their size says nothing of the changes."""
+    rows = spark.range(3000).select("id", F.concat(F.lit("vilage "), "id").alias("text"), F.lit("en").alias("lang"))
+    fixed = correction.correct_vocabulary(rows, correction.vocabulary_frame(spark, {"en": ["village"]}), "id")
+    plan = fixed._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin") >= 3 and plan.count("BroadcastHashJoin") <= 1
+    assert fixed.where(F.col("corrected") == F.concat(F.lit("village "), "id")).count() == 3000
