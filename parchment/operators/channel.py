@@ -62,7 +62,7 @@ def _steps(rows: DataFrame, chosen: DataFrame) -> DataFrame:
     near = lambda i: F.when(i >= 0, F.get("bares", i))
     placed = F.transform("bares", lambda w, i: F.struct(w.alias("bare"), near(i - 1).alias("left"), near(i + 1).alias("right")))
     words = rows.select("_row", "lang", F.posexplode(placed).alias("pos", "w")).select("_row", "lang", "pos", "w.*")
-    at = words.join(chosen, ["lang", "bare"]).distinct()
+    at = words.hint("merge").join(chosen, ["lang", "bare"]).distinct()
     beside = lambda c: F.array(F.struct(F.coalesce(F.col(c), F.lit("")).alias("word"), F.lit(0.0).alias("cost")))
     order = W.partitionBy("_row").orderBy("pos")
     at = at.withColumns({
@@ -82,8 +82,8 @@ def log_follow(pairs: DataFrame, counts: Counts, back_off: float) -> DataFrame:
     share among all words."""
     asked = pairs.select("lang", "a", "b").distinct()
     before = counts.pairs.groupBy("lang", "a").agg(F.sum("n").alias("n_a"))
-    met = asked.join(counts.pairs.withColumnRenamed("n", "n_ab"), ["lang", "a", "b"], "left").join(before, ["lang", "a"], "left")
-    met = met.join(counts.words.select("lang", F.col("word").alias("b"), F.col("n").alias("n_b")), ["lang", "b"], "left").join(counts.sums, "lang")
+    met = asked.join(counts.pairs.withColumnRenamed("n", "n_ab").hint("merge"), ["lang", "a", "b"], "left").join(before.hint("merge"), ["lang", "a"], "left")
+    met = met.join(counts.words.select("lang", F.col("word").alias("b"), F.col("n").alias("n_b")).hint("merge"), ["lang", "b"], "left").join(counts.sums, "lang")
     none = lambda c: F.coalesce(F.col(c), F.lit(0))
     alone = (none("n_b") + 0.1) / (F.col("total") + 0.1 * (F.col("kinds") + 1))
     return met.select("lang", "a", "b", F.log((none("n_ab") + back_off * alone) / (none("n_a") + back_off)).alias("follow"))
