@@ -84,3 +84,16 @@ def test_no_line_item_or_event_is_left_out(spark, tmp_path):
 @pytest.mark.parametrize("name", ["rank_match_index", "agg_record_conf", "flt_conf_threshold"])
 def test_groups_are_not_collected(spark, name):
     assert "collect_list" not in catalog.queries()[name](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_records_are_parsed_by_all_cores_after_a_shuffled_join(spark):
+    """A shuffled join of few bytes leaves one task, however costly what follows is."""
+    from parchment.plans import common, extraction_plans
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = extraction_plans.records(spark, SF_DIR)
+        assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        assert common.tasks_for(spark.range(95), 10) == 10
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
