@@ -57,15 +57,21 @@ def union_of(x1: str, y1: str, x2: str, y2: str) -> Column:
 
 def group_of(boxes: Column, threshold: float) -> Column:
     """For each box of an array the place of its group's first box: the first earlier box that leads a group and
-    overlaps it by at least the threshold, or itself."""
+    overlaps it by at least the threshold, or itself. A box is compared with the leaders so far alone."""
+    number = F.struct(F.lit(0).alias("place"), F.lit(None).cast("struct<x1:double,y1:double,x2:double,y2:double>").alias("box"))
+    zero = F.struct(F.array().cast("array<int>").alias("groups"), F.filter(F.array(number), lambda x: F.lit(False)).alias("leads"))
 
-    def place(acc: Column, i: Column) -> Column:
-        leads = lambda j: (F.get(acc, j) == j) & (iou(F.get(boxes, i), F.get(boxes, j)) >= threshold)
-        earlier = F.filter(F.sequence(F.lit(0), i), lambda j: (j < i) & leads(j))
-        return F.concat(acc, F.array(F.coalesce(F.get(earlier, F.lit(0)), i)))
+    def place(acc: Column, b: Column) -> Column:
+        own = F.size(acc["groups"])
+        first = F.get(F.filter(acc["leads"], lambda lead: iou(lead["box"], b) >= threshold), F.lit(0))["place"]
 
-    none = F.array().cast("array<int>")
-    return F.when(F.size(boxes) == 0, none).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(boxes) - 1), none, place))
+        def joined(lead: Column) -> Column:
+            leads = F.when(lead.isNull(), F.concat(acc["leads"], F.array(F.struct(own.alias("place"), b.alias("box"))))).otherwise(acc["leads"])
+            return F.struct(F.concat(acc["groups"], F.array(F.coalesce(lead, own))).alias("groups"), leads.alias("leads"))
+
+        return let(first, joined)
+
+    return F.aggregate(boxes, zero, place)["groups"]
 
 
 def reading_order(boxes: Column, gap: float = 20.0) -> Column:

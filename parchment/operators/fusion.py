@@ -28,7 +28,7 @@ def group_regions(predictions: DataFrame, threshold: float = MIN_IOU) -> DataFra
     """predictions with group, the ord of the region that leads it. A region joins the first leader it overlaps; an
     image's regions, which are few, meet in one row."""
     fields = [c for c in predictions.columns if c not in ("image_id", "ord")]
-    whole = predictions.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("ord", *fields))).alias("r"))
+    whole = predictions.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("ord", *fields))).alias("r"))
     whole = whole.withColumn("g", group_of(F.transform("r", lambda x: x["box"]), threshold))
     placed = whole.select("image_id", "r", F.posexplode(F.arrays_zip("r", "g")).alias("i", "x"))
     return placed.select("image_id", "x.r.*", F.get("r", F.col("x.g"))["ord"].alias("group"))

@@ -1,5 +1,7 @@
 """Small cases of text, language, geometry, fusion and extraction whose results are known."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,6 +128,29 @@ def test_greedy_groups_depend_on_order(spark):
     assert groups([abc[1], abc[0], abc[2]]) == [0, 0, 0]
 
 
+def test_grouping_names_its_boxes_once_and_agrees_with_brute_force(spark):
+    # a lambda that named the boxes computed them anew for every pair
+    assert str(G.group_of(F.col("these_boxes"), 0.3)).count("these_boxes") == 1
+    r = random.Random(4)
+    rows = [(k, i, *[None if r.random() < 0.03 else float(r.randrange(12)) for _ in range(2)]) for k in range(60) for i in range(r.randrange(1, 25))]
+    at = spark.createDataFrame(rows, "image_id int, ord int, x double, y double").withColumn("box", G.box(F.col("x"), F.col("y"), F.col("x") + 8, F.col("y") + 8))
+    got = {(x["image_id"], x["ord"]): x["group"] for x in fusion.group_regions(at, 0.3).collect()}
+
+    def met(a, b):
+        if None in (*a, *b):
+            return False
+        both = max(0, 8 - abs(a[0] - b[0])) * max(0, 8 - abs(a[1] - b[1]))
+        return both > 0 and both / (128 - both) >= 0.3
+
+    want, leads = {}, {}
+    for k, i, x, y in rows:
+        first = next((j for j, b in leads.setdefault(k, []) if met((x, y), b)), None)
+        want[k, i] = i if first is None else first
+        if first is None:
+            leads[k].append((i, (x, y)))
+    assert got == want and len({*got.values()}) < len(got)
+
+
 def test_reading_order(spark):
     rows = F.array(*[F.struct(F.lit(float(y)).alias("y1"), F.lit(float(x)).alias("x1")) for y, x in ((10, 100), (12, 5), (40, 3), (55, 1))])
     assert [tuple(r) for r in value(spark, G.reading_order(rows))] == [(12, 5), (10, 100), (55, 1), (40, 3)]
