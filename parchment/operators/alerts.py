@@ -28,7 +28,8 @@ def parallel_deeds(deeds: DataFrame, days: float = 90) -> DataFrame:
     """An alert for each two deeds of one parcel, by different claimants, that are in force at the same time; the primary one is that
     with the earlier date, or the smaller deed of one date. The measure is how many days lie between their dates. A null claimant
     is none, and conflicts with nobody; equal rows of a deed don't conflict with each other."""
-    pairs = overlapping(deeds, deeds, "parcel", "date", "until", days)
+    own = deeds.select("parcel", "deed", "claimant", "date", "until").where(F.col("claimant").isNotNull())
+    pairs = overlapping(own, own, "parcel", "date", "until", days, ordered=True)
     a, b = F.col("left"), F.col("right")
     first = F.struct(a["date"], a["deed"]) < F.struct(b["date"], b["deed"])
     found = pairs.where(first & (a["claimant"] != b["claimant"]))
@@ -47,7 +48,8 @@ def area_excess(deeds: DataFrame, cadastre: DataFrame, tolerance: float = 0.0) -
 def rapid_resale(deeds: DataFrame, within: int = 30, surge: float = 0.0) -> DataFrame:
     """An alert for each deed less than so many days after the parcel's deed before it (by date, then deed), at a price that is up
     by more than the share `surge`. The measure is the new price by the old one. Deeds without date or price raise none."""
-    both = previous(deeds, "parcel", "date", "deed").where("parcel is not null")
+    own = deeds.select("parcel", "deed", "price", "date").where("parcel is not null")
+    both = previous(own, "parcel", "date", "deed")
     before = F.col("previous")
     soon = (F.datediff("date", before["date"]) < within) & (F.col("price") > before["price"] * (1 + surge))
     return _alert(both.where(soon), "rapid_resale", RESALE, F.col("parcel"), before["deed"], F.col("deed"), F.col("price") / before["price"])

@@ -20,33 +20,58 @@ def micros(at: str | Column) -> Column:
     return F.unix_micros((F.col(at) if isinstance(at, str) else at).cast("timestamp"))
 
 
-def _placed(df: DataFrame, start: str, end: str, days: float, side: str) -> DataFrame:
-    """Every interval once for each bucket of its own level and of wider ones that it covers, as struct _<side>."""
+def _wide(level: Column, days: float) -> Column:
+    width = int(days * MICROS_A_DAY)
+    return F.element_at(F.array(*[F.lit(min(width * GROWTH**k, MOST)) for k in range(LEVELS)]), level + 1)
+
+
+def _timed(df: DataFrame, key: str, start: str, end: str, days: float) -> DataFrame:
+    """(key, row, from, to, own): the rows that can overlap others, with the level that their length gives them."""
     width = int(days * MICROS_A_DAY)
-    row = F.struct(*df.columns)
-    timed = df.select(row.alias("row"), micros(start).alias("from"), micros(end).alias("to")).where("from <= to")
     own = F.size(F.filter(F.array(*[F.lit(min(width * GROWTH**k * REACH, MOST)) for k in range(LEVELS - 1)]), lambda most: F.col("to") - F.col("from") > most))
-    wide = F.element_at(F.array(*[F.lit(min(width * GROWTH**k, MOST)) for k in range(LEVELS)]), F.col("level") + 1)
-    levels = timed.withColumn("own", own).withColumn("level", F.explode(F.sequence("own", F.lit(LEVELS - 1))))
-    buckets = F.explode(F.sequence(F.floor(F.col("from") / wide), F.floor(F.col("to") / wide)))
-    return levels.withColumn("wide", wide).select("level", "wide", buckets.alias("bucket"), F.struct("row", "from", "to", "own").alias(f"_{side}"))
+    timed = df.select(F.col(key).alias("key"), F.struct(*df.columns).alias("row"), micros(start).alias("from"), micros(end).alias("to"))
+    return timed.where("key is not null and from <= to").withColumn("own", own)
+
+
+def _highest(df: DataFrame) -> int:
+    """The widest level that any row has; none is placed beyond it."""
+    return df.agg(F.max("own")).first()[0] or 0
+
+
+def _placed(timed: DataFrame, side: str, last: int, days: float, covered: bool) -> DataFrame:
+    """Every row as struct _<side> on its own level and wider ones up to `last`: in each bucket that it covers, or in that where it starts."""
+    levels = timed.withColumn("level", F.explode(F.sequence("own", F.greatest("own", F.lit(last))))).withColumn("wide", _wide(F.col("level"), days))
+    first, final = F.floor(F.col("from") / F.col("wide")), F.floor(F.col("to") / F.col("wide"))
+    bucket = F.explode(F.sequence(first, final)) if covered else first
+    return levels.select("key", "level", bucket.alias("bucket"), F.struct("row", "from", "to", "own").alias(f"_{side}"))
+
+
+def _later(earlier: DataFrame, later: DataFrame, days: float, highest: tuple[int, int], ties: bool) -> DataFrame:
+    """The pairs whose second row starts after the first one does, or with it if `ties`, and before that ends."""
+    a, b = _placed(earlier, "a", highest[1], days, True), _placed(later, "b", highest[0], days, False)
+    after = F.col("_a.from") <= F.col("_b.from") if ties else F.col("_a.from") < F.col("_b.from")
+    level = F.greatest("_a.own", "_b.own") == F.col("level")
+    return a.join(b, ["key", "level", "bucket"]).where(level & after & (F.col("_b.from") <= F.col("_a.to")))
 
 
-def overlapping(left: DataFrame, right: DataFrame, key: str, start: str, end: str, days: float = 30) -> DataFrame:
+def overlapping(left: DataFrame, right: DataFrame, key: str, start: str, end: str, days: float = 30, ordered: bool = False) -> DataFrame:
     """(left, right): structs of all rows with one key whose closed intervals from start to end have a time in common, each pair
-    once. Rows with a null key, start or end, or that end before they start, overlap nothing.
+    once; if `ordered`, only those where the left one starts no later than the right one. Rows with a null key, start or end, or
+    that end before they start, overlap nothing.
 
     Intervals meet in buckets of time: of `days`, or for long ones of wider levels, so that no interval is copied for more than
-    REACH + 1 buckets of a level, and a key's rows are compared only where they are near. A pair counts in the bucket, on
-    the wider one's level, where the later of the two starts.
+    REACH + 1 buckets of a level, and a key's rows are compared only where they are near. A pair meets in the bucket, on
+    the wider one's level, where the later of the two starts; so the later one is in one bucket of a level, and no level is
+    used that is wider than the longest interval needs.
     """
-    a, b = _placed(left, start, end, days, "a"), _placed(right, start, end, days, "b")
-    same = (F.col("_a.row")[key] == F.col("_b.row")[key]) & (F.col("a.level") == F.col("b.level")) & (F.col("a.bucket") == F.col("b.bucket"))
-    met = a.alias("a").join(b.alias("b"), same)
-    level = F.greatest("_a.own", "_b.own") == F.col("a.level")
-    later = F.floor(F.greatest("_a.from", "_b.from") / F.col("a.wide")) == F.col("a.bucket")
-    both = (F.col("_a.from") <= F.col("_b.to")) & (F.col("_b.from") <= F.col("_a.to"))
-    return met.where(level & later & both).select(F.col("_a.row").alias("left"), F.col("_b.row").alias("right"))
+    a, b = _timed(left, key, start, end, days), _timed(right, key, start, end, days)
+    most = _highest(a)
+    highest = (most, most if right is left else _highest(b))
+    met = _later(a, b, days, highest, True).select(F.col("_a.row").alias("left"), F.col("_b.row").alias("right"))
+    if ordered:
+        return met
+    other = _later(b, a, days, highest[::-1], False)
+    return met.unionByName(other.select(F.col("_b.row").alias("left"), F.col("_a.row").alias("right")))
 
 
 def _bucketed(df: DataFrame, at: str, days: float) -> DataFrame:

@@ -40,6 +40,20 @@ def test_overlapping_intervals(spark, days):
     assert temporal.overlapping(left.limit(0), right, "k", "s", "e").count() == 0
 
 
+def test_ordered_overlaps_and_how_often_rows_are_placed(spark):
+    r = random.Random(8)
+    a, left = intervals(spark, r, 120)
+    found = temporal.overlapping(left, left, "k", "s", "e", 30, ordered=True)
+    got = Counter((x["i"], x["j"]) for x in found.select(F.col("left.id").alias("i"), F.col("right.id").alias("j")).collect())
+    whole = [x for x in a if None not in x and x[2] <= x[3]]
+    assert got == Counter((x[0], y[0]) for x in whole for y in whole if x[1] == y[1] and x[2] <= y[2] <= x[3])
+    # rows of up to 40 days fill two buckets of 90 days at most, once where they start; no level is used that none needs
+    short = temporal._timed(spark.createDataFrame([(i, "a", at(i), at(i + i % 40)) for i in range(200)], "id long, k string, s timestamp, e timestamp"), "k", "s", "e", 90)
+    most = temporal._highest(short)
+    assert most == 0 and temporal._placed(short, "b", most, 90, False).count() == 200
+    assert 200 <= temporal._placed(short, "a", most, 90, True).count() < 300
+
+
 def test_row_before_in_two_levels(spark):
     r = random.Random(2)
     rows = [(i, r.choice(["hot", "hot", "a", None]), at(r.choice([None, r.randrange(300), 7])), r.choice([None, 1.5])) for i in range(300)]
