@@ -23,14 +23,20 @@ def _char_class(script: str, compat: str | None) -> str:
 
 
 def _counts(text: Column, compat: str | None) -> Column:
-    """How many characters of a text each of SCRIPT_RANGES has, in order."""
+    """How many characters of a text each of SCRIPT_RANGES has, in order. A script's characters are taken out before the next
+    one's are counted, so a text is read a few times and not once for each script."""
+    letters = F.length(F.regexp_replace(text, f"[^{LATIN_LETTERS}]+", ""))
 
-    def count(foreign: Column) -> Column:
-        letters = F.length(F.regexp_replace(text, f"[^{LATIN_LETTERS}]+", ""))
-        latin = F.length(text) - F.length(foreign) if compat == "reference" else letters
-        return F.array(*[latin if s == "Latin" else F.length(F.regexp_replace(foreign, f"[^{_char_class(s, compat)}]+", "")) for s in SCRIPT_RANGES])
+    def count(foreign: Column, left: Column, scripts: list[str], counted: list[Column]) -> Column:
+        if not scripts:
+            return F.array(*counted)
+        if scripts[0] == "Latin":
+            return count(foreign, left, scripts[1:], [*counted, F.length(text) - F.length(foreign) if compat == "reference" else letters])
+        taken = F.when(left == "", left).otherwise(F.regexp_replace(left, f"[{_char_class(scripts[0], compat)}]+", ""))
+        return let(taken, lambda rest: count(foreign, rest, scripts[1:], [*counted, F.length(left) - F.length(rest)]))
 
-    return let(F.regexp_replace(text, f"[{_char_class('Latin', 'reference')}]+", ""), count)  # all other scripts are beyond it
+    # all other scripts are beyond it
+    return let(F.regexp_replace(text, f"[{_char_class('Latin', 'reference')}]+", ""), lambda foreign: count(foreign, foreign, list(SCRIPT_RANGES), []))
 
 
 def script_counts(text: Column, compat: str | None = "reference") -> dict[str, Column]:
@@ -62,15 +68,27 @@ def script(text: Column, compat: str | None = "reference") -> Column:
     return dominant(text, compat)["script"]
 
 
+def _leads(words: list[str]) -> set[bytes]:
+    """The first two bytes in UTF-8 of each word's first character beyond ASCII, which texts without them can't have; none if a
+    word has no such character."""
+    beyond = [next((c for c in w if ord(c) > 127), "") for w in words]
+    return {c.encode()[:2] for c in beyond} if all(beyond) else set()
+
+
 def keyword_scores(lowered: Column, languages: list[str]) -> Column:
-    """array of struct(score, -place, language): the share of a language's keywords that occur anywhere in the text."""
+    """array of struct(score, -place, language): the share of a language's keywords that occur anywhere in the text. Words are
+    looked for only where the bytes that they begin with occur."""
 
-    def score(language: str) -> Column:
+    def score(language: str, octets: Column) -> Column:
         words = LANGUAGE_KEYWORDS.get(language, [])
         hits = reduce(lambda a, b: a + b, [F.contains(lowered, F.lit(w)).cast("int") for w in words], F.lit(0))
+        if leads := _leads(words):
+            there = reduce(lambda a, b: a | b, [F.contains(octets, F.lit(lead)) for lead in sorted(leads)])
+            hits = F.when(~there, 0).otherwise(hits)
         return hits / max(1, len(words))
 
-    return F.array(*[F.struct(score(x).alias("score"), F.lit(-i).alias("place"), F.lit(x).alias("language")) for i, x in enumerate(languages)])
+    scores = lambda octets: F.array(*[F.struct(score(x, octets).alias("score"), F.lit(-i).alias("place"), F.lit(x).alias("language")) for i, x in enumerate(languages)])
+    return let(lowered.cast("binary"), scores)
 
 
 def _answer(language: Column, confidence: Column, stage: str) -> Column:

@@ -151,6 +151,26 @@ def test_grouping_names_its_boxes_once_and_agrees_with_brute_force(spark):
     assert got == want and len({*got.values()}) < len(got)
 
 
+def test_scripts_and_keywords_of_mixed_texts_agree_with_brute_force(spark):
+    r = random.Random(6)
+    spans = [span for spans in lookups.SCRIPT_RANGES.values() for span in spans]
+    words = [w for ws in lookups.LANGUAGE_KEYWORDS.values() for w in ws]
+    some = lambda: r.choice([r.choice(words), "".join(chr(r.randint(*r.choice(spans))) for _ in range(3)), " ", "\U0001f600", "\u2200"])
+    texts = ["", None, *["".join(some() for _ in range(r.randrange(1, 14))) for _ in range(150)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {x["id"]: x for x in df.select("id", langid._counts(F.col("t"), "reference").alias("n"), langid.keyword_scores(F.col("t"), list(lookups.LANGUAGE_KEYWORDS)).alias("k")).collect()}
+    for i, text in enumerate(texts):
+        if text is None:
+            assert {*got[i]["n"]} == {None} == {x["score"] for x in got[i]["k"]}
+            continue
+        assert list(got[i]["n"]) == [sum(any(a <= ord(c) <= b for a, b in spans) for c in text) for spans in lookups.SCRIPT_RANGES.values()]
+        for x in got[i]["k"]:
+            own = lookups.LANGUAGE_KEYWORDS[x["language"]]
+            assert x["score"] == pytest.approx(sum(w in text for w in own) / len(own))
+    # words of a language are looked for only in texts that have the bytes its words begin with
+    assert langid._leads(lookups.LANGUAGE_KEYWORDS["hi"]) == {b"\xe0\xa4"} and langid._leads(["the", "है"]) == set()
+
+
 def test_reading_order(spark):
     rows = F.array(*[F.struct(F.lit(float(y)).alias("y1"), F.lit(float(x)).alias("x1")) for y, x in ((10, 100), (12, 5), (40, 3), (55, 1))])
     assert [tuple(r) for r in value(spark, G.reading_order(rows))] == [(12, 5), (10, 100), (55, 1), (40, 3)]
