@@ -22,9 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parchment.llm.common import give_back
 from parchment.llm.hashing import mix
 
 N_BEST = 4
@@ -33,7 +35,13 @@ CACHED_UNITS, CACHED_CHARS = 300_000, 8_000_000
 #: Units with more characters are taken one by one, shorter ones in batches.
 LONG = 48
 SPACE = "▁"
-SCHEMA = "doc_id string, n_units long, n_tokens long, ids binary, score double, nbest array<struct<score: double, n_tokens: long, ids_crc32: long>>, decoded_equal boolean"
+#: Rows of a batch that are taken from Arrow's buffers together.
+AT_ONCE = 400
+SCHEMA = "doc_id long, n_units long, n_tokens long, ids binary, score double, nbest array<struct<score: double, n_tokens: long, ids_crc32: long>>, decoded_equal boolean"
+ARROW = pa.schema([
+    ("doc_id", pa.int64()), ("n_units", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("score", pa.float64()),
+    ("nbest", pa.list_(pa.struct([("score", pa.float64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]))), ("decoded_equal", pa.bool_()),
+])
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 _codecs: dict = {}
@@ -89,8 +97,9 @@ class PieceCodec:
         self.nbest_of: dict = {}
 
     def forget(self) -> None:
-        """Known units: their places in the score, the loss of the second best, the ids and what those decode to."""
-        self.place, self.best, self.loss, self.ids, self.texts, self.chars = {}, np.zeros(0), np.zeros(0), [], [], 0
+        """Known units: their places in the score, the loss of the second best, the ids, and what those decode to that don't give
+        the unit back."""
+        self.place, self.best, self.loss, self.ids, self.other_texts, self.chars = {}, np.zeros(0), np.zeros(0), [], {}, 0
 
     @staticmethod
     def _hashes(texts: list[str]) -> np.ndarray:
@@ -221,7 +230,7 @@ class PieceCodec:
     def _add(self, part: list[str], ids: list[bytes]) -> None:
         self.place.update(zip(part, range(len(self.ids), len(self.ids) + len(part))))
         self.ids += ids
-        self.texts += [self._text(np.frombuffer(i, "<i4")) for i in ids]
+        self.other_texts.update((u, text) for u, i in zip(part, ids) if (text := self._text(np.frombuffer(i, "<i4"))) != f" {u}")
         self.chars += sum(map(len, part))
 
     def learn(self, texts: list[list[str]]) -> None:
@@ -239,7 +248,7 @@ class PieceCodec:
         what it loses against the best segmentation."""
         key = (unit, n)
         if key in self.nbest_of:
-            return self.nbest_of[key]
+            return [(score, np.frombuffer(ids, "<i4").tolist()) for score, ids in self.nbest_of[key]]
         text = SPACE + unit.replace(" ", SPACE)
         ahead, ending = [0.0] + [-np.inf] * len(text), [[] for _ in range(len(text) + 1)]
         for start, edges in enumerate(self._edges(text)):
@@ -266,7 +275,7 @@ class PieceCodec:
         if len(unit) <= LONG:
             if len(self.nbest_of) > 50_000:
                 self.nbest_of.clear()
-            self.nbest_of[key] = out
+            self.nbest_of[key] = tuple((score, np.array(ids, "<i4").tobytes()) for score, ids in out)
         return out
 
     def encode(self, split: list[str], n: int) -> tuple[list[bytes], str, float, list[tuple[float, list[tuple[int, bytes]]]]]:
@@ -284,7 +293,8 @@ class PieceCodec:
             others = [(s - own[0][0], np.array(ids, "<i4").tobytes()) for s, ids in own]
             options = [(0.0, [])] + [(lost, [(i, ids)]) for lost, ids in others if ids != self.ids[places[i]]]
             ways = sorted(((a + b, x + y) for a, x in ways for b, y in options), key=lambda w: -w[0])[:n]
-        decoded = "".join([self.texts[i] for i in places])[1:]
+        other = self.other_texts
+        decoded = " ".join(split) if other.keys().isdisjoint(split) else "".join([other.get(u) or f" {u}" for u in split])[1:]
         return [self.ids[i] for i in places], decoded, score, [(score + lost, changes) for lost, changes in ways]
 
     @staticmethod
@@ -318,16 +328,16 @@ def encode_documents(docs: DataFrame, model_path: str, n: int = N_BEST) -> DataF
     Each row is encoded for itself; other columns are not looked at.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_path)
         for batch in batches:
-            for at in range(0, len(batch), 400):
-                some = batch.iloc[at : at + 400]
-                texts = some["text"].tolist()
+            for at in range(0, len(batch), AT_ONCE):
+                some = batch.slice(at, AT_ONCE)
+                texts = some["text"].to_pylist()
                 split = [units(t) for t in texts]
                 own.learn(split)
                 rows = []
-                for doc_id, text, parts in zip(some["doc_id"].tolist(), texts, split):
+                for doc_id, text, parts in zip(some["doc_id"].to_pylist(), texts, split):
                     best, decoded, score, ways = own.encode(parts, n)
                     ids, found = b"".join(best), []
                     for total, changes in ways:
@@ -339,10 +349,12 @@ def encode_documents(docs: DataFrame, model_path: str, n: int = N_BEST) -> DataF
                             other = b"".join(each)
                         found.append({"score": total, "n_tokens": len(other) // 4, "ids_crc32": zlib.crc32(other)})
                     rows.append((doc_id, len(parts), len(ids) // 4, ids, score, found, decoded == text))
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.replace("array<struct<score: double, n_tokens: long, ids_crc32: long>>", "array").split(", ")])
+                columns = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, ARROW)], schema=ARROW)
+        give_back()
 
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(run, SCHEMA).withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(run, SCHEMA)
 
 
 def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:

@@ -1,10 +1,12 @@
 import hashlib
 import random
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,3 +203,23 @@ def test_fingerprints(docs, corpus, empty):
     assert fp.fingerprint_documents(one).first()["near_next"] == 1
     assert fp.fingerprint_documents(docs.unionByName(docs)).count() == 2 * len(rows)
     assert fp.fingerprint_documents(docs.withColumn("doc_id", F.lit(None).cast("long"))).count() == len(rows)
+
+
+def test_a_worker_holds_few_texts_of_a_batch(spark):
+    """Of a batch of 20 MB, what Python holds at any time; pipeline's workers keep it until the next stage."""
+
+    class Rows:
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, schema: run
+
+    run, n = pieces.encode_documents(Rows(), PIECE_BPE), 20_000
+    text = " ".join(["abcdefghijklmnopqrstuvwxyz0123456789abc"] * 25)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(n)), "text": [text] * n})
+    assert sum(map(len, run(iter([batch.slice(0, 1)])))) == 1  # the model is loaded
+    tracemalloc.start()
+    try:
+        rows = sum(map(len, run(iter([batch]))))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == n and peak < 8 << 20
