@@ -64,3 +64,15 @@ def test_restart_goes_on_and_late_rows_are_left_out(spark, tmp_path):
     assert got == wanted(spark, rows) and set(first) <= set(got) and 0 < len(first) < len(got)
     run(spark, tmp_path)
     assert found(spark, tmp_path) == got
+
+
+def test_documents_share_states(spark, tmp_path):
+    """Calls of the processor and its state store grow with groups of documents, not with documents."""
+    rows = [(d, START + timedelta(minutes=d % 40), d, "Uploaded") for d in range(-50, 3000)]
+    put(spark, rows, tmp_path, 0)
+    put(spark, [END], tmp_path, 1)
+    stream = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    query = states.run_states(states.document_states(stream, "doc", "ts", "id", "status", "2 hours", "1 hour"), tmp_path)
+    query.awaitTermination()
+    assert found(spark, tmp_path) == wanted(spark, rows)
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) < len(rows) / 4
