@@ -48,6 +48,8 @@ MEMBERS_PER_TASK = 128
 COMMON = 16
 #: Pairs for each member that are compared without a further hub; rounds of further hubs; members of a hub paired in one task.
 PAIRS_PER_MEMBER, ROUNDS, PAIRED = 16, 3, 256
+#: Pairs for each member, as a bound has it, up to which they are listed to see how many there are; a list is numbers alone.
+LISTED_PER_MEMBER = 256
 
 N_HASHES = CHUNKS * CHUNK_LEN
 _RANDOM = np.random.default_rng(20_240_229)
@@ -93,6 +95,10 @@ def lookup_keys(signature: np.ndarray) -> np.ndarray:
     return np.concatenate(keys, axis=1).view(np.int64)
 
 
+def _broadcast_if(few: bool, df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if few else df
+
+
 def sketch(docs: DataFrame) -> DataFrame:
     """(doc_id, t, n_shingles, digest, signature) of each row; equal shingle sets have equal digests, empty ones none."""
 
@@ -162,11 +168,6 @@ def member_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return met.select("rep", "digest", "text").mapInPandas(run, "rep long, shingles binary")
 
 
-def _tasks(pairs: DataFrame) -> DataFrame:
-    """(hub, tasks): to how many tasks a hub's set is copied for each to have about MEMBERS_PER_TASK of its members."""
-    return saved(pairs.groupBy("hub").agg(F.ceil((F.count(F.lit(1)) + 1) / MEMBERS_PER_TASK).cast("int").alias("tasks"), F.count(F.lit(1)).alias("members")))
-
-
 def compare(pairs: DataFrame, sets: DataFrame, residues: bool = False) -> DataFrame:
     """(hub, rep, n, shared, linked, residue) of pairs (hub, rep) and of each hub with itself: the size of rep's set, how
     much of it hub has, whether that links them, and the shingles that hub lacks, 8 bytes each (null unless asked for).
@@ -174,12 +175,12 @@ def compare(pairs: DataFrame, sets: DataFrame, residues: bool = False) -> DataFr
     A task reads a hub's set and then those of its members one by one. A hub with many members is copied to several
     tasks. Sets are shuffled once, to these tasks, unless there are too many pairs to send to the sets.
     """
-    tasks = _tasks(pairs)
-    few = tasks.agg(F.coalesce(F.sum(F.col("members") + F.col("tasks")), F.lit(0))).first()[0] <= MAX_BROADCAST_IDS
+    few = 2 * pairs.count() <= MAX_BROADCAST_IDS  # a hub has no more copies than members
+    tasks = pairs.groupBy("hub").agg(F.ceil((F.count(F.lit(1)) + 1) / MEMBERS_PER_TASK).cast("int").alias("tasks"))
     own = tasks.select("hub", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.lit(0).alias("kind"), F.col("hub").alias("rep"))
-    theirs = pairs.join(tasks, "hub").select("hub", F.pmod(F.xxhash64("rep"), "tasks").cast("int").alias("task"), F.lit(1).alias("kind"), "rep")
+    theirs = pairs.join(_broadcast_if(few, tasks), "hub").select("hub", F.pmod(F.xxhash64("rep"), "tasks").cast("int").alias("task"), F.lit(1).alias("kind"), "rep")
     dealt = own.unionByName(theirs)
-    met = sets.join(F.broadcast(dealt) if few else dealt, "rep")
+    met = sets.join(_broadcast_if(few, dealt), "rep")
     met = met.repartition(shuffle_partitions(pairs.sparkSession), "hub", "task").sortWithinPartitions("hub", "task", "kind")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -244,14 +245,16 @@ def second_round(compared: DataFrame, component: DataFrame) -> tuple[DataFrame,
     # without a rare shingle in common, both must have enough of what is common: n <= most_b and n_b <= most
     reach = members.withColumn("most", F.expr("7 * shared div 3") - F.col("n"))
     bounds = reach.groupBy("hub").agg(F.min("n").alias("least_n"), F.max(F.when(~F.col("linked"), F.col("most"))).alias("most_most"))
-    near = reach.join(bounds, "hub").where((F.col("most") >= F.col("least_n")) & ((F.col("n") <= F.col("most_most")) | ~F.col("linked")))
+    few = members.count() <= MAX_BROADCAST_IDS
+    near = reach.join(_broadcast_if(few, bounds), "hub").where((F.col("most") >= F.col("least_n")) & ((F.col("n") <= F.col("most_most")) | ~F.col("linked")))
     return meeting, near.select("hub", "rep", "n", "most", "linked")
 
 
 def _labelled(members: DataFrame, component: DataFrame) -> DataFrame:
     """members with their component, which is the member itself where it has no links."""
+    few = component.count() <= MAX_BROADCAST_IDS
     named = component.select(F.col("node").alias("rep"), "component")
-    return members.join(named, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    return members.join(_broadcast_if(few, named), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
 
 def size_class() -> Column:
@@ -259,9 +262,10 @@ def size_class() -> Column:
     return F.floor(F.log("n") / math.log(100.01 / LINK_PERCENT)).cast("int")
 
 
-def _apart(near: DataFrame) -> tuple[DataFrame, int, int]:
+def _apart(near: DataFrame, few: bool) -> tuple[DataFrame, int, int]:
     """The labelled members of near that a member of another component, of a class of sizes next to theirs, may be linked to,
-    with their class and how many such members there are; how many they are, and how many pairs at most."""
+    with their class and how many such members there are; how many they are, and how many pairs at most. few: whether what
+    is told of their hubs may be broadcast."""
     classed = near.withColumn("class", size_class())
     per = classed.groupBy("hub", "class").agg(
         F.min("n").alias("least_n"), F.max("most").alias("most_most"), F.min("component").alias("first"), F.max("component").alias("last"),
@@ -272,7 +276,7 @@ def _apart(near: DataFrame) -> tuple[DataFrame, int, int]:
         F.sum("members").alias("members"), F.sum("free").alias("free"),
     )
     other = (F.col("first") != F.col("component")) | (F.col("last") != F.col("component"))
-    met = classed.join(per.where("free > 0"), ["hub", "class"]).where(other & (F.col("least_n") <= F.col("most")) & (F.col("most_most") >= F.col("n")))
+    met = classed.join(_broadcast_if(few, per.where("free > 0")), ["hub", "class"]).where(other & (F.col("least_n") <= F.col("most")) & (F.col("most_most") >= F.col("n")))
     apart = saved(met.drop("least_n", "most_most", "first", "last", "free"))
     n, pairs = apart.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(~F.col("linked"), F.col("members"))), F.lit(0))).first()
     return apart, n, pairs
@@ -295,13 +299,13 @@ def with_further_hubs(apart: DataFrame, chosen: DataFrame) -> DataFrame:
     return _as_pairs(apart.join(_mate(own, "hub", "class"), ["hub", "class"]).where(_fits()))
 
 
-def pairs_apart(apart: DataFrame) -> DataFrame:
+def pairs_apart(apart: DataFrame, few: bool) -> DataFrame:
     """All pairs of members of one hub that may be linked and aren't connected. A hub's members are dealt to as many tasks
-    as it takes for each to pair PAIRED of them with the others."""
+    as it takes for each to pair PAIRED of them with the others. few: whether what is told of hubs may be broadcast."""
     tasks = F.ceil(F.col("members") / PAIRED).cast("int")
     copied = apart.where("not linked").withColumn("class", F.explode(F.sequence(F.col("class") - 1, F.col("class") + 1))).select("hub", "class", "rep", "n", "most", "linked", "component")
     split = apart.groupBy("hub", "class").agg(F.max(tasks).alias("tasks"))
-    copied = copied.join(split, ["hub", "class"]).withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
+    copied = copied.join(_broadcast_if(few, split), ["hub", "class"]).withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
     dealt = apart.withColumn("task", F.pmod(F.xxhash64("rep"), tasks).cast("int"))
     return _as_pairs(dealt.join(_mate(copied, "hub", "class", "task"), ["hub", "class", "task"]).where(_fits()))
 
@@ -314,7 +318,7 @@ def relabelled(apart: DataFrame, links: DataFrame) -> DataFrame:
     joined = links.join(u, "u").join(v, "v").select(F.greatest("cu", "cv").alias("component"), F.least("cu", "cv").alias("lower")).where("component <> lower")
     lower = saved(joined.groupBy("component").agg(F.min("lower").alias("lower")))
     few = lower.count() <= MAX_BROADCAST_IDS  # as in classes(), a large component is a hot key
-    return apart.join(F.broadcast(lower) if few else lower, "component", "left").withColumn("component", F.coalesce("lower", "component")).drop("lower")
+    return apart.join(_broadcast_if(few, lower), "component", "left").withColumn("component", F.coalesce("lower", "component")).drop("lower")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -322,17 +326,19 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star steps in turn: every node hands its neighbours on to the smallest one, until all edges
     lead to the smallest node of their component. Each step takes the minimum of a node's neighbours by partial sums
-    and joins it with the edges; edges are written to the shared folder between steps.
+    and joins it with the edges, which aren't shuffled for it while there are few; edges are written to the shared folder
+    between steps.
     """
     now = saved(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     state = None
     while True:
+        few = 2 * (now.count() if state is None else state[0]) <= MAX_BROADCAST_IDS  # an edge has two nodes
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = both.join(_broadcast_if(few, least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.where("u <> v")
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        small = large.join(_broadcast_if(few, lowest), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         now = saved(small.select("e.u", "e.v").where("u <> v").distinct())
         after = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if after == state:
@@ -346,33 +352,51 @@ def find_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     held = held_keys(reps)
     degree = held.groupBy("rep").agg(F.sum("size").alias("degree"))
     candidates = saved(degree.join(reps.select("rep", "doc", "digest"), "rep"))
+    few = candidates.count() <= MAX_BROADCAST_IDS
     sets = saved(member_sets(docs, candidates.select("rep", "doc", "digest")))
     # a key's hub is the best that any of its members meets under any key, so that a group of copies has few of them
     rank = F.struct("degree", F.col("rep").alias("hub"))
-    top = saved(held.join(candidates.select("rep", rank.alias("rank")), "rep").groupBy("key").agg(F.max("rank").alias("rank")))
-    met = held.join(top, "key").groupBy("rep").agg(F.max("rank").alias("rank"))
-    hubs = held.join(met, "rep").groupBy("key").agg(F.max("rank").alias("rank")).select("key", "rank.hub")
+    top = held.join(_broadcast_if(few, candidates.select("rep", rank.alias("rank"))), "rep").groupBy("key").agg(F.max("rank").alias("top"))
+    met = held.join(top, "key").groupBy("rep").agg(F.max("top").alias("met"))
+    best = held.join(_broadcast_if(few, met), "rep").groupBy("key").agg(F.max("met").alias("best"))
     # members meet their key's own best as well: a document between two groups may have led their keys to the other's hub
-    both = hubs.unionByName(top.select("key", "rank.hub")).distinct()
+    both = best.join(top, "key").select("key", F.explode(F.array_distinct(F.array("best.hub", "top.hub"))).alias("hub"))
     pairs = saved(held.join(both, "key").where("rep <> hub").select("hub", "rep").distinct())
     compared = saved(compare(pairs, sets, residues=True))
-
-    def linked(compared: DataFrame) -> DataFrame:
-        return compared.where("linked and hub <> rep").select(F.col("hub").alias("u"), F.col("rep").alias("v"))
-
-    links = linked(compared)
+    links = _linked(compared)
     component = saved(components(links))
     meeting, near = second_round(compared, component)
-    links = links.unionByName(saved(linked(compare(saved(meeting), sets))))
-    apart, n, pairs = _apart(_labelled(near, component))
-    for _ in range(ROUNDS):
-        if pairs <= PAIRS_PER_MEMBER * n:
-            break
+    few = compared.count() <= MAX_BROADCAST_IDS
+    later, found = open_pairs(_labelled(near, component), sets, few)
+    rest = saved(meeting)
+    links = links.unionByName(saved(_linked(compare(rest if later is None else rest.unionByName(later), sets))))
+    return links if found is None else links.unionByName(found)
+
+
+def _linked(compared: DataFrame) -> DataFrame:
+    return compared.where("linked and hub <> rep").select(F.col("hub").alias("u"), F.col("rep").alias("v"))
+
+
+def open_pairs(near: DataFrame, sets: DataFrame, few: bool) -> tuple[DataFrame | None, DataFrame | None]:
+    """The pairs (hub, rep) of labelled members that are still to be compared, and the links (u, v) found on the way. None: there are
+    none.
+
+    Where the bound on their number is high, they are listed to be counted, which compares no sets. Further hubs are taken
+    only if there are many indeed.
+    """
+    links = None
+    apart, n, bound = _apart(near, few)
+    for left in range(ROUNDS, -1, -1):
+        if not bound:
+            return None, links
+        if not left or bound <= LISTED_PER_MEMBER * n:
+            pairs = saved(pairs_apart(apart, few))
+            if not left or bound <= PAIRS_PER_MEMBER * n or pairs.count() <= PAIRS_PER_MEMBER * n:
+                return pairs, links
         chosen = saved(further_hubs(apart))
-        found = saved(linked(compare(saved(with_further_hubs(apart, chosen)), sets)))
-        links = links.unionByName(found)
-        apart, n, pairs = _apart(relabelled(apart.drop("class", "members"), found).join(chosen, ["hub", "rep"], "left_anti"))
-    return links.unionByName(linked(compare(saved(pairs_apart(apart)), sets))) if pairs else links
+        found = saved(_linked(compare(saved(with_further_hubs(apart, chosen)), sets)))
+        links = found if links is None else links.unionByName(found)
+        apart, n, bound = _apart(relabelled(apart.drop("class", "members"), found).join(chosen, ["hub", "rep"], "left_anti"), few)
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -381,13 +405,13 @@ def classes(docs: DataFrame) -> DataFrame:
     full = rows.where("digest is not null and doc_id is not null")
     reps = full.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("signature").alias("signature"))
     reps = saved(reps.withColumn("rep", F.xxhash64("digest")))
-    found = components(find_links(docs, reps))
-    members = saved(reps.select("rep", "doc").join(found, F.col("rep") == F.col("node")))
-    first = saved(members.groupBy("component").agg(F.min("doc").alias("component_id")))
-    few = first.count() <= MAX_BROADCAST_IDS  # a large component is a hot key, which isn't shuffled for as long as that can be helped
-    by_rep = members.join(F.broadcast(first) if few else first, "component").select("rep", "component_id")
-    named = saved(reps.select("digest", "rep", "doc").join(by_rep, "rep", "left").select("digest", F.coalesce("component_id", "doc").alias("component_id")))
-    out = rows.select("doc_id", "t", "n_shingles", "digest").join(named, "digest", "left")
+    found = saved(components(find_links(docs, reps)))
+    few = found.count() <= MAX_BROADCAST_IDS  # a large component is a hot key, which isn't shuffled for as long as that can be helped
+    members = reps.select("rep", "doc").join(_broadcast_if(few, found.withColumnRenamed("node", "rep")), "rep")
+    first = members.groupBy("component").agg(F.min("doc").alias("component_id"))
+    by_rep = found.join(_broadcast_if(few, first), "component").select(F.col("node").alias("rep"), "component_id")
+    named = reps.select("digest", "rep", "doc").join(_broadcast_if(few, by_rep), "rep", "left").select("digest", F.coalesce("component_id", "doc").alias("component_id"))
+    out = rows.select("doc_id", "t", "n_shingles", "digest").join(saved(named), "digest", "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "t", "n_shingles", own.cast("long").alias("component_id"))
 

@@ -85,6 +85,24 @@ def test_template_families(spark, monkeypatch, pairs_per_member):
     compare(spark, rows)
 
 
+def test_few_pairs_under_a_high_bound_need_no_further_hub(spark, monkeypatch):
+    """60 members of one class of sizes have up to 60 x 60 pairs; what they have in common leaves 3 of these open."""
+    taken = []
+    monkeypatch.setattr(neardup, "further_hubs", lambda apart: taken.append(apart))
+    rows = [(1, i, 1000 + i, 1000 + i, False, i) for i in range(2, 62)] + [(1, 100 + i, 1010 + i, 1010 + i, True, 1) for i in range(3)]
+    near = spark.createDataFrame(rows, "hub long, rep long, n int, most int, linked boolean, component long")
+    assert neardup._apart(near, True)[2] > neardup.PAIRS_PER_MEMBER * len(rows)
+    for few in (True, False):
+        pairs, links = neardup.open_pairs(near, None, few)
+        assert sorted(map(tuple, pairs.collect())) == [(10, 100), (11, 101), (12, 102)] and links is None and not taken
+    assert neardup.open_pairs(near.where("linked"), None, True) == (None, None)
+
+
+def test_plain_joins_beyond_what_is_broadcast(spark, corpus, monkeypatch):
+    monkeypatch.setattr(neardup, "MAX_BROADCAST_IDS", 3)
+    compare(spark, [(i, t) for i, t, _ in corpus])
+
+
 def test_a_doc_id_with_several_texts(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
     rows = [(0, a, 1), (5, a + " z", 2), (5, b, 3), (5, b, 4), (5, "", 5), (5, None, 6), (7, c, 7), (8, c + " z", 8), (None, c, 9)]
