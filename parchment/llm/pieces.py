@@ -93,6 +93,15 @@ class PieceCodec:
         self.hashes, self.hash_ids = hashes[order], np.array(plain)[order]
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[self.hashes & np.uint64((1 << 22) - 1)] = True
+        # the place of each hash by its lowest bits; those few that lose theirs to another are looked for in order
+        self.slots = np.zeros(1 << 22, np.int32)
+        low = self.hashes & np.uint64((1 << 22) - 1)
+        self.slots[low] = np.arange(len(low))
+        lost = np.flatnonzero(self.slots[low] != np.arange(len(low)))
+        self.shared = np.zeros(1 << 22, bool)
+        self.shared[low[lost]] = True
+        self.steps = np.append(self.scores, -np.inf)  # that of id -1 last
+        self.widths = np.array([len(x) for x in self.spelling])
         self.forget()
         self.nbest_of: dict = {}
 
@@ -120,7 +129,10 @@ class PieceCodec:
         ids = np.full(h.shape, -1, np.int32)
         at = np.nonzero(self.maybe[h & np.uint64((1 << 22) - 1)])
         some = h[at]
-        place = np.minimum(np.searchsorted(self.hashes, some), len(self.hashes) - 1)
+        low = some & np.uint64((1 << 22) - 1)
+        place = self.slots[low]
+        if len(twice := np.flatnonzero(self.shared[low])):
+            place[twice] = np.minimum(np.searchsorted(self.hashes, some[twice]), len(self.hashes) - 1)
         ids[at] = np.where(self.hashes[place] == some, self.hash_ids[place], -1)
         return ids
 
@@ -133,30 +145,34 @@ class PieceCodec:
         n, lengths = len(some), np.array([len(u) for u in some])
         length, rows = int(lengths.max()), np.arange(len(some))
         chars = np.frombuffer("".join(u.ljust(length, "\0") for u in some).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, length)
-        letters = mix(chars.astype(np.uint64) + np.uint64(1))
-        found, h = [], np.zeros((n, length), np.uint64)
+        letters = mix(chars.T.astype(np.uint64, order="C") + np.uint64(1))  # a row for each place, so that all units are read side by side
+        found, h = [], np.zeros((length, n), np.uint64)
         for width in range(1, min(self.longest, length) + 1):
-            h = h[:, : length - width + 1] * _STEP + letters[:, width - 1 :]
+            h = h[: length - width + 1] * _STEP + letters[width - 1 :]
             found.append(self._find(h))
-        best, second = np.full((n, length + 1), -np.inf), np.full((n, length + 1), -np.inf)
-        back = np.zeros((n, length + 1), np.int16)
-        best[:, 0] = 0
+        held = [ids.max(axis=1) >= 0 for ids in found]
+        best, second = np.full((length + 1, n), -np.inf), np.full((length + 1, n), -np.inf)
+        back = np.zeros((length + 1, n), np.int16)
+        best[0] = 0
         for end in range(1, length + 1):
             for width in range(1, min(self.longest, end) + 1):
-                ids = found[width - 1][:, end - width]
-                step = np.where(ids >= 0, self.scores[ids], self.unknown if width == 1 else -np.inf)
-                first, other = best[:, end - width] + step, second[:, end - width] + step
-                better = first > best[:, end]
-                second[:, end] = np.maximum(np.maximum(second[:, end], other), np.where(better, best[:, end], first))
-                best[:, end] = np.where(better, first, best[:, end])
-                back[:, end] = np.where(better, width, back[:, end])
+                if width > 1 and not held[width - 1][end - width]:
+                    continue
+                step = self.steps[found[width - 1][end - width]]
+                if width == 1:
+                    step[np.isneginf(step)] = self.unknown
+                first, other = best[end - width] + step, second[end - width] + step
+                better = first > best[end]
+                second[end] = np.maximum(np.maximum(second[end], other), np.where(better, best[end], first))
+                best[end] = np.where(better, first, best[end])
+                back[end][better] = width
         at, steps = lengths.copy(), []
         while (at > 0).any():
-            width = back[rows, at]
+            width = back[at, rows]
             chosen = np.full(n, -2, np.int32)
             for w in np.unique(width[at > 0]):
-                here = (width == w) & (at > 0)
-                chosen[here] = found[w - 1][here, at[here] - w]
+                here = np.flatnonzero((width == w) & (at > 0))
+                chosen[here] = found[w - 1][at[here] - w, here]
             steps.append(np.where(chosen == -1, -3 - (at - 1), chosen))
             at = at - np.where(at > 0, width, 0)
         steps = np.stack(steps[::-1], axis=1)
@@ -168,7 +184,7 @@ class PieceCodec:
         for i in np.flatnonzero(~plain).tolist():
             spelt = [x for s in steps[i][keep[i]].tolist() for x in ([s] if s >= 0 else self._spell(some[i][-3 - s]))]
             out[i] = np.array(spelt, "<i4").tobytes()
-        return best[rows, lengths], best[rows, lengths] - second[rows, lengths], out
+        return best[lengths, rows], best[lengths, rows] - second[lengths, rows], out
 
     def _edges(self, text: str) -> list[list[tuple[int, float, int]]]:
         """For each place of a text the pieces that start there: (end, score, id), id -1 for a character in byte pieces."""
@@ -230,9 +246,19 @@ class PieceCodec:
     def _add(self, part: list[str], ids: list[bytes]) -> None:
         self.place.update(zip(part, range(len(self.ids), len(self.ids) + len(part))))
         self.ids += ids
-        self.other_texts.update((u, text) for u, i in zip(part, ids) if (text := self._text(np.frombuffer(i, "<i4"))) != f" {u}")
+        for u, i in zip(part, ids) if not self._spelt_alike(part, ids) else ((u, i) for u, i in zip(part, ids) if SPACE in u):
+            if (text := self._text(np.frombuffer(i, "<i4"))) != f" {u}":
+                self.other_texts[u] = text
         self.chars += sum(map(len, part))
 
+    def _spelt_alike(self, part: list[str], ids: list[bytes]) -> bool:
+        """Whether the ids of each unit spell just that unit, by the bytes of all and by the number of bytes of each."""
+        flat = np.frombuffer(b"".join(ids), "<i4")
+        wanted = [(SPACE + u.replace(" ", SPACE)).encode("utf-8", "surrogatepass") for u in part]
+        ends = np.cumsum([len(i) // 4 for i in ids])
+        upto = np.cumsum(self.widths[flat])[ends - 1]
+        return bool((upto == np.cumsum([len(w) for w in wanted])).all()) and b"".join(map(self.spelling.__getitem__, flat.tolist())) == b"".join(wanted)
+
     def learn(self, texts: list[list[str]]) -> None:
         wanted = set().union(*texts)
         new = wanted - self.place.keys()
@@ -246,9 +272,12 @@ class PieceCodec:
         """The n best segmentations of a unit, best first: a backward A-star search from its end. A state is a place with
         the pieces after it; its promise is their score plus the forward Viterbi score up to the place, and is held as
         what it loses against the best segmentation."""
+        return [(score, np.frombuffer(ids, "<i4").tolist()) for score, ids in self._nbest(unit, n)]
+
+    def _nbest(self, unit: str, n: int) -> tuple[tuple[float, bytes], ...]:
         key = (unit, n)
         if key in self.nbest_of:
-            return [(score, np.frombuffer(ids, "<i4").tolist()) for score, ids in self.nbest_of[key]]
+            return self.nbest_of[key]
         text = SPACE + unit.replace(" ", SPACE)
         ahead, ending = [0.0] + [-np.inf] * len(text), [[] for _ in range(len(text) + 1)]
         for start, edges in enumerate(self._edges(text)):
@@ -271,31 +300,31 @@ class PieceCodec:
             while chain is not None:
                 step, chain = chain
                 steps.append(step)
-            out.append((ahead[-1] - lost, self._ids(text, steps)))
+            out.append((ahead[-1] - lost, np.array(self._ids(text, steps), "<i4").tobytes()))
         if len(unit) <= LONG:
             if len(self.nbest_of) > 50_000:
                 self.nbest_of.clear()
-            self.nbest_of[key] = tuple((score, np.array(ids, "<i4").tobytes()) for score, ids in out)
-        return out
+            self.nbest_of[key] = tuple(out)
+        return tuple(out)
 
     def encode(self, split: list[str], n: int) -> tuple[list[bytes], str, float, list[tuple[float, list[tuple[int, bytes]]]]]:
         """The best ids of each learnt unit of a text, what they decode to, their score, and for each of the text's n best
         segmentations the score and the units that differ from the best one, with their ids."""
-        places = [self.place[u] for u in split]
+        places = list(map(self.place.__getitem__, split))
         at = np.array(places, np.int64)
         score, loss = float(self.best[at].sum()), self.loss[at]
         ways: list[tuple[float, list[tuple[int, bytes]]]] = [(0.0, [])]
         for i in self._least(loss, min(n - 1, len(at))).tolist():
             if not np.isfinite(loss[i]):
                 continue
-            own = self.nbest_unit(split[i], n)
+            own = self._nbest(split[i], n)
             # among equal scores the search may come upon another one than the forward pass first
-            others = [(s - own[0][0], np.array(ids, "<i4").tobytes()) for s, ids in own]
+            others = [(s - own[0][0], ids) for s, ids in own]
             options = [(0.0, [])] + [(lost, [(i, ids)]) for lost, ids in others if ids != self.ids[places[i]]]
             ways = sorted(((a + b, x + y) for a, x in ways for b, y in options), key=lambda w: -w[0])[:n]
         other = self.other_texts
-        decoded = " ".join(split) if other.keys().isdisjoint(split) else "".join([other.get(u) or f" {u}" for u in split])[1:]
-        return [self.ids[i] for i in places], decoded, score, [(score + lost, changes) for lost, changes in ways]
+        decoded = " ".join(split) if not other or other.keys().isdisjoint(split) else "".join([other.get(u) or f" {u}" for u in split])[1:]
+        return list(map(self.ids.__getitem__, places)), decoded, score, [(score + lost, changes) for lost, changes in ways]
 
     @staticmethod
     def _least(loss: np.ndarray, k: int) -> np.ndarray:

@@ -223,3 +223,22 @@ def test_a_worker_holds_few_texts_of_a_batch(spark):
     finally:
         tracemalloc.stop()
     assert rows == n and peak < 8 << 20
+
+
+def test_units_are_decoded_together(monkeypatch):
+    """What ids spell is compared for all new units at once; only those with U+2581 are decoded one by one. Scores and ids are those of the plain pass."""
+    own = pieces.PieceCodec(public_tokenizers.path("piece_bpe_32k.model"))
+    decoded, text = [], own._text
+    monkeypatch.setattr(own, "_text", lambda ids: decoded.append(1) or text(ids))
+    some = ["", "a", "word", "  two", "日本語", "naïve\x00", "🙂x", "\U0010ffff", "a▁b", "x" * 47, "ßé" * 20] + [f"w{i}é{i * 7919}" for i in range(300)]
+    own.learn([some])
+    assert len(decoded) == 1 and own.other_texts == {"a▁b": " a b"}
+    for unit in some:
+        score, _, ids = own.solve_long(pieces.SPACE + unit.replace(" ", pieces.SPACE))
+        at = own.place[unit]
+        assert own.best[at] == pytest.approx(score) and (own.ids[at] == ids or own.loss[at] == pytest.approx(0))
+        assert text(np.frombuffer(own.ids[at], "<i4")) == f" {unit}".replace("▁", " ")
+    assert not own._spelt_alike(["ab", "c"], [own.ids[own.place["a"]], own.ids[own.place["word"]]])
+    hashes = own.hashes.reshape(1, -1)
+    monkeypatch.setattr(pieces, "mix", lambda x: x)
+    assert (own._find(hashes)[0] == own.hash_ids).all()  # also those whose lowest bits another piece has
