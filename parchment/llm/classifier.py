@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parchment.llm.common import without
+from parchment.llm.common import give_back, without
 from parchment.llm.hashing import mix
 
 #: Bounds of the training sample: labelled documents in order of a hash of their id, and their characters together.
@@ -148,7 +148,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_docs:
     wanted = docs.sparkSession.createDataFrame(chosen, "doc_id long, n int, y int").distinct()
     found = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").where(F.length("text") == F.col("n"))
     rows = sorted(found.select("doc_id", "text", "y").collect(), key=lambda r: (r["doc_id"], r["text"]))
-    return fit([r["text"] for r in rows], [r["y"] for r in rows])
+    model = fit([r["text"] for r in rows], [r["y"] for r in rows])
+    del rows
+    give_back()  # the driver, too, goes on with other work
+    return model
 
 
 def classify(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

@@ -203,6 +203,15 @@ def test_classifier_tells_held_out_documents_apart(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
 
 
+def test_the_driver_gives_back_what_training_took(spark, monkeypatch):
+    order, fit = [], classifier.fit
+    monkeypatch.setattr(classifier, "fit", lambda *a: order.append("fit") or fit(*a))
+    monkeypatch.setattr(classifier, "give_back", lambda: order.append("give back"))
+    docs = spark.createDataFrame([(i, f"some text {i}") for i in range(20)], "doc_id long, text string")
+    classifier.train(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality"))
+    assert order == ["fit", "give back"]
+
+
 def test_held_out_labels_have_no_say(spark):
     df = labelled(spark)
     labels = df.select("doc_id", F.col("y").alias("quality"))
