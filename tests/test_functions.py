@@ -224,6 +224,29 @@ def test_one_line_values_are_cut_at_the_next_label(spark):
     assert parse(spark, "मौजा: रामपुर तहसील: सदर", "hi") == {"village": "रामपुर", "tehsil": "सदर"}
 
 
+def test_records_of_one_label_a_line_are_parsed_in_one_pass_and_any_other_text_alike(spark):
+    from parchment.functions.fields import LABELS
+
+    plain = [
+        (ENGLISH.strip(), "en"), ("Village: Rampur\nOwner: Mr. Dr. Ram Kumar\nArea: 2.5 sq. m\n", "en"), ("form\nগ্রাম: রামপুর (x)\nদাগ নম্বর: 12/3A\n", "bn"),
+        ("\n ഉടമ: രാജൻ\nസർവേ: 5/572A", "ml"), ("KHATA no. 00345\nSurvey:\t7/2\nVillage Northpur", "hi"), ("Date of registration: 5/6/24\nState: Interstate Colony\nDistrict:a", "en"),
+    ]
+    odd = [
+        ("Village: Rampur Tehsil: Sadar", "en"), ("Village:\nTehsil: Sadar", "en"), ("Village: A village: Bpur\nVillage: agricultural", "en"), ("s/owner name: Ram\nState: UP", "en"),
+        ("Survey date of registration: 5/5/2020\nState: x", "en"), ("വിക്രേതാവ്: ഉടമ: രാജൻ", "ml"), ("Survey no\nSR12/3", "en"), ("Village: a\x01\x02b\nTehsil: ab", "en"),
+        ("State: \u017ftate\n\u017furvey: 1/234", "en"), ("Land area: 5 ha\nKhata: 1", "gu"), ("Owner: Dr. Ram tehsil: x\nState: a village", "en"), ("Village: Ram", "xx"), ("Village: Ram", None), (None, "en"), ("", "ur"),
+    ]
+    fields = tuple(LABELS)
+    rows = spark.createDataFrame([(i, *x) for i, x in enumerate(plain + odd)], "i int, t string, l string").repartition(2)
+    t, lang, some = F.col("t"), F.col("l"), ("khata_number", "village", "owner_name")
+    got = rows.select("i", extraction._plain(t, lang, fields).isNotNull().alias("plain"), *[
+        F.to_json(x).alias(n) for n, x in (("parsed", extraction.parse(t, lang)), ("searched", extraction._any(t, lang, None, fields)), ("few", extraction.parse(t, lang, fields=some)), ("few_searched", extraction._any(t, lang, None, some)))
+    ]).orderBy("i").collect()
+    assert [r["parsed"] for r in got] == [r["searched"] for r in got] and [r["few"] for r in got] == [r["few_searched"] for r in got]
+    assert all(r["plain"] and r["parsed"] != "{}" for r in got[: len(plain)]), [r["i"] for r in got if not r["plain"]]
+    assert parse(spark, plain[1][0], "en") == {"village": "Rampur", "owner_name": "Ram Kumar", "area": "2.5 sq. m"}
+
+
 def test_registry(spark):
     df = spark.createDataFrame([(1, "304/1", "Ram"), (2, "112/A", None), (3, "88/2", "Shyam")], "id int, khasra string, owner string")
     assert [r["id"] for r in registry.search(df, {"khasra": " 1 "}).collect()] == [1, 2]
