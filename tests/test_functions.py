@@ -247,6 +247,15 @@ def test_records_of_one_label_a_line_are_parsed_in_one_pass_and_any_other_text_a
     assert parse(spark, plain[1][0], "en") == {"village": "Rampur", "owner_name": "Ram Kumar", "area": "2.5 sq. m"}
 
 
+def test_cross_checks_read_no_field_but_those_they_name(spark):
+    """The query parses these alone, and finds what it finds in all."""
+    texts = ["Survey Number: 12/3\nKhasra: 12/4\nArea: 0.00 acre\nRegistration Date: 1/2/2030\nVillage: Rampur", "Survey: 12/3\nKhasra: 12/3\nArea: 1 acre", "Village: Rampur"]
+    rows, today = spark.createDataFrame([(x,) for x in texts], "t string"), F.to_date(F.lit("2025-01-01"))
+    checks = lambda **only: F.transform(extraction.cross_checks(extraction.parse(F.col("t"), F.lit("en"), **only), today), lambda c: c["rule"])
+    got = rows.select(checks().alias("a"), checks(fields=extraction.CROSS_CHECKED).alias("b")).collect()
+    assert [r["a"] for r in got] == [r["b"] for r in got] == [["survey_khasra", "area_positive", "date_not_future"], [], []]
+
+
 def test_registry(spark):
     df = spark.createDataFrame([(1, "304/1", "Ram"), (2, "112/A", None), (3, "88/2", "Shyam")], "id int, khasra string, owner string")
     assert [r["id"] for r in registry.search(df, {"khasra": " 1 "}).collect()] == [1, 2]
